@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from passages.llm import line_cleaning, token_counts
 from passages.llm.common import table
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
-    from passages.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts}
+    return {f.__name__: f for f in (op3_token_counts, op7_line_cleaning)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_cleaning": line_cleaning.ORACLE}
