@@ -21,7 +21,7 @@ BOILERPLATE = (
     "click here", "read more", "lorem ipsum", "copyright \\(c\\)", "©",
 )
 _BOILERPLATE = "(?i)(" + "|".join(BOILERPLATE) + ")"
-_ENDS_SENTENCE = "[.!?…:;。！？][\")'\\]»”’]*[\\x20\\x09-\\x0D]*\\z"
+_SENTENCE_END = "[.!?…:;。！？][\")'\\]»”’]*([\\x20\\x09-\\x0D]|\\z)"
 
 
 def _facts(line: Column) -> Column:
@@ -29,7 +29,7 @@ def _facts(line: Column) -> Column:
     return F.struct(
         line.alias("line"),
         F.regexp_count(line, F.lit(WORD)).alias("words"),
-        line.rlike(_ENDS_SENTENCE).alias("ends"),
+        line.rlike(_SENTENCE_END).alias("ends"),
         F.regexp_count(line, F.lit(r"[|»›•]")).alias("separators"),
         F.regexp_count(line, F.lit(r"[#*$%&<>]")).alias("symbols"),
         F.regexp_count(line, F.lit(r"\p{Lu}")).alias("capitals"),
@@ -39,7 +39,7 @@ def _facts(line: Column) -> Column:
 
 
 def _fails(fact: Column) -> Column:
-    """Punctuation: no sentence end, symbols all over, or shouted. Navigation: items between separators. Boilerplate: a phrase."""
+    """Punctuation: no sentence end anywhere, symbols all over, or shouted. Navigation: items between separators. Boilerplate: a phrase."""
     punctuation = ~fact["ends"] | (fact["symbols"] * 10 >= fact["words"] * 3) & (fact["symbols"] >= 5) | (fact["capitals"] >= 10) & (fact["capitals"] >= fact["small"])
     navigation = (fact["separators"] >= 3) & (fact["separators"] * 6 >= fact["words"])
     return punctuation | navigation | fact["boilerplate"]
@@ -118,7 +118,7 @@ WITH t AS (
   SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     length(regexp_replace(line, '[^|»›•]', '', 'g')) AS separators, length(regexp_replace(line, '[^#*$%&<>]', '', 'g')) AS symbols,
     length(regexp_replace(line, '\P{Lu}', '', 'g')) AS capitals, length(regexp_replace(line, '\P{Ll}', '', 'g')) AS small,
-    regexp_matches(line, '[.!?…:;。！？][")''\]»”’]*[\x20\x09-\x0D]*\z') AS ends,
+    regexp_matches(line, '[.!?…:;。！？][")''\]»”’]*([\x20\x09-\x0D]|\z)') AS ends,
     regexp_matches(line, '@BOILERPLATE@') AS boilerplate
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), s AS (
