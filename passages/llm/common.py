@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a SparkContext, so that operators also run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_passages_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="passages-"), "passages.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("passages", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._passages_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read again.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passages.llm.common import small, written
+from passages.llm.common import ship, small, written
 
 UNKNOWN = "und"
 
@@ -33,7 +33,7 @@ class LanguageModel:
     dictionaries: dict[str, bytes]
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, chars_per_doc: int = 2048) -> LanguageModel:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, chars_per_doc: int = 1024) -> LanguageModel:
     """Learns from a bounded sample: per language the docs_per_language texts with the least hash of their id.
 
     Rows with a null language or without a letter are left out. No rows give a model without languages, which predicts
@@ -83,13 +83,15 @@ def decide(languages: list[str], sizes: list[int], n_bytes: int) -> tuple[str, f
     return languages[order[0]], score, max(0.0, (rest - best) / max(rest, 1))
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = 3, piece_bytes: int = 4096) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = 7, piece_bytes: int = 4096) -> DataFrame:
     """Rows (id, lang_best, lang_pred, score, margin), one per input row, repeated ids included.
 
     lang_best is the language with the smallest size (ties: the first by name), 'und' for null texts and texts without a
     letter. lang_pred is lang_best, or 'und' where the margin is below min_margin: the narrow cases are rejected.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(model, level, piece_bytes)
         for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import language_id, line_cleaning, quality_model, token_counts
+from passages.llm import language_id, line_cleaning, quality_model, secret_scan, source_mix, token_counts
 from passages.llm.common import table
 
 
@@ -27,6 +27,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("spans", secret_scan.is_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = secret_scan.joined(F.filter("spans", lambda s: s["kind"] != "random"))
+    return found.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(fold(4) != 2))
@@ -40,7 +51,7 @@ def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_token_counts, op6_language, op7_line_cleaning)}
+    return {f.__name__: f for f in (op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning)}
 
 
 def oracle_sql() -> dict[str, str]:

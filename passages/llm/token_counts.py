@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passages.llm.common import ship
+
 #: Characters that no cut may touch: white space of any kind, and signs that some engines count as white space.
 _ODD = "\\s\u180e\u200b\ufeff"
 _UNSAFE = re.compile(f"[{_ODD}] | [{_ODD}]|^ | $")
@@ -99,6 +101,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     the library counts them by default. Null and empty texts have 0 bytes and 0 tokens. Other columns are ignored.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(vocabulary, batch_bytes)
         for batch in batches:
