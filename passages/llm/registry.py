@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import decontaminate, html_main_text, language_id, line_cleaning, quality_model, secret_scan, source_mix, token_counts
+from passages.llm import decontaminate, html_main_text, language_id, line_cleaning, line_dedup, quality_model, secret_scan, source_mix, token_counts
 from passages.llm.common import table
 
 
@@ -17,6 +17,10 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped", "left_whole")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_model.fit(docs, labels.where(fold(5) != 0))
@@ -59,8 +63,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning, op8_main_text, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning, op8_main_text, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_cleaning": line_cleaning.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op7_line_cleaning": line_cleaning.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
