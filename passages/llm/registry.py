@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import decontaminate, html_main_text, language_id, line_cleaning, line_dedup, quality_model, secret_scan, source_mix, token_counts
+from passages.llm import decontaminate, html_main_text, language_id, line_cleaning, line_dedup, ngram_join, quality_model, secret_scan, source_mix, token_counts
 from passages.llm.common import table
 
 
@@ -58,12 +58,17 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract_main_text(table(spark, sf_dir, "pages"), keep=("url",))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_ngrams").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning, op8_main_text, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning, op8_main_text, op9_ngram_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
