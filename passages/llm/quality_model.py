@@ -22,10 +22,13 @@ from passages.llm.common import WORD, small, words_of, written
 Condition = tuple[str, bool, float]
 
 
-def statistics(docs: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """Rows (id, one double a statistic) and the statistics' names. Null texts count as empty; every value is finite."""
+def statistics(docs: DataFrame, *, id_col: str | None = None, id_value: Column | None = None, text_col: str) -> tuple[DataFrame, list[str]]:
+    """Rows (id, one double a statistic) and the statistics' names. Null texts count as empty; every value is finite.
+
+    id_value may be any column instead, such as a struct of the whole row.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), words_of(F.col(text_col)).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+    rows = docs.select((F.col(id_col) if id_value is None else id_value).alias("id"), text.alias("text"), words_of(F.col(text_col)).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     n_words, n_lines, n_chars = F.size("words"), F.size("lines"), F.length("text")
     repeats = F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1)))
     per = lambda x, n: (x / F.greatest(n, F.lit(1))).cast("double")
@@ -122,3 +125,11 @@ def classify(docs: DataFrame, model: RuleEnsemble, *, id_col: str = "doc_id", te
     stats, _ = statistics(docs, id_col=id_col, text_col=text_col)
     scored = stats.select(F.col("id").alias(id_col), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_rejected(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that classify() predicts as 1, with all their columns: a filter, without a join."""
+    stats, _ = statistics(docs, id_value=F.struct("*"), text_col=text_col)
+    # a row number in the same projection keeps Spark from pushing the filter below it, where it would work out each statistic again for each rule
+    scored = stats.select("id", model.score().alias("score"), F.monotonically_increasing_id().alias("row"))
+    return scored.where((F.col("score") >= threshold) & (F.col("row") >= 0)).select("id.*")
