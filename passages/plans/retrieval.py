@@ -1,4 +1,208 @@
-"""Queries."""
+"""Queries over retrieval: documents are the chunks, benchmark passages the questions, embeddings the vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from passages.adapters import view, with_views
+from passages.operators import dense, fusion, lexical
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+LANGS = ["en", "fr"]
+
+
+def query(sql: str | None = None, *views: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = with_views(sql, *views)
+        return f
+
+    return register
+
+
+def chunks(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_id"), F.lit(0).alias("ordinal"), "text", "lang", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 40).alias("page"))
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def query_vectors(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.expr("concat('m', vec_id % 2)").alias("model"), "embedding")
+
+
+_STOP = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in ws)}]" for lang, ws in lexical.STOPWORDS.items())
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
+SQL_POSTINGS = f"""SELECT term, chunk_id, doc_len, count(*) AS tf FROM (SELECT chunk_id, len(ws) AS doc_len, unnest(ws) AS term FROM (
+  SELECT doc_id AS chunk_id, list_filter({_WORDS}, lambda w: NOT list_contains(coalesce(CASE lang {_STOP} END, []), w)) AS ws FROM documents)) GROUP BY ALL"""
+_STOP_SCOPE = ", ".join(repr(w) for w in sorted({w for lang in LANGS for w in lexical.STOPWORDS[lang]}))
+SQL_TERMS = f"SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark) WHERE term NOT IN ({_STOP_SCOPE})"
+
+
+def _ranked(hits: str, k: int) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({hits})) WHERE rank <= {k}"
+
+
+SQL_LEXICAL = _ranked(f"SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM ({SQL_POSTINGS}) JOIN ({SQL_TERMS}) USING (term) GROUP BY ALL", 20)
+SQL_DENSE = _ranked("""SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 2 = v.vec_id % 2 WHERE q.vec_id < 40""", 20)
+SQL_FUSED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score, string_agg(DISTINCT retriever, ',' ORDER BY retriever) AS matched_by FROM (
+    SELECT query_id, chunk_id, rank, 'bm25' AS retriever FROM ({SQL_LEXICAL}) UNION ALL SELECT query_id, chunk_id, rank, 'dense' FROM ({SQL_DENSE})) GROUP BY 1, 2)) WHERE rank <= 30"""
+
+
+@query(SQL_POSTINGS)
+def build_lexical_index(spark, sf_dir):
+    return lexical.build_lexical_index(chunks(spark, sf_dir))
+
+
+@query(SQL_TERMS)
+def analyse_queries(spark, sf_dir):
+    return lexical.analyse_queries(questions(spark, sf_dir), LANGS)
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_WORDS}) AS term FROM documents) WHERE term NOT IN ({_STOP_SCOPE}) GROUP BY 1")
+def drop_stopwords(spark, sf_dir):
+    words = view(spark, sf_dir, "documents").select(F.explode(lexical.analyse(F.col("text"))).alias("term"))
+    return lexical.drop_stopwords(words, LANGS).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _lexical(spark, sf_dir):
+    return lexical.lexical_search(lexical.analyse_queries(questions(spark, sf_dir), LANGS), lexical.build_lexical_index(chunks(spark, sf_dir)), 20)
+
+
+@query(SQL_LEXICAL)
+def lexical_search(spark, sf_dir):
+    return _lexical(spark, sf_dir)
+
+
+@query(_ranked(f"""WITH p AS ({SQL_POSTINGS}), t AS ({SQL_TERMS}), n AS (SELECT count(*) AS n_docs, avg(l) AS avg_len FROM (SELECT chunk_id, max(doc_len) AS l FROM p GROUP BY 1)),
+  d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+  SELECT query_id, chunk_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score
+  FROM p JOIN t USING (term) JOIN d USING (term), n GROUP BY 1, 2""", 20))
+def bm25_search(spark, sf_dir):
+    return lexical.bm25_search(lexical.analyse_queries(questions(spark, sf_dir), LANGS), lexical.build_lexical_index(chunks(spark, sf_dir)), 20)
+
+
+@query(SQL_DENSE)
+def dense_search(spark, sf_dir):
+    return dense.dense_search(query_vectors(spark, sf_dir), view(spark, sf_dir, "vectors"), 20)
+
+
+@query()
+def dense_search_ann(spark, sf_dir):
+    return dense.dense_search_ann(query_vectors(spark, sf_dir), view(spark, sf_dir, "vectors"), 20)
+
+
+@query("""SELECT chunk_id, model, CASE WHEN model = 'm1' THEN 'fixed width' END AS reject_reason, CASE WHEN model = 'm0' THEN 32 END AS width,
+  CASE WHEN model = 'm0' THEN round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[])), 6) END AS first FROM vectors""", "vectors")
+def truncate_embeddings(spark, sf_dir):
+    rows = dense.truncate_embeddings(view(spark, sf_dir, "vectors"), 32, {"m0": True, "m1": False})
+    return rows.select("chunk_id", "model", "reject_reason", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+
+
+@query(f"""SELECT chunk_id, sum(n)::DOUBLE AS terms, max(n)::DOUBLE AS most FROM (SELECT chunk_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS place, count(*) AS n FROM (
+  SELECT doc_id AS chunk_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL) GROUP BY 1""")
+def embed_corpus(spark, sf_dir):
+    rows = dense.hashed_embeddings(chunks(spark, sf_dir))
+    return rows.select("chunk_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("terms"), F.array_max("embedding").alias("most"))
+
+
+def _fused(spark, sf_dir):
+    tagged = lambda df, name, n: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("retriever"), F.lit(n).alias("retriever_order"))
+    found = dense.dense_search(query_vectors(spark, sf_dir), view(spark, sf_dir, "vectors"), 20)
+    return fusion.rrf_fuse(tagged(_lexical(spark, sf_dir), "bm25", 0).unionByName(tagged(found, "dense", 1)), 30)
+
+
+@query(SQL_FUSED)
+def rrf_fuse(spark, sf_dir):
+    return _fused(spark, sf_dir).withColumn("matched_by", F.array_join("matched_by", ","))
+
+
+def _attached(spark, sf_dir):
+    return fusion.attach_chunks(_fused(spark, sf_dir), chunks(spark, sf_dir), view(spark, sf_dir, "sources"))
+
+
+_SQL_ATTACHED = f"""SELECT f.*, d.text, s.name AS source_name, CASE WHEN f.chunk_id % 3 = 0 THEN concat('page ', f.chunk_id % 40) ELSE 'chunk 0' END AS location
+  FROM ({SQL_FUSED}) f JOIN documents d ON d.doc_id = f.chunk_id JOIN sources s ON s.id = f.chunk_id"""
+
+
+@query(f"SELECT query_id, rank, chunk_id, source_name, location, length(text) AS n FROM ({_SQL_ATTACHED})", "sources")
+def attach_chunks(spark, sf_dir):
+    return _attached(spark, sf_dir).select("query_id", "rank", "chunk_id", "source_name", "location", F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT query_id, rank, chunk_id, round(score, 6) AS score, matched_by, location FROM ({_SQL_ATTACHED})", "sources")
+def retrieval_sources(spark, sf_dir):
+    return fusion.retrieval_sources(_attached(spark, sf_dir))
+
+
+def _reranked(spark, sf_dir, top_k=None):
+    rows = _attached(spark, sf_dir).join(F.broadcast(questions(spark, sf_dir).select("query_id", F.col("text").alias("question"))), "query_id")  # as many as dense_search allows
+    return fusion.rerank_head(rows, fusion.term_overlap(F.col("question"), F.col("text")), 15, top_k)
+
+
+_SQL_RERANKED = f"""SELECT query_id, chunk_id, text, source_name, location, coalesce(new, score) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY new IS NULL, new DESC, CASE WHEN new IS NOT NULL THEN chunk_id END, rank) AS rank FROM (
+  SELECT a.*, CASE WHEN rank <= 15 AND count(*) OVER (PARTITION BY query_id) >= 2 THEN round(len(list_intersect(list_distinct({_WORDS.replace('text', 'b.text')}), {_WORDS.replace('text', 'a.text')}))::DOUBLE / greatest(len(list_distinct({_WORDS.replace('text', 'b.text')})), 1), 6) END AS new
+  FROM ({_SQL_ATTACHED}) a JOIN benchmark b ON b.item_id = a.query_id)"""
+
+
+@query(f"SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({_SQL_RERANKED})", "sources")
+def rerank_head(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+_SQL_PACKED = f"""SELECT query_id, marker, chunk_id, snippet, tokens_so_far FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS tokens_so_far FROM (
+  SELECT *, len(regexp_extract_all(snippet, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM (SELECT *, concat('[', rank, '] source: ', source_name, ' (', location, ')', chr(10), text) AS snippet, rank AS marker FROM ({_SQL_RERANKED}) WHERE rank <= 5))) WHERE tokens_so_far <= 6000"""
+
+
+def _packed(spark, sf_dir):
+    return fusion.pack_context(_reranked(spark, sf_dir, 5), 6000)
+
+
+@query(f"SELECT query_id, marker, chunk_id, tokens_so_far::BIGINT AS tokens_so_far FROM ({_SQL_PACKED})", "sources")
+def pack_context(spark, sf_dir):
+    return _packed(spark, sf_dir).select("query_id", F.col("marker").cast("long").alias("marker"), "chunk_id", "tokens_so_far")
+
+
+@query(f"""SELECT item_id AS query_id, coalesce('{fusion.DEFAULT_PROMPT}' || chr(10) || chr(10) || 'Answer only from the context. Cite passages as [n].' || chr(10) || chr(10) || '----- CONTEXT -----' || chr(10) || context, '{fusion.DEFAULT_PROMPT}') AS prompt
+FROM benchmark LEFT JOIN (SELECT query_id AS item_id, string_agg(snippet, chr(10) || chr(10) ORDER BY marker) AS context FROM ({_SQL_PACKED}) GROUP BY 1) USING (item_id)""", "sources")
+def assemble_prompts(spark, sf_dir):
+    return fusion.assemble_prompts(questions(spark, sf_dir), _packed(spark, sf_dir))
+
+
+_ANSWERS = "SELECT item_id AS query_id, concat('See [', 1 + item_id % 4, '] and [', 1 + item_id % 7, '], not [77] or [123].') AS answer FROM {t}"
+
+
+@query(f"""WITH m AS (SELECT query_id, marker, min(pos) AS pos FROM (SELECT query_id, unnest([1 + query_id % 4, 1 + query_id % 7]) AS marker, unnest([0, 1]) AS pos FROM (SELECT item_id AS query_id FROM benchmark)) GROUP BY 1, 2)
+SELECT query_id, marker, chunk_id, pos IS NOT NULL AS cited, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST) END AS position
+FROM ({_SQL_PACKED}) LEFT JOIN m USING (query_id, marker)""", "sources")
+def resolve_citations(spark, sf_dir):
+    found = fusion.resolve_citations(spark.sql(_ANSWERS, t=view(spark, sf_dir, "benchmark")), _packed(spark, sf_dir))
+    return found.withColumn("marker", F.col("marker").cast("long")).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"SELECT query_id, chunk_id, rank, round(score, 6) AS score, source_name FROM ({_SQL_RERANKED}) WHERE rank <= 5", "sources")
+def hybrid_search(spark, sf_dir):
+    """The flagship: dense and lexical retrieval, fusion, reranking, for every question in one plan."""
+    return _reranked(spark, sf_dir, 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "source_name")
+
+
+@query(f"""WITH h AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE v.label = q.label) AS good FROM ({SQL_DENSE}) d JOIN embeddings v ON v.vec_id = d.chunk_id JOIN embeddings q ON q.vec_id = d.query_id GROUP BY 1)
+SELECT query_id, CASE WHEN good > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, round(good::DOUBLE / n, 6) AS precision FROM h""")
+def evaluate_retrieval(spark, sf_dir):
+    """Dense retrieval against a golden set: a query vector expects the source named after its own label."""
+    from passages.operators import evals
+
+    name = F.expr("concat('label-', label)")
+    vectors = view(spark, sf_dir, "embeddings")
+    hits = dense_search(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("chunk_id"), name.alias("source_name")), "chunk_id")
+    found = hits.groupBy("query_id").agg(F.array_join(F.collect_list("source_name"), ",").alias("retrieved_sources"))
+    rows = found.join(vectors.select(F.col("vec_id").alias("query_id"), name.alias("expected_sources")), "query_id")
+    return rows.select("query_id", evals.retrieval_recall().alias("recall"), F.round(evals.context_precision(), 6).alias("precision"))
