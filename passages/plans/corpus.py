@@ -1,4 +1,250 @@
-"""Queries."""
+"""Queries over sources, text, segments and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passages.adapters import view, with_views
+from passages.functions import text
+from passages.operators import chunking, segments
+from passages.sources import corpus as sources
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = with_views(sql, *views)
+        return f
+
+    return register
+
+
+def _docs(spark, sf_dir):
+    return view(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+_EXT = "CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '[^.]*$')) ELSE '' END"
+
+
+@query(f"SELECT {_EXT} AS extension, CASE WHEN {_EXT} NOT IN {sources.SUPPORTED} THEN 'unsupported type: ' || {_EXT} END AS reject_reason, count(*) AS n FROM sources GROUP BY ALL", "sources")
+def scan_corpus(spark, sf_dir):
+    return sources.route(view(spark, sf_dir, "sources")).groupBy("extension", "reject_reason").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, CASE WHEN {_EXT} NOT IN {sources.SUPPORTED} THEN 'unsupported type: ' || {_EXT} WHEN n_chars = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too large' END AS reject_reason FROM sources", "sources")
+def admit_documents(spark, sf_dir):
+    return sources.admit_documents(view(spark, sf_dir, "sources").withColumn("length", F.col("n_chars")), 5000).select("id", "reject_reason")
+
+
+_URLS = """SELECT page_id, CASE CAST(page_id % 8 AS INT) WHEN 0 THEN replace(url, 'https://', 'ftp://') WHEN 1 THEN concat('http://10.1.2.', page_id % 250, '/x') WHEN 2 THEN concat('http://8.8.', page_id % 250, '.8/y')
+  WHEN 3 THEN concat('http://192.168.0.', page_id % 250) WHEN 4 THEN 'http:///nohost' WHEN 5 THEN concat('http://[::ffff:127.0.0.', page_id % 250, ']/') ELSE url END AS url FROM {t}"""
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(url, '^ftp:') THEN 'scheme' WHEN page_id % 8 = 4 THEN 'no host' WHEN page_id % 8 IN (1, 3, 5) THEN 'private address' END AS reject_reason FROM ({_URLS.format(t='pages')})""")
+def admit_urls(spark, sf_dir):
+    return sources.admit_urls(spark.sql(_URLS, t=view(spark, sf_dir, "pages"))).select("page_id", "reject_reason")
+
+
+_SITES = "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, url FROM {t}"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT site, regexp_replace(url, '/+$', '') AS url FROM ({_SITES.format(t='pages')}))
+SELECT site, count(*) AS total_found, least(count(*), 3)::BIGINT AS would_import, array_to_string(list(url ORDER BY url)[1:20], ',') AS preview FROM u GROUP BY 1""")
+def sitemap_select(spark, sf_dir):
+    return sources.sitemap_select(spark.sql(_SITES, t=view(spark, sf_dir, "pages")), 3)
+
+
+_GOLDEN = "SELECT item_id AS row_no, CASE WHEN item_id % 9 = 0 THEN '  ' ELSE text END AS question, concat('doc-', item_id, '.txt, ,doc-', item_id % 7) AS expected_sources, CASE WHEN item_id % 2 = 0 THEN NULL ELSE ' a,b ' END AS tags FROM {t}"
+
+
+@query(f"""SELECT row_no, trim(question) AS question, concat('doc-', row_no, '.txt|doc-', row_no % 7) AS expected_sources, CASE WHEN tags IS NULL THEN '' ELSE 'a|b' END AS tags,
+  CASE WHEN trim(question) = '' THEN concat('Row ', row_no, ': no question') END AS error FROM ({_GOLDEN.format(t='benchmark')})""")
+def import_golden_set(spark, sf_dir):
+    rows = sources.check_golden_set(spark.sql(_GOLDEN, t=view(spark, sf_dir, "benchmark")))
+    return rows.withColumn("expected_sources", F.array_join("expected_sources", "|")).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query("SELECT doc_id AS source_id, n_chars + CASE WHEN doc_id % 4 = 0 THEN 1000000 ELSE 0 END AS n FROM documents WHERE doc_id % 4 <> 0 OR n_chars > 500 UNION ALL SELECT doc_id, n_chars FROM documents WHERE doc_id % 4 = 0 AND n_chars <= 500")
+def replace_by_source(spark, sf_dir):
+    rows = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("n_chars").alias("n"))
+    return sources.replace_by_source(rows, rows.where("source_id % 4 = 0 AND n > 500").withColumn("n", F.col("n") + 1000000))
+
+
+@query("SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS occurrences FROM (" + __import__("passages.plans.retrieval", fromlist=["SQL_POSTINGS"]).SQL_POSTINGS + ") GROUP BY 1")
+def write_index(spark, sf_dir):
+    """Writes the postings as a table, bucketed by reading folder, and reads them again."""
+    import uuid
+
+    from passages.plans.retrieval import build_lexical_index
+    from passages.sources.storage import shared_dir
+
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    sources.write_index(build_lexical_index(spark, sf_dir), path)
+    return sources.read_index(spark, path).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"))
+
+
+_STATEMENT = "SELECT o_orderpriority, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_orderpriority"
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def guarded_sql(spark, sf_dir):
+    return sources.guarded_sql(spark, {"orders": view(spark, sf_dir, "orders")}, _STATEMENT)[0]
+
+
+# text
+
+_DIRTY = "SELECT doc_id, concat('a', chr(13), chr(10), 'b  ', chr(10), chr(10), chr(10), chr(10), replace(coalesce(text, ''), ' ', '  '), repeat('.', 200), chr(9), ' ') AS text FROM {t}"
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'),
+  '[ \t]{{2,}}', ' ', 'g'), '\.{{33,}}', repeat('.', 32), 'g'), '-{{33,}}', repeat('-', 32), 'g'), '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')) AS digest FROM ({_DIRTY.format(t='documents')})""")
+def clean_corpus(spark, sf_dir):
+    return text.clean_corpus(spark.sql(_DIRTY, t=view(spark, sf_dir, "documents"))).select("doc_id", F.md5("text").alias("digest"))
+
+
+_SCRIPTS = "SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN text WHEN 1 THEN 'Привет, как дела' WHEN 2 THEN 'Привіт, як справи' ELSE concat('да ', text) END AS text FROM {t}"
+
+
+@query(f"""SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'english' WHEN 'ru' THEN 'russian' ELSE 'simple' END AS lang_config FROM (SELECT doc_id, CASE WHEN length(regexp_replace(h, '[^Ѐ-ӿ]', '', 'g')) <= length(regexp_replace(h, '[^a-z]', '', 'g')) THEN 'en'
+  WHEN regexp_matches(h, '[їієґ]') THEN 'uk' ELSE 'ru' END AS lang FROM (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 4000)) AS h FROM ({_SCRIPTS.format(t='documents')})))""")
+def tag_language(spark, sf_dir):
+    return text.tag_language(spark.sql(_SCRIPTS, t=view(spark, sf_dir, "documents"))).select("doc_id", "lang", "lang_config")
+
+
+_SQL_TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x20\x09-\x0D]'))"
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN n > 0 THEN greatest(1.2::DOUBLE, least(12.0::DOUBLE, length(h)::DOUBLE / n)) ELSE 3.5::DOUBLE END, 6) AS chars_per_token FROM (SELECT doc_id, h, {_SQL_TOKENS.format('h')} AS n FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 4000) AS h FROM documents))""")
+def token_profile(spark, sf_dir):
+    return text.token_profile(view(spark, sf_dir, "documents")).select("doc_id", "chars_per_token")
+
+
+# segments
+
+_MARKDOWN = "SELECT doc_id AS doc, concat('# Doc ', doc_id, chr(10), replace(replace(coalesce(text, ''), '. ', concat('.', chr(10), '## Part', chr(10))), ', ', concat(',', chr(10), '### Sub #', chr(10)))) AS text FROM {t}"
+
+
+def _sql_sections(lines: str) -> str:
+    """DuckDB SQL for heading_sections over lines (doc, seq, level, text)."""
+    own = ", ".join(f"max(CASE WHEN level = {n} THEN seq END) OVER w AS s{n}, arg_max(CASE WHEN level = {n} THEN text END, CASE WHEN level = {n} THEN seq END) OVER w AS t{n}" for n in range(1, 7))
+    path = ", ".join(f"CASE WHEN s{n} > coalesce(greatest({', '.join([f's{m}' for m in range(1, n)] or ['NULL::BIGINT'])}), -1) THEN t{n} END" for n in range(1, 7))
+    return f"""SELECT doc, seg_no, array_to_string(list_filter(any_value(section), lambda x: x IS NOT NULL), ' > ') AS section, string_agg(text, chr(10) ORDER BY seq) AS text FROM (
+  SELECT *, [{path}] AS section FROM (SELECT *, count(level) OVER w AS seg_no, {own} FROM ({lines}) WINDOW w AS (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING))) WHERE level IS NULL AND trim(text) <> '' GROUP BY 1, 2"""
+
+
+def _flat(df):
+    return df.select("doc", "seg_no", F.array_join("section", " > ").alias("section"), F.md5("text").alias("text"))
+
+
+def _sql_flat(sql: str) -> str:
+    return f"SELECT doc, seg_no, section, md5(text) AS text FROM ({sql})"
+
+
+_SQL_MD_LINES = rf"""SELECT doc, seq, CASE WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]+.+?[ \t]*#*[ \t]*$') THEN length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \t]', 1)) END AS level,
+  CASE WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]+.+?[ \t]*#*[ \t]*$') THEN regexp_extract(line, '^ {{0,3}}#{{1,6}}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1) ELSE line END AS text FROM (
+  SELECT doc, ls[i] AS line, i AS seq FROM (SELECT doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc, string_split(text, chr(10)) AS ls FROM ({_MARKDOWN.format(t='documents')}))))"""
+
+
+@query(_sql_flat(_sql_sections(_SQL_MD_LINES)))
+def markdown_segments(spark, sf_dir):
+    return _flat(segments.markdown_segments(spark.sql(_MARKDOWN, t=view(spark, sf_dir, "documents"))))
+
+
+_LEVELS = "SELECT l_orderkey AS doc, CAST(l_linenumber * 100000000 + l_partkey * 100 + l_quantity AS BIGINT) AS seq, CASE WHEN l_quantity < 20 THEN CAST(1 + l_suppkey % 6 AS INT) END AS level, concat('line ', l_partkey) AS text FROM {t}"
+
+
+@query(_sql_flat(_sql_sections(_LEVELS.format(t="lineitem"))))
+def heading_sections(spark, sf_dir):
+    return _flat(segments.heading_sections(spark.sql(_LEVELS, t=view(spark, sf_dir, "lineitem"))))
+
+
+_STYLES = "SELECT l_orderkey AS doc, CAST(l_linenumber * 100000000 + l_partkey * 100 + l_quantity AS BIGINT) AS seq, CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'Title' WHEN 1 THEN 'Heading 2' WHEN 2 THEN 'heading 9' ELSE 'Normal' END AS style, concat('par ', l_partkey) AS text FROM {t}"
+
+
+@query(_sql_flat(_sql_sections(f"SELECT doc, seq, CASE style WHEN 'Title' THEN 1 WHEN 'Heading 2' THEN 2 WHEN 'heading 9' THEN 6 END AS level, text FROM ({_STYLES.format(t='lineitem')})")))
+def styled_segments(spark, sf_dir):
+    return _flat(segments.styled_segments(spark.sql(_STYLES, t=view(spark, sf_dir, "lineitem"))))
+
+
+_LAYOUT = "SELECT l_orderkey AS doc, CAST(1 + l_linenumber / 4 AS INT) AS page, CAST(l_linenumber * 100000000 + l_partkey * 100 + l_quantity AS BIGINT) AS seq, concat('text of line ', l_partkey) AS text, CASE WHEN l_suppkey % 7 = 0 THEN 24.0D WHEN l_suppkey % 5 = 0 THEN 18.0D ELSE 11.0D END AS size FROM {t}"
+_SQL_LAYOUT = _LAYOUT.replace("24.0D", "24.0::DOUBLE").replace("18.0D", "18.0::DOUBLE").replace("11.0D", "11.0::DOUBLE").replace("CAST(1 + l_linenumber / 4 AS INT)", "CAST(1 + l_linenumber // 4 AS INT)").format(t="lineitem")
+_SQL_LAYOUT_LINES = f"""SELECT doc, min(seq) AS seq, any_value(level) AS level, string_agg(text, ' ' ORDER BY seq) AS text FROM (SELECT *, sum(start::INT) OVER (PARTITION BY doc ORDER BY seq) AS island FROM (
+  SELECT *, level IS NULL OR (lag(level) OVER o) IS DISTINCT FROM level OR coalesce((lag(page) OVER o) <> page, false) AS start FROM (SELECT l.*, CASE WHEN length(text) <= 120 THEN r.rank END AS level FROM ({_SQL_LAYOUT}) l LEFT JOIN (
+    SELECT doc, size, dense_rank() OVER (PARTITION BY doc ORDER BY size DESC) AS rank FROM (SELECT doc, size, arg_max(size, (chars, size)) OVER (PARTITION BY doc) AS body FROM (SELECT doc, size, sum(length(text)) AS chars FROM ({_SQL_LAYOUT}) GROUP BY 1, 2)) WHERE size > 1.1 * body) r USING (doc, size))
+  WINDOW o AS (PARTITION BY doc ORDER BY seq))) GROUP BY doc, island"""
+
+
+@query(_sql_flat(_sql_sections(_SQL_LAYOUT_LINES)))
+def layout_segments(spark, sf_dir):
+    return _flat(segments.layout_segments(spark.sql(_LAYOUT.replace("l_linenumber / 4", "l_linenumber div 4"), t=view(spark, sf_dir, "lineitem"))))
+
+
+@query("SELECT page_id AS doc, count(*) > 0 AS found FROM pages WHERE html IS NOT NULL GROUP BY 1")
+def html_segments(spark, sf_dir):
+    pages = view(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("doc"), "html")
+    return segments.html_segments(pages).groupBy("doc").agg((F.count("*") > 0).alias("found"))
+
+
+@query("SELECT event_id AS doc, 0 AS seg_no, CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'k' END AS section, CASE WHEN event_id % 10 = 0 THEN 'not json {' ELSE regexp_extract(props, '[0-9]+') END AS text FROM events")
+def json_segments(spark, sf_dir):
+    rows = view(spark, sf_dir, "events").select(F.col("event_id").alias("doc"), F.expr("CASE WHEN event_id % 10 = 0 THEN 'not json {' ELSE props END").alias("json"))
+    return segments.json_segments(rows)
+
+
+@query("SELECT p_brand AS doc, string_agg(concat(p_name, ' | ', p_size, ' | ', p_type), chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1")
+def tabular_segments(spark, sf_dir):
+    return segments.tabular_segments(view(spark, sf_dir, "part"), "p_brand", "p_partkey", ["p_name", "p_size", "p_type"])
+
+
+@query("SELECT c_custkey AS doc FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def drop_contents_sections(spark, sf_dir):
+    rows = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.array(F.when(F.col("c_mktsegment") == "BUILDING", " Contents ").otherwise(F.col("c_name"))).alias("section"))
+    return segments.drop_contents_sections(rows).select("doc")
+
+
+# chunks
+
+_W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SQL_FIXED = f"""SELECT doc, (start // stride)::INT AS ordinal, array_to_string(w[start + 1:start + width], ' ') AS text, len(w[start + 1:start + width])::INT AS tokens FROM (
+  SELECT *, unnest(range(0, n, stride)) AS start FROM (SELECT *, least(400, stride + 40) AS width FROM (SELECT *, (n + pieces - 1) // pieces AS stride FROM (
+    SELECT doc, w, n, (n + 359) // 360 AS pieces FROM (SELECT doc_id AS doc, {_W} AS w, len({_W}) AS n FROM documents) WHERE n > 0)))) WHERE start = 0 OR start - stride + width < n"""
+
+
+@query(f"SELECT doc, ordinal, md5(text) AS digest, tokens FROM ({SQL_FIXED})")
+def chunk_fixed(spark, sf_dir):
+    return chunking.chunk_fixed(_docs(spark, sf_dir)).select("doc", "ordinal", F.md5("text").alias("digest"), "tokens")
+
+
+@query(f"SELECT count(*) AS chunks, round(avg(tokens), 4) AS avg_tokens, min(tokens)::BIGINT AS min_tokens, max(tokens)::BIGINT AS max_tokens FROM ({SQL_FIXED})")
+def chunk_report(spark, sf_dir):
+    return chunking.chunk_report(chunking.chunk_fixed(_docs(spark, sf_dir)))
+
+
+def _segments(spark, sf_dir):
+    return segments.markdown_segments(spark.sql(_MARKDOWN, t=view(spark, sf_dir, "documents")))
+
+
+@query(f"SELECT doc, sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')))::BIGINT AS tokens, true AS within FROM ({_sql_sections(_SQL_MD_LINES)}) GROUP BY 1")
+def split_oversized(spark, sf_dir):
+    pieces = chunking.split_oversized(_segments(spark, sf_dir), 50)
+    return pieces.groupBy("doc").agg(F.sum("tokens").alias("tokens"), (F.max("tokens") <= 50).alias("within"))
+
+
+@query(f"SELECT doc, sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')))::BIGINT AS tokens FROM ({_sql_sections(_SQL_MD_LINES)}) GROUP BY 1")
+def chunk_per_unit(spark, sf_dir):
+    return chunking.chunk_per_unit(_segments(spark, sf_dir)).groupBy("doc").agg(F.sum("tokens").alias("tokens"))
+
+
+@query(f"SELECT doc, sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')))::BIGINT AS tokens, true AS dense FROM ({_sql_sections(_SQL_MD_LINES)}) GROUP BY 1")
+def chunk_semantic(spark, sf_dir):
+    chunks = chunking.chunk_semantic(_segments(spark, sf_dir))
+    return chunks.groupBy("doc").agg(F.sum("tokens").cast("long").alias("tokens"), (F.max("ordinal") + 1 == F.count("*")).alias("dense"))
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(coalesce(text, ''), '[^\\x20\\x09-\\x0D]') THEN 'ready' ELSE 'failed' END AS status FROM documents) GROUP BY 1")
+def ingest_corpus(spark, sf_dir):
+    return chunking.ingest_corpus(_docs(spark, sf_dir))[1].groupBy("status").agg(F.count("*").alias("n"))
