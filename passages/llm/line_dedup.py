@@ -18,31 +18,43 @@ from passages.llm.common import SPACE, WORD, small, words_of, written
 WILDCARD = "<*>"
 
 
+def _tokens(text: Column) -> Column:
+    """The line's words; those that hold a digit, @ or :// are masked, which most lines need not be searched for word by word."""
+    words = words_of(text)
+    return F.when(text.rlike("[0-9@]|://"), F.transform(words, lambda w: F.when(w.rlike("[0-9]|@|://"), WILDCARD).otherwise(w))).otherwise(words)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """Rows (id, line_no, chars, tokens, leaf, line) of lines with a word; tokens that hold a digit, @ or :// are masked."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text")).where(F.col("text").rlike(WORD))
-    masked = F.transform(words_of(F.col("text")), lambda w: F.when(w.rlike("[0-9]|@|://"), WILDCARD).otherwise(w))
-    rows = rows.select("id", "line_no", F.length(F.regexp_replace("text", SPACE, "")).alias("chars"), masked.alias("tokens"))
-    return rows.select("*", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line"))
+    """Rows (id, line_no, leaf, line), written once: hashes of the leaf and of the masked tokens of each line with a word."""
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text"))
+    rows = rows.where(F.col("text").rlike(WORD)).select("id", "line_no", _tokens(F.col("text")).alias("tokens"))
+    return written(rows.select("id", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
+
 
+def _fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds tokens to wanted (id, line_no, ...), from the texts of the documents it names."""
+    places = wanted.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_at"))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(written(places, "places")), "_id")
+    numbered = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("text")))
+    rows = found.select("_id", F.inline(F.filter(numbered, lambda x: F.array_contains("_at", x["line_no"]))))
+    rows = rows.select(F.col("_id").alias("id"), "line_no", _tokens(F.col("text")).alias("tokens"))
+    return rows.join(wanted, ["id", "line_no"])
 
-def recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, similarity: float = 0.6) -> DataFrame:
+
+def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """Rows (line): hashes of the masked lines that recur in at least min_docs documents, as they are or as variants of a template.
 
     A leaf's variants recur together if they agree with its template in at least `similarity` of their tokens and stand in
-    at least min_docs documents in all. Ids are taken to be unique; rows with the same id count as one document.
+    at least min_docs documents in all. Rows with the same id count as one document.
     """
-    lines = _lines(docs, id_col, text_col, depth)
     # a document counts once for a line; ids spread over all tasks, so this also takes a line that a third of the rows hold
-    counts = lines.select("id", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    counts = written(counts, "line-counts")
+    counts = lines.groupBy("id", "leaf", "line").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "line_no")).alias("first"))
+    counts = written(counts.select("leaf", "line", "n", "first.*"), "line-counts")
     exact = counts.where(F.col("n") >= min_docs).select("line")
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds"))
     leaves = leaves.where((F.col("total") >= min_docs) & (F.col("least") < min_docs) & (F.col("kinds") > 1)).select("leaf")
     wanted = written(counts.join(small(written(leaves, "leaves")), "leaf", "left_semi"), "variants")
-    variants = lines.select("line", "tokens").join(small(wanted.select("line")), "line", "left_semi")
-    variants = variants.groupBy("line").agg(F.first("tokens").alias("tokens"))  # equal hashes, equal tokens
-    variants = written(variants.join(wanted, "line"), "variant-lines")
+    variants = written(_fetch(docs, wanted, id_col, text_col), "variant-lines")
     support = variants.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     best = support.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"))
     constant = F.when(F.col("best.n") >= min_docs, F.col("best.token"))
@@ -60,8 +72,8 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     (left_whole) for the operators that judge documents. Lines without a word stay. Null and empty texts stay as they are.
     Repeated ids: their lines are numbered apart only if the texts are equal, so ids should be unique.
     """
-    recurring = recurring_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, depth=depth, similarity=similarity)
-    lines = _lines(docs, id_col, text_col, depth).select("id", "line_no", "chars", "line")
+    lines = _lines(docs, id_col, text_col, depth)
+    recurring = recurring_lines(docs, lines, id_col=id_col, text_col=text_col, min_docs=min_docs, similarity=similarity)
     hits = lines.join(small(recurring), "line", "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_at"))
     hits = small(written(hits, "hits"))
     rows = docs.join(hits, docs[id_col] == hits["_id"], "left").drop("_id")
