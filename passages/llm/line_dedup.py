@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import SPACE, WORD, small, words_of, written
+from passages.llm.common import SPACE, WORD, small, unused, words_of, written
 
 WILDCARD = "<*>"
 
@@ -54,7 +54,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col:
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds"))
     leaves = leaves.where((F.col("total") >= min_docs) & (F.col("least") < min_docs) & (F.col("kinds") > 1)).select("leaf")
     wanted = written(counts.join(small(written(leaves, "leaves")), "leaf", "left_semi"), "variants")
-    variants = written(_fetch(docs, wanted, id_col, text_col), "variant-lines")
+    variants = written(_fetch(docs, wanted, id_col, text_col).dropDuplicates(["line"]), "variant-lines")
     support = variants.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     best = support.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"))
     constant = F.when(F.col("best.n") >= min_docs, F.col("best.token"))
@@ -70,21 +70,22 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     A document whose recurring lines hold more than max_share of its characters is itself a copy of others; it stays whole
     (left_whole) for the operators that judge documents. Lines without a word stay. Null and empty texts stay as they are.
-    Repeated ids: their lines are numbered apart only if the texts are equal, so ids should be unique.
+    Ids should be unique; repeated equal rows are treated alike. Columns n_dropped and left_whole of docs are replaced.
     """
     lines = _lines(docs, id_col, text_col, depth)
     recurring = recurring_lines(docs, lines, id_col=id_col, text_col=text_col, min_docs=min_docs, similarity=similarity)
-    hits = lines.join(small(recurring), "line", "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_at"))
+    key, at = unused(docs, "_id"), unused(docs, "_at")
+    hits = lines.join(small(recurring), "line", "left_semi").groupBy(F.col("id").alias(key)).agg(F.collect_set("line_no").alias(at))
     hits = small(written(hits, "hits"))
-    rows = docs.join(hits, docs[id_col] == hits["_id"], "left").drop("_id")
+    rows = docs.join(hits, docs[id_col] == hits[key], "left").drop(key)
     parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("_at", i))
+    kept = F.filter(parts, lambda _, i: ~F.array_contains(at, i))
     chars = lambda text: F.length(F.regexp_replace(text, SPACE, ""))
     whole = chars(F.col(text_col)) - chars(F.array_join(kept, "")) > max_share * chars(F.col(text_col))
-    rows = rows.withColumn("left_whole", F.col("_at").isNotNull() & F.coalesce(whole, F.lit(False)))
-    dropped: Column = F.col("_at").isNotNull() & ~F.col("left_whole")
-    rows = rows.withColumn("n_dropped", F.when(dropped, F.size("_at")).otherwise(0).cast("long"))
-    return rows.withColumn(text_col, F.when(dropped, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop("_at")
+    rows = rows.withColumn("left_whole", F.col(at).isNotNull() & F.coalesce(whole, F.lit(False)))
+    dropped: Column = F.col(at).isNotNull() & ~F.col("left_whole")
+    rows = rows.withColumn("n_dropped", F.when(dropped, F.size(at)).otherwise(0).cast("long"))
+    return rows.withColumn(text_col, F.when(dropped, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(at)
 
 
 #: DuckDB SQL for op1; lines are compared as text.

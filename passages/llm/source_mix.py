@@ -4,7 +4,7 @@ A source's target divided by its size is the number of times its documents are r
 probability. The flight phase moves these probabilities through the null space of two constraints, words and documents, so
 that both totals of a source stay what they were while ever more probabilities reach 0 or 1. It runs in blocks of bounded
 size, keyed by source and a hash: at most two units a block stay fractional and go on to the next level, whose blocks are
-fewer by three orders of magnitude. A last landing step settles the at most two units left of each source.
+fewer by three orders of magnitude. Over a source's last block the flight stops at ten units, and the landing settles these.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from passages.llm.common import WORD, ship, small, written
 
 #: Units in a block of the flight phase: what one task holds at a time.
 BLOCK = 4096
+#: Units of a source that the flight leaves to the landing, which looks at every choice among them.
+LANDING = 10
 _EPS = 1e-9
 
 
@@ -66,8 +68,8 @@ def _direction(sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, window: int = 64) -> np.ndarray:
-    """Probabilities after the flight: sums of p and of size * p unchanged, at most two still fractional.
+def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, leave: int = 2, window: int = 64) -> np.ndarray:
+    """Probabilities after the flight: sums of p and of size * p unchanged, at most `leave` (2 or more) still fractional.
 
     Sizes come in descending order. Each step turns to the longest text that is still open and moves it against a window of
     others, so that what stays open at the end is short.
@@ -80,7 +82,7 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, window: i
     while True:
         fresh = [waiting.pop() for _ in range(min(window - len(active), len(waiting)))]
         active = np.append(active, np.array(fresh, dtype=int))
-        if len(active) < 3:
+        if len(active) <= leave:
             return p
         turn = active
         direction = _direction(sizes[turn])
@@ -91,16 +93,14 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, window: i
         active = active[(p[active] > 0) & (p[active] < 1)]
 
 
-def landing(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Settles what a flight over all units of a source left: balances words alone as far as two units allow, then draws."""
+def landing(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Settles the at most LANDING units that a flight over a source left: the whole choice with the least error in words, then in documents."""
     p = p.copy()
-    rest = [i for i in range(len(p)) if 0 < p[i] < 1]
-    if len(rest) == 2:
-        a, b = (max(float(sizes[i]), _EPS) for i in rest)
-        p[rest] = _move(p[rest], np.array([min(1.0, b / a), -min(1.0, a / b)]), rng.random())
-    for i in rest:
-        if 0 < p[i] < 1:
-            p[i] = float(rng.random() < p[i])
+    rest = np.flatnonzero((p > 0) & (p < 1))
+    choices = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+    words = np.abs(choices @ sizes[rest] - p[rest] @ sizes[rest]).round(6)
+    documents = np.abs(choices.sum(axis=1) - p[rest].sum()).round(6)
+    p[rest] = choices[np.lexsort((documents, words))[0]]
     return p
 
 
@@ -109,8 +109,8 @@ def _fly(units: DataFrame, blocks: Column, seed: int, level: int, last: bool) ->
         pdf = pdf.sort_values(["size", "draw", "id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng(int(pdf["seed"].iloc[0]) & (2**63 - 1))
         sizes = pdf["size"].to_numpy().astype(float)
-        p = flight(sizes, pdf["p"].to_numpy(), rng)
-        pdf["p"] = landing(sizes, p, rng) if last else p
+        p = flight(sizes, pdf["p"].to_numpy(), rng, LANDING if last else 2)
+        pdf["p"] = landing(sizes, p) if last else p
         return pdf.drop(columns=["block", "seed"])
 
     schema = units.schema
