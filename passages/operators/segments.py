@@ -116,3 +116,7 @@ def tabular_segments(rows: DataFrame, group: str, order: str, columns: list[str]
 def drop_contents_sections(segments: DataFrame) -> DataFrame:
     top = F.lower(F.trim(F.get("section", F.lit(0))))
     return segments.where(F.coalesce(~top.isin(*CONTENTS), F.lit(True)))
+
+
+#: What makes segments of text documents, by file extension; a caller may add its own.
+LOADERS = {"md": markdown_segments, "html": html_segments, "htm": html_segments, "json": json_segments}
