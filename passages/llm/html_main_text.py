@@ -39,6 +39,8 @@ BOILERPLATE_NAMES = frozenset(
     "newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus reply replies respond discussion related "
     "recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager tags toolbar skip contentinfo complementary dialog toc".split()
 )
+#: The ones among them that also count on inline elements.
+INLINE_NAMES = frozenset("ad ads advert adverts advertisement adsense adsbygoogle sponsor sponsored promo cookie comment comments share sharing social subscribe newsletter".split())
 CONTENT_NAMES = frozenset("article content main post entry story body text prose".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+>|[^<]++|<", re.DOTALL)
@@ -57,6 +59,10 @@ class Block:
     furniture: bool  # inside an element that is furniture by its tag or name
 
 
+def _name_words(attributes: str) -> set[str]:
+    return {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD_SPLIT.split(m[1] or m[2] or m[3] or "") if w}
+
+
 def _element_hint(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
     """What an element's own tag and names say: a score, and whether all inside it is furniture."""
     if tag in BOILERPLATE_TAGS or tag == "header" and not in_article:
@@ -65,7 +71,7 @@ def _element_hint(tag: str, attributes: str, in_article: bool) -> tuple[float, b
     if attributes:
         if _HIDDEN.search(attributes):
             return -4.0, True
-        words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD_SPLIT.split(m[1] or m[2] or m[3] or "") if w}
+        words = _name_words(attributes)
         if words & BOILERPLATE_NAMES and tag not in ("html", "body", "article", "main"):
             return -4.0, True
         if words & CONTENT_NAMES:
@@ -83,7 +89,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            inner = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+            inner = stack[-1]
             found.append(Block(text, min(linked, len(text)), inner[0], stack[-2 if len(stack) > 1 else -1][1], inner[2], inner[3]))
         parts, linked = [], 0
 
@@ -107,6 +113,8 @@ def blocks_of(page: str) -> list[Block]:
                 in_link = 0
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if depth:
+                if tag not in BLOCK:
+                    flush()
                 del stack[depth:]
             continue
         if tag == "a":
@@ -122,15 +130,21 @@ def blocks_of(page: str) -> list[Block]:
                     close = close or re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
                     at = close.end() if close else at
             continue
-        if tag in BLOCK and stack[-1][0] == "p":
+        if tag not in BLOCK:
+            # inline furniture, such as an advert in a span, is a block of its own; so are like elements inside it
+            nested = any(x[0] == tag for x in stack)
+            if nested or m[3] and (_name_words(m[3]) & INLINE_NAMES or _HIDDEN.search(m[3])):
+                flush()
+                numbers += 1
+                stack.append((tag, numbers, stack[-1][2] - 4.0 * (not nested), True, stack[-1][4]))
+            continue
+        while stack[-1][0] and stack[-1][0] not in BLOCK and stack[-2][0] == "p":  # left open in a paragraph that ends here
+            stack.pop()
+        if stack[-1][0] == "p":
             stack.pop()
         while stack[-1][0] in CLOSED_BY.get(tag, ()):
             stack.pop()
-        if tag in BLOCK:  # inline elements left open end with their block
-            while stack[-1][0] and stack[-1][0] not in BLOCK:
-                stack.pop()
-            if stack[-1][0] == "p":
-                stack.pop()
+        if tag in BLOCK:
             numbers += 1
             _, _, hint, furniture, in_article = stack[-1]
             own, own_furniture = _element_hint(tag, m[3], in_article)

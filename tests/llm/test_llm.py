@@ -205,6 +205,19 @@ def test_main_text(spark):
     assert found[2].text == found[3].text == "" and found[4].text == "cut off"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>Real words here, <span class="ad">Buy <span>now</span> please</span>and more of them.</p></article>', "Real words here, and more of them."),
+        ('<article><p>Real words here <span class="sponsored">open<p>And a second one, that stays here.</p></article>', "Real words here And a second one, that stays here."),
+        ('<div class="content"><p>Some text of the page, as it is.</p></div><div id="sideBar"><p>Other things to read, quite long as well.</p></div>', "Some text of the page, as it is."),
+        ('<article><p>Seen by all readers here.</p><div hidden><p>Not seen by any reader of it.</p></div></article>', "Seen by all readers here."),
+    ],
+)
+def test_furniture(page, text):
+    assert html_main_text.main_text(page) == text
+
+
 def test_minimum_cut():
     rng = random.Random(5)
     for _ in range(60):
