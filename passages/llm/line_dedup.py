@@ -59,9 +59,11 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col:
     best = support.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"))
     constant = F.when(F.col("best.n") >= min_docs, F.col("best.token"))
     templates = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("template"))
+    templates = small(written(templates, "templates"))  # a leaf may hold very many variants: they stay where they are
     agree = F.size(F.filter(F.arrays_zip("tokens", "template"), lambda x: x["tokens"] == x["template"]["token"]))
-    alike = variants.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "line", "n")
+    alike = written(variants.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "line", "n"), "alike")
     groups = alike.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
+    groups = small(written(groups, "groups"))
     return written(exact.union(alike.join(groups, "leaf", "left_semi").select("line")).distinct(), "recurring")
 
 
