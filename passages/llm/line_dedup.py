@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from passages.llm.common import SPACE, WORD, small, unused, words_of, written
 
 WILDCARD = "<*>"
+#: Templates up to which they are broadcast: each holds a line's tokens.
+WIDE_ROWS = 20_000
 
 
 def _tokens(text: Column) -> Column:
@@ -59,7 +61,8 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col:
     best = support.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"))
     constant = F.when(F.col("best.n") >= min_docs, F.col("best.token"))
     templates = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("template"))
-    templates = small(written(templates, "templates"))  # a leaf may hold very many variants: they stay where they are
+    # a leaf may hold very many variants: they stay where they are, or Spark splits them where a join shuffles; templates hold whole lines, so few are broadcast
+    templates = small(written(templates, "templates"), WIDE_ROWS)
     agree = F.size(F.filter(F.arrays_zip("tokens", "template"), lambda x: x["tokens"] == x["template"]["token"]))
     alike = written(variants.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "line", "n"), "alike")
     groups = alike.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
