@@ -247,8 +247,9 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     profile = written(_profile(rows, width, bits), "profile")
     frequencies = spark.sparkContext.broadcast(_frequencies(profile, bits))
     sizes = profile.where(F.col("chunk").isNull()).select("id", "n", "hi", "lo")
-    first = sizes.groupBy("hi", "lo", "n").agg(F.min("id").alias("first"))
-    classes = sizes.where("n > 0").join(first, ["hi", "lo", "n"]).select("id", "n", "first")
+    # only sets that occur twice or more are joined back, so a set that a third of the rows hold is no hot key
+    first = sizes.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    classes = sizes.where("n > 0").join(small(written(first, "repeated")), ["hi", "lo", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first"))
     classes = written(classes, "classes")
     distinct = rows.join(small(written(classes.where("id <> first").select("id"), "copies")), "id", "left_anti")
     edges = written(_cluster_edges(_prefixes(distinct, width, percent, frequencies, bits), percent), "cluster-edges")
