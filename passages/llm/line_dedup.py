@@ -47,10 +47,12 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col:
     """Rows (line): hashes of the masked lines that recur in at least min_docs documents, as they are or as variants of a template.
 
     A leaf's variants recur together if they agree with its template in at least `similarity` of their tokens and stand in
-    at least min_docs documents in all. Rows with the same id count as one document.
+    at least min_docs documents in all. Rows with the same id count as one document, or those with the same owner if lines have one.
     """
+    documents = F.count_distinct("owner") if "owner" in lines.columns else F.count("*")
     # a document counts once for a line; ids spread over all tasks, so this also takes a line that a third of the rows hold
-    counts = lines.groupBy("id", "leaf", "line").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "line_no")).alias("first"))
+    places = lines.groupBy(*[c for c in ("id", "owner") if c in lines.columns], "leaf", "line").agg(F.min("line_no").alias("line_no"))
+    counts = places.groupBy("leaf", "line").agg(documents.alias("n"), F.min(F.struct("id", "line_no")).alias("first"))
     counts = written(counts.select("leaf", "line", "n", "first.*"), "line-counts")
     exact = counts.where(F.col("n") >= min_docs).select("line")
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds"))
@@ -70,19 +72,24 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col:
     return written(exact.union(alike.join(groups, "leaf", "left_semi").select("line")).distinct(), "recurring")
 
 
+def _hits(docs: DataFrame, lines: DataFrame, recurring: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs with one more column, the numbers of the document's recurring lines (null without any), and its name."""
+    key, at = unused(docs, "_id"), unused(docs, "_at")
+    hits = lines.join(small(recurring), "line", "left_semi").groupBy(F.col("id").alias(key)).agg(F.collect_set("line_no").alias(at))
+    hits = small(written(hits, "hits"))
+    return docs.join(hits, docs[id_col] == hits[key], "left").drop(key), at
+
+
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, similarity: float = 0.6, max_share: float = 0.5) -> DataFrame:
-    """docs with two more columns, n_dropped and left_whole, and the text without its recurring lines.
+    """docs with two more columns, n_dropped and left_whole, and the text without its recurring lines, as the SQL below states it.
 
-    A document whose recurring lines hold more than max_share of its characters is itself a copy of others; it stays whole
-    (left_whole) for the operators that judge documents. Lines without a word stay. Null and empty texts stay as they are.
+    A document whose recurring lines hold more than max_share of its characters stays whole (left_whole), whether or not it is
+    a copy; `drop_boilerplate` looks for the copies instead. Lines without a word stay. Null and empty texts stay as they are.
     Ids should be unique; repeated equal rows are treated alike. Columns n_dropped and left_whole of docs are replaced.
     """
     lines = _lines(docs, id_col, text_col, depth)
     recurring = recurring_lines(docs, lines, id_col=id_col, text_col=text_col, min_docs=min_docs, similarity=similarity)
-    key, at = unused(docs, "_id"), unused(docs, "_at")
-    hits = lines.join(small(recurring), "line", "left_semi").groupBy(F.col("id").alias(key)).agg(F.collect_set("line_no").alias(at))
-    hits = small(written(hits, "hits"))
-    rows = docs.join(hits, docs[id_col] == hits[key], "left").drop(key)
+    rows, at = _hits(docs, lines, recurring, id_col)
     parts = F.split(F.col(text_col), "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains(at, i))
     chars = lambda text: F.length(F.regexp_replace(text, SPACE, ""))
@@ -93,6 +100,23 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return rows.withColumn(text_col, F.when(dropped, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(at)
 
 
+def drop_boilerplate(docs: DataFrame, copies: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, similarity: float = 0.6) -> DataFrame:
+    """docs with one more column, n_dropped, and every document's text without its recurring lines.
+
+    copies (id, component) names the documents that are near copies of others. A component counts once for a line, so what
+    only copies share does not recur and is left to the operator that drops copies; no share of recurring lines exempts a document.
+    Lines without a word stay. Null and empty texts stay as they are. Ids should be unique.
+    """
+    copies = written(copies.groupBy("id").agg(F.min("component").alias("component")), "copies")
+    lines = _lines(docs, id_col, text_col, depth).join(small(copies), "id", "left")
+    lines = lines.withColumn("owner", F.coalesce("component", "id")).drop("component")
+    recurring = recurring_lines(docs, lines, id_col=id_col, text_col=text_col, min_docs=min_docs, similarity=similarity)
+    rows, at = _hits(docs, lines, recurring, id_col)
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(at, i))
+    rows = rows.withColumn("n_dropped", F.when(F.col(at).isNotNull(), F.size(at)).otherwise(0).cast("long"))
+    return rows.withColumn(text_col, F.when(F.col(at).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(at)
+
+
 #: DuckDB SQL for op1; lines are compared as text.
 ORACLE = r"""
 WITH l AS (

@@ -266,8 +266,13 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return linked_rows.unionByName(alone)
 
 
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (id, component), written: the documents whose component has a smaller id than theirs."""
+    found = join_ngrams(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
+    return written(found.where(F.col("component") != F.col(id_col)).select(F.col(id_col).alias("id"), "component"), "near-copies")
+
+
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest id of their component; rows with a null id are kept."""
-    found = join_ngrams(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
-    copies = written(found.where(F.col("component") != F.col(id_col)).select(id_col), "near-copies")
+    copies = near_copies(docs, id_col=id_col, text_col=text_col, width=width, percent=percent).select(F.col("id").alias(id_col))
     return docs.join(small(copies), id_col, "left_anti")

@@ -306,6 +306,26 @@ def test_line_dedup(spark, awkward):
     assert line_dedup.drop_recurring_lines(awkward.limit(0)).count() == 0
 
 
+def _words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+
+
+def _lines_stage(spark, texts):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+
+
+def test_lines_stage_shares(spark):
+    """Recurring lines also go where they hold most of a document; copies keep what only copies share."""
+    rng = random.Random(3)
+    shared, own, copied = _words(rng, 60), [_words(rng, 12) for _ in range(3)], _words(rng, 40) + "\n" + _words(rng, 40)
+    found = _lines_stage(spark, [*[(i, f"{shared}\n{own[i]}") for i in range(3)], *[(i, copied) for i in (5, 6, 7)], (8, None)])
+    assert [found[i] for i in range(3)] == own
+    assert found[5] == found[6] == found[7] == copied and found[8] is None
+
+
 def test_decontamination(spark, awkward):
     item = "When Alice drove 120 km in 3 hours to see Robert she paid 45 dollars for fuel and was glad of it."
     changed = item.replace("Alice", "Maria").replace("120", "300").replace("Robert", "Peter").replace("45", "70")
