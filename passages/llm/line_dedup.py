@@ -26,11 +26,15 @@ def _tokens(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]|://"), F.transform(words, lambda w: F.when(w.rlike("[0-9]|@|://"), WILDCARD).otherwise(w))).otherwise(words)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """Rows (id, line_no, leaf, line), written once: hashes of the leaf and of the masked tokens of each line with a word."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, long_tokens: int | None = None) -> DataFrame:
+    """Rows (id, line_no, leaf, line), written once: hashes of the leaf and of the masked tokens of each line with a word.
+
+    With long_tokens, one more column says whether a line has so many; a leaf's lines are equally long.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text"))
     rows = rows.where(F.col("text").rlike(WORD)).select("id", "line_no", _tokens(F.col("text")).alias("tokens"))
-    return written(rows.select("id", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
+    long = [(F.size("tokens") >= long_tokens).alias("long")] if long_tokens else []
+    return written(rows.select("id", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line"), *long), "lines")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,35 +47,68 @@ def _fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return rows.join(wanted, ["id", "line_no"])
 
 
+def _agreeing(variants: DataFrame, need: Column | int, similarity: float) -> DataFrame:
+    """The variants that agree with their leaf's template in at least `similarity` of their tokens.
+
+    The template has the token that most documents carry at a position if these are at least `need`, and a wildcard otherwise.
+    """
+    keys = [c for c in ("leaf", "long") if c in variants.columns]
+    support = variants.select(*keys, "n", F.posexplode("tokens").alias("pos", "token")).groupBy(*keys, "pos", "token").agg(F.sum("n").alias("n"))
+    best = support.groupBy(*keys, "pos").agg(F.max(F.struct("n", "token")).alias("best"))
+    constant = F.when(F.col("best.n") >= need, F.col("best.token"))
+    templates = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("template"))
+    # a leaf may hold very many variants: they stay where they are, or Spark splits them where a join shuffles; templates hold whole lines, so few are broadcast
+    templates = small(written(templates, "templates"), WIDE_ROWS)
+    agree = F.size(F.filter(F.arrays_zip("tokens", "template"), lambda x: x["tokens"] == x["template"]["token"]))
+    return variants.join(templates, "leaf").where(agree >= similarity * F.size("tokens"))
+
+
 def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """Rows (line): hashes of the masked lines that recur in at least min_docs documents, as they are or as variants of a template.
 
     A leaf's variants recur together if they agree with its template in at least `similarity` of their tokens and stand in
-    at least min_docs documents in all. Rows with the same id count as one document, or those with the same owner if lines have one.
+    at least min_docs documents in all. Rows with the same id count as one document.
     """
-    documents = F.count_distinct("owner") if "owner" in lines.columns else F.count("*")
     # a document counts once for a line; ids spread over all tasks, so this also takes a line that a third of the rows hold
-    places = lines.groupBy(*[c for c in ("id", "owner") if c in lines.columns], "leaf", "line").agg(F.min("line_no").alias("line_no"))
-    counts = places.groupBy("leaf", "line").agg(documents.alias("n"), F.min(F.struct("id", "line_no")).alias("first"))
+    counts = lines.groupBy("id", "leaf", "line").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "line_no")).alias("first"))
     counts = written(counts.select("leaf", "line", "n", "first.*"), "line-counts")
     exact = counts.where(F.col("n") >= min_docs).select("line")
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds"))
     leaves = leaves.where((F.col("total") >= min_docs) & (F.col("least") < min_docs) & (F.col("kinds") > 1)).select("leaf")
     wanted = written(counts.join(small(written(leaves, "leaves")), "leaf", "left_semi"), "variants")
     variants = written(_fetch(docs, wanted, id_col, text_col).dropDuplicates(["line"]), "variant-lines")
-    support = variants.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-    best = support.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"))
-    constant = F.when(F.col("best.n") >= min_docs, F.col("best.token"))
-    templates = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("template"))
-    # a leaf may hold very many variants: they stay where they are, or Spark splits them where a join shuffles; templates hold whole lines, so few are broadcast
-    templates = small(written(templates, "templates"), WIDE_ROWS)
-    agree = F.size(F.filter(F.arrays_zip("tokens", "template"), lambda x: x["tokens"] == x["template"]["token"]))
-    alike = written(variants.join(templates, "leaf").where(agree >= similarity * F.size("tokens")).select("leaf", "line", "n"), "alike")
+    alike = written(_agreeing(variants, min_docs, similarity).select("leaf", "line", "n"), "alike")
     groups = alike.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
     groups = small(written(groups, "groups"))
     return written(exact.union(alike.join(groups, "leaf", "left_semi").select("line")).distinct(), "recurring")
 
 
+#: Documents that a line or template needs to recur, and those that suffice for a long one.
+SHORT_DOCS, LONG_DOCS = 3, 2
+
+
+def boilerplate_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Rows (line) like those of recurring_lines, of lines with owner and long: owners count instead of ids, and long lines need fewer of them.
+
+    A template's owners are counted, not those of each variant, so edited lines of one owner are no template.
+    """
+    need = F.when(F.col("long"), LONG_DOCS).otherwise(SHORT_DOCS)
+    owner = [F.min("owner").alias("low"), F.max("owner").alias("high")]  # all owners of a line that doesn't recur as it is, which has two at most
+    places = lines.groupBy("id", "owner", "leaf", "long", "line").agg(F.min("line_no").alias("line_no"))
+    counts = places.groupBy("leaf", "long", "line").agg(F.count_distinct("owner").alias("n"), *owner, F.min(F.struct("id", "line_no")).alias("first"))
+    counts = written(counts.select("leaf", "long", "line", "n", "low", "high", "first.*"), "line-counts")
+    exact = counts.where(F.col("n") >= need).select("line")
+    leaves = counts.groupBy("leaf", "long").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds"))
+    leaves = leaves.where((F.col("total") >= need) & (F.col("least") < need) & (F.col("kinds") > 1)).select("leaf")
+    wanted = written(counts.join(small(written(leaves, "leaves")), "leaf", "left_semi"), "variants")
+    variants = written(_fetch(docs, wanted, id_col, text_col).dropDuplicates(["line"]), "variant-lines")
+    alike = written(_agreeing(variants, need, similarity).select("leaf", "long", "line", "n", "low", "high"), "alike")
+    owners = alike.select("leaf", "long", "n", F.explode(F.array("low", "high")).alias("owner"))
+    groups = owners.groupBy("leaf", "long").agg(F.count_distinct("owner").alias("owners"), F.max("n").alias("most"))
+    groups = small(written(groups.where(F.greatest("owners", "most") >= need).select("leaf"), "groups"))
+    return written(exact.union(alike.join(groups, "leaf", "left_semi").select("line")).distinct(), "recurring")
+
+
 def _hits(docs: DataFrame, lines: DataFrame, recurring: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """docs with one more column, the numbers of the document's recurring lines (null without any), and its name."""
     key, at = unused(docs, "_id"), unused(docs, "_at")
@@ -100,17 +137,18 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return rows.withColumn(text_col, F.when(dropped, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(at)
 
 
-def drop_boilerplate(docs: DataFrame, copies: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, similarity: float = 0.6) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, copies: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.6, long_tokens: int = 20) -> DataFrame:
     """docs with one more column, n_dropped, and every document's text without its recurring lines.
 
     copies (id, component) names the documents that are near copies of others. A component counts once for a line, so what
     only copies share does not recur and is left to the operator that drops copies; no share of recurring lines exempts a document.
+    Lines and templates of at least long_tokens words recur in two documents, others in three.
     Lines without a word stay. Null and empty texts stay as they are. Ids should be unique.
     """
     copies = written(copies.groupBy("id").agg(F.min("component").alias("component")), "copies")
-    lines = _lines(docs, id_col, text_col, depth).join(small(copies), "id", "left")
+    lines = _lines(docs, id_col, text_col, depth, long_tokens).join(small(copies), "id", "left")
     lines = lines.withColumn("owner", F.coalesce("component", "id")).drop("component")
-    recurring = recurring_lines(docs, lines, id_col=id_col, text_col=text_col, min_docs=min_docs, similarity=similarity)
+    recurring = boilerplate_lines(docs, lines, id_col=id_col, text_col=text_col, similarity=similarity)
     rows, at = _hits(docs, lines, recurring, id_col)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(at, i))
     rows = rows.withColumn("n_dropped", F.when(F.col(at).isNotNull(), F.size(at)).otherwise(0).cast("long"))

@@ -326,6 +326,22 @@ def test_lines_stage_shares(spark):
     assert found[5] == found[6] == found[7] == copied and found[8] is None
 
 
+def test_lines_stage_two_carriers(spark):
+    """Two documents suffice for long lines and templates, not for short ones; two versions of one document are no template."""
+    rng = random.Random(4)
+    passage, short, own = _words(rng, 55), _words(rng, 6), [_words(rng, 12) for _ in range(4)]
+    head, other = passage.split(), _words(rng, 60)
+    changed = " ".join(w if i % 5 != 4 else w[::-1] for i, w in enumerate(head))
+    twice = [_words(rng, 200) + "\n" + other, None]
+    twice[1] = twice[0].rpartition(" ")[0] + " end"
+    texts = [(0, f"{passage}\n{own[0]}"), (1, f"{passage}\n{own[1]}\n{short}"), (2, f"{own[2]}\n{short}")]
+    found = _lines_stage(spark, [*texts, (5, twice[0]), (6, twice[1])])
+    assert [found[i] for i in range(3)] == [own[0], f"{own[1]}\n{short}", f"{own[2]}\n{short}"]
+    assert [found[5], found[6]] == twice
+    found = _lines_stage(spark, [(0, f"{passage}\n{own[0]}"), (1, f"{changed}\n{own[1]}")])
+    assert [found[0], found[1]] == own[:2]
+
+
 def test_decontamination(spark, awkward):
     item = "When Alice drove 120 km in 3 hours to see Robert she paid 45 dollars for fuel and was glad of it."
     changed = item.replace("Alice", "Maria").replace("120", "300").replace("Robert", "Peter").replace("45", "70")
