@@ -10,6 +10,8 @@ are only fetched for leaves that hold variants. Documents are not taken apart: t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return rows.join(wanted, ["id", "line_no"])
 
 
-def _agreeing(variants: DataFrame, need: Column | int, similarity: float) -> DataFrame:
-    """The variants that agree with their leaf's template in at least `similarity` of their tokens.
+def _agreement(variants: DataFrame, need: Column | int, similarity: float) -> DataFrame:
+    """The variants with one more column, agrees: whether they agree with their leaf's template in at least `similarity` of their tokens.
 
     The template has the token that most documents carry at a position if these are at least `need`, and a wildcard otherwise.
     """
@@ -60,7 +62,7 @@ def _agreeing(variants: DataFrame, need: Column | int, similarity: float) -> Dat
     # a leaf may hold very many variants: they stay where they are, or Spark splits them where a join shuffles; templates hold whole lines, so few are broadcast
     templates = small(written(templates, "templates"), WIDE_ROWS)
     agree = F.size(F.filter(F.arrays_zip("tokens", "template"), lambda x: x["tokens"] == x["template"]["token"]))
-    return variants.join(templates, "leaf").where(agree >= similarity * F.size("tokens"))
+    return variants.join(templates, "leaf").withColumn("agrees", agree >= similarity * F.size("tokens")).drop("template")
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
@@ -77,7 +79,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col:
     leaves = leaves.where((F.col("total") >= min_docs) & (F.col("least") < min_docs) & (F.col("kinds") > 1)).select("leaf")
     wanted = written(counts.join(small(written(leaves, "leaves")), "leaf", "left_semi"), "variants")
     variants = written(_fetch(docs, wanted, id_col, text_col).dropDuplicates(["line"]), "variant-lines")
-    alike = written(_agreeing(variants, min_docs, similarity).select("leaf", "line", "n"), "alike")
+    alike = written(_agreement(variants, min_docs, similarity).where("agrees").select("leaf", "line", "n"), "alike")
     groups = alike.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
     groups = small(written(groups, "groups"))
     return written(exact.union(alike.join(groups, "leaf", "left_semi").select("line")).distinct(), "recurring")
@@ -90,7 +92,8 @@ SHORT_DOCS, LONG_DOCS = 3, 2
 def boilerplate_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """Rows (line) like those of recurring_lines, of lines with owner and long: owners count instead of ids, and long lines need fewer of them.
 
-    A template's owners are counted, not those of each variant, so edited lines of one owner are no template.
+    A template's owners are counted, not those of each variant, so edited lines of one owner are no template. A leaf may hold
+    several templates: the vote is repeated on the lines that did not agree, until it yields no template with enough owners.
     """
     need = F.when(F.col("long"), LONG_DOCS).otherwise(SHORT_DOCS)
     owner = [F.min("owner").alias("low"), F.max("owner").alias("high")]  # all owners of a line that doesn't recur as it is, which has two at most
@@ -102,11 +105,20 @@ def boilerplate_lines(docs: DataFrame, lines: DataFrame, *, id_col: str, text_co
     leaves = leaves.where((F.col("total") >= need) & (F.col("least") < need) & (F.col("kinds") > 1)).select("leaf")
     wanted = written(counts.join(small(written(leaves, "leaves")), "leaf", "left_semi"), "variants")
     variants = written(_fetch(docs, wanted, id_col, text_col).dropDuplicates(["line"]), "variant-lines")
-    alike = written(_agreeing(variants, need, similarity).select("leaf", "long", "line", "n", "low", "high"), "alike")
-    owners = alike.select("leaf", "long", "n", F.explode(F.array("low", "high")).alias("owner"))
-    groups = owners.groupBy("leaf", "long").agg(F.count_distinct("owner").alias("owners"), F.max("n").alias("most"))
-    groups = small(written(groups.where(F.greatest("owners", "most") >= need).select("leaf"), "groups"))
-    return written(exact.union(alike.join(groups, "leaf", "left_semi").select("line")).distinct(), "recurring")
+    # each round takes one template of every leaf that still yields one; lines that recur as they are vote until a template takes them
+    found = [exact]
+    while not variants.isEmpty():
+        voted = written(_agreement(variants, need, similarity), "voted")
+        owners = voted.where("agrees").select("leaf", "long", "n", F.explode(F.array("low", "high")).alias("owner"))
+        groups = owners.groupBy("leaf", "long").agg(F.count_distinct("owner").alias("owners"), F.max("n").alias("most"))
+        groups = small(written(groups.where(F.greatest("owners", "most") >= need).select("leaf"), "groups"))
+        voted = voted.join(groups, "leaf", "left_semi")
+        found.append(voted.where("agrees").select("line"))
+        rest = voted.where("NOT agrees").drop("agrees")
+        open_leaves = rest.groupBy("leaf", "long").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds"))
+        open_leaves = open_leaves.where((F.col("total") >= need) & (F.col("least") < need) & (F.col("kinds") > 1)).select("leaf")
+        variants = written(rest.join(small(written(open_leaves, "leaves")), "leaf", "left_semi"), "variant-lines")
+    return written(reduce(DataFrame.union, found).distinct(), "recurring")
 
 
 def _hits(docs: DataFrame, lines: DataFrame, recurring: DataFrame, id_col: str) -> tuple[DataFrame, str]:

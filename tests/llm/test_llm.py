@@ -342,6 +342,15 @@ def test_lines_stage_two_carriers(spark):
     assert [found[0], found[1]] == own[:2]
 
 
+def test_lines_stage_templates_of_a_leaf(spark):
+    """A hot line and two templates that mask to one leaf: all three go."""
+    rng = random.Random(6)
+    own, bodies = [_words(rng, 12) for _ in range(14)], [_words(rng, 8) for _ in range(3)]
+    line = lambda i, k: f"2024-01-{i:02} 10:00:{i:02} [{i}] {bodies[k]} {_words(rng, 1) if k else 'same'}"
+    found = _lines_stage(spark, [(i, f"{own[i]}\n{line(i, 0 if i < 6 else 1 + i % 2)}") for i in range(14)])
+    assert [found[i] for i in range(14)] == own
+
+
 def test_decontamination(spark, awkward):
     item = "When Alice drove 120 km in 3 hours to see Robert she paid 45 dollars for fuel and was glad of it."
     changed = item.replace("Alice", "Maria").replace("120", "300").replace("Robert", "Peter").replace("45", "70")
