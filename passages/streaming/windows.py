@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 LATE = "10 minutes"
@@ -72,26 +75,55 @@ def running_allowance(usage: DataFrame, limit: int) -> DataFrame:
     return rows.where(F.col("used") >= limit).groupBy("org_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("used").cast("long").alias("used"))
 
 
+def _folded(rows: DataFrame, entry: dict[str, str], fold: Callable[[], Callable]) -> DataFrame:
+    """Rows (key, event_id, *entry) of rows (key, at, event_id, ...), each key's rows in the order of the columns after key.
+
+    fold() returns the step of a new key, which takes a row's columns after key and returns its entry. Rows stream by in sorted
+    partitions: besides an Arrow batch, a task holds the state of one key, however many rows the key has.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+        last = step = None
+        for batch in batches:
+            entries = []
+            for key, *values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if step is None or key != last:
+                    last, step = key, fold()
+                entries.append(step(*values))
+            if entries:
+                found = [pa.array(x, types[t]) for x, t in zip(zip(*entries, strict=True), entry.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=["key", "event_id", *entry])
+
+    schema = StructType([rows.schema["key"], rows.schema["event_id"], *StructType.fromDDL(", ".join(f"{c} {t}" for c, t in entry.items())).fields])
+    return rows.repartition("key").sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
+
+
 def rate_limit_flags(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
     """Rows (key, event_id, n, rejected, retry_after) of hits (key, ts, event_id): windows start at a key's first hit; rejected hits count too.
 
-    The fold needs a key's hits in order, so a key's hits are one array; keys are clients, whose hits in one batch are bounded
-    by what a batch spans. `rate_limit_stream` holds two numbers a key instead.
+    The fold needs a key's hits in order, so they go to one task, which sorts them with spilling and holds two numbers for the key.
+    For a batch; `rate_limit_stream` takes streams.
     """
-    rows = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id"))).alias("hits"))
     width = window_s * 1_000_000
-    entry = "array<struct<event_id:bigint,n:int,rejected:boolean,retry_after:bigint>>"
 
-    def step(acc, hit):
-        fresh = acc["start"].isNull() | (hit["at"] >= acc["start"] + width)
-        start = F.when(fresh, hit["at"]).otherwise(acc["start"])
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        left = F.greatest(F.lit(1), F.ceil((start + width - hit["at"]) / 1_000_000)).cast("long")
-        out = F.struct(hit["event_id"].alias("event_id"), n.alias("n"), (n > limit).alias("rejected"), F.when(n > limit, left).alias("retry_after"))
-        return F.struct(start.alias("start"), n.alias("n"), F.array_append(acc["out"], out).alias("out"))
+    def fold():
+        start, n = None, 0
 
-    start = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast(entry).alias("out"))
-    return rows.select("key", F.inline(F.aggregate("hits", start, step)["out"]))
+        def step(at, event_id):
+            nonlocal start, n
+            if start is None or at >= start + width:  # hits without a time come first
+                start, n = at, 0
+            n += 1
+            left = 1 if start is None else max(1, -((at - start - width) // 1_000_000))
+            return n, n > limit, left if n > limit else None
+
+        return step
+
+    rows = hits.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return _folded(rows, {"n": "int", "rejected": "boolean", "retry_after": "bigint"}, fold)
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
@@ -120,24 +152,36 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
 def lockout_flags(logins: DataFrame, key: str, threshold: int = 10, minutes: int = 15) -> DataFrame:
     """Rows (key, event_id, failures, locked) of logins (ts, event_id, success): attempts while locked are refused and don't count; success clears.
 
-    The window of failures starts at the first and restarts when the threshold locks the key.
+    The window of failures starts at the first and restarts when the threshold locks the key. A key's attempts go to one task,
+    which sorts them with spilling and holds three numbers for the key. For a batch, or each batch of a stream.
     """
-    rows = logins.groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "success"))).alias("hits"))
     width = minutes * 60 * 1_000_000
-    entry = "array<struct<event_id:bigint,failures:int,locked:boolean>>"
-
-    def step(acc, hit):
-        locked = hit["at"] < acc["until"]
-        expired = hit["at"] >= acc["start"] + width
-        failures = F.when(locked, acc["n"]).when(hit["success"], 0).otherwise(F.when(expired | (acc["n"] == 0), 0).otherwise(acc["n"]) + 1)
-        start = F.when(~locked & ~hit["success"] & (expired | (acc["n"] == 0)), hit["at"]).otherwise(acc["start"])
-        hit_limit = ~locked & (failures >= threshold)
-        until = F.when(hit_limit, hit["at"] + width).otherwise(acc["until"])
-        out = F.struct(hit["event_id"].alias("event_id"), failures.alias("failures"), locked.alias("locked"))
-        return F.struct(start.alias("start"), F.when(hit_limit, 0).otherwise(failures).alias("n"), until.alias("until"), F.array_append(acc["out"], out).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("until"), F.array().cast(entry).alias("out"))
-    return rows.select("key", F.inline(F.aggregate("hits", start, step)["out"]))
+
+    def fold():
+        start = n = until = 0
+
+        def step(at, event_id, success):
+            nonlocal start, n, until
+            if at is None:  # such attempts come first
+                n = 0 if success else n + 1
+                return n, None
+            if at < until:
+                return n, True
+            if success:
+                n = 0
+                return n, False
+            if at >= start + width or n == 0:
+                start, n = at if success is False else start, 0
+            n += 1
+            failures = n
+            if n >= threshold:
+                n, until = 0, at + width
+            return failures, False
+
+        return step
+
+    rows = logins.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "success")
+    return _folded(rows, {"failures": "int", "locked": "boolean"}, fold)
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, size: int = 400, overlap: int = 40) -> None:

@@ -152,6 +152,29 @@ def test_stream_rate_limit(spark, tmp_path):
     assert rows_of(spark.table("limits")) == rows_of(windows.rate_limit_flags(hits, 2, 86_400).drop("retry_after"))
 
 
+def test_hot_keys_stream_by(spark):
+    """One key with most rows, over many Arrow batches: no key's rows are one array, and the folds go on across batches."""
+    times = spark.range(40_000).select(F.when(F.col("id") % 40 == 0, F.col("id") % 7).alias("key"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 11 == 0).alias("success"))
+    limits, locks = windows.rate_limit_flags(times, 5, 100), windows.lockout_flags(times, "key", 3, 1)
+    for found in (limits, locks):
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    start, n, expected = None, 0, {}
+    for i in (i for i in range(40_000) if i % 40):
+        start, n = (i, 1) if start is None or i >= start + 100 else (start, n + 1)
+        expected[i] = (n, n > 5, max(1, start + 100 - i) if n > 5 else None)
+    assert {r.event_id: (r.n, r.rejected, r.retry_after) for r in limits.where("key IS NULL").collect()} == expected
+    start = n = until = 0
+    expected = {}
+    for i in (i for i in range(40_000) if i % 40):
+        locked, before = i < until, n
+        if not locked:
+            start, n = (start, 0) if i % 11 == 0 else (i, 1) if n == 0 or i >= start + 60 else (start, n + 1)
+        expected[i] = (before if locked else n, locked)
+        if not locked and n >= 3:
+            n, until = 0, i + 60
+    assert {r.event_id: (r.failures, r.locked) for r in locks.where("key IS NULL").collect()} == expected
+
+
 def test_stream_ingest(spark, tmp_path):
     docs = view(spark, SF, "documents").select(F.col("doc_id").alias("doc"), "text").where("doc < 40")
     docs.write.parquet(str(tmp_path / "docs"))
