@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passages.operators.lexical import analyse, top_k
 
-#: Query vectors that may be broadcast against all stored vectors.
+#: Query vectors that are broadcast at once against all stored vectors.
 MAX_QUERIES = 10_000
 
 
@@ -42,13 +43,18 @@ def truncate_embeddings(vectors: DataFrame, dims: int, supports: dict[str, bool]
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Top k by cosine for queries (query_id, model, embedding) among vectors of the query's model.
 
-    The queries are a stated, bounded set: they are broadcast, and each task keeps its best k before anything is shuffled.
+    Queries are broadcast in blocks of about MAX_QUERIES, and each task keeps its best k before anything is shuffled.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
+    blocks = -(-queries.count() // MAX_QUERIES)
     q = queries.select("query_id", "model", unit(_double(F.col("embedding"))).alias("q"))
     v = vectors.select("chunk_id", "model", unit(_double(F.col("embedding"))).alias("v"))
-    return top_k(v.join(F.broadcast(q), "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+
+    def search(part: DataFrame) -> DataFrame:
+        return top_k(v.join(F.broadcast(part), "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+
+    if blocks <= 1:
+        return search(q)
+    return reduce(DataFrame.union, [search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
 
 
 def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 1.5, tables: int = 8, max_distance: float = 2.0) -> DataFrame:

@@ -175,6 +175,15 @@ def test_hot_keys_stream_by(spark):
     assert {r.event_id: (r.failures, r.locked) for r in locks.where("key IS NULL").collect()} == expected
 
 
+def test_dense_blocks(spark, monkeypatch):
+    """More queries than fit a block, every vec_id divisible by 50 among them, are searched like any others."""
+    vectors = view(spark, SF, "vectors")
+    queries = view(spark, SF, "embeddings").where("vec_id < 20 OR vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.expr("concat('m', vec_id % 2)").alias("model"), "embedding")
+    expected = rows_of(dense.dense_search(queries, vectors, 5))
+    monkeypatch.setattr(dense, "MAX_QUERIES", 6)
+    assert rows_of(dense.dense_search(queries, vectors, 5)) == expected
+
+
 def test_stream_ingest(spark, tmp_path):
     docs = view(spark, SF, "documents").select(F.col("doc_id").alias("doc"), "text").where("doc < 40")
     docs.write.parquet(str(tmp_path / "docs"))
