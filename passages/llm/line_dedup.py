@@ -33,7 +33,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, long_tokens:
 
     With long_tokens, one more column says whether a line has so many; a leaf's lines are equally long.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text"))
     rows = rows.where(F.col("text").rlike(WORD)).select("id", "line_no", _tokens(F.col("text")).alias("tokens"))
     long = [(F.size("tokens") >= long_tokens).alias("long")] if long_tokens else []
     return written(rows.select("id", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("line"), *long), "lines")
@@ -134,7 +134,7 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     A document whose recurring lines hold more than max_share of its characters stays whole (left_whole), whether or not it is
     a copy; `drop_boilerplate` looks for the copies instead. Lines without a word stay. Null and empty texts stay as they are.
-    Ids should be unique; repeated equal rows are treated alike. Columns n_dropped and left_whole of docs are replaced.
+    Documents with a null id stay as they are and count for no line, as in the SQL. Ids should be unique; repeated equal rows are treated alike. Columns n_dropped and left_whole of docs are replaced.
     """
     lines = _lines(docs, id_col, text_col, depth)
     recurring = recurring_lines(docs, lines, id_col=id_col, text_col=text_col, min_docs=min_docs, similarity=similarity)
@@ -155,7 +155,8 @@ def drop_boilerplate(docs: DataFrame, copies: DataFrame, *, id_col: str = "doc_i
     copies (id, component) names the documents that are near copies of others. A component counts once for a line, so what
     only copies share does not recur and is left to the operator that drops copies; no share of recurring lines exempts a document.
     Lines and templates of at least long_tokens words recur in two documents, others in three.
-    Lines without a word stay. Null and empty texts stay as they are. Ids should be unique.
+    Lines without a word stay. Null and empty texts stay as they are, and so do documents with a null id, which count for no line.
+    Ids should be unique.
     """
     copies = written(copies.groupBy("id").agg(F.min("component").alias("component")), "copies")
     lines = _lines(docs, id_col, text_col, depth, long_tokens).join(small(copies), "id", "left")

@@ -237,7 +237,8 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     n_ngrams is the size of the document's set of distinct word n-grams (A-Z lower-cased; with fewer words than `width`, the whole
     sequence is one). Documents link when percent of the union is shared; component is the smallest id reachable by links. Texts
-    that are null or without words have 0 n-grams and only themselves. N-grams are compared by 64-bit hashes.
+    that are null or without words have 0 n-grams and only themselves. Rows with a null id have their number of n-grams, no links and
+    a null component. N-grams are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -245,13 +246,15 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(MAX_BITS, max(MIN_BITS, (n_bytes // 6 // 64).bit_length()))
     profile = written(_profile(rows, width, bits), "profile")
+    named = rows.where(F.col("id").isNotNull())
     frequencies = spark.sparkContext.broadcast(_frequencies(profile, bits))
-    sizes = profile.where(F.col("chunk").isNull()).select("id", "n", "hi", "lo")
+    every = profile.where(F.col("chunk").isNull()).select("id", "n", "hi", "lo")
+    sizes = every.where(F.col("id").isNotNull())
     # only sets that occur twice or more are joined back, so a set that a third of the rows hold is no hot key
     first = sizes.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     classes = sizes.where("n > 0").join(small(written(first, "repeated")), ["hi", "lo", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first"))
     classes = written(classes, "classes")
-    distinct = rows.join(small(written(classes.where("id <> first").select("id"), "copies")), "id", "left_anti")
+    distinct = named.join(small(written(classes.where("id <> first").select("id"), "copies")), "id", "left_anti")
     edges = written(_cluster_edges(_prefixes(distinct, width, percent, frequencies, bits), percent), "cluster-edges")
     clusters = components(edges)
     members = clusters.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("cluster"), "n")
@@ -262,7 +265,7 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = written(components(links), "components")
     joined = classes.join(small(found.select(F.col("id").alias("first"), "component")), "first", "left")
     linked_rows = joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_ngrams"), F.coalesce("component", "first").alias("component"))
-    alone = sizes.where("n = 0").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_ngrams"), F.col("id").alias("component"))
+    alone = every.where("n = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_ngrams"), F.col("id").alias("component"))
     return linked_rows.unionByName(alone)
 
 

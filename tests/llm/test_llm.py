@@ -351,6 +351,20 @@ def test_lines_stage_templates_of_a_leaf(spark):
     assert [found[i] for i in range(14)] == own
 
 
+def test_null_ids(spark, awkward):
+    """Rows with a null id and a text: op9 gives them their size and no links, near copies keep them, op1 neither counts nor changes them."""
+    text = "Some line of words that is the same in each of these rows"
+    rows = spark.createDataFrame([(None, text), (None, text), (None, None), (1, text), (2, text), (4, f"Another line here\n{text} indeed")], "doc_id long, text string")
+    found = collections.Counter((r.doc_id, r.n_ngrams, r.component) for r in ngram_join.join_ngrams(rows).collect())
+    n = len(text.split()) - 3
+    assert found == {(None, n, None): 2, (None, 0, None): 1, (1, n, 1): 1, (2, n, 1): 1, (4, n + 4, 4): 1}
+    extended = awkward.unionByName(awkward.where("doc_id = 5").limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert ngram_join.drop_near_copies(extended).where("doc_id IS NULL AND text IS NOT NULL").count() == 1
+    cleaned = line_dedup.drop_recurring_lines(rows, max_share=1.0).collect()
+    assert all(r.n_dropped == 0 for r in cleaned)
+    assert sorted(_lines_stage(spark, [(None, text), (None, text), (1, text)]).values()) == [text, text]
+
+
 def test_decontamination(spark, awkward):
     item = "When Alice drove 120 km in 3 hours to see Robert she paid 45 dollars for fuel and was glad of it."
     changed = item.replace("Alice", "Maria").replace("120", "300").replace("Robert", "Peter").replace("45", "70")
