@@ -153,7 +153,8 @@ def drop_boilerplate(docs: DataFrame, copies: DataFrame, *, id_col: str = "doc_i
     """docs with one more column, n_dropped, and every document's text without its recurring lines.
 
     copies (id, component) names the documents that are near copies of others. A component counts once for a line, so what
-    only copies share does not recur and is left to the operator that drops copies; no share of recurring lines exempts a document.
+    only copies share does not recur and is left to the operator that drops copies. A document stays whole if not one
+    word of it would be left, so that no text is emptied everywhere; no smaller share of recurring lines exempts a document.
     Lines and templates of at least long_tokens words recur in two documents, others in three.
     Lines without a word stay. Null and empty texts stay as they are, and so do documents with a null id, which count for no line.
     Ids should be unique.
@@ -164,8 +165,9 @@ def drop_boilerplate(docs: DataFrame, copies: DataFrame, *, id_col: str = "doc_i
     recurring = boilerplate_lines(docs, lines, id_col=id_col, text_col=text_col, similarity=similarity)
     rows, at = _hits(docs, lines, recurring, id_col)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(at, i))
-    rows = rows.withColumn("n_dropped", F.when(F.col(at).isNotNull(), F.size(at)).otherwise(0).cast("long"))
-    return rows.withColumn(text_col, F.when(F.col(at).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(at)
+    dropped = F.col(at).isNotNull() & F.coalesce(F.array_join(kept, "\n").rlike(WORD), F.lit(False))
+    rows = rows.withColumn("n_dropped", F.when(dropped, F.size(at)).otherwise(0).cast("long"))
+    return rows.withColumn(text_col, F.when(dropped, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(at)
 
 
 #: DuckDB SQL for op1; lines are compared as text.

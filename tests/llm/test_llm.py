@@ -320,10 +320,10 @@ def _lines_stage(spark, texts):
 def test_lines_stage_shares(spark):
     """Recurring lines also go where they hold most of a document; copies keep what only copies share."""
     rng = random.Random(3)
-    shared, own, copied = _words(rng, 60), [_words(rng, 12) for _ in range(3)], _words(rng, 40) + "\n" + _words(rng, 40)
-    found = _lines_stage(spark, [*[(i, f"{shared}\n{own[i]}") for i in range(3)], *[(i, copied) for i in (5, 6, 7)], (8, None)])
+    shared, own, copied = _words(rng, 60), [_words(rng, 24) for _ in range(3)], _words(rng, 40) + "\n" + _words(rng, 40)
+    found = _lines_stage(spark, [*[(i, f"{shared}\n{own[i]}") for i in range(3)], *[(i, copied) for i in (5, 6, 7)], (8, None), (9, shared)])
     assert [found[i] for i in range(3)] == own
-    assert found[5] == found[6] == found[7] == copied and found[8] is None
+    assert found[5] == found[6] == found[7] == copied and found[8] is None and found[9] == shared
 
 
 def test_lines_stage_two_carriers(spark):
