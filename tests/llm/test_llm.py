@@ -218,6 +218,72 @@ def test_furniture(page, text):
     assert html_main_text.main_text(page) == text
 
 
+BODY = "<p>The article itself is here, and it has a sentence or two to say.</p><p>It goes on, with more words, for a while.</p>"
+TEXT = "The article itself is here, and it has a sentence or two to say. It goes on, with more words, for a while."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="overflow-hidden">{BODY}</div>', f'<div class="content no-sidebar">{BODY}</div>', f'<div class="social-science">{BODY}</div>',
+        f'<main><div class="side-by-side">{BODY}</div></main>', f'<div class="has-sidebar">{BODY}</div>', f'<div class="page-with-comments">{BODY}</div>',
+        f'<div class="layout-header-fixed"><article>{BODY}</article></div>', f'<div><svg><path d="x"><p>{BODY}</div>', f"<noscript><img src=x><p>{BODY}",
+        f'<form id="frame"><div class="nav-menu"><a href=x>Home</a> <a href=y>About</a></div>{BODY}<label>Name</label></form>',
+        f'<div class="cookie-notice">We and our partners use cookies, to store data, and to show you adverts, content and more.</div>{BODY}',
+        f'<article>{BODY}</article><div id="comments"><article><p>A wonderful read, thank you so much for it, I will send it to my friends, to my family and to my colleagues.</p></article></div>',
+    ],
+)
+def test_layouts(page):
+    assert html_main_text.main_text(page) == TEXT
+
+
+def test_cut_decides():
+    """Blocks whose own evidence is wrong, in either direction: their neighbours in the tree set them right."""
+    page = f"<ul><li><a href=1>One thing</a></li><li>Two things, here it is.</li><li><a href=3>Three</a></li></ul><div>{BODY}<div>Photo: someone</div>{BODY}</div>"
+    blocks, elements = html_main_text.blocks_of(page)
+    own = {b.text: html_main_text.evidence(b) > 0 for b in blocks}
+    found = {b.text: k for b, k in zip(blocks, html_main_text.label(blocks, elements))}
+    assert own["Two things, here it is."] and not found["Two things, here it is."]
+    assert not own["Photo: someone"] and found["Photo: someone"]
+    assert html_main_text.main_text(page) == f"{TEXT} Photo: someone {TEXT}"
+
+
+def test_main_text_of_all_pages(spark):
+    """Against a plain reader of the article element, which all of these pages have."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.parts += [" "] if tag not in ("b", "a") else []
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.parts += [" "] if tag not in ("b", "a") else []
+
+        def handle_data(self, data):
+            self.parts += [data] if self.depth else []
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in llm.queries()["op8_main_text"](spark, SF).collect():
+        reader = Reader()
+        reader.feed(pages[r.page_id].partition("<footer")[0])
+        assert r.text == " ".join("".join(reader.parts).split()) and r.n_chars == len(r.text)
+
+
+def test_main_text_edge(spark):
+    long = "<body>" + "".join(f"<div><p>word {i} is here, yes.</p></div><div>{i}</div>" for i in range(5000)) + "<div>" * 3000
+    rows = spark.createDataFrame([(None, long, "a", 1), (1, "<p>Some words.", "a", 1), (1, "<p>Some words.", "a", 1)], "page_id long, html string, text string, n_chars int")
+    found = html_main_text.extract_main_text(rows, keep=("text", "n_chars"))
+    assert found.columns == ["page_id", "text_", "n_chars_", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.n_chars, r.text_) for r in found.collect())[1:] == [(1, 11, "a")] * 2
+    assert html_main_text.extract_main_text(rows.limit(0)).count() == 0
+
+
 def test_minimum_cut():
     rng = random.Random(5)
     for _ in range(60):
