@@ -16,16 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, as one character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a side keyed by an id of at most 8 bytes plus a few numbers may be broadcast
-#: (about 30 MB in memory). Larger sides are shuffled.
-BROADCAST_ROWS = 400_000
+#: Bytes in memory up to which a side may be broadcast, and what a row of a few numbers and one item of an array take of them.
+BROADCAST_BYTES, ROW_BYTES, ITEM_BYTES = 24 << 20, 60, 12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do with a temporary one."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="passages-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -59,12 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast if a count shows that it has at most `limit` rows; else leaves it to a shuffled join.
+def small(df: DataFrame, items: int = 0, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Marks a side for broadcast if its count of rows, and of items in its arrays, shows that it fits BROADCAST_BYTES; else leaves it to a shuffled join.
 
     Call it on written tables: the count then only reads Parquet footers.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() * row_bytes + items * ITEM_BYTES <= BROADCAST_BYTES else df
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -72,7 +72,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     item = windows(items, item_col, item_text_col, width).groupBy("key", "h").agg(F.min("pos").alias("ipos"), F.min_by("slots", "pos").alias("islots"))
     totals = item.groupBy("key").agg(F.count("*").alias("n_windows"))
     item = written(item.join(totals, "key").select("h", F.col("key").alias("item"), "ipos", "islots", "n_windows"), "item-windows")
-    hits = windows(docs, id_col, text_col, width).join(small(item), "h")
+    hits = windows(docs, id_col, text_col, width).join(small(item, row_bytes=300), "h")
     offset = (F.col("pos") - F.col("ipos")).alias("offset")
     values = F.arrays_zip(F.col("islots").alias("was"), F.col("slots").alias("now"))
     aligned = hits.groupBy("key", "item", "n_windows", offset).agg(F.collect_set("ipos").alias("at"), F.collect_set(values).alias("pairs"))

@@ -18,7 +18,7 @@ def fold(n: int):
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped", "left_whole")
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped", "emptied")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

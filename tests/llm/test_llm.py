@@ -359,14 +359,26 @@ def test_line_dedup(spark, awkward):
     rows = []
     for i in range(4):
         rows.append((i, f"{own[i]}\n{own[i + 4]}\nPosted on 2024-01-0{i} by someone we know\nShared footer line for all"))
-    rows.append((9, "Shared footer line for all"))  # nothing but the shared line: a copy, left whole
+    rows.append((9, "Shared footer line for all"))  # nothing but the shared line
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs).collect()}
     assert all(found[i].text == f"{own[i]}\n{own[i + 4]}" and found[i].n_dropped == 2 for i in range(4))
-    assert found[9].left_whole and found[9].text == rows[-1][1]
+    assert found[9].emptied and found[9].text == "" and not found[0].emptied
+    spared = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs, spare_emptied=True).collect()}
+    assert spared[9].text == rows[-1][1] and spared[9].n_dropped == 0 and spared[0].text == found[0].text
     variants = [(i, f"{own[i]}\n{own[i + 4]}\nUser logged in from host {w} at the usual time today") for i, w in enumerate(["alpha", "beta", "gamma", "delta"])]
     found = line_dedup.drop_recurring_lines(spark.createDataFrame(variants, "doc_id long, text string")).collect()
     assert all(r.n_dropped == 1 and "logged" not in r.text for r in found)
+    families = ["at noon the blue train left from track {} with all on board", "at noon the other guests came in by boat {} from the north"]
+    families = [[f.format(w) for w in ("one", "two", "six", "ten")] for f in families]  # equally long, and equal in their first three words
+    docs = spark.createDataFrame([(i, f"{own[i]}\n{families[0][i]}\n{own[i + 4]}\n{families[1][i]}") for i in range(4)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in line_dedup.drop_recurring_lines(docs).collect()} == {(i, f"{own[i]}\n{own[i + 4]}") for i in range(4)}
+    fields = [(a, b) for a in ("red", "green", "blue") for b in ("north", "south", "west")] * 2  # values that recur, combinations that don't
+    docs = [(i, f"{w}\nthe daily note of the {a} house in the {b} says {w} and no more") for i, ((a, b), w) in enumerate(zip(fields, (f"uni{chr(97 + i)}que" for i in range(18))))]
+    assert all(r.n_dropped == 1 for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    prose = ["she said that we should go home before dark", "she said that nobody had ever been there since", "she said that his old car would not start"]
+    docs = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup.drop_recurring_lines(docs).collect()] == [0, 0, 0]
     odd = line_dedup.drop_recurring_lines(awkward)
     assert odd.count() == 11 and set(awkward.columns) < set(odd.columns)
     assert line_dedup.drop_recurring_lines(awkward.limit(0)).count() == 0
@@ -426,7 +438,7 @@ def test_null_ids(spark, awkward):
     assert found == {(None, n, None): 2, (None, 0, None): 1, (1, n, 1): 1, (2, n, 1): 1, (4, n + 4, 4): 1}
     extended = awkward.unionByName(awkward.where("doc_id = 5").limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert ngram_join.drop_near_copies(extended).where("doc_id IS NULL AND text IS NOT NULL").count() == 1
-    cleaned = line_dedup.drop_recurring_lines(rows, max_share=1.0).collect()
+    cleaned = line_dedup.drop_recurring_lines(rows).collect()
     assert all(r.n_dropped == 0 for r in cleaned)
     assert sorted(_lines_stage(spark, [(None, text), (None, text), (1, text)]).values()) == [text, text]
 
