@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from the texts, near copies counting as one document; n_chars follows."""
-    cleaned = line_dedup.drop_boilerplate(docs, ngram_join.near_copies(docs))
+    cleaned = line_dedup.drop_recurring_lines(docs, ngram_join.near_copies(docs), spare_emptied=True)
     return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
