@@ -2,9 +2,11 @@
 
 Rows of the matrix are documents, columns are word n-grams. Documents with equal sets are one row. The product is only
 formed where it can hold a link: size-derived bounds say that two linked documents share one of the rarest n-grams of both,
-so the lists of those n-grams tie documents into clusters, the blocks of the product. Within a cluster the product is formed
-block by block, overlap counts are accumulated column chunk by column chunk, and pairs below the size-derived bound are discarded; each
-block returns a spanning forest of its links, never its pairs.
+so the lists of those n-grams tie documents into clusters. A cluster that fits into one block is multiplied as a whole. A larger
+one is multiplied along its diagonal first, each block beside a few documents of the whole cluster; what these links leave outside the
+cluster's largest component is then multiplied with the blocks it shares a rare n-gram with, as all else is connected already.
+Overlap counts are accumulated column chunk by column chunk, and pairs below the size-derived bound are discarded; each
+product returns a spanning forest of its links, never its pairs.
 
 How rare an n-gram is only steers the order of n-grams, on which results do not depend; it is read from counts over all
 documents, held in a table of at most 2 ** MAX_BITS counters.
@@ -17,18 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from passages.llm.common import ship, small, written
+from passages.llm.common import ship, small, unused, written
 from passages.llm.components import components
 
 #: Counters for n-gram frequencies: one for about 64 n-grams, 2 ** 24 (16 MB as bytes) at most.
 MIN_BITS, MAX_BITS = 16, 24
 _CHUNK = 1 << 16
-#: Documents and n-grams in a block of the product.
-BLOCK_DOCS, BLOCK_NGRAMS = 256, 1 << 21
+#: Documents and n-grams in a block of the product, and documents of its whole cluster beside each.
+BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 64, 1 << 21, 8
+#: Scaled count from which an n-gram's list may be too long for one task (about 4,000 documents).
+HOT = 108
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,13 +70,14 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
 
 
 def _profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Per document its size and set signature, per task and chunk of counters the n-gram counts: rows of two kinds."""
+    """Per document its size and set signature, per task (its number is in n) and chunk of counters the n-gram counts: rows of two kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
         schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        part_no = TaskContext.get().partitionId()
         counts, waiting, size = np.zeros(1 << bits, np.uint32), [], 0
         shift = np.uint64(64 - bits)
 
@@ -99,66 +106,80 @@ def _profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
         for c in range(0, 1 << bits, _CHUNK):
             part = counts[c : c + _CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([None], t) for t in (pa.int32(), pa.int64(), pa.int64())], pa.array([c // _CHUNK], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part_no], pa.int32()), *[pa.array([None], pa.int64())] * 2, pa.array([c // _CHUNK], pa.int32()), pa.array([pack(part.astype(np.int64).tobytes())], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "id long, n int, hi long, lo long, chunk int, counts binary")
 
 
-def _frequencies(profile: DataFrame, bits: int) -> np.ndarray:
-    """The counters on a logarithmic scale of one byte each: 2 ** bits bytes, whatever the corpus."""
+def _frequencies(profile: DataFrame, bits: int, fan_in: int = 64) -> np.ndarray:
+    """The counters on a logarithmic scale of one byte each: 2 ** bits bytes, whatever the corpus. Tasks' counters are summed up in a tree of that fan-in."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
         counts = np.zeros(_CHUNK, np.int64)
         for packed in pdf["counts"]:
-            counts += np.frombuffer(unpack(packed), np.uint32)
-        scaled = np.minimum(255, np.round(9 * np.log2(1.0 + counts))).astype(np.uint8)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "scaled": [scaled.tobytes()]})
+            counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64)
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "counts": [zstandard.ZstdCompressor(level=1).compress(counts.tobytes())]})
+
+    rows = profile.where(F.col("chunk").isNotNull()).select("chunk", F.col("n").cast("long").alias("part"), "counts")
+    n = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while n > 1:
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("chunk", "part").applyInPandas(total, "chunk int, part long, counts binary")
+        n = -(-n // fan_in)
+        rows = written(rows, "counters") if n > 1 else rows
+    import zstandard
 
-    rows = profile.where(F.col("chunk").isNotNull()).select("chunk", "counts").groupBy("chunk").applyInPandas(total, "chunk int, scaled binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in rows.toLocalIterator():
-        out[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["scaled"], np.uint8)
+        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.int64)
+        out[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.minimum(255, np.round(9 * np.log2(1.0 + counts)))
     return out
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequencies, bits: int) -> DataFrame:
-    """Rows (gram, id, n, at): the rarest n-grams of each document; `at` is twice the place in that order, odd if also shown as the smaller one."""
+    """Rows (gram, id, n, at, hot): the rarest n-grams of each document; `at` is twice the place in that order, odd if also shown as the smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, shift = frequencies.value, np.uint64(64 - bits)
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+            out: list[tuple[np.ndarray, int, int, np.ndarray, np.ndarray]] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = ngrams(text, width)
                 n = len(grams)
                 if n:
                     larger, smaller = prefix_lengths(n, percent)
-                    first = np.argsort(order[(grams >> shift).astype(np.int64)], kind="stable")[:larger]  # ties by hash
+                    rarity = order[(grams >> shift).astype(np.int64)]
+                    first = np.argsort(rarity, kind="stable")[:larger]  # ties by hash
                     at = 2 * np.arange(larger) + (np.arange(larger) < smaller)
-                    out.append((grams[first].view(np.int64), i, n, at.astype(np.int32)))
+                    out.append((grams[first].view(np.int64), i, n, at.astype(np.int32), rarity[first] >= HOT))
             if out:
                 lengths = [len(x[0]) for x in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lengths)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), lengths)), pa.array(np.concatenate([x[3] for x in out]))],
-                    names=["gram", "id", "n", "at"],
+                    [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lengths)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), lengths)), pa.array(np.concatenate([x[3] for x in out])), pa.array(np.concatenate([x[4] for x in out]))],
+                    names=["gram", "id", "n", "at", "hot"],
                 )
 
-    return docs.mapInArrow(run, "gram long, id long, n int, at int")
+    return docs.mapInArrow(run, "gram long, id long, n int, at int, hot boolean")
 
 
 def _cluster_edges(prefixes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair that shares a prefix n-gram within the size and place bounds.
 
     In a list ordered by size each document is tied to the nearest smaller one that may stand on the smaller side of a pair. If
-    these two are too different in size, so are all pairs across this place of the list.
+    these two are too different in size, so are all pairs across this place of the list. Lists that may be too long for one task are
+    not ordered: there, sizes fall into bands so wide that a pair spans two neighbouring ones at most, and each document is tied to
+    one document of its band and of the band below that may stand on the smaller side.
     """
     order = Window.partitionBy("gram").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
     smaller = F.last(F.when(F.col("at") % 2 == 1, F.struct("id", "n")), ignorenulls=True).over(order)
-    ties = prefixes.select("id", "n", smaller.alias("s")).where(F.col("s").isNotNull() & (100 * F.col("s.n") >= percent * F.col("n")) & (F.col("s.id") != F.col("id")))
-    return ties.select(F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b")).distinct()
+    ties = prefixes.where("NOT hot").select("id", "n", smaller.alias("s")).where(F.col("s").isNotNull() & (100 * F.col("s.n") >= percent * F.col("n")))
+    ties = ties.select("id", F.col("s.id").alias("other"))
+    hot = prefixes.where("hot").withColumn("band", F.floor(F.log("n") / (1.0001 * np.log(100 / percent))))
+    centres = written(hot.where(F.col("at") % 2 == 1).groupBy("gram", "band").agg(F.min("id").alias("other")), "band-centres")
+    for step in (0, 1):
+        ties = ties.union(hot.join(small(centres.withColumn("band", F.col("band") + step)), ["gram", "band"]).select("id", "other"))
+    return ties.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def linked(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
@@ -210,38 +231,82 @@ def _forest(links: np.ndarray, left: np.ndarray, ids: np.ndarray) -> list[tuple[
     return edges
 
 
-def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) between linked documents of a cluster, as the forests of its blocks. members: (id, cluster, blocks, block)."""
+def _products(docs: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) between linked documents, as the forests of the products (i, j) of each cluster.
+
+    places: (id, cluster, i, j, left); a product is formed of its left documents and its others, or of all by all if all are left.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [ngrams(x, width).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary()), *batch.columns[2:]], names=["id", "grams", "cluster", "blocks", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
         grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        left = (pdf["block"] == pdf["i"]).to_numpy()
-        links = linked(np.array([len(x) for x in grams]), grams, left, percent)
+        left = pdf["left"].to_numpy().astype(bool)
+        links = linked(np.array([len(x) for x in grams]), grams, left, percent) if left.any() else np.zeros((0, len(grams)), bool)
         return pd.DataFrame(_forest(links, left, pdf["id"].to_numpy()), columns=["a", "b"], dtype="int64")
 
-    rows = docs.join(small(members), "id").select("id", "text", "cluster", "blocks", "block")
-    rows = rows.mapInArrow(sets, "id long, grams binary, cluster long, blocks long, block long")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("id", "grams", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return rows.groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
+    wanted = written(places.select("id").distinct(), "product-ids")
+    rows = docs.join(small(wanted), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, grams binary")
+    return rows.join(small(places), "id").groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
+
+
+def _blocks(members: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Adds block to the members (id, cluster, n, blocks) of large clusters: documents with one rarest n-gram stand together, as far as a block holds them."""
+    first = prefixes.where(F.col("at") < 2).select("id", F.col("gram").alias("first"))  # one a document
+    rows = members.join(first, "id").withColumn("bucket", F.pmod(F.xxhash64("first"), F.col("blocks"))).drop("first")
+    rows = written(rows.dropDuplicates(["id"]), "buckets")
+    parts = rows.groupBy("cluster", "bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_NGRAMS)).cast("long").alias("parts"))
+    rows = rows.join(small(written(parts, "bucket-parts")), ["cluster", "bucket"])
+    return rows.select("id", "cluster", F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+
+
+def _links(docs: DataFrame, members: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what the links inside the clusters connect. members: (id, cluster, n, blocks)."""
+    whole = members.where("blocks = 1").select("id", "cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(True).alias("left"))
+    large = written(members.where("blocks > 1"), "large-clusters")
+    if large.isEmpty():
+        return _products(docs, written(whole, "places"), width, percent)
+    grams = written(prefixes.join(small(large.select("id")), "id", "left_semi").select("id", "gram", "at"), "large-prefixes")
+    blocks = written(_blocks(large, grams), "blocks")
+    # the diagonal, each block with some documents of its whole cluster
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
+    hubs = blocks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HUBS).select("cluster", "id")
+    beside = blocks.select("cluster", "block").distinct().join(F.broadcast(hubs) if large.select("cluster").distinct().count() * HUBS * 60 <= 1 << 24 else hubs, "cluster")
+    diagonal = blocks.select("id", "cluster", "block").union(beside.select("id", "cluster", "block")).distinct()
+    diagonal = diagonal.select("id", "cluster", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("left"))
+    links = written(_products(docs, written(whole.union(diagonal), "places"), width, percent), "first-links")
+    # what the largest component of a cluster leaves outside, against the blocks that show one of its n-grams
+    found = components(links)
+    grouped = blocks.join(small(found.withColumnRenamed("component", "to")), "id", "left").select("id", "cluster", "block", F.coalesce("to", "id").alias("to"))
+    grouped = written(grouped, "grouped")
+    largest = grouped.groupBy("cluster", "to").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("to", F.struct("n", "to")).alias("largest"))
+    rest = written(grouped.join(small(written(largest, "largest")), "cluster").where("to <> largest").select("id", "cluster", "block"), "rest")
+    if rest.isEmpty():
+        return links
+    shown = written(grams.join(small(blocks), "id").select("cluster", "gram", F.col("block").alias("j")).distinct(), "shown-by-blocks")
+    asked = grams.join(small(rest), "id").select("cluster", "gram", F.col("block").alias("i")).distinct()
+    pairs = written(asked.join(shown, ["cluster", "gram"]).where("i <> j").select("cluster", "i", "j").distinct(), "block-pairs")
+    left = rest.withColumnRenamed("block", "i").join(small(pairs), ["cluster", "i"]).select("id", "cluster", "i", "j", F.lit(True).alias("left"))
+    right = blocks.withColumnRenamed("block", "j").join(small(pairs), ["cluster", "j"]).select("id", "cluster", "i", "j", F.lit(False).alias("left"))
+    return links.union(_products(docs, written(left.union(right), "places"), width, percent))
 
 
 def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """Rows (id, n_ngrams, component), one per input row; ids are integers and unique.
+    """Rows (id, n_ngrams, component), one per input row; ids are unique, but for repeated equal rows, which come back as often as they came.
 
     n_ngrams is the size of the document's set of distinct word n-grams (A-Z lower-cased; with fewer words than `width`, the whole
     sequence is one). Documents link when percent of the union is shared; component is the smallest id reachable by links. Texts
     that are null or without words have 0 n-grams and only themselves. Rows with a null id have their number of n-grams, no links and
-    a null component. N-grams are compared by 64-bit hashes.
+    a null component. N-grams are compared by 64-bit hashes, and so are ids that are not integers. An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return _by_hashed_id(docs, id_col, text_col, width, percent)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(MAX_BITS, max(MIN_BITS, (n_bytes // 6 // 64).bit_length()))
@@ -255,13 +320,14 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = sizes.where("n > 0").join(small(written(first, "repeated")), ["hi", "lo", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first"))
     classes = written(classes, "classes")
     distinct = named.join(small(written(classes.where("id <> first").select("id"), "copies")), "id", "left_anti")
-    edges = written(_cluster_edges(_prefixes(distinct, width, percent, frequencies, bits), percent), "cluster-edges")
+    prefixes = written(_prefixes(distinct, width, percent, frequencies, bits), "prefixes")
+    edges = written(_cluster_edges(prefixes, percent), "cluster-edges")
     clusters = components(edges)
-    members = clusters.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("cluster"), "n")
+    members = clusters.join(classes.select("id", "n").dropDuplicates(["id"]), "id").select("id", F.col("component").alias("cluster"), "n")
     members = written(members, "clusters")
     shape = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_NGRAMS)).cast("long").alias("blocks"))
-    members = written(members.join(shape, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), "members")
-    links = written(_links(rows, members, width, percent), "links")
+    members = written(members.join(small(written(shape, "shapes")), "cluster"), "members")
+    links = written(_links(named, members, prefixes, width, percent), "links")
     found = written(components(links), "components")
     joined = classes.join(small(found.select(F.col("id").alias("first"), "component")), "first", "left")
     linked_rows = joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_ngrams"), F.coalesce("component", "first").alias("component"))
@@ -269,6 +335,17 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return linked_rows.unionByName(alone)
 
 
+def _by_hashed_id(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """join_ngrams() over the hashes of ids of any type; components are named by their least id again."""
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).alias("key")
+    rows = docs.select(F.col(id_col).alias("name"), key, F.col(text_col).alias("text"))
+    found = written(join_ngrams(rows.select("key", "text"), id_col="key", width=width, percent=percent), "hashed")
+    names = written(rows.where("key IS NOT NULL").select("key", "name").distinct(), "names")
+    least = found.join(names, "key").groupBy("component").agg(F.min("name").alias("least"))
+    named = found.join(names, "key", "left").join(small(written(least, "least-names")), "component", "left")
+    return named.select(F.col("name").alias(id_col), "n_ngrams", F.col("least").alias("component"))
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Rows (id, component), written: the documents whose component has a smaller id than theirs."""
     found = join_ngrams(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
@@ -276,6 +353,15 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of their component; rows with a null id are kept."""
+    """The documents with the smallest id of their component, with all their columns; rows with a null id are kept.
+
+    Null, empty and wordless texts link with nothing and stay. Of rows with the same id and text one stays, whichever.
+    """
     copies = near_copies(docs, id_col=id_col, text_col=text_col, width=width, percent=percent).select(F.col("id").alias(id_col))
-    return docs.join(small(copies), id_col, "left_anti")
+    left = docs.join(small(copies), id_col, "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias(unused(docs, "n_rows"))).where(F.col(unused(docs, "n_rows")) > 1)
+    again = written(again.select(id_col), "repeated-ids")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(small(again), id_col, "left_anti").select(docs.columns)
+    return once.unionByName(left.join(small(again), id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns))

@@ -327,10 +327,12 @@ def test_ngram_join(spark, documents):
     assert found == _brute(documents, 4, 85)
 
 
-@pytest.mark.parametrize("width, percent, block", [(4, 85, 256), (5, 80, 4)])
-def test_ngram_join_of_chains(spark, monkeypatch, width, percent, block):
-    """Copies of copies, each a little further off, and texts of very different length."""
+@pytest.mark.parametrize("width, percent, block, hot", [(4, 85, 256, 108), (5, 80, 4, 108), (5, 80, 5, 0)])
+def test_ngram_join_of_chains(spark, monkeypatch, width, percent, block, hot):
+    """Copies of copies, each a little further off, and texts of very different length; in one block, in several, and with all lists taken as long ones."""
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(60)]
     texts, text = {}, [rng.choice(words) for _ in range(70)]
@@ -344,8 +346,11 @@ def test_ngram_join_of_chains(spark, monkeypatch, width, percent, block):
 
 def test_ngram_join_edge(spark, awkward):
     assert ngram_join.join_ngrams(awkward.limit(0)).count() == 0
-    kept = ngram_join.drop_near_copies(awkward.dropDuplicates(["doc_id"]))
-    assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 5, 7, 8, 9}
+    kept = ngram_join.drop_near_copies(awkward)
+    assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 8, 9]  # one of the repeated rows
+    texts = [(f"k{9 - i}", t) for i, t in enumerate(["a b c d e f", "a b c d e f", "another text with words", None])] + [(None, "a b c d e f"), ("k9", "a b c d e f")]
+    found = ngram_join.join_ngrams(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.n_ngrams, r.component) for r in found) == [("", 3, None), ("k6", 0, "k6"), ("k7", 1, "k7"), ("k8", 3, "k8"), ("k9", 3, "k8"), ("k9", 3, "k8")]
 
 
 def test_components(spark):
