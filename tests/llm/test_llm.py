@@ -153,22 +153,62 @@ def test_secrets(spark, documents, awkward):
     assert secret_scan.scan_secrets(awkward).count() == 11 and secret_scan.scan_secrets(awkward.limit(0)).count() == 0
 
 
-def test_randomness_battery(spark):
+def test_randomness_battery(spark, documents):
+    """Random keys of several encodings among the ordinary identifiers that people write; prose gives the null distribution."""
     rng = random.Random(3)
-    alphabet = secret_scan.ALPHABETS["base64"]
-    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(60)]
+    keys = ["".join(rng.choice(secret_scan.ALPHABETS[a]) for _ in range(n)) for a, n in (("base64", 40), ("base62", 32), ("base36", 36), ("base32", 48)) for _ in range(30)]
     keys = [k for k in keys if any(c.isdigit() for c in k)]
-    plain = ["aaaaaaaaaaaaaaaaaaaaaaaa1", "abcabcabcabcabcabcabcabcabc123", "0123456789abcdef0123456789abcdef00"]
-    rows = spark.createDataFrame([(i, f"é {t} end") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    plain = [
+        "internationalization2024", "chapter12sectiononeintroduction", "aaaaaaaaaaaaaaaaaaaaaaaa1", "abcabcabcabcabcabcabcabcabc123", "getUserNameFromSession2", "docs/articles/2024/summer/travel",
+        "my_very_long_variable_name_1", "HttpRequestHandlerFactory3", "src/main/java/org/example/app2", "september2023newsletterarchive", "version1release2candidate3", "the_second_world_war_1939_1945",
+    ]
+    prose = [t for t in documents.values() if t and secret_scan._CANDIDATE.search(t) is None]
+    rows = spark.createDataFrame([(i, f"é {t} end") for i, t in enumerate(keys + plain)] + [(1000 + i, t) for i, t in enumerate(prose)], "doc_id long, text string")
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(rows).collect()}
     hits = sum(("random", 2, 2 + len(k)) in found[i] for i, k in enumerate(keys))
-    assert hits >= 0.9 * len(keys)
-    assert not any(x[0] == "random" for i in range(len(keys), len(keys) + 3) for x in found[i])
+    wrong = [t for i, t in enumerate(plain) if any(x[0] == "random" for x in found[len(keys) + i])]
+    assert hits >= 0.9 * len(keys) and not wrong, (hits, len(keys), wrong)
+
+
+def test_battery_against_plain_tests():
+    """The three tests one by one, by their formulas over one string."""
+    import math
+
+    rng = random.Random(8)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi2 = lambda x, k: upper(((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    for name, alphabet in secret_scan.ALPHABETS.items():
+        for token in ("".join(rng.choice(alphabet) for _ in range(n)) for n in (16, 23, 40, 90)):
+            n, size, at = len(token), len(alphabet), [alphabet.index(c) for c in token]
+            p = [chi2(sum((token.count(c) - n / size) ** 2 / (n / size) for c in alphabet), size - 1)]
+            kind = ["digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else "other" for c in token]
+            each, runs = collections.Counter(kind).values(), 1 + sum(a != b for a, b in zip(kind, kind[1:]))
+            s2, s3 = sum(k**2 for k in each), sum(k**3 for k in each)
+            var = (s2 * (s2 + n * (n + 1)) - 2 * n * s3 - n**3) / (n * n * (n - 1))
+            p.append(upper((1 + n - s2 / n - runs) / math.sqrt(var)) if var > 1e-9 else 1.0)
+            mid = (size - 1) / 2
+            p.append(2 * upper(abs(sum((a - mid) * (b - mid) for a, b in zip(at, at[1:])) / ((size**2 - 1) / 12 * math.sqrt(n - 1)))))
+            codes = np.frombuffer(token.encode(), np.uint8)[None, :]
+            got = secret_scan.battery(secret_scan._PLACES[name][codes], secret_scan._kinds(codes), size)[0]
+            assert got == pytest.approx(chi2(-2 * sum(map(math.log, p)), 6), rel=1e-9)
+
+
+def test_ordinary_identifiers():
+    text = "Some Words of a text, 12 of them, that go on for long enough to fill Several identifiers in a row. " * 8
+    for encoding, alphabet in secret_scan.ALPHABETS.items():
+        for turn in range(6):
+            kind, codes = secret_scan.ordinary(text, encoding, turn)
+            strings = [bytes(r.astype(np.uint8)).decode() for r in codes]
+            assert strings and all(len(x) == secret_scan.ORDINARY_LENGTHS[kind] and set(x) <= set(alphabet) and any(c.isdigit() for c in x) for x in strings)
+    assert not secret_scan.null_counts([None, "", "1 2 3"])
 
 
 def test_fdr_threshold():
-    assert secret_scan.rejected_from({0: 100}, 0.05) == secret_scan.MAX_BIN + 1
-    assert secret_scan.rejected_from({0: 90, 400: 10}, 0.05) == 400
+    assert secret_scan.called_up_to({0: 10}, {}, 0.05) == -1  # nothing ordinary to compare with
+    assert secret_scan.called_up_to({0: 10}, {300: 999}, 0.05) == 0
+    assert secret_scan.called_up_to({0: 10, 200: 90}, {300: 999}, 0.05) == 200
+    assert secret_scan.called_up_to({0: 10, 200: 90}, {150: 999}, 0.05) == 0
+    assert secret_scan.called_up_to({100: 10}, {50: 999}, 0.05) == -1
 
 
 def test_language(spark, awkward):
