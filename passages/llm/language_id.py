@@ -28,29 +28,43 @@ def letters(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Raw dictionary content by language; `docs_per_language` times `chars_per_doc` bounds its size."""
+    """Raw dictionary content by language, each of at most the bytes that fit() was given."""
 
     dictionaries: dict[str, bytes]
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, chars_per_doc: int = 1024) -> LanguageModel:
-    """Learns from a bounded sample: per language the docs_per_language texts with the least hash of their id.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, bytes_per_language: int = 1 << 18) -> LanguageModel:
+    """Learns from a bounded sample: of each language's docs_per_language texts with the least hash of their id, as many whole ones as bytes_per_language hold.
 
-    Rows with a null language or without a letter are left out. No rows give a model without languages, which predicts
-    'und' throughout. Only ids travel through the window; the texts of the sample are then fetched by id.
+    Texts are taken in the order of that hash, folded to their letters; one that doesn't fit any more is passed over, none is
+    cut. Rows with a null language or without a letter are left out. No rows give a model without languages, which predicts
+    'und' throughout. Repeated rows count once. Only ids travel through the first window; the texts of the sample are then fetched by id.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    # a text of the budget's size and more cannot be learnt from as a whole, so it takes no place in the sample
+    ids = rows.where(F.octet_length("text") < bytes_per_language).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
     ids = written(ids.select("id", "lang").distinct(), "language-sample")
-    sample = rows.join(small(ids), ["id", "lang"]).select("lang", "id", F.substring(letters(F.col("text")), 1, chars_per_doc).alias("text"))
+    sample = rows.join(small(ids), ["id", "lang"]).select("lang", "id", letters(F.col("text")).alias("text"))
+    sample = written(sample.dropDuplicates(["lang", "id"]).withColumn("size", F.octet_length("text") + 1), "language-texts")
+    picked = _within(sample.select("lang", "id", "size"), bytes_per_language)
     texts: dict[str, list[str]] = {}
-    for row in sorted(sample.distinct().collect(), key=lambda r: (r["lang"], r["id"], r["text"])):
+    for row in sorted(sample.join(small(picked), ["lang", "id"]).select("lang", "id", "text").collect(), key=lambda r: (r["lang"], str(r["id"]))):
         texts.setdefault(row["lang"], []).append(row["text"])
     return LanguageModel({lang: "\n".join(x).encode() for lang, x in texts.items()})
 
 
+def _within(sample: DataFrame, budget: int) -> DataFrame:
+    """The rows (lang, id) of a bounded sample that are taken in turn as long as they fit the budget of their language."""
+    item = F.struct(F.xxhash64("id").alias("turn"), "id", "size")
+    rows = sample.groupBy("lang").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    empty = F.struct(F.lit(0).alias("used"), F.slice(F.transform("items", lambda x: x["id"]), 1, 0).alias("ids"))
+    fits = lambda acc, x: acc["used"] + x["size"] <= budget
+    picked = F.aggregate("items", empty, lambda acc, x: F.when(fits(acc, x), F.struct((acc["used"] + x["size"]).alias("used"), F.array_append(acc["ids"], x["id"]).alias("ids"))).otherwise(acc))
+    return written(rows.select("lang", F.explode(picked["ids"]).alias("id")), "language-picked")
+
+
 class Compressors:
     """One zstandard compressor a language, their dictionaries digested once."""
 
@@ -84,7 +98,7 @@ def decide(languages: list[str], sizes: list[int], n_bytes: int) -> tuple[str, f
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = 7, piece_bytes: int = 4096) -> DataFrame:
-    """Rows (id, lang_best, lang_pred, score, margin), one per input row, repeated ids included.
+    """Rows (id, lang_best, lang_pred, score, margin), one per input row, repeated and null ids included; other columns are ignored.
 
     lang_best is the language with the smallest size (ties: the first by name), 'und' for null texts and texts without a
     letter. lang_pred is lang_best, or 'und' where the margin is below min_margin: the narrow cases are rejected.

@@ -95,7 +95,8 @@ def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """line_statistics() with base_failed (too few words, or too many in repeated windows) and kept.
 
     kept is false where base_failed holds or where more than max_removed_percent of the words stand in failing lines.
-    One row comes back for each input row, repeated ids included; other columns are ignored.
+    cleaned is the text without its failing lines and without lines that hold no word. One row comes back for each input row, repeated
+    and null ids included; other columns are ignored.
     """
     found = line_statistics(docs, id_col=id_col, text_col=text_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -113,9 +114,9 @@ WITH t AS (
 ), c AS (
   SELECT doc_id, sum(least(8, i - prev)) AS n FROM (SELECT doc_id, i, lag(i, 1, -8) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM r) GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t
+  SELECT doc_id, parts[i] AS line, i FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM t))
 ), f AS (
-  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     length(regexp_replace(line, '[^|»›•]', '', 'g')) AS separators, length(regexp_replace(line, '[^#*$%&<>]', '', 'g')) AS symbols,
     length(regexp_replace(line, '\P{Lu}', '', 'g')) AS capitals, length(regexp_replace(line, '\P{Ll}', '', 'g')) AS small,
     regexp_matches(line, '[.!?…:;。！？][")''\]»”’]*([\x20\x09-\x0D]|\z)') AS ends,
@@ -123,11 +124,12 @@ WITH t AS (
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), s AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
-    coalesce(sum(words) FILTER (WHERE bad), 0) AS n_removed_words, count(*) FILTER (WHERE bad) AS n_removed_lines
+    coalesce(sum(words) FILTER (WHERE bad), 0) AS n_removed_words, count(*) FILTER (WHERE bad) AS n_removed_lines,
+    string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS cleaned
   FROM (SELECT *, NOT ends OR symbols * 10 >= words * 3 AND symbols >= 5 OR capitals >= 10 AND capitals >= small
                OR separators >= 3 AND separators * 6 >= words OR boilerplate AS bad FROM f) GROUP BY doc_id
 ), x AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, coalesce(cleaned, '') AS cleaned, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
   FROM t LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)

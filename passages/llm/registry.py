@@ -18,24 +18,29 @@ def fold(n: int):
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
     return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped", "emptied")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a verdict for every document, learnt from the labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_model.fit(docs, labels.where(fold(5) != 0))
     return quality_model.classify(docs, model).withColumn("held_out", fold(5) == 0)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, counted, digested and joined as text."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     count = [F.size(F.filter("spans", secret_scan.is_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     base = secret_scan.joined(F.filter("spans", lambda s: s["kind"] != "random"))
@@ -43,6 +48,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(fold(4) != 2))
     found = language_id.predict(docs, model)
@@ -51,19 +57,23 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
+    """Every document cleaned line by line, with the counts behind the verdict."""
+    return line_cleaning.clean_lines(table(spark, sf_dir, "documents"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_main_text.extract_main_text(table(spark, sf_dir, "pages"), keep=("url",))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under the n-gram join."""
     found = ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n_ngrams").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

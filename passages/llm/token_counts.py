@@ -85,7 +85,7 @@ def batches_by_bytes(texts: list[str], limit: int) -> Iterator[list[str]]:
     batch, size = [], 0
     for text in texts:
         batch.append(text)
-        size += 2 * len(text) + 16
+        size += len(text.encode()) + 16
         if size >= limit:
             yield batch
             batch, size = [], 0

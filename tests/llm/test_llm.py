@@ -55,6 +55,7 @@ def test_token_counts(spark, documents, awkward):
     assert len(found) == 11
     for r in found:
         assert r.n_tokens == n(texts[r.doc_id])
+    assert token_counts.count_tokens(awkward.limit(0), VOCABULARY).count() == 0
 
 
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "a <|endoftext|> b<|endoftext|>", "x  y", "don't  stop\n \n now", "\0 a b", "é è​ ç", "a 　b", "1 234 ,. !? ok"])
@@ -93,6 +94,28 @@ def test_quality_edge(spark, awkward):
     assert {r.doc_id for r in quality_model.without_rejected(awkward, model).collect()} == {3, 4, 5, 6, 7, 8, 9}
 
 
+def test_quality_rules_by_hand(spark, documents):
+    """The compiled column against a plain evaluation of the rules over plainly computed statistics."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_model.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    stats, names = quality_model.statistics(docs, id_col="doc_id", text_col="text")
+    seen = 0
+    for r in stats.withColumn("score", model.score()).collect():
+        total = model.intercept + sum(w for rule, w in model.rules if all((r[n] > t) == above for n, above, t in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+        words = WORD.findall(documents[r.id] or "")
+        lines = [x for x in (documents[r.id] or "").split("\n") if WORD.search(x)]
+        assert r.log_words == pytest.approx(math.log1p(len(words))) and r.distinct_share == pytest.approx(len(set(words)) / max(1, len(words)))
+        assert r.words_per_line == pytest.approx(len(words) / max(1, len(lines))) and r.distinct_line_share == pytest.approx(len(set(lines)) / max(1, len(lines)))
+        assert r.adjacent_repeat_share == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)))
+        assert r.commas_per_word == pytest.approx(len(re.findall("[,;:]", documents[r.id] or "")) / max(1, len(words)))
+        seen += 1
+    assert seen == len(documents) and model.rules and len(names) == 14
+    assert quality_model.classify(docs.limit(0), model).count() == 0 and quality_model.without_rejected(docs.limit(0), model).count() == 0
+
+
 def test_source_mix_targets(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 300)], "source string, source_size long")
     got = {r.source: r.target for r in source_mix.targets(rows, (5, 2, 1), 3.0).collect()}
@@ -223,6 +246,29 @@ def test_language(spark, awkward):
     assert [found[i].lang_best for i in (0, 1, 2)] == ["und"] * 3 and all(found[i].lang_best in ("en", "xx") for i in range(3, 10))
 
 
+def test_language_by_plain_compression(spark, documents):
+    """Prediction against one compressor call a language and piece; the model holds whole texts within its budget."""
+    import unicodedata
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fold = lambda t: " ".join("".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split())
+    whole = {fold(t) for t in documents.values()}
+    model = language_id.fit(docs, docs_per_language=20, bytes_per_language=20_000)
+    assert len(model.dictionaries) == 4
+    for content in model.dictionaries.values():
+        assert len(content) <= 20_000 and all(x in whole for x in content.decode().split("\n"))
+    packers = {k: zstandard.ZstdCompressor(level=7, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, v in model.dictionaries.items()}
+    for r in language_id.predict(docs, model).collect():
+        data = fold(documents[r.doc_id]).encode()
+        sizes = {k: sum(len(p.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for k, p in packers.items()}
+        assert r.lang_best == (min(sizes, key=lambda k: (sizes[k], k)) if data else "und")
+    assert language_id.predict(docs.limit(0), model).count() == 0
+    tie = language_id.LanguageModel({"b": b"some words of it", "a": b"some words of it"})
+    assert {r.lang_best for r in language_id.predict(docs.where("text IS NOT NULL").limit(3), tie).collect()} == {"a"}
+
+
 def test_line_cleaning_edge(spark, awkward):
     rows = {r.doc_id: r for r in line_cleaning.clean_lines(awkward).collect()}
     assert rows[0].cleaned == "" and rows[0].n_words == 0 and not rows[0].kept
