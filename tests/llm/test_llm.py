@@ -549,6 +549,31 @@ def test_decontamination(spark, awkward):
     assert decontaminate.find_leaks(awkward, items).count() == 0 and decontaminate.find_leaks(awkward, items.limit(0)).count() == 0
 
 
+def test_decontamination_against_sql(spark):
+    """Items with numbers, names and units asked anew, moved by a word, contradicted, short, and repeated: the same SQL over a small fixture."""
+    import duckdb
+    import pandas as pd
+
+    item = "When Alice drove 120 km in 3 hours to see Robert she paid 45 dollars for fuel and was glad of it."
+    asked = item.replace("Alice", "Maria").replace("120", "300").replace("Robert", "Peter").replace("45", "70")
+    long = "After that she went home along the old road by the river, past the mill and the empty barns, and told her sister all about the long day."
+    texts = [
+        f"Well. {item} The end.", f"Well. {asked} The end.", f"Again: {asked} And then {asked}", long.replace("home along", "home again along"), item.replace("glad of it", "glad of every mile"),
+        item.replace("3 hours", "120 hours"), "They asked who wrote Hamlet today and then left.", "who wrote Hamlet yesterday", "It is 40 km from here.", item, item, None, "",
+    ]
+    docs = pd.DataFrame({"doc_id": [*range(9), 9, 9, 11, 12], "text": texts})
+    items = pd.DataFrame({"item_id": [1, 2, 3, 4, 5, 6, 7], "text": [item, "who wrote Hamlet today", "40 km from here", "too short", None, item, long]})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    con.register("benchmark", items)
+    rows = lambda pdf, schema: spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)], schema)
+    found = decontaminate.find_leaks(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string"))
+    assert rows_of(found) == sql_rows(con, decontaminate.ORACLE)
+    kinds = {(r.doc_id, r.item_id): r.kind for r in found.collect()}
+    assert kinds[0, 1] == kinds[3, 7] == kinds[6, 2] == kinds[9, 6] == "verbatim" and kinds[1, 1] == kinds[2, 1] == "reparameterised"
+    assert (7, 2) not in kinds and not any(i == 4 for _, i in kinds)
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline
 
