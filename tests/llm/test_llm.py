@@ -574,6 +574,21 @@ def test_decontamination_against_sql(spark):
     assert (7, 2) not in kinds and not any(i == 4 for _, i in kinds)
 
 
+def test_stages_on_awkward_rows(spark, awkward):
+    """Each stage on nulls, empties, a very long text, repeated rows and extra columns, and on no rows at all."""
+    import corpus_pipeline
+
+    rows = awkward.withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.unionByName(rows.where("doc_id IN (0, 5)").dropDuplicates(["doc_id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    every = [None, None, *range(10), 5]
+    kept = {"quality": every, "lines": every, "near_copies": [None, None, 0, 1, 2, 3, 5, 7, 8, 9], "leaks": every, "mix": every}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF)
+        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(kept[name], key=str), name
+        none = stage(spark, rows.limit(0), SF)
+        assert none.count() == 0 and (name == "mix" or out.columns == none.columns == rows.columns)
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline
 
