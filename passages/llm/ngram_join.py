@@ -4,7 +4,7 @@ Rows of the matrix are documents, columns are word n-grams. Documents with equal
 formed where it can hold a link: size-derived bounds say that two linked documents share one of the rarest n-grams of both,
 so the lists of those n-grams tie documents into clusters. A cluster that fits into one block is multiplied as a whole. A larger
 one is multiplied along its diagonal first, each block beside a few documents of the whole cluster; what these links leave outside the
-cluster's largest component is then multiplied with the blocks it shares a rare n-gram with, as all else is connected already.
+cluster's largest component is then put into blocks of its own, and these are multiplied with the blocks they share a rare n-gram with, as all else is connected already.
 Overlap counts are accumulated column chunk by column chunk, and pairs below the size-derived bound are discarded; each
 product returns a spanning forest of its links, never its pairs.
 
@@ -32,7 +32,7 @@ from passages.llm.components import components
 MIN_BITS, MAX_BITS = 16, 24
 _CHUNK = 1 << 16
 #: Documents and n-grams in a block of the product, and documents of its whole cluster beside each.
-BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 64, 1 << 21, 8
+BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 128, 1 << 21, 8
 #: Scaled count from which an n-gram's list may be too long for one task (about 4,000 documents).
 HOT = 108
 
@@ -254,44 +254,52 @@ def _products(docs: DataFrame, places: DataFrame, width: int, percent: int) -> D
     return rows.join(small(places), "id").groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
 
 
-def _blocks(members: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Adds block to the members (id, cluster, n, blocks) of large clusters: documents with one rarest n-gram stand together, as far as a block holds them."""
-    first = prefixes.where(F.col("at") < 2).select("id", F.col("gram").alias("first"))  # one a document
-    rows = members.join(first, "id").withColumn("bucket", F.pmod(F.xxhash64("first"), F.col("blocks"))).drop("first")
-    rows = written(rows.dropDuplicates(["id"]), "buckets")
+def _blocks(members: DataFrame, grams: DataFrame, name: str) -> DataFrame:
+    """Rows (id, cluster, block) of members (id, cluster, n): documents with one rarest n-gram stand together, as far as a block holds them."""
+    first = grams.where(F.col("at") < 2).select("id", F.col("gram").alias("first"))  # one a document
+    shape = members.groupBy("cluster").agg(F.ceil(1.25 * F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_NGRAMS)).cast("long").alias("buckets"))
+    rows = members.join(small(written(shape, "bucket-counts")), "cluster").join(first, "id")
+    rows = written(rows.select("id", "cluster", "n", F.pmod(F.xxhash64("first"), F.col("buckets")).alias("bucket")).dropDuplicates(["id"]), "buckets")
     parts = rows.groupBy("cluster", "bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_NGRAMS)).cast("long").alias("parts"))
     rows = rows.join(small(written(parts, "bucket-parts")), ["cluster", "bucket"])
-    return rows.select("id", "cluster", F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    return written(rows.select("id", "cluster", F.xxhash64(F.lit(name), "bucket", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
 
 
 def _links(docs: DataFrame, members: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect what the links inside the clusters connect. members: (id, cluster, n, blocks)."""
     whole = members.where("blocks = 1").select("id", "cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(True).alias("left"))
-    large = written(members.where("blocks > 1"), "large-clusters")
+    large = written(members.where("blocks > 1").select("id", "cluster", "n"), "large-clusters")
     if large.isEmpty():
         return _products(docs, written(whole, "places"), width, percent)
     grams = written(prefixes.join(small(large.select("id")), "id", "left_semi").select("id", "gram", "at"), "large-prefixes")
-    blocks = written(_blocks(large, grams), "blocks")
+    blocks = _blocks(large, grams, "first")
     # the diagonal, each block with some documents of its whole cluster
     order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
-    hubs = blocks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HUBS).select("cluster", "id")
-    beside = blocks.select("cluster", "block").distinct().join(F.broadcast(hubs) if large.select("cluster").distinct().count() * HUBS * 60 <= 1 << 24 else hubs, "cluster")
+    hubs = written(blocks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HUBS).select("cluster", "id"), "hubs")
+    beside = blocks.select("cluster", "block").distinct().join(small(hubs), "cluster")
     diagonal = blocks.select("id", "cluster", "block").union(beside.select("id", "cluster", "block")).distinct()
     diagonal = diagonal.select("id", "cluster", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("left"))
     links = written(_products(docs, written(whole.union(diagonal), "places"), width, percent), "first-links")
-    # what the largest component of a cluster leaves outside, against the blocks that show one of its n-grams
+    # what the largest component of a cluster leaves outside forms blocks of its own: these go against each other and
+    # against those of the component, wherever two blocks show the same n-gram
     found = components(links)
     grouped = blocks.join(small(found.withColumnRenamed("component", "to")), "id", "left").select("id", "cluster", "block", F.coalesce("to", "id").alias("to"))
     grouped = written(grouped, "grouped")
     largest = grouped.groupBy("cluster", "to").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("to", F.struct("n", "to")).alias("largest"))
-    rest = written(grouped.join(small(written(largest, "largest")), "cluster").where("to <> largest").select("id", "cluster", "block"), "rest")
+    grouped = written(grouped.join(small(written(largest, "largest")), "cluster").select("id", "cluster", "block", (F.col("to") == F.col("largest")).alias("inside")), "inside")
+    rest = grouped.where("NOT inside").join(small(large.select("id", "n")), "id").select("id", "cluster", "n")
     if rest.isEmpty():
         return links
-    shown = written(grams.join(small(blocks), "id").select("cluster", "gram", F.col("block").alias("j")).distinct(), "shown-by-blocks")
-    asked = grams.join(small(rest), "id").select("cluster", "gram", F.col("block").alias("i")).distinct()
-    pairs = written(asked.join(shown, ["cluster", "gram"]).where("i <> j").select("cluster", "i", "j").distinct(), "block-pairs")
-    left = rest.withColumnRenamed("block", "i").join(small(pairs), ["cluster", "i"]).select("id", "cluster", "i", "j", F.lit(True).alias("left"))
-    right = blocks.withColumnRenamed("block", "j").join(small(pairs), ["cluster", "j"]).select("id", "cluster", "i", "j", F.lit(False).alias("left"))
+    rest = _blocks(rest, grams, "rest")
+    inside = grouped.where("inside").select("id", "cluster", "block")
+    shows = lambda rows: written(grams.join(small(rows), "id").select("cluster", "gram", "block").distinct(), "shown")
+    asked, held = shows(rest), shows(inside)
+    i, j = asked.withColumnRenamed("block", "i"), asked.withColumnRenamed("block", "j")
+    pairs = i.join(j, ["cluster", "gram"]).where("i <= j").select("cluster", "i", "j").distinct()
+    pairs = pairs.union(i.join(held.withColumnRenamed("block", "j"), ["cluster", "gram"]).select("cluster", "i", "j").distinct())
+    pairs = small(written(pairs, "block-pairs"))
+    left = rest.withColumnRenamed("block", "i").join(pairs, ["cluster", "i"]).select("id", "cluster", "i", "j", F.lit(True).alias("left"))
+    right = rest.union(inside).withColumnRenamed("block", "j").join(pairs, ["cluster", "j"]).where("i <> j").select("id", "cluster", "i", "j", F.lit(False).alias("left"))
     return links.union(_products(docs, written(left.union(right), "places"), width, percent))
 
 
