@@ -41,11 +41,12 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT concat('r', n_regionkey, '.n', n_nationkey, '.c', c_custkey), c_name, 'file' FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "messages": """
         SELECT conv_id AS conversation_id, turn, role, text AS content, length(text) AS tokens_in, CAST(turn * 7 % 50 AS INT) AS tokens_out,
-          CASE WHEN turn % 6 = 5 THEN NULL ELSE CAST(length(text) * 2 + turn AS BIGINT) END AS cost_micro, CAST(100 + (conv_id * 37 + turn * 11) % 900 AS INT) AS latency_ms
+          CASE WHEN turn % 6 = 5 THEN NULL ELSE CAST(length(text) * 2 + turn AS BIGINT) END AS cost_micro, CAST(100 + (conv_id * 37 + turn * 11) % 900 AS INT) AS latency_ms,
+          CAST(1704067200 + conv_id * 3600 + turn * 60 AS BIGINT) AS created_s
         FROM conversations""",
     "catalog": """
-        SELECT * FROM (VALUES ('north', 'large', 3, 15, '2030-01-01'), ('north', 'small', 1, 5, NULL), ('south', 'large', 2, 8, '2023-06-01'),
-          ('south', 'small', 1, 3, NULL), ('west', 'small', 2, 2, '2024-01-15')) AS c(provider, model, price_in, price_out, retires_on)""",
+        SELECT * FROM (VALUES ('north', 'large', 3, 15, '2030-01-01', 'chat', CAST(NULL AS INT), false), ('north', 'small', 1, 5, NULL, 'embedding', 64, true), ('south', 'large', 2, 8, '2023-06-01', 'chat', NULL, false),
+          ('south', 'small', 1, 3, NULL, 'embedding', 128, false), ('west', 'small', 2, 2, '2024-01-15', 'embedding', 32, false)) AS c(provider, model, price_in, price_out, retires_on, kind, native_dimensions, supports_dimensions)""",
     "variants": """
         SELECT * FROM (VALUES (1, 1, 'control', 50, true, 10), (2, 1, 'short', 30, false, 11), (3, 1, 'long', 20, false, CAST(NULL AS INT)),
           (4, 2, 'control', 60, true, 12), (5, 2, 'other', 30, false, 12), (6, 3, 'only', 100, true, CAST(NULL AS INT))) AS v(id, experiment_id, name, traffic_percent, is_control, version_id)""",
@@ -56,7 +57,7 @@ VIEWS: dict[str, str] = {
         SELECT vec_id AS chunk_id, label AS source_id, CASE WHEN vec_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS model, embedding FROM embeddings""",
     "samples": """
         SELECT c.conv_id * 100 + c.turn AS item_id, CAST(c.conv_id % 3 AS BIGINT) AS run_id, c.text AS question,
-          CASE WHEN c.turn % 4 = 0 THEN '' WHEN c.turn % 4 = 1 THEN concat(c.text, ' [1]') WHEN c.turn % 4 = 2 THEN 'I do not know the answer.' ELSE c.text END AS answer,
+          CASE WHEN c.turn % 4 = 0 THEN '' WHEN c.turn % 4 = 1 THEN concat(c.text, ' [1]') WHEN c.turn % 4 = 2 THEN CASE WHEN c.conv_id % 3 = 0 THEN 'I do not know the answer.' WHEN c.conv_id % 3 = 1 THEN 'Я не знаю.' ELSE 'It is not found in the sources.' END ELSE c.text END AS answer,
           CASE WHEN c.turn % 5 = 0 THEN NULL ELSE 'reference' END AS expected_answer,
           CASE WHEN c.conv_id % 4 = 0 THEN '' ELSE concat('Doc-', CAST(c.conv_id % 6 AS INT), ',doc-', CAST(c.conv_id % 9 AS INT)) END AS expected_sources,
           CASE WHEN c.turn % 7 = 6 THEN '' ELSE concat('doc-', CAST(c.turn % 9 AS INT), ',DOC-', CAST(c.conv_id % 9 AS INT), ',doc-', CAST(c.turn % 9 AS INT)) END AS retrieved_sources,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Phrases by which an answer refuses, in lower case.
-REFUSALS = ("i do not know", "i don't know", "cannot answer", "no information", "not found in the")
+REFUSALS = ("i don't know", "i do not know", "no information", "не знаю", "cannot answer")
 
 
 def names(column: str) -> Column:
@@ -48,10 +48,18 @@ def unknown_metrics(wanted: list[str]) -> list[str]:
     return sorted(set(wanted) - set(METRICS) - set(JUDGED))
 
 
+def start_run(wanted: list[str]) -> list[str]:
+    """The metrics of a run that is about to start; unknown names are refused."""
+    unknown = unknown_metrics(wanted)
+    if unknown:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    return wanted
+
+
 def score_items(samples: DataFrame, wanted: list[str]) -> DataFrame:
-    """Long rows (run_id, item_id, metric, score); unknown names are left out here."""
+    """Long rows (run_id, item_id, metric, score); unknown names are left out here, and a metric that yields no number scores 0."""
     known = [m for m in wanted if m in METRICS]
-    scores = F.array(*[F.struct(F.lit(m).alias("metric"), METRICS[m]().cast("double").alias("score")) for m in known])
+    scores = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(METRICS[m]().cast("double"), F.lit(0.0)).alias("score")) for m in known])
     return samples.select("run_id", "item_id", F.inline(scores))
 
 
@@ -89,11 +97,15 @@ def judge_scores(samples: DataFrame, judge: Callable | None) -> DataFrame:
 
 
 def summarise_runs(scores: DataFrame, items: DataFrame) -> DataFrame:
-    """Mean per run and metric over the items that did not raise; a missing metric counts as 0. items: (run_id, item_id, error)."""
+    """Mean per run and metric over the items that did not raise; a missing metric counts as 0. items: (run_id, item_id, error).
+
+    A run of which every item raised has no means: one row with a null metric and the status failed.
+    """
     ok = items.where("error IS NULL").groupBy("run_id").agg(F.count("*").alias("n"))
     status = items.groupBy("run_id").agg(F.when(F.count_if(F.col("error").isNull()) == 0, "failed").otherwise("done").alias("status"))
     sums = scores.join(items.where("error IS NULL").select("run_id", "item_id"), ["run_id", "item_id"], "left_semi").groupBy("run_id", "metric").agg(F.sum("score").alias("total"))
-    return sums.join(ok, "run_id").join(status, "run_id").select("run_id", "metric", F.round(F.col("total") / F.col("n"), 4).alias("mean"), "status")
+    means = sums.join(ok, "run_id").select("run_id", "metric", F.round(F.col("total") / F.col("n"), 4).alias("mean"))
+    return status.join(means, "run_id", "left").select("run_id", "metric", "mean", "status")
 
 
 def run_cost(item_costs: DataFrame, judge_costs: DataFrame) -> DataFrame:
@@ -102,8 +114,11 @@ def run_cost(item_costs: DataFrame, judge_costs: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").agg(F.coalesce(F.sum("cost_micro"), F.lit(0)).cast("long").alias("cost_micro"))
 
 
-def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Metric by metric: both means (0 where absent) and their difference."""
+def compare_runs(baseline: DataFrame, candidate: DataFrame, datasets: tuple | None = None) -> DataFrame:
+    """Metric by metric: both means (0 where absent) and their difference. datasets: those of the two runs, which must be the same."""
+    if datasets and datasets[0] != datasets[1]:
+        raise ValueError("runs over different datasets do not compare")
+    baseline, candidate = baseline.where("metric IS NOT NULL"), candidate.where("metric IS NOT NULL")
     a, b = baseline.select("metric", F.col("mean").alias("baseline")), candidate.select("metric", F.col("mean").alias("candidate"))
     rows = a.join(b, "metric", "full_outer").select("metric", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.coalesce("candidate", F.lit(0.0)).alias("candidate"))
     return rows.withColumn("delta", F.round(F.col("candidate") - F.col("baseline"), 4))

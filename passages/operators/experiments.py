@@ -62,15 +62,22 @@ def assign_variants(turns: DataFrame, experiments: DataFrame, variants: DataFram
 
 def pin_and_check_arms(variants: DataFrame, current: DataFrame) -> DataFrame:
     """Pins a control without version to the current one, and flags arms that equal the control (two nulls are equal)."""
-    pinned = variants.join(F.broadcast(current), "experiment_id", "left")
+    pinned = variants.join(current, "experiment_id", "left")
     pinned = pinned.withColumn("version_id", F.when(F.col("is_control"), F.coalesce("version_id", "current_version_id")).otherwise(F.col("version_id")))
     control = pinned.where("is_control").select("experiment_id", F.col("version_id").alias("control_version"))
-    rows = pinned.join(F.broadcast(control), "experiment_id", "left")
+    rows = pinned.join(control, "experiment_id", "left")
     return rows.select("experiment_id", "id", "name", "version_id", (~F.col("is_control") & F.col("version_id").eqNullSafe(F.col("control_version"))).alias("same_as_control"))
 
 
-def variant_stats(usage: DataFrame, variants: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Calls, tokens, cost and assigned subjects of every variant, zeros where idle; usage without a variant doesn't count."""
+def variant_stats(usage: DataFrame, variants: DataFrame, assignments: DataFrame, *, experiment_id: int | None = None, org_id: int | None = None) -> DataFrame:
+    """Calls, tokens, cost and assigned subjects of every variant, zeros where idle; usage without a variant doesn't count.
+
+    One experiment's variants with experiment_id; one organisation's usage with org_id.
+    """
+    if experiment_id is not None:
+        variants, assignments = variants.where(F.col("experiment_id") == experiment_id), assignments.where(F.col("experiment_id") == experiment_id)
+    if org_id is not None:
+        usage = usage.where(F.col("org_id") == org_id)
     used = usage.where("variant_id IS NOT NULL").groupBy("variant_id").agg(F.count("*").alias("calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.sum("cost_micro").alias("cost_micro"))
     people = assignments.groupBy("variant_id").agg(F.countDistinct("subject").alias("subjects"))
     rows = variants.withColumnRenamed("id", "variant_id").join(used, "variant_id", "left").join(people, "variant_id", "left")

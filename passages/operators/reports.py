@@ -10,14 +10,15 @@ from pyspark.sql.window import Window
 def index_state(chunks: DataFrame, vectors: DataFrame, stamps: DataFrame, settings: dict) -> DataFrame:
     """Per source with chunks: whether it is indexed (has a vector) and whether that is stale.
 
-    Stale: a vector of another model, or a stamp of the chunker that is missing or differs from the settings.
+    Stale: a vector of another model, or a stamp of the chunker that is missing or differs from the settings. Stamps are text; what is missing or
+    no number counts as 0, or -1 for the overlap, and a missing strategy as ''.
     """
     found = chunks.join(vectors.select("chunk_id", "model"), "chunk_id", "left").groupBy("source_id").agg(
         F.bool_or(F.col("model").isNotNull()).alias("indexed"), F.coalesce(F.bool_or(F.col("model") != settings["model"]), F.lit(False)).alias("other_model"))
     rows = found.join(stamps, "source_id", "left")
-    same = [F.coalesce(F.try_to_number(F.col(k).cast("string"), F.lit("99999")).cast("int") == settings[k], F.lit(False)) for k in ("chunker_version", "chunk_size", "chunk_overlap")]
-    same_all = same[0] & same[1] & same[2]
-    return rows.select("source_id", "indexed", (F.col("indexed") & (F.col("other_model") | ~same_all)).alias("stale"))
+    number = lambda k, missing: F.coalesce(F.col(k).try_cast("long"), F.lit(missing)) == settings[k]
+    same = number("chunker_version", 0) & number("chunk_size", 0) & number("chunk_overlap", -1) & (F.coalesce("chunk_strategy", F.lit("")) == settings["chunk_strategy"])
+    return rows.select("source_id", "indexed", (F.col("indexed") & (F.col("other_model") | ~same)).alias("stale"))
 
 
 def select_reindex(sources: DataFrame, state: DataFrame, only_stale: bool) -> DataFrame:
@@ -32,7 +33,7 @@ def ingest_report(sources: DataFrame) -> DataFrame:
     """Sources by final status and language, with chunks and tokens and the longest error, cut at 1900 characters."""
     return sources.groupBy("status", "lang").agg(
         F.count("*").alias("sources"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"),
-        F.max(F.substring("error", 1, 1900)).alias("error"))
+        F.max_by(F.substring("error", 1, 1900), F.struct(F.length("error"), F.col("error"))).alias("error"))
 
 
 def audit_index(chunks: DataFrame, vectors: DataFrame, postings: DataFrame) -> DataFrame:
@@ -54,13 +55,23 @@ def node_timing_report(runs: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("mean_ms"), F.percentile("duration_ms", 0.5).alias("p50_ms"), F.percentile("duration_ms", 0.95).alias("p95_ms"))
 
 
+def runs_by_status(runs: DataFrame) -> DataFrame:
+    """Runs by their status."""
+    return runs.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def agent_turn_rollup(messages: DataFrame) -> DataFrame:
-    """Per conversation: tokens and cost over its steps, calls made by tools (system rows here), and the last assistant text."""
+    """Per turn, from a user's message to the next one: tokens and cost over its steps, the tools called in order, and the last assistant text.
+
+    Tool calls are the system rows here, the first word of their content the tool's name. Rows before the first user message are turn 0.
+    """
     is_tool = F.col("role") == "system"
-    return messages.groupBy("conversation_id").agg(
+    order = Window.partitionBy("conversation_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = messages.withColumn("turn_no", F.sum((F.col("role") == "user").cast("int")).over(order))
+    return rows.groupBy("conversation_id", F.col("turn_no").cast("long").alias("turn_no")).agg(
         F.sum("tokens_in").cast("long").alias("tokens_in"), F.sum("tokens_out").cast("long").alias("tokens_out"), F.coalesce(F.sum("cost_micro"), F.lit(0)).cast("long").alias("cost_micro"),
         F.count_if(is_tool).alias("tool_calls"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(is_tool, F.struct("turn", "content")))), lambda x: x["turn"].cast("string")), ",").alias("calls"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(is_tool, F.struct("turn", "content")))), lambda x: F.substring_index(x["content"], " ", 1)), ",").alias("calls"),
         F.max_by(F.when(F.col("role") == "assistant", F.col("content")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"))
 
 
@@ -74,10 +85,11 @@ def pipeline_usage(pipelines: DataFrame, versions: DataFrame, bots: DataFrame) -
 
 
 def conversation_rollup(messages: DataFrame) -> DataFrame:
-    """Per conversation: title (first user message, 64 characters), messages, turns of the user, tokens, cost and latency."""
+    """Per conversation: title (first user message, 64 characters), messages in all and by role, tokens, cost, latency and last activity."""
     is_user = F.col("role") == "user"
     return messages.groupBy("conversation_id").agg(
         F.substring(F.min_by(F.when(is_user, F.col("content")), F.when(is_user, F.col("turn"))), 1, 64).alias("title"), F.count("*").alias("messages"), F.count_if(is_user).alias("user_turns"),
+        *[F.count_if(F.col("role") == role).alias(f"{role}_messages") for role in ("assistant", "system")], F.max("created_s").alias("last_activity_s"),
         F.sum(F.col("tokens_in") + F.col("tokens_out")).cast("long").alias("tokens"), F.coalesce(F.sum("cost_micro"), F.lit(0)).cast("long").alias("cost_micro"), F.max("latency_ms").alias("latency_ms"))
 
 
@@ -97,6 +109,11 @@ def histogram_quantile(observations: DataFrame, value: str, by: list[str], bound
     return hit.select(*by, F.col("total").alias("n"), F.round(F.when(F.col("bucket") == len(bounds), float(bounds[-1])).otherwise(inside), 6).alias("quantile"))
 
 
+def stage_hits(observations: DataFrame, by: list[str]) -> DataFrame:
+    """How many observations there are by retrieval stage and outcome, or the like."""
+    return observations.groupBy(*by).agg(F.count("*").alias("hits"))
+
+
 def audit_report(audit: DataFrame, by: list[str]) -> DataFrame:
     """Entries by the given columns, with failures by the reason in their payload."""
     return audit.groupBy(*by, F.get_json_object("payload", "$.reason").alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("ip").alias("addresses"))

@@ -51,8 +51,8 @@ def role_rank(role: Column) -> Column:
 
 
 def access_scope(rows: DataFrame, memberships: DataFrame, user_id: int, is_super: bool, min_role: str) -> DataFrame:
-    """Rows of the organisations in which the user has at least a role; a super-admin sees all."""
+    """Rows of the organisations in which the user has at least a role, with that role; a super-admin sees all, as their owner."""
     if is_super:
-        return rows
+        return rows.withColumn("role", F.lit("owner"))
     own = memberships.where((F.col("user_id") == user_id) & (role_rank(F.col("role")) >= ROLES.get(min_role, 0)))
-    return rows.join(own.select("org_id").distinct(), "org_id", "left_semi")
+    return rows.join(own.groupBy("org_id").agg(F.max_by("role", role_rank(F.col("role"))).alias("role")), "org_id")

@@ -52,14 +52,21 @@ def cost(price_in: Column, price_out: Column, tokens_in: Column, tokens_out: Col
 
 def price_calls(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Prices each call by the catalog; models that it doesn't know keep a null cost, flagged."""
-    prices = F.broadcast(catalog.select("provider", "model", "price_in", "price_out"))  # the catalog is a configuration file
+    prices = catalog.select("provider", "model", "price_in", "price_out")
     joined = calls.join(prices, ["provider", "model"], "left")
     return joined.withColumn("cost", cost(F.col("price_in"), F.col("price_out"), F.col("tokens_in"), F.col("tokens_out"))).withColumn("cost_unknown", F.col("price_in").isNull())
 
 
-def select_models(catalog: DataFrame, as_of: str) -> DataFrame:
-    """Models that are still on offer at as_of."""
-    return catalog.where(F.col("retires_on").isNull() | (F.col("retires_on") > as_of))
+def select_models(catalog: DataFrame, as_of: str, dimensions: int, embedding_providers: tuple[str, ...]) -> DataFrame:
+    """Models that are still on offer at as_of, with usable and unusable_reason.
+
+    A chat model is usable. An embedding model needs a provider with an adapter, and vectors that are as wide as the index or can be cut.
+    """
+    rows = catalog.where(F.col("retires_on").isNull() | (F.col("retires_on") > as_of))
+    fixed = ~F.coalesce("supports_dimensions", F.lit(False)) & ~F.col("native_dimensions").eqNullSafe(F.lit(dimensions))
+    reason = F.when(F.col("kind") == "embedding", F.when(~F.col("provider").isin(*embedding_providers), F.concat(F.lit("no embedding adapter for "), F.col("provider")))
+                    .when(fixed, F.concat(F.lit("fixed width of "), F.coalesce(F.col("native_dimensions").cast("string"), F.lit("unknown")), F.lit(f", the index stores {dimensions}"))))
+    return rows.withColumn("unusable_reason", reason).withColumn("usable", F.col("unusable_reason").isNull())
 
 
 def classify_provider_errors(calls: DataFrame) -> DataFrame:
@@ -81,6 +88,10 @@ def resolve_key_source(orgs: DataFrame, own_keys: DataFrame, deployment_keys: Da
     return rows.select("org_id", "provider", source.alias("key_source"), (F.coalesce("own", F.lit(False)) | F.coalesce("shared", F.lit(False))).alias("usable"))
 
 
-def embedding_usage(chunks: DataFrame, price_per_million: int) -> DataFrame:
-    """One usage row for each source that was embedded: its tokens and their price in millionths."""
-    return chunks.groupBy("source_id").agg(F.sum("tokens").alias("tokens_in")).withColumn("cost_micro", F.col("tokens_in") * price_per_million)
+def embedding_usage(chunks: DataFrame, price_per_million: int, keys: DataFrame) -> DataFrame:
+    """One usage row for each source that was embedded: its organisation, tokens, their price in millionths, and whose key paid.
+
+    keys (org_id, key_source): what resolve_key_source() says for the provider; an organisation without a key counts as its own.
+    """
+    rows = chunks.groupBy("source_id", "org_id").agg(F.sum("tokens").alias("tokens_in")).withColumn("cost_micro", F.col("tokens_in") * price_per_million)
+    return rows.join(keys.select("org_id", "key_source"), "org_id", "left").select("source_id", "org_id", "tokens_in", "cost_micro", F.coalesce("key_source", F.lit("org")).alias("key_source"))

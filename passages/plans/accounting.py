@@ -66,11 +66,14 @@ def price_calls(spark, sf_dir):
 
 
 @query("""
-SELECT provider, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in FROM usage_events JOIN catalog USING (provider, model)
+SELECT provider, model, any_value(kind) AS kind, any_value(CASE WHEN kind = 'chat' THEN NULL WHEN provider NOT IN ('north', 'south') THEN 'no embedding adapter for ' || provider
+  WHEN NOT supports_dimensions AND native_dimensions <> 64 THEN 'fixed width of ' || native_dimensions || ', the index stores 64' END) AS unusable_reason,
+  bool_and(kind = 'chat' OR provider IN ('north', 'south') AND (supports_dimensions OR native_dimensions = 64)) AS usable, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in FROM usage_events JOIN catalog USING (provider, model)
 WHERE retires_on IS NULL OR retires_on > '2024-01-10' GROUP BY 1, 2""", "usage_events", "catalog")
 def select_models(spark, sf_dir):
-    offered = usage.select_models(view(spark, sf_dir, "catalog"), "2024-01-10").select("provider", "model")
-    return view(spark, sf_dir, "usage_events").join(F.broadcast(offered), ["provider", "model"]).groupBy("provider", "model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"))
+    columns = ("provider", "model", "kind", "unusable_reason", "usable")
+    offered = usage.select_models(view(spark, sf_dir, "catalog"), "2024-01-10", 64, ("north", "south")).select(*columns)
+    return view(spark, sf_dir, "usage_events").join(offered, ["provider", "model"]).groupBy(*columns).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"))
 
 
 _CALLS = """SELECT provider, model, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 401 WHEN 1 THEN 429 WHEN 2 THEN 429 WHEN 3 THEN NULL WHEN 4 THEN 503 ELSE 404 END AS status,
@@ -93,13 +96,13 @@ def resolve_key_source(spark, sf_dir):
     return usage.resolve_key_source(_distinct(rows, "org_id", "provider"), rows.where("key_source = 'org' AND org_id % 2 = 0"), _distinct(rows.where("provider <> 'west'"), "provider"))
 
 
-_CHUNKS = "SELECT doc_id * 10 + k AS chunk_id, doc_id AS source_id, CAST(n_chars // 4 AS BIGINT) AS tokens"
-
-
-@query("SELECT doc_id AS source_id, sum(n_chars)::BIGINT AS tokens_in, sum(n_chars)::BIGINT * 2 AS cost_micro FROM documents GROUP BY 1")
+@query("""SELECT id AS source_id, org_id, n_chars AS tokens_in, n_chars * 2 AS cost_micro, CASE WHEN org_id % 3 = 0 THEN 'org' WHEN org_id % 3 = 1 THEN 'system' ELSE 'org' END AS key_source FROM sources""", "sources")
 def embedding_usage(spark, sf_dir):
-    chunks = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("n_chars").alias("tokens"))
-    return usage.embedding_usage(chunks, 2)
+    sources = view(spark, sf_dir, "sources")
+    chunks = sources.select(F.col("id").alias("source_id"), "org_id", F.inline(F.array(*[F.struct(part.alias("tokens")) for part in (F.col("n_chars") - F.col("n_chars") % 7, F.col("n_chars") % 7)])))
+    orgs = sources.select("org_id", F.when(F.col("org_id") % 3 == 2, "west").otherwise("north").alias("provider")).distinct()
+    keys = usage.resolve_key_source(orgs, orgs.where("org_id % 3 = 0"), _distinct(orgs.where("provider = 'north'"), "provider"))
+    return usage.embedding_usage(chunks, 2, keys)
 
 
 # experiments
@@ -170,10 +173,10 @@ def pin_and_check_arms(spark, sf_dir):
 
 @query("""
 SELECT CAST(v.id AS BIGINT) AS variant_id, name, traffic_percent, is_control, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, coalesce(cost_micro, 0) AS cost_micro, coalesce(subjects, 0) AS subjects FROM variants v
-LEFT JOIN (SELECT variant_id, count(*) AS calls, sum(tokens_in + tokens_out)::BIGINT AS tokens, sum(cost_micro)::BIGINT AS cost_micro FROM usage_events WHERE variant_id IS NOT NULL GROUP BY 1) u ON u.variant_id = v.id
-LEFT JOIN (SELECT variant_id, count(DISTINCT subject) AS subjects FROM assignments GROUP BY 1) a ON a.variant_id = v.id""", "usage_events", "variants", "assignments")
+LEFT JOIN (SELECT variant_id, count(*) AS calls, sum(tokens_in + tokens_out)::BIGINT AS tokens, sum(cost_micro)::BIGINT AS cost_micro FROM usage_events WHERE variant_id IS NOT NULL AND org_id = 3 GROUP BY 1) u ON u.variant_id = v.id
+LEFT JOIN (SELECT variant_id, count(DISTINCT subject) AS subjects FROM assignments WHERE experiment_id = 1 GROUP BY 1) a ON a.variant_id = v.id WHERE v.experiment_id = 1""", "usage_events", "variants", "assignments")
 def variant_stats(spark, sf_dir):
-    return experiments.variant_stats(view(spark, sf_dir, "usage_events"), view(spark, sf_dir, "variants"), view(spark, sf_dir, "assignments"))
+    return experiments.variant_stats(view(spark, sf_dir, "usage_events"), view(spark, sf_dir, "variants"), view(spark, sf_dir, "assignments"), experiment_id=1, org_id=3)
 
 
 # the source tree
@@ -210,7 +213,7 @@ def tenant_scope(spark, sf_dir):
 _MEMBERS = "SELECT DISTINCT user_id, CAST(user_id % 8 AS BIGINT) AS org_id, CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' WHEN 2 THEN 'admin' WHEN 3 THEN 'owner' ELSE 'guest' END AS role FROM {t}"
 
 
-@query("SELECT event_id, org_id FROM usage_events WHERE org_id IN (SELECT CAST(user_id % 8 AS BIGINT) FROM events WHERE user_id = 7 AND user_id % 5 IN (1, 2, 3))", "usage_events")
+@query("SELECT event_id, org_id, 'admin' AS role FROM usage_events WHERE org_id IN (SELECT CAST(user_id % 8 AS BIGINT) FROM events WHERE user_id = 7 AND user_id % 5 = 2)", "usage_events")
 def access_scope(spark, sf_dir):
     members = spark.sql(_MEMBERS, t=view(spark, sf_dir, "events"))
     return tree.access_scope(view(spark, sf_dir, "usage_events").select("event_id", "org_id"), members, 7, False, "editor")
@@ -218,17 +221,18 @@ def access_scope(spark, sf_dir):
 
 # reports
 
-_STAMPS = "SELECT label AS source_id, CASE WHEN label % 4 = 0 THEN NULL ELSE CAST(2 AS INT) END AS chunker_version, CAST(400 AS INT) AS chunk_size, CAST(40 - label % 3 AS INT) AS chunk_overlap FROM {t} GROUP BY label"
+_STAMPS = """SELECT label AS source_id, CASE WHEN label % 4 = 0 THEN NULL ELSE '2' END AS chunker_version, CASE WHEN label % 7 = 6 THEN 'large' ELSE '400000' END AS chunk_size,
+  CAST(40 - CASE WHEN label % 6 = 5 THEN 1 ELSE 0 END AS VARCHAR(9)) AS chunk_overlap, CASE WHEN label % 5 = 3 THEN NULL WHEN label % 5 = 4 THEN 'fixed' ELSE 'semantic' END AS chunk_strategy FROM {t} GROUP BY label"""
 
 
 @query(f"""
 WITH s AS ({_STAMPS.format(t='embeddings')}), f AS (SELECT source_id, bool_or(chunk_id % 5 <> 0 OR source_id % 5 = 0) AS indexed,
   coalesce(bool_or(model <> 'm0') FILTER (WHERE chunk_id % 5 <> 0 OR source_id % 5 = 0), false) AS other_model FROM vectors GROUP BY 1)
-SELECT source_id, indexed, indexed AND (other_model OR NOT coalesce(chunker_version = 2 AND chunk_size = 400 AND chunk_overlap = 40, false)) AS stale FROM f LEFT JOIN s USING (source_id)""", "vectors")
+SELECT source_id, indexed, indexed AND (other_model OR NOT coalesce(chunker_version = '2' AND chunk_size = '400000' AND chunk_overlap = '40' AND chunk_strategy = 'semantic', false)) AS stale FROM f LEFT JOIN s USING (source_id)""", "vectors")
 def index_state(spark, sf_dir):
     rows = view(spark, sf_dir, "vectors")
     stored = rows.where("chunk_id % 5 <> 0 OR source_id % 5 = 0").select("chunk_id", "model")
-    return reports.index_state(rows.select("chunk_id", "source_id"), stored, spark.sql(_STAMPS, t=view(spark, sf_dir, "embeddings")), {"model": "m0", "chunker_version": 2, "chunk_size": 400, "chunk_overlap": 40})
+    return reports.index_state(rows.select("chunk_id", "source_id"), stored, spark.sql(_STAMPS, t=view(spark, sf_dir, "embeddings")), {"model": "m0", "chunker_version": 2, "chunk_size": 400_000, "chunk_overlap": 40, "chunk_strategy": "semantic"})
 
 
 @query("SELECT id, 'pending' AS status FROM sources WHERE type <> 'directory' AND n_chars > 3000", "sources")
@@ -242,7 +246,7 @@ _REPORT = """SELECT CASE WHEN n_chars < 100 THEN 'failed' ELSE 'ready' END AS st
   CASE WHEN n_chars < 100 THEN concat('too short: ', text) END AS error FROM {t}"""
 
 
-@query(f"SELECT status, lang, count(*) AS sources, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens, max(substr(error, 1, 1900)) AS error FROM ({_REPORT.format(t='sources')}) GROUP BY 1, 2", "sources")
+@query(f"SELECT status, lang, count(*) AS sources, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens, arg_max(substr(error, 1, 1900), (length(error), error)) AS error FROM ({_REPORT.format(t='sources')}) GROUP BY 1, 2", "sources")
 def ingest_report(spark, sf_dir):
     return reports.ingest_report(spark.sql(_REPORT.replace("//", "div"), t=view(spark, sf_dir, "sources")))
 
@@ -268,8 +272,9 @@ def node_timing_report(spark, sf_dir):
     return reports.node_timing_report(runs)
 
 
-@query("""SELECT conversation_id, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, coalesce(sum(cost_micro), 0)::BIGINT AS cost_micro, count(*) FILTER (WHERE role = 'system') AS tool_calls,
-  coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn, content) FILTER (WHERE role = 'system'), '') AS calls, arg_max(content, turn) FILTER (WHERE role = 'assistant') AS answer FROM messages GROUP BY 1""", "messages")
+@query("""SELECT conversation_id, turn_no, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, coalesce(sum(cost_micro), 0)::BIGINT AS cost_micro, count(*) FILTER (WHERE role = 'system') AS tool_calls,
+  coalesce(string_agg(split_part(content, ' ', 1), ',' ORDER BY turn, content) FILTER (WHERE role = 'system'), '') AS calls, arg_max(content, turn) FILTER (WHERE role = 'assistant') AS answer
+FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS turn_no FROM messages) GROUP BY 1, 2""", "messages")
 def agent_turn_rollup(spark, sf_dir):
     return reports.agent_turn_rollup(view(spark, sf_dir, "messages"))
 
@@ -281,7 +286,7 @@ def pipeline_usage(spark, sf_dir):
     return reports.pipeline_usage(key("nation", "n_nationkey").select("pipeline_id"), key("supplier", "s_nationkey"), key("customer", "c_nationkey").where("c_acctbal > 9900"))
 
 
-@query("""SELECT conversation_id, substr(arg_min(content, turn) FILTER (WHERE role = 'user'), 1, 64) AS title, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS user_turns, sum(tokens_in + tokens_out)::BIGINT AS tokens,
+@query("""SELECT conversation_id, substr(arg_min(content, turn) FILTER (WHERE role = 'user'), 1, 64) AS title, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages, count(*) FILTER (WHERE role = 'system') AS system_messages, max(created_s) AS last_activity_s, sum(tokens_in + tokens_out)::BIGINT AS tokens,
   coalesce(sum(cost_micro), 0)::BIGINT AS cost_micro, max(latency_ms) AS latency_ms FROM messages GROUP BY 1""", "messages")
 def conversation_rollup(spark, sf_dir):
     return reports.conversation_rollup(view(spark, sf_dir, "messages"))
@@ -304,13 +309,23 @@ def histogram_quantile(spark, sf_dir):
     return reports.histogram_quantile(view(spark, sf_dir, "requests"), "seconds", ["route"], BOUNDS, 0.95)
 
 
-_AUDIT = """SELECT event_type AS action, CAST(user_id % 4 AS BIGINT) AS org_id, concat('10.0.', CAST(user_id % 30 AS INT), '.1') AS ip,
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def runs_by_status(spark, sf_dir):
+    return reports.runs_by_status(view(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"))
+
+
+@query("SELECT route AS stage, status, count(*) AS hits FROM requests GROUP BY 1, 2", "requests")
+def stage_hits(spark, sf_dir):
+    return reports.stage_hits(view(spark, sf_dir, "requests").withColumnRenamed("route", "stage"), ["stage", "status"])
+
+
+_AUDIT = """SELECT event_type AS action, user_id AS actor_user_id, CAST(user_id % 4 AS BIGINT) AS org_id, concat('10.0.', CAST(user_id % 30 AS INT), '.1') AS ip,
   CASE WHEN event_type = 'error' THEN concat('{{"reason": "r', CAST(event_id % 3 AS INT), '"}}') ELSE '{{}}' END AS payload FROM {t}"""
 
 
-@query("SELECT event_type AS action, CAST(user_id % 4 AS BIGINT) AS org_id, CASE WHEN event_type = 'error' THEN concat('r', CAST(event_id % 3 AS INT)) END AS reason, count(*) AS n, count(DISTINCT user_id % 30) AS addresses FROM events GROUP BY ALL")
+@query("SELECT event_type AS action, user_id AS actor_user_id, CAST(user_id % 4 AS BIGINT) AS org_id, CASE WHEN event_type = 'error' THEN concat('r', CAST(event_id % 3 AS INT)) END AS reason, count(*) AS n, count(DISTINCT user_id % 30) AS addresses FROM events GROUP BY ALL")
 def audit_report(spark, sf_dir):
-    return reports.audit_report(spark.sql(_AUDIT, t=view(spark, sf_dir, "events")), ["action", "org_id"])
+    return reports.audit_report(spark.sql(_AUDIT, t=view(spark, sf_dir, "events")), ["action", "org_id", "actor_user_id"])
 
 
 _REQUESTS = "SELECT event_id AS request_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'rejected' ELSE 'approved' END AS decision FROM {t} WHERE event_type = 'signup'"

@@ -29,7 +29,7 @@ _SQL_METRICS = {
     "retrieval_recall": f"CASE WHEN len({_names('expected_sources')}) = 0 THEN 1.0 ELSE len(list_filter({_names('expected_sources')}, lambda x: list_contains({_names('retrieved_sources')}, x)))::DOUBLE / len({_names('expected_sources')}) END",
     "context_precision": f"CASE WHEN len({_names('expected_sources')}) = 0 THEN 1.0 WHEN len({_names('retrieved_sources')}) = 0 THEN 0.0 ELSE len(list_filter({_names('retrieved_sources')}, lambda x: list_contains({_names('expected_sources')}, x)))::DOUBLE / len({_names('retrieved_sources')}) END",
     "citation_rate": r"CASE WHEN trim(context) = '' THEN 0.0 WHEN regexp_matches(answer, '\[[0-9]{1,2}\]') THEN 1.0 ELSE 0.0 END",
-    "answered": "CASE WHEN trim(answer) = '' OR regexp_matches(lower(answer), '" + "|".join(p.replace("'", "''") for p in evals.REFUSALS) + "') THEN 0.0 ELSE 1.0 END",
+    "answered": "CASE WHEN trim(answer) = '' OR regexp_matches(lower(answer), 'i don''t know|i do not know|no information|не знаю|cannot answer') THEN 0.0 ELSE 1.0 END",
 }
 _SQL_SCORES = " UNION ALL ".join(f"SELECT run_id, item_id, '{m}' AS metric, ({sql})::DOUBLE AS score FROM samples" for m, sql in _SQL_METRICS.items())
 
@@ -51,12 +51,13 @@ def score_items(spark, sf_dir):
     return evals.score_items(view(spark, sf_dir, "samples"), [*evals.METRICS, "no_such_metric"]).withColumn("score", F.round("score", 6))
 
 
-_ITEMS = "SELECT run_id, item_id, CASE WHEN item_id % 17 = 0 THEN 'failed to run' END AS error FROM {t}"
+_ITEMS = "SELECT run_id, item_id, CASE WHEN run_id = 2 OR item_id % 17 = 0 THEN 'failed to run' END AS error FROM {t}"
 
 
 @query(f"""
 WITH i AS ({_ITEMS.format(t='samples')}), sc AS ({_SQL_SCORES}), n AS (SELECT run_id, count(*) AS n FROM i WHERE error IS NULL GROUP BY 1)
-SELECT run_id, metric, round(sum(score) / any_value(n), 4) AS mean, 'done' AS status FROM sc JOIN i USING (run_id, item_id) JOIN n USING (run_id) WHERE error IS NULL GROUP BY 1, 2""", "samples")
+SELECT run_id, metric, mean, CASE WHEN n IS NULL THEN 'failed' ELSE 'done' END AS status FROM (SELECT DISTINCT run_id FROM i) LEFT JOIN n USING (run_id) LEFT JOIN (
+  SELECT run_id, metric, round(sum(score) / any_value(n), 4) AS mean FROM sc JOIN i USING (run_id, item_id) JOIN n USING (run_id) WHERE error IS NULL GROUP BY 1, 2) USING (run_id)""", "samples")
 def summarise_runs(spark, sf_dir):
     samples = view(spark, sf_dir, "samples")
     return evals.summarise_runs(evals.score_items(samples, list(evals.METRICS)), spark.sql(_ITEMS, t=samples))
@@ -75,7 +76,7 @@ SELECT *, round(candidate - baseline, 4) AS delta FROM c"""
 
 @query(_COMPARED, "samples")
 def compare_runs(spark, sf_dir):
-    return evals.compare_runs(*_summaries(spark, sf_dir))
+    return evals.compare_runs(*_summaries(spark, sf_dir), datasets=(1, 1))
 
 
 @query(f"SELECT * FROM ({with_views(_COMPARED, 'samples')}) WHERE delta < -0.01")

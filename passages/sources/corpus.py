@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 # File types that are taken in, and verbs that a read-only statement may not hold.
 SUPPORTED = ("pdf", "txt", "md", "json", "docx", "xlsx", "html", "htm")
-FORBIDDEN = "insert update delete drop alter create truncate grant revoke merge call set copy vacuum refresh cache load".split()
+FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "grant", "revoke", "truncate", "copy", "call", "do")
+#: Further verbs of Spark's own that change something.
+FORBIDDEN_HERE = ("merge", "set", "refresh", "cache", "uncache", "load", "msck", "analyze")
 MAX_BYTES = 25 * 1024 * 1024
 
 
@@ -114,12 +116,27 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def guarded_sql(spark: SparkSession, views: dict[str, DataFrame], statement: str, limit: int = 50) -> tuple[DataFrame, bool]:
-    """Runs one SELECT over the given views; at most `limit` rows come back, with whether some were left out."""
+    """Runs one SELECT over the given views; at most `limit` rows come back, with whether some were left out.
+
+    The statement reads nothing but the views: files can't be named in it, and a relation of the session's catalog is refused. It
+    runs once, and the views are gone from the session afterwards.
+    """
     text = statement.strip().rstrip(";").strip()
     bare = re.sub(r"'[^']*'", "''", text)
-    if ";" in bare or not re.match(r"(?i)(select|with)\b", bare) or re.search(r"(?i)\b(" + "|".join(FORBIDDEN) + r")\b", bare):
+    if ";" in bare or not re.match(r"(?i)(select|with)\b", bare) or re.search(r"(?i)\b(" + "|".join(FORBIDDEN + FORBIDDEN_HERE) + r")\b", bare):
         raise ValueError("only a single SELECT is allowed")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    rows = spark.sql(text)
-    return rows.limit(limit), rows.limit(limit + 1).count() > limit
+    others = {t.name.lower() for t in spark.catalog.listTables()} - {name.lower() for name in views}
+    if others & set(re.findall(r"\w+", bare.lower())) or re.search(r"(?i)\b(from|join)\s+[`\w]+\s*\.", bare):
+        raise ValueError("only the given views can be read")
+    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        rows = spark.sql(text).limit(limit + 1)
+        found = rows.collect()  # limit + 1 rows at most
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)
+        for name in views:
+            spark.catalog.dropTempView(name)
+    return spark.createDataFrame(found[:limit], rows.schema), len(found) > limit

@@ -124,7 +124,12 @@ def test_sources(spark, tmp_path):
     nodes = spark.range(60).withColumnRenamed("id", "n")
     rows, more = corpus.guarded_sql(spark, {"t": nodes}, "select n from t;")
     assert rows.count() == 50 and more
-    for bad in ("drop table t", "select 1; select 2", "with x as (select 1) insert into t select 1"):
+    with pytest.raises(Exception):
+        spark.table("t")  # the view is gone
+    spark.range(3).createOrReplaceTempView("secret_rows")
+    files = f"{SF}/nation.parquet"
+    for bad in ("drop table t", "select 1; select 2", "with x as (select 1) insert into t select 1", "do something", f"select * from parquet.`{files}`", f"select * from t join `parquet`.`{files}` on true",
+                "select * from secret_rows", "select n from t where n in (select id from secret_rows)", "select * from default.t"):
         with pytest.raises(ValueError):
             corpus.guarded_sql(spark, {"t": nodes}, bad)
 
@@ -194,3 +199,20 @@ def test_stream_ingest(spark, tmp_path):
 def test_histogram_above_last_bound(spark):
     rows = spark.createDataFrame([("a", 99.0)] * 3, "route string, seconds double")
     assert reports.histogram_quantile(rows, "seconds", ["route"], [1.0, 2.0], 0.5).first().quantile == 2.0
+
+
+def test_summaries_and_refusals(spark):
+    """A run of which every item raised is failed and has no means; five phrases refuse; unknown metrics and unlike datasets are refused."""
+    scores = spark.createDataFrame([(1, 1, "m", 1.0), (1, 2, "m", 0.5), (1, 2, "k", 1.0)], "run_id int, item_id int, metric string, score double")
+    items = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "boom"), (2, 4, "boom"), (2, 5, "boom")], "run_id int, item_id int, error string")
+    found = evals.summarise_runs(scores, items)
+    assert {(r.run_id, r.metric, r.mean, r.status) for r in found.collect()} == {(1, "m", 0.75, "done"), (1, "k", 0.5, "done"), (2, None, None, "failed")}
+    assert {(r.metric, r.delta) for r in evals.compare_runs(found.where("run_id = 1"), found.where("run_id = 2")).collect()} == {("m", -0.75), ("k", -0.5)}
+    answers = ["I don't know.", "Well, I do not know that", "There is NO INFORMATION here", "Я не знаю", "I cannot answer", " ", "It was not found in the sources.", "Because."]
+    rows = spark.createDataFrame([(1, i, a) for i, a in enumerate(answers)], "run_id int, item_id int, answer string")
+    assert [r.score for r in rows.select(evals.answered().alias("score")).collect()] == [0.0] * 6 + [1.0, 1.0]
+    for bad in (lambda: evals.start_run(["answered", "zzz"]), lambda: evals.compare_runs(found, found, datasets=(1, 2))):
+        with pytest.raises(ValueError):
+            bad()
+    lost = spark.createDataFrame([(1, 1, None, None, "c")], "run_id int, item_id int, expected_sources string, retrieved_sources string, context string").withColumn("answer", F.lit("x"))
+    assert [r.score for r in evals.score_items(lost, ["retrieval_recall"]).collect()] == [0.0]
