@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passages.operators.lexical import analyse, top_k
+from passages.operators.lexical import analyse, in_scope, top_k
 
 #: Query vectors that are broadcast at once against all stored vectors.
 MAX_QUERIES = 10_000
@@ -40,8 +44,8 @@ def truncate_embeddings(vectors: DataFrame, dims: int, supports: dict[str, bool]
     return rows.withColumn("embedding", cut)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Top k by cosine for queries (query_id, model, embedding) among vectors of the query's model.
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
+    """Top k by cosine for queries (query_id, model, embedding) among vectors of the query's model, within the scope of each query.
 
     Queries are broadcast in blocks of about MAX_QUERIES, and each task keeps its best k before anything is shuffled.
     """
@@ -50,20 +54,68 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     v = vectors.select("chunk_id", "model", unit(_double(F.col("embedding"))).alias("v"))
 
     def search(part: DataFrame) -> DataFrame:
-        return top_k(v.join(F.broadcast(part), "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+        hits = v.join(F.broadcast(part), "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+        return top_k(in_scope(hits, scope), k)
 
     if blocks <= 1:
         return search(q)
     return reduce(DataFrame.union, [search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
 
 
-def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 1.5, tables: int = 8, max_distance: float = 2.0) -> DataFrame:
-    """Approximate top k by random projections, scored exactly."""
-    prepare = lambda df, key: df.select(key, "model", unit(_double(F.col("embedding"))).alias("v")).withColumn("features", array_to_vector("v"))
-    v, q = prepare(vectors, "chunk_id"), prepare(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=5).fit(v)
-    near = model.approxSimilarityJoin(v, q, max_distance, "distance").where("datasetA.model = datasetB.model")
-    return top_k(near.select("datasetB.query_id", "datasetA.chunk_id", F.round(dot(F.col("datasetB.v"), F.col("datasetA.v")), 6).alias("score")), k)
+@dataclass(frozen=True)
+class Cells:
+    """An inverted-file index: the centres of its cells, as rows of unit length."""
+
+    centres: list[list[float]]
+
+    def nearest(self, n: int):
+        """A column function: the numbers of the n cells nearest to a vector of unit length."""
+        centres = np.array(self.centres)
+
+        @F.pandas_udf("array<int>")
+        def cells(vectors: pd.Series) -> pd.Series:
+            scores = np.stack(vectors.to_numpy()) @ centres.T if len(vectors) else np.zeros((0, len(centres)))
+            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return cells
+
+
+def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 5) -> Cells:
+    """Centres of cells by k-means over at most `sample` vectors, those with the least hash of their id; six times the root of the number of vectors cells, 1,024 at most."""
+    n = vectors.count()
+    cells = cells or max(2, min(1024, 6 * math.isqrt(n), n // 4))
+    chosen = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select(array_to_vector(unit(_double(F.col("embedding")))).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(chosen.where(F.size(vector_to_array("features")) > 0))
+    centres = np.array(model.clusterCenters())
+    lengths = np.linalg.norm(centres, axis=1, keepdims=True)
+    return Cells((centres / np.where(lengths > 0, lengths, 1.0)).tolist())
+
+
+def index_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """Every vector with its cell: (chunk_id, model, v, cell)."""
+    rows = vectors.select("chunk_id", "model", unit(_double(F.col("embedding"))).alias("v"))
+    return rows.withColumn("cell", F.get(cells.nearest(1)("v"), F.lit(0)))
+
+
+def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: Cells | None = None, probes: float = 0.5) -> DataFrame:
+    """Approximate top k: a query looks at the vectors of its nearest cells, a share `probes` of all, and scores these exactly.
+
+    Half of the cells give a recall of 0.9 even where vectors have no structure at all; where they form clusters, far fewer do.
+    Cells decide what is compared, not where: vectors stay in their tasks, and the queries are broadcast to them in blocks of
+    MAX_QUERIES, so that a full cell is no hot key.
+    """
+    cells = cells or fit_cells(vectors)
+    n = max(1, math.ceil(probes * len(cells.centres)))
+    q = queries.select("query_id", "model", unit(_double(F.col("embedding"))).alias("q"))
+    v = index_cells(vectors, cells)
+    blocks = max(1, -(-queries.count() * max(1, n // 8) // MAX_QUERIES))
+
+    def search(part: DataFrame) -> DataFrame:
+        probed = part.select("query_id", "model", F.explode(cells.nearest(n)("q")).alias("cell"))
+        near = v.join(F.broadcast(probed), ["model", "cell"]).join(F.broadcast(part.select("query_id", "q")), "query_id")
+        return top_k(near.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+
+    return reduce(DataFrame.union, [search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q) for i in range(blocks)])
 
 
 def hashed_embeddings(chunks: DataFrame, dims: int = 64) -> DataFrame:

@@ -12,6 +12,7 @@ STOPWORDS = {
     "de": "als auf das der die ein eine er es für im in ist mit nicht sich und von zu".split(),
     "fr": "au avec dans de des du elle en est et il la le les par pas pour que qui sur un une".split(),
     "es": "al con de del el en es la las los no para por que se su un una y".split(),
+    "ru": "а без в во все вы да для до его ее если за и из или их к как ко мы на не нет но о об он она они от по при с со так то у что это я".split(),
 }
 
 
@@ -20,21 +21,18 @@ def analyse(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
-def stopword_table(spark) -> DataFrame:
-    return spark.createDataFrame([(lang, w) for lang, ws in STOPWORDS.items() for w in ws], "lang string, term string")
-
-
 def drop_stopwords(words: DataFrame, langs: list[str]) -> DataFrame:
-    """Drops a word (column term) that any of the languages in scope calls a stop word."""
+    """Drops a word (column term) that any of the languages in scope calls a stop word; languages without a list call none."""
     stop = sorted({w for lang in langs for w in STOPWORDS.get(lang, ())})
     return words.where(~F.col("term").isin(stop)) if stop else words
 
 
-def build_lexical_index(chunks: DataFrame) -> DataFrame:
-    """Postings (term, chunk_id, tf, doc_len) of chunks (chunk_id, text, lang), each analysed in its own language.
+#: Words of all queries together that are broadcast (about 20 MB at most).
+MAX_TERMS = 200_000
 
-    Terms are counted within the row, so the only data that leaves a row is one posting a distinct term.
-    """
+
+def analysed(chunks: DataFrame) -> DataFrame:
+    """Adds words: those of the text without the stop words of its own language."""
     def is_stop(w: Column) -> Column:
         out = F.lit(False)
         for lang, words in STOPWORDS.items():
@@ -42,11 +40,39 @@ def build_lexical_index(chunks: DataFrame) -> DataFrame:
         return out
 
     rows = chunks.select("chunk_id", "lang", analyse(F.col("text")).alias("words"))
-    rows = rows.select("chunk_id", F.filter("words", lambda w: ~is_stop(w)).alias("words"))
-    rows = rows.select("chunk_id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term"))
+    return rows.select("chunk_id", F.filter("words", lambda w: ~is_stop(w)).alias("words"))
+
+
+def build_lexical_index(chunks: DataFrame) -> DataFrame:
+    """Postings (term, chunk_id, tf, doc_len) of chunks (chunk_id, text, lang), each analysed in its own language.
+
+    Terms are counted within the task, so the only data that leaves it is one posting a distinct term of a chunk.
+    """
+    rows = analysed(chunks).select("chunk_id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term"))
     return rows.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def languages_in_scope(chunks: DataFrame) -> list[str]:
+    """The languages of the chunks that are searched: a few names."""
+    return sorted(r["lang"] for r in chunks.select("lang").distinct().collect() if r["lang"] is not None)
+
+
+def matching_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of build_lexical_index() for the words of terms alone, without an index: words that no query asks for never leave their task.
+
+    Queries' words are few beside a corpus; they are broadcast in a checked number, and shuffled beyond it.
+    """
+    asked = terms.select("term").distinct()
+    few = asked.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    rows = analysed(chunks).select("chunk_id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term"))
+    return rows.join(F.broadcast(asked) if few else asked, "term", "left_semi").groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
+
+
+def corpus_lengths(chunks: DataFrame) -> DataFrame:
+    """One row: how many chunks have a word (n_docs), and their mean number of words (avg_len)."""
+    return analysed(chunks).select(F.size("words").alias("len")).where("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+
+
 def analyse_queries(queries: DataFrame, langs: list[str]) -> DataFrame:
     """Rows (query_id, term): distinct words of each query without stop words; a query without any has no row."""
     rows = queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("term"))
@@ -59,15 +85,24 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def lexical_search(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def in_scope(hits: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """The hits (query_id, chunk_id, ...) that a query may see: scope holds its chunks (query_id, chunk_id); no scope, all; a query without a row, none."""
+    return hits if scope is None else hits.join(scope.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
+
+
+def lexical_search(terms: DataFrame, postings: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
     """Chunks with any of the words; score is a tenth of the number of occurrences."""
     hits = postings.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
-    return top_k(hits, k)
+    return top_k(in_scope(hits, scope), k)
+
 
+def bm25_search(terms: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, docs: DataFrame | None = None) -> DataFrame:
+    """The same matches by Okapi BM25. Document frequencies are only counted for the queries' terms.
 
-def bm25_search(terms: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The same matches by Okapi BM25. Document frequencies are only counted for the queries' terms."""
-    docs = postings.groupBy("chunk_id").agg(F.max("doc_len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    docs: corpus_lengths() of the chunks; without it, the lengths are taken from the postings, which must then be those of all words.
+    """
+    if docs is None:
+        docs = postings.groupBy("chunk_id").agg(F.max("doc_len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     rows = wanted.join(terms, "term").join(df, "term").crossJoin(F.broadcast(docs))  # docs is a single row

@@ -42,6 +42,17 @@ def tenant_scope(rows: DataFrame, org_id: int, sources: DataFrame | None = None)
     return scoped if sources is None else scoped.join(sources.select("id").distinct(), "id", "left_semi")
 
 
+def search_scope(queries: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows (query_id, source_id, chunk_id): the chunks of the sources of each query's organisation, for the retrievers' scope.
+
+    queries (query_id, org_id), with one more column source_id where a query names its sources; one without sources sees none.
+    """
+    named = "source_id" in queries.columns
+    owned = sources.select(F.col("id").alias("source_id"), "org_id")
+    scope = queries.select("query_id", "org_id", *(["source_id"] if named else [])).join(owned, ["org_id", "source_id"] if named else ["org_id"])
+    return scope.join(chunks.select("chunk_id", "source_id"), "source_id").select("query_id", "source_id", "chunk_id").distinct()
+
+
 #: Roles and their ranks.
 ROLES = {"viewer": 1, "editor": 2, "admin": 3, "owner": 4}
 

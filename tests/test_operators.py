@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passages.adapters import view
 from passages.functions import text
-from passages.operators import chunking, dense, evals, experiments, fusion, reports, segments, tree, usage
+from passages.operators import chunking, dense, evals, experiments, fusion, lexical, reports, segments, tree, usage
 from passages.sources import corpus
 from passages.streaming import windows
 
@@ -102,10 +102,34 @@ def test_tree(spark):
 
 
 def test_ann_recall(spark):
-    vectors = view(spark, SF, "vectors")
-    queries = view(spark, SF, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.expr("concat('m', vec_id % 2)").alias("model"), "embedding")
-    exact, near = (dense.dense_search(queries, vectors, 10), dense.dense_search_ann(queries, vectors, 10))
+    """Recall against brute force over the stated query set, with half of the pairs compared: these vectors are as good as random."""
+    sf = "/root/testdata/sf0.1"
+    vectors = view(spark, sf, "vectors")
+    queries = view(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.expr("concat('m', vec_id % 2)").alias("model"), "embedding")
+    cells = dense.fit_cells(vectors)
+    exact, near = (dense.dense_search(queries, vectors, 20), dense.dense_search_ann(queries, vectors, 20, cells))
     assert exact.join(near, ["query_id", "chunk_id"]).count() / exact.count() >= 0.9
+    found = dense.index_cells(vectors, cells)
+    assert found.count() == vectors.count()
+    q = queries.select("query_id", "model", dense.unit(F.col("embedding").cast("array<double>")).alias("q")).select("query_id", "model", F.explode(cells.nearest(-(-len(cells.centres) // 2))("q")).alias("cell"))
+    assert found.join(q, ["model", "cell"]).count() < 0.55 * vectors.join(queries.select("query_id", "model"), "model").count()
+
+
+def test_scope_and_stopwords(spark):
+    queries = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "query_id int, org_id int")
+    sources = spark.createDataFrame([(5, 10), (6, 20), (7, 20)], "id int, org_id int")
+    chunks = spark.createDataFrame([(50, 5, "the red fox", "en"), (60, 6, "the red fox и лиса", "ru"), (70, 7, "red", "en")], "chunk_id int, source_id int, text string, lang string")
+    scope = tree.search_scope(queries, sources, chunks)
+    assert {(r.query_id, r.chunk_id) for r in scope.collect()} == {(1, 50), (2, 60), (2, 70)}
+    named = tree.search_scope(queries.withColumn("source_id", F.lit(7)), sources, chunks)
+    assert {(r.query_id, r.chunk_id) for r in named.collect()} == {(2, 70)}
+    terms = lexical.analyse_queries(spark.createDataFrame([(i, "Red fox и") for i in (1, 2, 3)], "query_id int, text string"), lexical.languages_in_scope(chunks))
+    assert {r.term for r in terms.collect()} == {"red", "fox"}
+    postings = lexical.matching_postings(chunks, terms)
+    every = lexical.build_lexical_index(chunks)
+    assert sorted(map(tuple, postings.collect())) == sorted(tuple(r) for r in every.collect() if r.term in ("red", "fox"))
+    assert {(r.query_id, r.chunk_id) for r in lexical.lexical_search(terms, postings, 5, scope).collect()} == {(1, 50), (2, 60), (2, 70)}
+    assert rows_of(lexical.bm25_search(terms, postings, 5, docs=lexical.corpus_lengths(chunks))) == rows_of(lexical.bm25_search(terms, every, 5))
 
 
 def test_embed_corpus(spark):
