@@ -28,8 +28,8 @@ def clean_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def tag_language(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds lang and lang_config from the scripts in the first 4000 characters."""
-    head = F.lower(F.substring(F.coalesce(text_col, F.lit("")), 1, 4000))
+    """Adds lang and lang_config from the scripts of the whole text."""
+    head = F.lower(F.coalesce(text_col, F.lit("")))
     cyrillic, latin = F.regexp_count(head, F.lit("[Ѐ-ӿ]")), F.regexp_count(head, F.lit("[a-z]"))
     lang = F.when(cyrillic <= latin, "en").when(head.rlike("[їієґ]"), "uk").otherwise("ru")
     configs = F.create_map(*[F.lit(x) for kv in CONFIGS.items() for x in kv])
@@ -43,8 +43,8 @@ def count_tokens(text: Column) -> Column:
 
 
 def token_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds tokens and chars_per_token, the latter over the first 4000 characters, held to 1.2..12, 3.5 without tokens."""
-    head = F.substring(F.coalesce(text_col, F.lit("")), 1, 4000)
+    """Adds tokens, of the cleaned text, and chars_per_token of the text as it is, held to 1.2..12, 3.5 without tokens."""
+    head = F.coalesce(text_col, F.lit(""))
     n = count_tokens(head)
     ratio = F.when(n > 0, F.greatest(F.lit(1.2), F.least(F.lit(12.0), F.length(head) / n))).otherwise(3.5)
     return docs.withColumn("tokens", count_tokens(clean(F.col(text_col))).cast("long")).withColumn("chars_per_token", F.round(ratio, 6))

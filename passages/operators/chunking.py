@@ -1,7 +1,13 @@
-"""Chunks: budgeted pieces of documents. Tokens are words here; all arithmetic is native."""
+"""Chunks: budgeted pieces of documents. Tokens are words here. Even pieces are native arithmetic; greedy packing depends on what came before, so it folds over sorted segments in linear time."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,95 +36,248 @@ def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Da
     return rows.select("doc", "ordinal", F.array_join("p", " ").alias("text"), F.size("p").alias("tokens"))
 
 
-def chunk_per_unit(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """One chunk a segment (doc, seg_no, section, text); oversize ones are split."""
-    return split_oversized(segments, size, overlap).select("doc", "seg_no", "piece_no", "section", "text", "tokens")
+SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
-def _split_at(pieces: Column, separator: str, budget: int) -> Column:
-    """Pieces over the budget cut after each separator, which stays with the text before it."""
-    return F.flatten(F.transform(pieces, lambda p: F.when(F.size(words(p)) <= budget, F.array(p)).otherwise(F.split(p, f"(?<={separator})"))))
+def n_words(text: str) -> int:
+    """Words of a text, as words() counts them."""
+    return len(_WORD.findall(text))
 
 
-def _pack(sizes: Column, budget: int) -> Column:
-    """Pack number of each piece when filled greedily up to the budget."""
-    start = F.struct(F.array().cast("array<int>").alias("packs"), F.lit(0).alias("pack"), F.lit(0).alias("used"))
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-    def step(acc: Column, n: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + n > budget)
-        pack = F.when(full, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(F.array_append(acc["packs"], pack).alias("packs"), pack.alias("pack"), F.when(full, n).otherwise(acc["used"] + n).alias("used"))
 
-    return F.aggregate(sizes, start, step)["packs"]
+def even_slices(text: str, size: int, overlap: int) -> list[str]:
+    """The text's words in as few pieces as chunk_fixed() makes of them, all about equally long."""
+    found = _WORD.findall(text)
+    pieces = max(1, math.ceil(len(found) / max(1, size - overlap)))
+    stride = max(1, math.ceil(len(found) / pieces))
+    width = min(size, stride + overlap)
+    starts = [0, *(at for at in range(stride, len(found), stride) if at - stride + width < len(found))]
+    return [" ".join(found[at : at + width]) for at in starts]
 
 
-def split_oversized(segments: DataFrame, budget: int, overlap: int = 0) -> DataFrame:
-    """Pieces (.., piece_no, text, tokens) of segments: cut at paragraphs, lines, sentences and words, as coarsely as fits, then packed greedily.
+def _units(text: str, budget: int, level: int = 0) -> Iterator[tuple[str, int]]:
+    """The text in order, as (unit, words) of at most the budget, cut as coarsely as fits: behind paragraphs, else lines, sentences, words."""
+    n = n_words(text)
+    if n <= budget or level == len(SEPARATORS):
+        yield text, n
+        return
+    if SEPARATORS[level] not in text:
+        yield from _units(text, budget, level + 1)
+        return
+    at = 0
+    while at < len(text):
+        end = text.find(SEPARATORS[level], at)
+        end = len(text) if end < 0 else end + len(SEPARATORS[level])
+        yield from _units(text[at:end], budget, level + 1)
+        at = end
 
-    No text is lost. The overlap only steers arguments here; pieces do not repeat text.
+
+def split_text(text: str, budget: int, overlap: int) -> list[str]:
+    """Pieces of a text within the budget, in words.
+
+    Units fill a piece up to the budget. The next piece starts with the last words of the one before it: as many as the overlap
+    says, or as its first unit leaves room for. A last piece of less than a quarter of the budget is sliced evenly together with the one before.
     """
+    spans: list[tuple[int, int]] = []  # of words
+    start = end = 0
+    for n in (n for _, n in _units(text, budget)):
+        if end > start and end - start + n > budget:
+            spans.append((start, end))
+            start = max(start, end - max(0, min(overlap, budget - n)))
+        end += n
+    if end > start and (not spans or end > spans[-1][1]):
+        spans.append((start, end))
+    at = [m.span() for m in _WORD.finditer(text)]
+    pieces = [text[at[a][0] : at[b - 1][1]] for a, b in spans]
+    if len(spans) > 1 and spans[-1][1] - spans[-1][0] < budget // 4:
+        pieces[-2:] = even_slices(text[at[spans[-2][0]][0] :], budget, overlap)
+    return pieces
+
+
+BLANK = " \t\n\x0b\x0c\r"
+BETWEEN = " > "
+
+
+def breadcrumb(title: str | None, section: list[str] | None) -> str:
+    return BETWEEN.join(x for x in (title, *(section or ())) if x)
+
+
+def body_budget(size: int, crumb: str) -> int:
+    """What a chunk's size leaves for its body beside the breadcrumb: at least half."""
+    return max(size - (n_words(crumb) + 1 if crumb else 0), size // 2)
+
+
+def _streamed(segments: DataFrame, each: Callable, types: str) -> DataFrame:
+    """Rows (doc, ...) that each() yields for the segments of a document in order, one document after the other.
+
+    A document's segments meet in one task, sorted with spilling, and stream by: each() holds no more than what it packs.
+    """
+    wanted = {"title": F.lit(None).cast("string"), "page": F.lit(None).cast("int"), "section": F.array().cast("array<string>")}
+    extra = [F.col(c) if c in segments.columns else made.alias(c) for c, made in wanted.items()]
+    rows = segments.select("doc", "seg_no", "text", *extra).repartition("doc").sortWithinPartitions("doc", "seg_no")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def segments_of():
+            for batch in batches:
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        out: list[tuple] = []
+        for doc, group in groupby(segments_of(), key=lambda x: x[0]):
+            for row in each(group):
+                out.append((doc, *row))
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+                    out = []
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = StructType([rows.schema["doc"], *StructType.fromDDL(types).fields])
+    schema = to_arrow_schema(fields)
+    return rows.mapInArrow(run, fields)
+
+
+def _emit(body: str, title: str | None, section: list[str], size: int, overlap: int) -> list[tuple[str, int]]:
+    """(text, tokens) of the chunks that a packed body makes: one, or several where it is over the size with its breadcrumb."""
+    crumb = breadcrumb(title, section)
+    whole = lambda x: f"{crumb}\n{x}" if crumb else x
+    body = body.strip(BLANK)
+    if not body:
+        return []
+    if n_words(whole(body)) <= size:
+        return [(whole(body), n_words(whole(body)))]
+    return [(whole(x), n_words(whole(x))) for x in split_text(body, body_budget(size, crumb), overlap)]
+
+
+def split_oversized(segments: DataFrame, budget: int, overlap: int = 0) -> DataFrame:
+    """Pieces (doc, seg_no, piece_no, section, text, tokens) of segments (doc, seg_no, section, text), each within the budget; see split_text()."""
     _checked(budget, overlap)
-    pieces = F.array(F.col("text"))
-    for separator in ("\n\n", "\n", "[.] ", " "):
-        pieces = _split_at(pieces, separator, budget)
-    rows = segments.select("doc", "seg_no", "section", pieces.alias("pieces"))
-    rows = rows.select("doc", "seg_no", "section", "pieces", F.transform("pieces", lambda p: F.size(words(p))).alias("sizes"))
-    rows = rows.select("doc", "seg_no", "section", "pieces", F.size("pieces").alias("n"), _pack(F.col("sizes"), budget).alias("packs"))
-    rows = rows.select("doc", "seg_no", "section", F.explode(F.arrays_zip("pieces", "packs", F.sequence(F.lit(1), F.col("n")).alias("i"))).alias("x"))
-    rows = rows.groupBy("doc", "seg_no", F.col("x.packs").alias("piece_no")).agg(F.first("section").alias("section"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x.i", "x.pieces"))), lambda p: p["pieces"]), "").alias("text"))
-    return rows.withColumn("text", F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))).where("text <> ''").withColumn("tokens", F.size(words(F.col("text"))))
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, budget, overlap))
+
+    fits = F.size(words(F.col("text"))) <= budget
+    rows = segments.where(F.col("text").isNotNull())
+    small, large = rows.where(fits), rows.where(~fits)
+    one = small.select("doc", "seg_no", F.lit(0).alias("piece_no"), "section", F.btrim("text", F.lit(BLANK)).alias("text")).where("text <> ''")
+    many = large.select("doc", "seg_no", F.posexplode(pieces("text")).alias("piece_no", "text"), "section").select("doc", "seg_no", "piece_no", "section", "text")
+    return one.unionByName(many).withColumn("tokens", F.size(words(F.col("text"))))
+
+
+def chunk_per_unit(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks (doc, ordinal, section, page, page_end, text, tokens), one for each segment (doc, seg_no, text, and maybe section, page, title); oversize ones are split."""
+    _checked(size, overlap)
+
+    def each(group):
+        ordinal = 0
+        for _, _, text, title, page, section in group:
+            for body, tokens in _emit(text or "", title, section or [], size, overlap):
+                yield ordinal, section or [], page, None, body, tokens
+                ordinal += 1
+
+    return _streamed(segments, each, CHUNK)
+
+
+CHUNK = "ordinal int, section array<string>, page int, page_end int, text string, tokens int"
+
+
+def _shared(a: list[str], b: list[str]) -> list[str]:
+    n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[:n]
 
 
 def chunk_semantic(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Packs neighbouring segments of a document greedily: one fold over its segments, without Python.
+    """Packs neighbouring segments (doc, seg_no, text, and maybe section, page, title) of a document greedily into chunks.
 
-    A pack closes when the next segment would not fit, or when it would shorten the heading path that all of the pack share
-    while the pack already holds half of the size. Chunks (doc, ordinal, section, text, tokens); section is the shared path.
+    Segments that are too large are split first. A pack closes when the next one would not fit beside the breadcrumb of its
+    first segment, or when it would shorten the heading path that all of the pack share while the pack already holds half of the size.
+    Chunks (doc, ordinal, section, page, page_end, text, tokens): section is the shared path, text starts with the
+    breadcrumb of title and section, page_end is null unless it is another page. What is over the size after all is split again.
     """
     _checked(size, overlap)
-    pieces = split_oversized(segments, size, overlap)
-    rows = pieces.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("seg_no", "piece_no", "tokens", "section", "text"))).alias("segs"))
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<int>").alias("packs"), F.lit(0).alias("pack"), F.lit(0).alias("used"), empty.alias("path"), empty.alias("first"))
-
-    def shared(a: Column, b: Column) -> Column:
-        same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-        return F.slice(a, 1, F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(a)).cast("int"))
-
-    def step(acc: Column, s: Column) -> Column:
-        path = shared(acc["path"], s["section"])
-        budget = F.greatest(F.lit(size) - F.when(F.size(acc["first"]) > 0, F.size(words(F.array_join(acc["first"], " > "))) + 1).otherwise(0), F.lit(size // 2))
-        over = acc["used"] + s["tokens"] + 2 > budget
-        costly = (F.size(acc["path"]) > 0) & (F.size(path) < F.size(acc["path"])) & (acc["used"] >= size // 2)
-        flush = (acc["used"] > 0) & (over | costly)
-        fresh = flush | (acc["used"] == 0)
-        pack = F.when(flush, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(
-            F.array_append(acc["packs"], pack).alias("packs"), pack.alias("pack"), F.when(fresh, s["tokens"]).otherwise(acc["used"] + s["tokens"] + 2).alias("used"),
-            F.when(fresh, s["section"]).otherwise(path).alias("path"), F.when(fresh, s["section"]).otherwise(acc["first"]).alias("first"))
-
-    rows = rows.select("doc", "segs", F.size("segs").alias("n"), F.aggregate("segs", start, step)["packs"].alias("packs"))
-    rows = rows.select("doc", F.explode(F.arrays_zip("segs", "packs")).alias("x"))
-    packs = rows.groupBy("doc", F.col("x.packs").alias("ordinal")).agg(F.sort_array(F.collect_list(F.col("x.segs"))).alias("s"))
-    path = F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0))["section"], lambda acc, x: shared(acc, x["section"]))
-    text = F.array_join(F.transform("s", lambda x: x["text"]), "\n\n")
-    return packs.select("doc", "ordinal", path.alias("section"), text.alias("text"), F.aggregate("s", F.lit(0), lambda acc, x: acc + x["tokens"]).alias("tokens"))
+
+    def each(group):
+        pack: list[tuple[str, int | None]] = []
+        path: list[str] = []
+        first: list[str] = []
+        title, used, ordinal = None, 0, 0
+
+        def close():
+            nonlocal pack, used, ordinal
+            pages = [p for _, p in pack if p is not None]
+            page, end = (pages[0], pages[-1]) if pages else (None, None)
+            for body, tokens in _emit("\n\n".join(t for t, _ in pack), title, path, size, overlap) if pack else ():
+                yield ordinal, path, page, end if end != page else None, body, tokens
+                ordinal += 1
+            pack, used = [], 0
+
+        for _, _, text, title, page, section in group:
+            section = section or []
+            budget = body_budget(size, breadcrumb(title, section))
+            text = text or ""
+            for piece in [text.strip(BLANK)] if n_words(text) <= budget else split_text(text, budget, overlap):
+                n = n_words(piece)
+                if not n:
+                    continue
+                common = _shared(path, section)
+                full = used + n + 2 > body_budget(size, breadcrumb(title, first))
+                if pack and (full or path and common != path and used >= size // 2):
+                    yield from close()
+                if pack:
+                    path, used = common, used + n + 2
+                else:
+                    path = first = section
+                    used = n
+                pack.append((piece, page))
+        yield from close()
+
+    return _streamed(segments, each, CHUNK)
 
 
 def chunk_report(chunks: DataFrame, by: str | None = None) -> DataFrame:
-    """Number of chunks, their mean, least and most tokens, by a column or over all."""
+    """Number of chunks, their mean, least and most tokens, and the share of those with a heading path, by a column or over all."""
     rows = chunks.groupBy(by) if by else chunks.groupBy()
-    return rows.agg(F.count("*").alias("chunks"), F.round(F.avg("tokens"), 4).alias("avg_tokens"), F.min("tokens").cast("long").alias("min_tokens"), F.max("tokens").cast("long").alias("max_tokens"))
+    pathed = F.count_if(F.size("section") > 0) / F.count("*") if "section" in chunks.columns else F.lit(0.0)
+    return rows.agg(F.count("*").alias("chunks"), F.round(F.avg("tokens"), 4).alias("avg_tokens"), F.min("tokens").cast("long").alias("min_tokens"), F.max("tokens").cast("long").alias("max_tokens"), F.round(pathed, 4).alias("with_path"))
+
+
+VERSION, STRATEGIES = 1, ("semantic", "per_unit", "fixed")
 
 
-def ingest_corpus(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """Chunks of documents (doc, text) after cleaning, and one status row a document: 'ready', or 'failed' with the reason. Nothing aborts the batch."""
+def ingest_corpus(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, strategy: str = "semantic", loaders: dict | None = None) -> dict[str, DataFrame]:
+    """Documents (doc, name, text, and maybe title) on their way into the index: the tables chunks, postings, vectors and sources.
+
+    Texts are cleaned, cut into segments by the loader of their extension, tagged with their language and chunked; chunks get
+    postings and hashed vectors. sources has a row a document: status ready or failed with its error, language, chunks, tokens, pages, and the
+    settings it was chunked by. A document that fails is a row, and aborts nothing.
+    """
     from passages.functions.text import clean, tag_language
+    from passages.operators.dense import hashed_embeddings
+    from passages.operators.lexical import build_lexical_index
+    from passages.operators.segments import load_segments
+    from passages.sources.corpus import route
 
-    cleaned = docs.select("doc", clean(F.col("text")).alias("text"))
-    chunks = chunk_fixed(cleaned, size, overlap)
-    stats = chunks.groupBy("doc").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
-    rows = tag_language(cleaned).select("doc", "lang").join(stats, "doc", "left")
-    failed = F.col("chunks").isNull()
-    status = rows.select("doc", F.when(failed, "failed").otherwise("ready").alias("status"), F.when(failed, "no text").alias("error"), "lang", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    return chunks, status
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    rows = tag_language(route(docs.withColumn("text", clean(F.col("text")))))
+    segments = load_segments(rows.where("reject_reason IS NULL"), loaders)
+    make = {"semantic": chunk_semantic, "per_unit": chunk_per_unit}.get(strategy)
+    if make:
+        chunks = make(segments, size, overlap)
+    else:
+        whole = segments.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+        nothing = [F.array().cast("array<string>").alias("section"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("page_end")]
+        chunks = chunk_fixed(whole, size, overlap).select("doc", "ordinal", *nothing, "text", "tokens")
+    chunks = chunks.join(rows.select("doc", "lang"), "doc").withColumn("chunk_id", F.concat_ws("#", "doc", "ordinal"))
+    stats = chunks.groupBy("doc").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.count_distinct("page").alias("pages"))
+    error = F.coalesce("reject_reason", F.when(F.col("chunks").isNull(), "no text"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    stamp = [F.lit(VERSION).alias("chunker_version"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"), F.lit(strategy).alias("chunk_strategy")]
+    sources = rows.join(stats, "doc", "left").select("doc", F.when(error.isNull(), "ready").otherwise("failed").alias("status"), error.alias("error"), "lang", zero("chunks"), zero("tokens"), zero("pages"), *stamp)
+    return {"chunks": chunks, "postings": build_lexical_index(chunks), "vectors": hashed_embeddings(chunks), "sources": sources}

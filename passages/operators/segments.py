@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Titles of tables of contents, in lower case.
-CONTENTS = ("table of contents", "contents", "содержание", "оглавление")
+CONTENTS = ("table of contents", "contents", "оглавление", "содержание")
 
 
 def heading_sections(lines: DataFrame) -> DataFrame:
     """Segments (doc, seg_no, section, text) of lines (doc, seq, level, text); a null level is body text.
 
     A heading closes all headings of its level or below. Heading L of a path is the last one of level L that no heading of a
-    higher rank follows. Blank lines go; body lines under one heading are joined.
+    higher rank follows. Blank lines go; body lines under one heading are joined. With a column page, a page's end ends a segment.
     """
     upto = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     path = []
@@ -24,8 +26,13 @@ def heading_sections(lines: DataFrame) -> DataFrame:
         higher = F.max(F.when(F.col("level") < level, F.col("seq"))).over(upto)
         path.append(F.when(own["seq"] > F.coalesce(higher, F.lit(-1)), own["text"]))
     rows = rows.withColumn("section", F.array_compact(F.array(*path)))
+    paged = ["page"] if "page" in lines.columns else []
     body = rows.where(F.col("level").isNull() & (F.trim("text") != ""))
-    return body.groupBy("doc", "seg_no").agg(
+    if paged:  # sections and pages together number the segments
+        order = Window.partitionBy("doc").orderBy("seq")
+        fresh = F.coalesce((F.lag("seg_no").over(order) != F.col("seg_no")) | (F.lag("page").over(order) != F.col("page")), F.lit(True))
+        body = body.withColumn("fresh", fresh.cast("long")).withColumn("seg_no", F.sum("fresh").over(order))
+    return body.groupBy("doc", "seg_no", *paged).agg(
         F.min_by("section", "seq").alias("section"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
@@ -38,11 +45,37 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
 
 
 def markdown_segments(docs: DataFrame) -> DataFrame:
-    return heading_sections(markdown_lines(docs))
+    """Segments (doc, seg_no, section, text, title) of markdown documents (doc, text); the title is the first heading of level 1."""
+    lines = markdown_lines(docs)
+    titles = lines.where("level = 1").groupBy("doc").agg(F.min_by("text", "seq").alias("title"))
+    return heading_sections(lines).join(titles, "doc", "left")
 
 
 NOISE = "script|style|noscript|iframe|svg|form|nav|header|footer|aside"
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+# Named character references of HTML that pages commonly hold.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "sect": "§", "deg": "°", "euro": "€", "pound": "£", "times": "×",
+    "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "agrave": "à", "acirc": "â", "ccedil": "ç", "egrave": "è", "eacute": "é",
+    "ecirc": "ê", "iacute": "í", "ocirc": "ô", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "amp": "&",
+}
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as characters: the named ones above, and all numeric ones."""
+    parts = F.split(text, "&#")
+
+    def numeric(part: Column, i: Column) -> Column:
+        digits, hexed = F.regexp_extract(part, "^([0-9]{1,7});", 1), F.regexp_extract(part, "^[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(digits != "", digits.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long"))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(i == 0, part).when(valid, F.concat(char, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, numeric), "")).otherwise(text)
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def html_lines(pages: DataFrame) -> DataFrame:
@@ -57,14 +90,15 @@ def html_lines(pages: DataFrame) -> DataFrame:
     marked = F.regexp_replace(F.regexp_replace(marked, "\u0001", "\n\u0001"), r"<[^>]*>", "")
     rows = rows.select("doc", F.posexplode(F.split(marked, "\n")).alias("seq", "line"))
     level = F.regexp_extract("line", "^\u0001([1-6])", 1)
-    out = F.regexp_replace("line", "^\u0001[1-6]", "")
-    for entity, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = decode_references(F.regexp_replace("line", "^\u0001[1-6]", ""))
     return rows.select("doc", "seq", F.when(level != "", level.cast("int")).alias("level"), F.trim(F.regexp_replace(out, r"[ \t]+", " ")).alias("text"))
 
 
 def html_segments(pages: DataFrame) -> DataFrame:
-    return heading_sections(html_lines(pages))
+    """Segments (doc, seg_no, section, text, title) of pages (doc, html)."""
+    title = F.trim(decode_references(F.regexp_replace(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"[ \t\r\n]+", " ")))
+    titles = pages.select("doc", F.nullif(title, F.lit("")).alias("title")).where("title IS NOT NULL").dropDuplicates(["doc"])
+    return heading_sections(html_lines(pages)).join(titles, "doc", "left")
 
 
 def layout_lines(lines: DataFrame) -> DataFrame:
@@ -118,5 +152,36 @@ def drop_contents_sections(segments: DataFrame) -> DataFrame:
     return segments.where(F.coalesce(~top.isin(*CONTENTS), F.lit(True)))
 
 
-#: What makes segments of text documents, by file extension; a caller may add its own.
-LOADERS = {"md": markdown_segments, "html": html_segments, "htm": html_segments, "json": json_segments}
+def plain_segments(docs: DataFrame) -> DataFrame:
+    """One segment a document (doc, text)."""
+    return docs.where(F.trim("text") != "").select("doc", F.lit(0).cast("long").alias("seg_no"), F.array().cast("array<string>").alias("section"), "text")
+
+
+def _json(docs: DataFrame) -> DataFrame:
+    rows = json_segments(docs.withColumnRenamed("text", "json"))
+    return rows.withColumn("section", F.array_compact(F.array("section"))).withColumn("seg_no", F.col("seg_no").cast("long"))
+
+
+def _html(docs: DataFrame) -> DataFrame:
+    return html_segments(docs.withColumnRenamed("text", "html"))
+
+
+#: What makes segments of documents (doc, text), by file extension; a caller may add its own or put others in their place.
+LOADERS = {"txt": plain_segments, "md": markdown_segments, "json": _json, "html": _html, "htm": _html}
+
+
+def load_segments(docs: DataFrame, loaders: dict | None = None) -> DataFrame:
+    """Segments (doc, seg_no, section, text, title, page) of documents (doc, extension, text), each by its extension's loader; others are taken as plain text.
+
+    Sections of tables of contents are left out.
+    """
+    loaders = LOADERS | (loaders or {})
+    parts = []
+    for loader in dict.fromkeys(loaders.values()):
+        names = [k for k, v in loaders.items() if v is loader]
+        mine = F.col("extension").isin(names) | (F.lit(loader is plain_segments) & ~F.col("extension").isin(list(loaders)))
+        found = loader(docs.where(mine).select("doc", "text"))
+        for name, kind in (("title", "string"), ("page", "int")):
+            found = found if name in found.columns else found.withColumn(name, F.lit(None).cast(kind))
+        parts.append(found.select("doc", F.col("seg_no").cast("long").alias("seg_no"), "section", "text", "title", "page"))
+    return drop_contents_sections(reduce(DataFrame.unionByName, parts))

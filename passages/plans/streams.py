@@ -42,9 +42,12 @@ def error_rate(spark, sf_dir):
 _LE = ", ".join(f"count(*) FILTER (WHERE seconds <= {b}) AS le_{i}" for i, b in enumerate(BOUNDS))
 
 
-@query(f"SELECT date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start, route, {_LE}, count(*) AS n FROM requests, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1, 2", "requests")
+_SQL_P95 = "CASE " + " ".join(f"WHEN le_{i} >= n * 0.95::DOUBLE THEN {low} + ({b} - {low}) * (n * 0.95::DOUBLE - {below}) / (le_{i} - {below})" for i, (b, low, below) in enumerate(zip(BOUNDS, [0.0, *BOUNDS], ["0", *[f"le_{i}" for i in range(len(BOUNDS))]]))) + f" ELSE {BOUNDS[-1]} END"
+
+
+@query(f"SELECT *, round(({_SQL_P95})::DOUBLE, 6) AS p95 FROM (SELECT date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start, route, {_LE}, count(*) AS n FROM requests, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1, 2)", "requests")
 def latency_p95(spark, sf_dir):
-    return windows.latency_buckets(view(spark, sf_dir, "requests"), BOUNDS)
+    return windows.latency_p95(view(spark, sf_dir, "requests"), BOUNDS)
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, model, direction, round(sum(tokens) / 300.0::DOUBLE, 6) AS per_second FROM (SELECT created_at, model, 'in' AS direction, tokens_in AS tokens FROM usage_events UNION ALL SELECT created_at, model, 'out', tokens_out FROM usage_events) GROUP BY 1, 2, 3", "usage_events")
@@ -62,6 +65,12 @@ def outcome_rate(spark, sf_dir):
     return windows.outcome_rate(view(spark, sf_dir, "events").withColumnRenamed("event_type", "status"))
 
 
+@query("SELECT time_bucket(INTERVAL 15 MINUTE, created_at) AS window_start, provider, model, count(*) AS n FROM usage_events WHERE event_id % 4 = 0 GROUP BY 1, 2, 3", "usage_events")
+def provider_error_rate(spark, sf_dir):
+    """Provider errors by provider and model: calls of which every fourth failed."""
+    return windows.outcome_rate(_usage(spark, sf_dir).where("event_id % 4 = 0"), ("provider", "model"))
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, session""")
@@ -104,8 +113,28 @@ def lockout_flags(spark, sf_dir):
     return windows.lockout_flags(view(spark, sf_dir, "logins"), "account", 3, 1440)
 
 
-@query(f"""SELECT event_id, subject, bucket, variant_id FROM (SELECT *, {_BUCKET} AS bucket FROM (SELECT event_id, concat('user:', user_id) AS subject, 1 AS experiment_id FROM events))
-JOIN ({_RANGES}) USING (experiment_id) WHERE bucket >= low AND bucket < high""", "variants")
+_SQL_BOTH = """WITH RECURSIVE h AS (SELECT org AS key, event_id, epoch_us(ts) AS tt, account, address, success, row_number() OVER (PARTITION BY org ORDER BY ts, event_id) AS i FROM (
+  SELECT event_id, ts, user_id % 10 AS org, user_id AS account, concat(user_id % 10, '-', event_id % 3) AS address, event_type = 'signup' AS success FROM events WHERE event_type IN ('signup', 'error', 'purchase'))),
+f AS (SELECT key, 0::BIGINT AS event_id, 0 AS i, MAP {}::MAP(VARCHAR, STRUCT(s BIGINT, n INT, u BIGINT)) AS held, 0 AS account_failures, 0 AS address_failures, false AS locked FROM (SELECT DISTINCT key FROM h)
+  UNION ALL SELECT key, event_id, i, map_concat(held, MAP {ak: CASE WHEN locked THEN a WHEN success THEN {'s': a.s, 'n': 0, 'u': a.u} WHEN af >= 3 THEN {'s': aw, 'n': 0, 'u': tt + 86400000000} ELSE {'s': aw, 'n': af, 'u': a.u} END,
+      dk: CASE WHEN locked THEN d WHEN success THEN {'s': d.s, 'n': 0, 'u': d.u} WHEN df >= 3 THEN {'s': dw, 'n': 0, 'u': tt + 86400000000} ELSE {'s': dw, 'n': df, 'u': d.u} END}),
+    CASE WHEN locked THEN a.n WHEN success THEN 0 ELSE af END, CASE WHEN locked THEN d.n WHEN success THEN 0 ELSE df END, locked FROM (
+    SELECT *, tt < a.u OR tt < d.u AS locked, CASE WHEN a.n = 0 OR tt >= a.s + 86400000000 THEN tt ELSE a.s END AS aw, CASE WHEN a.n = 0 OR tt >= a.s + 86400000000 THEN 1 ELSE a.n + 1 END AS af,
+      CASE WHEN d.n = 0 OR tt >= d.s + 86400000000 THEN tt ELSE d.s END AS dw, CASE WHEN d.n = 0 OR tt >= d.s + 86400000000 THEN 1 ELSE d.n + 1 END AS df FROM (
+      SELECT h.*, f.held, 'a' || account AS ak, 'd' || address AS dk, coalesce(f.held['a' || account], {'s': 0::BIGINT, 'n': 0, 'u': 0::BIGINT}) AS a, coalesce(f.held['d' || address], {'s': 0::BIGINT, 'n': 0, 'u': 0::BIGINT}) AS d FROM f JOIN h ON h.key = f.key AND h.i = f.i + 1)))
+SELECT key, event_id, account_failures, address_failures, locked FROM f WHERE i > 0"""
+
+
+@query(_SQL_BOTH)
+def lockout_both(spark, sf_dir):
+    """Lockouts of accounts and addresses that act on each other, followed within a tenant."""
+    logins = view(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')").select(
+        "event_id", "ts", (F.col("user_id") % 10).alias("org_id"), F.col("user_id").alias("account"), F.concat((F.col("user_id") % 10).cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("address"), (F.col("event_type") == "signup").alias("success"))
+    return windows.lockout_both(logins, 3, 1440)
+
+
+@query(f"""SELECT event_id, s.subject, bucket, coalesce(a.variant_id, s.variant_id) AS variant_id FROM (SELECT event_id, subject, bucket, variant_id FROM (SELECT *, {_BUCKET} AS bucket FROM (SELECT event_id, concat('user:', user_id) AS subject, 1 AS experiment_id FROM events))
+  JOIN ({_RANGES}) USING (experiment_id) WHERE bucket >= low AND bucket < high) s LEFT JOIN (SELECT subject, min(variant_id) AS variant_id FROM assignments WHERE experiment_id = 1 AND variant_id IN (SELECT id FROM variants WHERE experiment_id = 1) GROUP BY 1) a USING (subject)""", "variants", "assignments")
 def stream_assign(spark, sf_dir):
     turns = view(spark, sf_dir, "events").select("event_id", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject"))
-    return windows.stream_assign(turns, view(spark, sf_dir, "variants"), 1)
+    return windows.stream_assign(turns, view(spark, sf_dir, "variants"), 1, view(spark, sf_dir, "assignments"))

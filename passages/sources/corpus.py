@@ -106,13 +106,23 @@ def replace_by_source(existing: DataFrame, new: DataFrame, key: str = "source_id
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def write_index(postings: DataFrame, path: str, partition: str | None = None) -> None:
-    writer = postings.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def write_index(postings: DataFrame, path: str, buckets: int = 64, partition: str | None = None) -> None:
+    """Writes postings, those of a term in one of `buckets` folders, within the folders of partition (such as org_id) if given."""
+    rows = postings.withColumn("bucket", _bucket(buckets))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy(*([partition] if partition else []), "bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """The postings of an index; of the folders of some terms' (term) alone, if given: Spark leaves the others unread."""
+    rows = spark.read.parquet(path)
+    if terms is not None:
+        rows = rows.where(F.col("bucket").isin([r["b"] for r in terms.select(_bucket(buckets).alias("b")).distinct().collect()]))  # at most as many as buckets
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.drop("bucket")
 
 
 def guarded_sql(spark: SparkSession, views: dict[str, DataFrame], statement: str, limit: int = 50) -> tuple[DataFrame, bool]:

@@ -1,4 +1,8 @@
-"""Operational metrics over event streams. Every function takes a batch or a streaming DataFrame; ts must be a timestamp."""
+"""Operational metrics over event streams; ts must be a timestamp.
+
+Windowed functions take a batch or a streaming DataFrame alike. What depends on all that a key saw before has two forms: one over sorted batches,
+and one whose name ends in _stream, which keeps the key's state between micro-batches.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 LATE = "10 minutes"
 
@@ -34,10 +37,20 @@ def error_rate(requests: DataFrame) -> DataFrame:
     return _windowed(timed(requests.where("status >= 500")), ["route"], "5 minutes", None, F.round(F.count("*") / 300, 6).alias("per_second"))
 
 
-def latency_buckets(requests: DataFrame, bounds: list[float]) -> DataFrame:
-    """Cumulative bucket counts of seconds by route, over five minutes, every minute; dashboards read quantiles from them."""
+def latency_buckets(requests: DataFrame, bounds: list[float], by: tuple[str, ...] = ("route",)) -> DataFrame:
+    """Cumulative bucket counts of seconds by route (or model, or retrieval stage), over five minutes, every minute."""
     counts = [F.count_if(F.col("seconds") <= b).alias(f"le_{i}") for i, b in enumerate(bounds)]
-    return _windowed(timed(requests), ["route"], "5 minutes", "1 minute", *counts, F.count("*").alias("n"))
+    return _windowed(timed(requests), list(by), "5 minutes", "1 minute", *counts, F.count("*").alias("n"))
+
+
+def latency_p95(requests: DataFrame, bounds: list[float], q: float = 0.95, by: tuple[str, ...] = ("route",)) -> DataFrame:
+    """The quantile as dashboards read it from latency_buckets(): linear inside the bucket that holds it; above the last bound, that bound."""
+    rank = F.col("n") * q
+    value = F.lit(float(bounds[-1]))
+    for i in reversed(range(len(bounds))):
+        below, low = (F.col(f"le_{i - 1}"), float(bounds[i - 1])) if i else (F.lit(0), 0.0)
+        value = F.when(F.col(f"le_{i}") >= rank, low + (float(bounds[i]) - low) * (rank - below) / (F.col(f"le_{i}") - below)).otherwise(value)
+    return latency_buckets(requests, bounds, by).withColumn("p95", F.round(value, 6))
 
 
 def token_rate(usage: DataFrame) -> DataFrame:
@@ -51,9 +64,9 @@ def spend_per_hour(usage: DataFrame) -> DataFrame:
     return _windowed(timed(usage).where("cost_micro IS NOT NULL"), ["model"], "5 minutes", None, (F.sum("cost_micro") * 12).cast("long").alias("micro_per_hour"))
 
 
-def outcome_rate(events: DataFrame) -> DataFrame:
-    """Outcomes by status over fifteen minutes."""
-    return _windowed(timed(events), ["status"], "15 minutes", None, F.count("*").alias("n"))
+def outcome_rate(events: DataFrame, by: tuple[str, ...] = ("status",)) -> DataFrame:
+    """Outcomes over fifteen minutes: of ingests by status, of provider errors by provider and model."""
+    return _windowed(timed(events), list(by), "15 minutes", None, F.count("*").alias("n"))
 
 
 def chat_sessions(events: DataFrame, idle: str = "15 minutes") -> DataFrame:
@@ -63,16 +76,86 @@ def chat_sessions(events: DataFrame, idle: str = "15 minutes") -> DataFrame:
 
 
 def backlog_depth(changes: DataFrame) -> DataFrame:
-    """Enqueued minus finished after each change (key, ts, event_id, delta)."""
-    order = Window.partitionBy("key").orderBy("ts", "event_id")
-    return changes.select("key", "event_id", F.sum("delta").over(order).cast("long").alias("depth"))
+    """Enqueued minus finished after each change (key, ts, event_id, delta); a key's changes are sorted with spilling, and a task holds one number for it."""
+
+    def fold():
+        depth = 0
+
+        def step(at, event_id, delta):
+            nonlocal depth
+            depth += delta
+            return (depth,)
+
+        return step
+
+    rows = changes.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("delta").cast("long").alias("delta"))
+    return _folded(rows, {"depth": "bigint"}, fold)
+
+
+def backlog_depth_stream(changes: DataFrame) -> DataFrame:
+    """backlog_depth over a stream: the state is a key's depth. Within a micro-batch changes count in the order of ts and event_id."""
+
+    def fold(depth, at, event_id, delta):
+        depth = (depth or 0) + int(delta)
+        return depth, (depth,)
+
+    return _stateful(changes.select("key", "ts", "event_id", "delta"), fold, "depth bigint", "depth bigint")
+
+
+def _allowances(usage: DataFrame) -> DataFrame:
+    return usage.where("key_source = 'system'").select(F.col("org_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("tokens_in") + F.col("tokens_out")).cast("long").alias("tokens"))
 
 
 def running_allowance(usage: DataFrame, limit: int) -> DataFrame:
-    """Per organisation, the first event at which its running use of the shared key reaches the limit."""
-    order = Window.partitionBy("org_id").orderBy("ts", "event_id")
-    rows = usage.where("key_source = 'system'").withColumn("used", F.sum(F.col("tokens_in") + F.col("tokens_out")).over(order))
-    return rows.where(F.col("used") >= limit).groupBy("org_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("used").cast("long").alias("used"))
+    """Per organisation, the first event at which its running use of the shared key reaches the limit. An organisation's events are sorted with spilling, and a task holds one number for it."""
+
+    def fold():
+        used = 0
+
+        def step(at, event_id, tokens):
+            nonlocal used
+            before = used
+            used += tokens
+            return used, before < limit <= used
+
+        return step
+
+    rows = _allowances(usage).select("key", F.unix_micros("ts").alias("at"), "event_id", "tokens")
+    return _folded(rows, {"used": "bigint", "reached": "boolean"}, fold).where("reached").select(F.col("key").alias("org_id"), "event_id", "used")
+
+
+def running_allowance_stream(usage: DataFrame, limit: int) -> DataFrame:
+    """running_allowance over a stream: the state is an organisation's use so far; a row comes out once it reaches the limit."""
+
+    def fold(used, at, event_id, tokens):
+        before, used = used or 0, (used or 0) + int(tokens)
+        return used, (used, before < limit <= used)
+
+    found = _stateful(_allowances(usage), fold, "used bigint", "used bigint, reached boolean")
+    return found.where("reached").select(F.col("key").alias("org_id"), "event_id", "used")
+
+
+def _stateful(rows: DataFrame, fold: Callable, state: str, entry: str) -> DataFrame:
+    """Rows (key, event_id, *entry) of a stream (key, ts, event_id, ...). fold(state, at, event_id, ...) returns the new state, one value here, and the entry.
+
+    A micro-batch's rows of a key are sorted by ts and event_id; between micro-batches only the state is kept.
+    """
+    import pandas as pd
+
+    names = [c for c in rows.columns if c not in ("key", "ts", "event_id")]
+    schema = StructType([rows.schema["key"], rows.schema["event_id"], *StructType.fromDDL(entry).fields])
+
+    def step(key, batches, held):
+        value = held.get[0] if held.exists else None
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        out = []
+        for at, event_id, *values in zip(pdf["ts"], pdf["event_id"], *[pdf[n] for n in names], strict=True):
+            value, found = fold(value, at, event_id, *values)
+            out.append((key[0], event_id, *found))
+        held.update((value,))
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("key").applyInPandasWithState(step, schema, state, "append", "NoTimeout")
 
 
 def _folded(rows: DataFrame, entry: dict[str, str], fold: Callable[[], Callable]) -> DataFrame:
@@ -149,34 +232,47 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key bigint, event_id bigint, n int, rejected boolean", "start bigint, n int", "append", "NoTimeout")
 
 
+class Lockout:
+    """Failures of one account or address. The window starts at the first failure and ends, or locks the key for as long, at the threshold."""
+
+    def __init__(self, threshold: int, width: int, start: int = 0, n: int = 0, until: int = 0):
+        self.threshold, self.width, self.start, self.n, self.until = threshold, width, start, n, until
+
+    def locked(self, at: int) -> bool:
+        return at < self.until
+
+    def fail(self, at: int) -> int:
+        if self.n == 0 or at >= self.start + self.width:
+            self.start, self.n = at, 0
+        self.n += 1
+        failures = self.n
+        if self.n >= self.threshold:
+            self.n, self.until = 0, at + self.width
+        return failures
+
+    def clear(self) -> None:
+        self.n = 0
+
+
 def lockout_flags(logins: DataFrame, key: str, threshold: int = 10, minutes: int = 15) -> DataFrame:
-    """Rows (key, event_id, failures, locked) of logins (ts, event_id, success): attempts while locked are refused and don't count; success clears.
+    """Rows (key, event_id, failures, locked) of logins (ts, event_id, success) by one key: attempts while locked are refused and don't count; success clears.
 
-    The window of failures starts at the first and restarts when the threshold locks the key. A key's attempts go to one task,
-    which sorts them with spilling and holds three numbers for the key. For a batch, or each batch of a stream.
+    A key's attempts go to one task, which sorts them with spilling and holds three numbers for the key; attempts without a time come first. `lockout_both` has an account's
+    success clear the address as well.
     """
     width = minutes * 60 * 1_000_000
 
     def fold():
-        start = n = until = 0
+        state = Lockout(threshold, width)
 
         def step(at, event_id, success):
-            nonlocal start, n, until
-            if at is None:  # such attempts come first
-                n = 0 if success else n + 1
-                return n, None
-            if at < until:
-                return n, True
+            at = at or 0
+            if state.locked(at):
+                return state.n, True
             if success:
-                n = 0
-                return n, False
-            if at >= start + width or n == 0:
-                start, n = at if success is False else start, 0
-            n += 1
-            failures = n
-            if n >= threshold:
-                n, until = 0, at + width
-            return failures, False
+                state.clear()
+                return 0, False
+            return state.fail(at), False
 
         return step
 
@@ -184,22 +280,65 @@ def lockout_flags(logins: DataFrame, key: str, threshold: int = 10, minutes: int
     return _folded(rows, {"failures": "int", "locked": "boolean"}, fold)
 
 
-def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, size: int = 400, overlap: int = 40) -> None:
-    """Chunks documents as files of them land in a folder, each batch replacing the chunks of its sources; returns when it has caught up."""
-    import os
+def lockout_both(logins: DataFrame, threshold: int = 10, minutes: int = 15, scope: str = "org_id") -> DataFrame:
+    """Rows (key, event_id, account_failures, address_failures, locked): an attempt is refused while its account or its address is locked, and a success clears both.
+
+    Account and address act on each other, so attempts are followed in order within a scope that neither leaves, such as a tenant. A task
+    holds the numbers of that scope's accounts and addresses with open failures or locks; ended ones are dropped.
+    """
+    width = minutes * 60 * 1_000_000
+
+    def fold():
+        accounts: dict = {}
+        addresses: dict = {}
+        seen = 0
+
+        def step(at, event_id, account, address, success):
+            nonlocal seen
+            at, seen = at or 0, seen + 1
+            if seen % 10_000 == 0:
+                for held in (accounts, addresses):
+                    for k in [k for k, x in held.items() if at >= x.until and (x.n == 0 or at >= x.start + width)]:
+                        del held[k]
+            mine = accounts.setdefault(account, Lockout(threshold, width)), addresses.setdefault(address, Lockout(threshold, width))
+            if any(x.locked(at) for x in mine):
+                return mine[0].n, mine[1].n, True
+            if success:
+                for x in mine:
+                    x.clear()
+                return 0, 0, False
+            return mine[0].fail(at), mine[1].fail(at), False
+
+        return step
+
+    rows = logins.select(F.col(scope).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "account", "address", "success")
+    return _folded(rows, {"account_failures": "int", "address_failures": "int", "locked": "boolean"}, fold)
+
 
+def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, size: int = 400, overlap: int = 40, strategy: str = "semantic", buckets: int = 64) -> None:
+    """Brings documents (doc, name, text) into the index as files of them land in a folder; returns when it has caught up.
+
+    Chunks stand in `buckets` folders by their document. A micro-batch rewrites only the folders of its own documents, in which it replaces their chunks;
+    a batch that is repeated writes the same again. Documents that fail have no chunks, and stop nothing.
+    """
     from passages.operators.chunking import ingest_corpus
     from passages.sources.corpus import replace_by_source
 
     def batch(docs: DataFrame, n: int) -> None:
-        chunks, _ = ingest_corpus(docs, size, overlap)
-        fresh = f"{target}/batch={n}"
-        earlier = [f"{target}/batch={k}" for k in range(n - 1, -1, -1)]
-        previous = next((p for p in earlier if _exists(docs.sparkSession, p)), None)
-        rows = chunks if previous is None else replace_by_source(docs.sparkSession.read.parquet(previous), chunks, "doc")
-        rows.write.mode("overwrite").parquet(fresh)
-
-    os.makedirs(checkpoint, exist_ok=True) if "://" not in checkpoint else None
+        session = docs.sparkSession
+        rows = docs.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+        if not touched:
+            return
+        chunks = ingest_corpus(docs, size, overlap, strategy)["chunks"].withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+        if _exists(session, target):
+            held = session.read.schema(chunks.schema).parquet(target).where(F.col("bucket").isin(touched)).join(docs.select("doc").distinct(), "doc", "left_anti").select(chunks.columns)
+            chunks = replace_by_source(held, chunks, "doc")
+        staged = f"{target}-staged/{n}"  # what is overwritten can't be read at the same time
+        chunks.write.mode("overwrite").parquet(staged)
+        staged_rows = session.read.schema(chunks.schema).parquet(staged)
+        staged_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -214,10 +353,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def stream_assign(turns: DataFrame, variants: DataFrame, experiment_id: int) -> DataFrame:
-    """Tags turns, live or not, with the variant of their subject; the hash makes it stick."""
+def stream_assign(turns: DataFrame, variants: DataFrame, experiment_id: int, assignments: DataFrame | None = None) -> DataFrame:
+    """Tags turns, live or not, with the variant of their subject: an earlier assignment (experiment_id, subject, variant_id) if its variant still exists, else the one that its hash falls on.
+
+    The hash sticks as long as the variants do; `sticky_assign_stream` keeps subjects where they are even when traffic is dealt anew.
+    """
     from passages.operators.experiments import bucket, variant_ranges
 
-    ranges = F.broadcast(variant_ranges(variants).where(F.col("experiment_id") == experiment_id).select("variant_id", "low", "high"))
+    ranges = variant_ranges(variants).where(F.col("experiment_id") == experiment_id).select("variant_id", "low", "high")
     rows = turns.withColumn("bucket", bucket(F.lit(experiment_id), F.col("subject")))
-    return rows.join(ranges, (F.col("bucket") >= F.col("low")) & (F.col("bucket") < F.col("high"))).drop("low", "high")
+    edges = F.broadcast(ranges)  # one row an arm of the experiment
+    rows = rows.join(edges, (F.col("bucket") >= F.col("low")) & (F.col("bucket") < F.col("high"))).drop("low", "high")
+    if assignments is None:
+        return rows
+    held = assignments.where(F.col("experiment_id") == experiment_id).join(variants.where(F.col("experiment_id") == experiment_id).select(F.col("id").alias("variant_id")), "variant_id", "left_semi")
+    held = held.groupBy("subject").agg(F.min("variant_id").alias("held"))
+    return rows.join(held, "subject", "left").withColumn("variant_id", F.coalesce("held", "variant_id")).drop("held")
+
+
+def sticky_assign_stream(turns: DataFrame) -> DataFrame:
+    """Rows (key, event_id, variant_id) of tagged live turns (subject, ts, event_id, variant_id): a subject keeps the first variant it was seen with. The state is that variant."""
+
+    def fold(held, at, event_id, variant_id):
+        held = int(variant_id) if held is None else held
+        return held, (held,)
+
+    rows = turns.select(F.col("subject").alias("key"), "ts", "event_id", F.col("variant_id").cast("long").alias("variant_id"))
+    return _stateful(rows, fold, "variant bigint", "variant_id bigint")

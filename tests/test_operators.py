@@ -45,7 +45,7 @@ def test_chunking(spark):
     assert [(r.doc, r.tokens) for r in found] == [(1, 107), (1, 107)]
     segs = spark.createDataFrame([(1, i, ["P", s], "some words here") for i, s in enumerate("abc")], "doc int, seg_no int, section array<string>, text string")
     one = chunking.chunk_semantic(segs, 200, 20).collect()
-    assert len(one) == 1 and one[0].section == ["P"] and one[0].tokens == 9
+    assert len(one) == 1 and one[0].section == ["P"] and one[0].tokens == 10  # with the breadcrumb
     assert chunking.chunk_per_unit(segs).count() == 3
 
 
@@ -214,10 +214,103 @@ def test_dense_blocks(spark, monkeypatch):
 
 
 def test_stream_ingest(spark, tmp_path):
-    docs = view(spark, SF, "documents").select(F.col("doc_id").alias("doc"), "text").where("doc < 40")
+    """Two batches, the second with changed, new and failing documents: the index holds what one batch over the latest documents gives."""
+    docs = view(spark, SF, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("d."), F.when(F.col("doc_id") % 5 == 4, "exe").otherwise("txt")).alias("name"), "text").where("doc < 30")
+    changed = docs.where("doc BETWEEN 20 AND 25").withColumn("text", F.lit("new text of this document")).unionByName(spark.createDataFrame([(90, "n.md", "# T\nbody of it"), (91, "n.txt", None)], docs.schema))
+    run = lambda: windows.stream_ingest(spark, str(tmp_path / "docs"), "doc long, name string, text string", str(tmp_path / "out"), str(tmp_path / "state"), buckets=4)
     docs.write.parquet(str(tmp_path / "docs"))
-    windows.stream_ingest(spark, str(tmp_path / "docs"), "doc long, text string", str(tmp_path / "out"), str(tmp_path / "state"))
-    assert rows_of(spark.read.parquet(str(tmp_path / "out" / "batch=0"))) == rows_of(chunking.ingest_corpus(docs)[0])
+    run()
+    first = spark.read.parquet(str(tmp_path / "out")).count()
+    changed.coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    run()
+    latest = docs.join(changed.select("doc"), "doc", "left_anti").unionByName(changed)
+    expected = chunking.ingest_corpus(latest)["chunks"]
+    assert rows_of(spark.read.schema(f"{expected._jdf.schema().toDDL()}").parquet(str(tmp_path / "out")).select(expected.columns)) == rows_of(expected)
+    assert first > 0 and expected.where("doc IN (4, 91)").count() == 0 and expected.where("doc = 90").first().section == ["T"]
+
+
+def test_chunking_rules(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    pieces = chunking.split_text(". ".join(words(10 * k, 10 * k + 10) for k in range(40)), 100, 20)
+    assert all(chunking.n_words(p) <= 100 for p in pieces) and all(a.split()[-20:] == b.split()[:20] for a, b in zip(pieces, pieces[1:-1]))
+    assert chunking.n_words(pieces[-1]) >= 25
+    assert [chunking.n_words(p) for p in chunking.split_text(words(0, 214), 200, 0)] == [107, 107]
+    kept = " ".join(chunking.split_text(words(0, 137) + ".\n" + words(137, 400), 50, 0)).split()
+    assert kept == (words(0, 137) + ". " + words(137, 400)).split()
+    rows = [(1, i, f"some words here {i}", ["P", x], page, "Title") for i, (x, page) in enumerate([("a", 3), ("b", 3), ("c", 4)])] + [(2, 0, "alone on its page", [], 7, None)]
+    segs = spark.createDataFrame(rows, "doc int, seg_no int, text string, section array<string>, page int, title string")
+    found = {r.doc: r for r in chunking.chunk_semantic(segs, 200, 20).collect()}
+    assert (found[1].section, found[1].page, found[1].page_end) == (["P"], 3, 4) and found[1].text.startswith("Title > P\nsome words here 0\n\nsome")
+    assert (found[2].section, found[2].page, found[2].page_end, found[2].text) == ([], 7, None, "alone on its page")
+    tight = chunking.chunk_semantic(segs.where("doc = 1"), 10, 2).collect()
+    assert len(tight) > 1 and all(r.tokens <= 10 for r in tight)
+    assert chunking.chunk_semantic(segs.limit(0)).count() == 0 and chunking.chunk_per_unit(segs).count() == 4
+    report = chunking.chunk_report(chunking.chunk_per_unit(segs)).first()
+    assert report.chunks == 4 and report.with_path == 0.75
+
+
+def test_references_and_loaders(spark):
+    text = "a &lt;b&gt; &amp;lt; &#233;&#x20AC; &#128512; &#0; &bogus; &#99999999; caf&eacute; &"
+    assert spark.createDataFrame([(text,)], "t string").select(segments.decode_references(F.col("t")).alias("t")).first().t == "a <b> &lt; é€ 😀 &#0; &bogus; &#99999999; café &"
+    docs = [(1, "md", "# Top\nbody"), (2, "html", "<title>T &amp; x</title><body><h1>H</h1><p>para</p></body>"), (3, "json", '{"k": "v"}'), (4, "txt", "plain"), (5, "log", "other"), (6, "md", "# Contents\n1 a\n# Next\nrest"), (7, "txt", " ")]
+    found = segments.load_segments(spark.createDataFrame(docs, "doc int, extension string, text string"), {"log": lambda d: segments.plain_segments(d.withColumn("text", F.upper("text")))})
+    assert sorted((r.doc, r.section, r.text, r.title) for r in found.collect()) == [
+        (1, ["Top"], "body", "Top"), (2, ["H"], "para", "T & x"), (3, ["k"], "v", None), (4, [], "plain", None), (5, [], "OTHER", None), (6, ["Next"], "rest", "Contents")]
+
+
+def test_index_by_term(spark, tmp_path):
+    postings = spark.createDataFrame([("a", 1, 2), ("b", 1, 1), ("c", 2, 5)], "term string, chunk_id int, tf int")
+    corpus.write_index(postings, str(tmp_path / "i"), 8)
+    asked = spark.createDataFrame([("a",), ("zz",)], "term string")
+    found = corpus.read_index(spark, str(tmp_path / "i"), asked, 8)
+    assert [tuple(r) for r in found.collect()] == [("a", 1, 2)] and "PartitionFilters: [bucket" in found._jdf.queryExecution().toString().replace("isnotnull(bucket", "bucket")
+
+
+STREAMS = {
+    "error_rate": ("requests", windows.error_rate), "token_rate": ("usage_events", windows.token_rate), "spend_per_hour": ("usage_events", windows.spend_per_hour),
+    "latency_p95": ("requests", lambda df: windows.latency_p95(df, [0.5, 1.0, 5.0])), "outcome_rate": ("requests", windows.outcome_rate), "chat_sessions": ("events", windows.chat_sessions),
+}
+
+
+@pytest.mark.parametrize("name", sorted(STREAMS))
+def test_streams_equal_batches(spark, tmp_path, name):
+    source, f = STREAMS[name]
+    rows = view(spark, SF, source)
+    rows = rows.withColumnRenamed("created_at", "ts") if source == "usage_events" else rows
+    _run(f(_stream(spark, rows, tmp_path)), f"twin_{name}", "complete")
+    assert rows_of(spark.table(f"twin_{name}")) == rows_of(f(rows))
+
+
+def test_stateful_twins(spark, tmp_path):
+    """Each twin over two micro-batches against its batch form: state goes on from one to the next."""
+    events = view(spark, SF, "events")
+    changes = events.select((F.col("user_id") % 3).alias("key"), "ts", "event_id", F.when(F.col("event_type") == "view", 1).otherwise(-1).cast("long").alias("delta"))
+    use = view(spark, SF, "usage_events").withColumnRenamed("created_at", "ts").select("org_id", "ts", "event_id", "key_source", "tokens_in", "tokens_out")
+    middle = events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+
+    def two(df, f, name):
+        folder = str(tmp_path / name)
+        query = lambda: f(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)).writeStream.format("parquet").option("path", folder + "-out").option("checkpointLocation", folder + "-state").trigger(availableNow=True).start().awaitTermination()
+        for part in (df.where(F.col("event_id") <= middle), df.where(F.col("event_id") > middle)):
+            part.coalesce(1).write.mode("append").parquet(folder)
+            query()
+        return spark.read.parquet(folder + "-out")
+
+    assert rows_of(two(changes, windows.backlog_depth_stream, "backlog")) == rows_of(windows.backlog_depth(changes))
+    found = rows_of(windows.running_allowance(use, 5_000))
+    assert found[1] and rows_of(two(use, lambda d: windows.running_allowance_stream(d, 5_000), "allowance")) == found
+    turns = events.select(F.col("user_id").cast("string").alias("subject"), "ts", "event_id", (F.col("event_id") % 3).alias("variant_id"))
+    first = {r.subject: r.v for r in turns.groupBy("subject").agg(F.min_by("variant_id", F.struct("ts", "event_id")).alias("v")).collect()}
+    sticky = two(turns, windows.sticky_assign_stream, "sticky").collect()
+    assert len(sticky) == turns.count() and all(r.variant_id == first[r.key] for r in sticky)
+
+
+def test_lockout_of_both_keys(spark):
+    """Failures on one account from several addresses lock the account; a success clears account and address."""
+    t = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    rows = [(1, 1, t(0), "a", "x", False), (1, 2, t(1), "a", "y", False), (1, 3, t(2), "b", "x", True), (1, 4, t(3), "a", "x", False), (1, 5, t(4), "a", "z", True), (1, 6, t(5), "c", "x", False), (1, 7, t(40), "a", "x", True)]
+    found = windows.lockout_both(spark.createDataFrame(rows, "org_id int, event_id int, ts timestamp_ntz, account string, address string, success boolean"), 3, 15).orderBy("event_id").collect()
+    assert [(r.account_failures, r.address_failures, r.locked) for r in found] == [(1, 1, False), (2, 1, False), (0, 0, False), (3, 1, False), (0, 0, True), (1, 2, False), (0, 0, False)]
 
 
 def test_histogram_above_last_bound(spark):
