@@ -384,7 +384,7 @@ _SQL_EN = ", ".join(repr(w) for w in lexical.STOPWORDS["en"])
 @query(rf"""WITH c AS ({_sql_semantic(_SQL_CLEANED)}), s AS (SELECT doc, count(*) AS chunks, sum(len(words))::BIGINT AS tokens, string_agg(md5(array_to_string(words, ' ')), ',' ORDER BY ordinal) AS digests,
   sum(len(list_filter(regexp_split_to_array(lower(array_to_string(words, ' ')), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '' AND w NOT IN ({_SQL_EN}))))::BIGINT AS occurrences FROM c WHERE len(words) > 0 GROUP BY 1)
 SELECT doc_id AS doc, CASE WHEN doc_id % 4 = 2 OR chunks IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 4 = 2 THEN 'unsupported type: exe' WHEN chunks IS NULL THEN 'no text' END AS error, 'en' AS lang,
-  coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS tokens, 400 AS chunk_size, 40 AS chunk_overlap, 'semantic' AS chunk_strategy, digests, occurrences, chunks AS vectors FROM documents LEFT JOIN s ON doc = doc_id""")
+  coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS tokens, 400 AS chunk_size, 40 AS chunk_overlap, 'semantic' AS chunk_strategy, digests, coalesce(occurrences, 0) AS occurrences, chunks AS vectors FROM documents LEFT JOIN s ON doc = doc_id""")
 def ingest_corpus(spark, sf_dir):
     """Every document into the index: its row in sources, the digests of its chunks, the words in its postings, and its vectors."""
     found = chunking.ingest_corpus(spark.sql(_NAMED, t=view(spark, sf_dir, "documents")))
@@ -394,4 +394,4 @@ def ingest_corpus(spark, sf_dir):
     postings = found["postings"].groupBy(doc).agg(F.sum("tf").alias("occurrences"))
     vectors = found["vectors"].groupBy(doc).agg(F.count("*").alias("vectors"))
     rows = found["sources"].select("doc", "status", "error", "lang", "chunks", "tokens", "chunk_size", "chunk_overlap", "chunk_strategy")
-    return rows.join(digests, "doc", "left").join(postings, "doc", "left").join(vectors, "doc", "left")
+    return rows.join(digests, "doc", "left").join(postings, "doc", "left").join(vectors, "doc", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
