@@ -31,7 +31,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
 
     Sources by code point, null last, take the weights in turn. Targets share the sum of all sizes by weight; none exceeds
     cap times its source's size, the excess being shared by weight among the others. Sources fill up in the order of
-    cap * size / weight, so a running sum over that order finds the level at which the rest is shared.
+    cap * size / weight, so a running sum over that order finds the level at which the rest is shared. All sources meet in one task for it, each as
+    two numbers: one task sorts millions of them with spilling.
     """
     everything = Window.partitionBy()
     turn = (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(weights)
