@@ -1,4 +1,4 @@
-"""The source tree: paths of ancestor ids joined by dots. Subtree tests are equi-joins on exploded ancestor paths."""
+"""The source tree: paths of ancestor ids joined by dots. Subtree tests look at a node's ancestors, never at pairs of nodes."""
 
 from __future__ import annotations
 
@@ -12,11 +12,21 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
 
 
+#: Roots up to which they are looked for inside the row.
+FEW_ROOTS = 1000
+
+
 def expand_subtree(nodes: DataFrame, roots: DataFrame, files_only: bool = True) -> DataFrame:
-    """Nodes at or below a root. Roots are a user's choice of folders; no nested loop however many they are."""
+    """Nodes at or below a root. A choice of a few folders is looked for among a node's own ancestors, without a join or shuffle.
+
+    More roots than FEW_ROOTS are joined on the ancestors' paths; then only paths are shuffled. No nested loop either way. Repeated rows stay.
+    """
     rows = nodes.where(F.col("type") != "directory") if files_only else nodes
-    rows = rows.withColumn("_up", F.explode(ancestors(F.col("path"))))
-    return rows.join(roots.select(F.col("path").alias("_up")).distinct(), "_up", "left_semi").drop("_up").distinct()
+    chosen = [r["path"] for r in roots.select("path").where("path IS NOT NULL").distinct().limit(FEW_ROOTS + 1).collect()]
+    if len(chosen) <= FEW_ROOTS:
+        return rows.where(F.arrays_overlap(ancestors(F.col("path")), F.array(*map(F.lit, chosen)).cast("array<string>")))
+    met = rows.select("path", F.explode(ancestors(F.col("path"))).alias("_up")).join(roots.select(F.col("path").alias("_up")).distinct(), "_up", "left_semi")
+    return rows.join(met.select("path").distinct(), "path", "left_semi")
 
 
 def tree_listing(nodes: DataFrame, parent: str, directories_only: bool = False) -> DataFrame:

@@ -98,6 +98,9 @@ def test_tree(spark):
     nodes = spark.createDataFrame([("1", "a", "directory"), ("1.2", "b", "file"), ("12.3", "c", "file"), ("1.4.5", "d", "file")], "path string, name string, type string")
     roots = spark.createDataFrame([("1",)], "path string")
     assert {r.path for r in tree.expand_subtree(nodes, roots).collect()} == {"1.2", "1.4.5"}
+    many = roots.union(spark.range(1200).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("path")))
+    assert {r.path for r in tree.expand_subtree(nodes, many).collect()} == {"1.2", "1.4.5"}
+    assert tree.expand_subtree(nodes, roots.limit(0)).count() == 0
     assert tree.access_scope(nodes, nodes, 1, True, "owner").count() == 4
 
 
