@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from passages.operators.sizes import few
+
 
 def bucket(experiment_id: Column, subject: Column) -> Column:
     """0 to 99 from the first four bytes of the hash of experiment and subject."""
@@ -29,15 +31,15 @@ def variant_ranges(variants: DataFrame) -> DataFrame:
 
 
 def assign_by_bucket(subjects: DataFrame, variants: DataFrame) -> DataFrame:
-    """Rows (experiment_id, subject, bucket, variant_id) by a range join; an experiment has few variants, so they are broadcast."""
+    """Rows (experiment_id, subject, bucket, variant_id) by a join on the experiment and the range; variants are broadcast while they are few."""
     rows = subjects.withColumn("bucket", bucket(F.col("experiment_id"), F.col("subject")))
-    ranges = F.broadcast(variant_ranges(variants).withColumnRenamed("experiment_id", "e"))
+    ranges = few(variant_ranges(variants).withColumnRenamed("experiment_id", "e"))
     return rows.join(ranges, (F.col("experiment_id") == F.col("e")) & (F.col("bucket") >= F.col("low")) & (F.col("bucket") < F.col("high"))).select("experiment_id", "subject", "bucket", "variant_id")
 
 
 def sticky_assign(subjects: DataFrame, assignments: DataFrame, variants: DataFrame) -> DataFrame:
     """An earlier assignment holds while its variant exists; all others are assigned by bucket and flagged as new."""
-    alive = assignments.join(F.broadcast(variants.select("experiment_id", F.col("id").alias("variant_id"))), ["experiment_id", "variant_id"], "left_semi")
+    alive = assignments.join(few(variants.select("experiment_id", F.col("id").alias("variant_id"))), ["experiment_id", "variant_id"], "left_semi")
     kept = alive.select("experiment_id", "subject", F.col("variant_id").alias("earlier"))
     rows = assign_by_bucket(subjects, variants).join(kept, ["experiment_id", "subject"], "left")
     return rows.select("experiment_id", "subject", F.coalesce("earlier", "variant_id").alias("variant_id"), F.col("earlier").isNull().alias("is_new"))
@@ -55,7 +57,7 @@ def running_experiment(experiments: DataFrame) -> DataFrame:
 
 def assign_variants(turns: DataFrame, experiments: DataFrame, variants: DataFrame, assignments: DataFrame) -> DataFrame:
     """Tags turns (bot_id, user_id, conversation_id) with the variant of their bot's running experiment."""
-    rows = turns.withColumn("subject", subject_of(F.col("user_id"), F.col("conversation_id"))).join(F.broadcast(running_experiment(experiments)), "bot_id")
+    rows = turns.withColumn("subject", subject_of(F.col("user_id"), F.col("conversation_id"))).join(few(running_experiment(experiments)), "bot_id")
     subjects = rows.select("experiment_id", "subject").distinct()
     return rows.join(sticky_assign(subjects, assignments, variants), ["experiment_id", "subject"])
 

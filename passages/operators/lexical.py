@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from passages.operators.sizes import few
+
 # Stop words by language.
 STOPWORDS = {
     "en": "a an and are as at be by for from in is it of on or that the this to was with".split(),
@@ -27,10 +29,6 @@ def drop_stopwords(words: DataFrame, langs: list[str]) -> DataFrame:
     return words.where(~F.col("term").isin(stop)) if stop else words
 
 
-#: Words of all queries together that are broadcast (about 20 MB at most).
-MAX_TERMS = 200_000
-
-
 def analysed(chunks: DataFrame) -> DataFrame:
     """Adds words: those of the text without the stop words of its own language."""
     def is_stop(w: Column) -> Column:
@@ -63,9 +61,8 @@ def matching_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     Queries' words are few beside a corpus; they are broadcast in a checked number, and shuffled beyond it.
     """
     asked = terms.select("term").distinct()
-    few = asked.limit(MAX_TERMS + 1).count() <= MAX_TERMS
     rows = analysed(chunks).select("chunk_id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term"))
-    return rows.join(F.broadcast(asked) if few else asked, "term", "left_semi").groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
+    return rows.join(few(asked), "term", "left_semi").groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def corpus_lengths(chunks: DataFrame) -> DataFrame:

@@ -359,11 +359,11 @@ def stream_assign(turns: DataFrame, variants: DataFrame, experiment_id: int, ass
     The hash sticks as long as the variants do; `sticky_assign_stream` keeps subjects where they are even when traffic is dealt anew.
     """
     from passages.operators.experiments import bucket, variant_ranges
+    from passages.operators.sizes import few
 
     ranges = variant_ranges(variants).where(F.col("experiment_id") == experiment_id).select("variant_id", "low", "high")
     rows = turns.withColumn("bucket", bucket(F.lit(experiment_id), F.col("subject")))
-    edges = F.broadcast(ranges)  # one row an arm of the experiment
-    rows = rows.join(edges, (F.col("bucket") >= F.col("low")) & (F.col("bucket") < F.col("high"))).drop("low", "high")
+    rows = rows.join(few(ranges), (F.col("bucket") >= F.col("low")) & (F.col("bucket") < F.col("high"))).drop("low", "high")
     if assignments is None:
         return rows
     held = assignments.where(F.col("experiment_id") == experiment_id).join(variants.where(F.col("experiment_id") == experiment_id).select(F.col("id").alias("variant_id")), "variant_id", "left_semi")
