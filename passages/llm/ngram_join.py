@@ -33,8 +33,8 @@ MIN_BITS, MAX_BITS = 16, 24
 _CHUNK = 1 << 16
 #: Documents and n-grams in a block of the product, and documents of its whole cluster beside each.
 BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 128, 1 << 21, 8
-#: Scaled count from which an n-gram's list may be too long for one task (about 4,000 documents).
-HOT = 108
+#: Scaled count from which an n-gram's list is not ordered (about 500 documents).
+HOT = 81
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -166,16 +166,16 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequencies, bits: int)
 def _cluster_edges(prefixes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair that shares a prefix n-gram within the size and place bounds.
 
-    In a list ordered by size each document is tied to the nearest smaller one that may stand on the smaller side of a pair. If
-    these two are too different in size, so are all pairs across this place of the list. Lists that may be too long for one task are
+    Each document is tied to the first one in its n-gram's list that may stand on the smaller side of a pair and is not too small for it. By
+    induction over sizes this connects all of the list that may pair up: the two ends of a pair are tied to documents that are themselves a possible pair of smaller ones. Lists
+    of documents of like size so are stars rather than chains, which components() joins in few rounds. Lists that may be too long for one task are
     not ordered: there, sizes fall into bands so wide that a pair spans two neighbouring ones at most, and each document is tied to
     one document of its band and of the band below that may stand on the smaller side.
     """
-    order = Window.partitionBy("gram").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    smaller = F.last(F.when(F.col("at") % 2 == 1, F.struct("id", "n")), ignorenulls=True).over(order)
-    ties = prefixes.where("NOT hot").select("id", "n", smaller.alias("s")).where(F.col("s").isNotNull() & (100 * F.col("s.n") >= percent * F.col("n")))
-    ties = ties.select("id", F.col("s.id").alias("other"))
-    hot = prefixes.where("hot").withColumn("band", F.floor(F.log("n") / (1.0001 * np.log(100 / percent))))
+    reach = 1.0001 * float(np.log(100 / percent))
+    first = F.expr(f"min(CASE WHEN at % 2 = 1 THEN struct(n, id) END) OVER (PARTITION BY gram ORDER BY ln(n) RANGE BETWEEN {reach}D PRECEDING AND CURRENT ROW)")
+    ties = prefixes.where("NOT hot").select("id", first["id"].alias("other")).where("other IS NOT NULL")
+    hot = prefixes.where("hot").withColumn("band", F.floor(F.log("n") / reach))
     centres = written(hot.where(F.col("at") % 2 == 1).groupBy("gram", "band").agg(F.min("id").alias("other")), "band-centres")
     for step in (0, 1):
         ties = ties.union(hot.join(small(centres.withColumn("band", F.col("band") + step)), ["gram", "band"]).select("id", "other"))

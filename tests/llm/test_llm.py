@@ -413,7 +413,7 @@ def test_ngram_join(spark, documents):
     assert found == _brute(documents, 4, 85)
 
 
-@pytest.mark.parametrize("width, percent, block, hot", [(4, 85, 256, 108), (5, 80, 4, 108), (5, 80, 5, 0)])
+@pytest.mark.parametrize("width, percent, block, hot", [(4, 85, 256, 81), (5, 80, 4, 81), (5, 80, 5, 0)])
 def test_ngram_join_of_chains(spark, monkeypatch, width, percent, block, hot):
     """Copies of copies, each a little further off, and texts of very different length; in one block, in several, and with all lists taken as long ones."""
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
