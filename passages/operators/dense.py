@@ -119,12 +119,15 @@ def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: Cell
 
 
 def hashed_embeddings(chunks: DataFrame, dims: int = 64) -> DataFrame:
-    """A default embedding without a model: term counts hashed into dims places. Rows (chunk_id, embedding)."""
+    """A default embedding without a model: term counts hashed into dims places. Rows (chunk_id, embedding); a chunk without a term has none.
+
+    A chunk's terms stand in one row, so its places are counted before anything is shuffled.
+    """
     rows = chunks.select("chunk_id", F.explode(analyse(F.col("text"))).alias("term"))
     place = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dims
-    rows = rows.select("chunk_id", place.alias("place"))
-    sums = [F.count_if(F.col("place") == i).cast("double") for i in range(dims)]
-    return rows.groupBy("chunk_id").agg(F.array(*sums).alias("embedding"))
+    counts = rows.groupBy("chunk_id", place.cast("int").alias("place")).agg(F.count("*").cast("double").alias("n"))
+    counts = counts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("counts"))
+    return counts.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0.0))).alias("embedding"))
 
 
 def embed_corpus(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
