@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import decontaminate, html_main_text, language_id, line_cleaning, line_dedup, ngram_join, quality_model, secret_scan, source_mix, token_counts
-from passages.llm.common import table
+from passages.llm import (
+    decontaminate, embedding_whitening, html_main_text, language_id, line_cleaning, line_dedup, ngram_join, periodic_runs, quality_model, secret_scan, source_mix, token_counts, toxicity,
+)
+from passages.llm.common import table, words_of
 
 
 def fold(n: int):
@@ -77,8 +79,49 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector along each of the first sixteen whitened directions."""
+    rows = embedding_whitening.quantised(table(spark, sf_dir, "embeddings"))
+    found = embedding_whitening.whiten(rows, embedding_whitening.fit(rows, components=16))
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def with_periodic_tail(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text): as the contract asks, the words of about every tenth text repeat themselves from a word on that its id decides."""
+    rows = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumns({"n": F.size("words"), "g": F.expr("cast(h div 10 as int)")}).withColumn("a", F.expr("g % greatest(n, 1)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(1 + (n - a) div p as int))), 1, n - a)")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(F.concat(F.expr("slice(words, 1, a)"), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document: how many, the one that repeats most, and digests of all and of the collapsed text."""
+    found = periodic_runs.find_runs(with_periodic_tail(table(spark, sf_dir, "documents")))
+    more = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]  # noqa: E731  # the sign of the difference of two exponents, exact
+    order = lambda a, b: F.when(more(a, b) != 0, F.signum(more(b, a))).otherwise(F.signum(a["start"] - b["start"])).cast("int")
+    # runs are sorted by start, then period, and the sort is stable
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a verdict for every document, learnt from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(5) != 0))
+    return toxicity.classify(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning, op8_main_text, op9_ngram_join, op10_decontaminate)}
+    found = (
+        op1_line_dedup, op2_quality, op3_token_counts, op4_source_mix, op5_secrets, op6_language, op7_line_cleaning, op8_main_text, op9_ngram_join, op10_decontaminate,
+        op11_whitening, op12_periodic_runs, op13_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
