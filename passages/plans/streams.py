@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passages.adapters import view, with_views
 from passages.plans.accounting import _BUCKET, _RANGES, BOUNDS
-from passages.streaming import windows
+from passages.streaming import lockouts, windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -113,24 +113,23 @@ def lockout_flags(spark, sf_dir):
     return windows.lockout_flags(view(spark, sf_dir, "logins"), "account", 3, 1440)
 
 
-_SQL_BOTH = """WITH RECURSIVE h AS (SELECT org AS key, event_id, epoch_us(ts) AS tt, account, address, success, row_number() OVER (PARTITION BY org ORDER BY ts, event_id) AS i FROM (
-  SELECT event_id, ts, user_id % 10 AS org, user_id AS account, concat(user_id % 10, '-', event_id % 3) AS address, event_type = 'signup' AS success FROM events WHERE event_type IN ('signup', 'error', 'purchase'))),
-f AS (SELECT key, 0::BIGINT AS event_id, 0 AS i, MAP {}::MAP(VARCHAR, STRUCT(s BIGINT, n INT, u BIGINT)) AS held, 0 AS account_failures, 0 AS address_failures, false AS locked FROM (SELECT DISTINCT key FROM h)
-  UNION ALL SELECT key, event_id, i, map_concat(held, MAP {ak: CASE WHEN locked THEN a WHEN success THEN {'s': a.s, 'n': 0, 'u': a.u} WHEN af >= 3 THEN {'s': aw, 'n': 0, 'u': tt + 86400000000} ELSE {'s': aw, 'n': af, 'u': a.u} END,
-      dk: CASE WHEN locked THEN d WHEN success THEN {'s': d.s, 'n': 0, 'u': d.u} WHEN df >= 3 THEN {'s': dw, 'n': 0, 'u': tt + 86400000000} ELSE {'s': dw, 'n': df, 'u': d.u} END}),
-    CASE WHEN locked THEN a.n WHEN success THEN 0 ELSE af END, CASE WHEN locked THEN d.n WHEN success THEN 0 ELSE df END, locked FROM (
+# accounts and addresses go across tenants: every address is shared by accounts of several
+_LOGINS = "SELECT event_id, ts, user_id AS account, concat('10.', user_id % 12, '.', event_id % 5) AS address, event_type = 'signup' AS success FROM {t} WHERE event_type IN ('signup', 'error', 'purchase')"
+_SQL_BOTH = f"""WITH RECURSIVE h AS (SELECT event_id, epoch_us(ts) AS tt, account, address, success, row_number() OVER (ORDER BY ts, event_id) AS i FROM ({_LOGINS.format(t='events')})),
+f AS (SELECT 0::BIGINT AS event_id, 0::BIGINT AS account, '' AS address, 0::BIGINT AS i, MAP {{}}::MAP(VARCHAR, STRUCT(s BIGINT, n INT, u BIGINT)) AS held, 0 AS account_failures, 0 AS address_failures, false AS locked
+  UNION ALL SELECT event_id, account, address, i, map_concat(held, MAP {{ak: CASE WHEN locked THEN a WHEN success THEN {{'s': a.s, 'n': 0, 'u': a.u}} WHEN af >= 3 THEN {{'s': aw, 'n': 0, 'u': tt + 86400000000}} ELSE {{'s': aw, 'n': af, 'u': a.u}} END,
+      dk: CASE WHEN locked THEN d WHEN success THEN {{'s': d.s, 'n': 0, 'u': d.u}} WHEN df >= 3 THEN {{'s': dw, 'n': 0, 'u': tt + 86400000000}} ELSE {{'s': dw, 'n': df, 'u': d.u}} END}}),
+    CASE WHEN locked THEN CASE WHEN tt < a.s + 86400000000 THEN a.n ELSE 0 END WHEN success THEN 0 ELSE af END, CASE WHEN locked THEN CASE WHEN tt < d.s + 86400000000 THEN d.n ELSE 0 END WHEN success THEN 0 ELSE df END, locked FROM (
     SELECT *, tt < a.u OR tt < d.u AS locked, CASE WHEN a.n = 0 OR tt >= a.s + 86400000000 THEN tt ELSE a.s END AS aw, CASE WHEN a.n = 0 OR tt >= a.s + 86400000000 THEN 1 ELSE a.n + 1 END AS af,
       CASE WHEN d.n = 0 OR tt >= d.s + 86400000000 THEN tt ELSE d.s END AS dw, CASE WHEN d.n = 0 OR tt >= d.s + 86400000000 THEN 1 ELSE d.n + 1 END AS df FROM (
-      SELECT h.*, f.held, 'a' || account AS ak, 'd' || address AS dk, coalesce(f.held['a' || account], {'s': 0::BIGINT, 'n': 0, 'u': 0::BIGINT}) AS a, coalesce(f.held['d' || address], {'s': 0::BIGINT, 'n': 0, 'u': 0::BIGINT}) AS d FROM f JOIN h ON h.key = f.key AND h.i = f.i + 1)))
-SELECT key, event_id, account_failures, address_failures, locked FROM f WHERE i > 0"""
+      SELECT h.*, f.held, 'a' || h.account AS ak, 'd' || h.address AS dk, coalesce(f.held['a' || h.account], {{'s': 0::BIGINT, 'n': 0, 'u': 0::BIGINT}}) AS a, coalesce(f.held['d' || h.address], {{'s': 0::BIGINT, 'n': 0, 'u': 0::BIGINT}}) AS d FROM f JOIN h ON h.i = f.i + 1)))
+SELECT event_id, account, address, account_failures, address_failures, locked FROM f WHERE i > 0"""
 
 
 @query(_SQL_BOTH)
 def lockout_both(spark, sf_dir):
-    """Lockouts of accounts and addresses that act on each other, followed within a tenant."""
-    logins = view(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')").select(
-        "event_id", "ts", (F.col("user_id") % 10).alias("org_id"), F.col("user_id").alias("account"), F.concat((F.col("user_id") % 10).cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("address"), (F.col("event_type") == "signup").alias("success"))
-    return windows.lockout_both(logins, 3, 1440)
+    """Lockouts of accounts and addresses that act on each other, whatever tenant they belong to."""
+    return lockouts.lockout_both(spark.sql(_LOGINS, t=view(spark, sf_dir, "events")), 3, 1440)
 
 
 @query(f"""SELECT event_id, s.subject, bucket, coalesce(a.variant_id, s.variant_id) AS variant_id FROM (SELECT event_id, subject, bucket, variant_id FROM (SELECT *, {_BUCKET} AS bucket FROM (SELECT event_id, concat('user:', user_id) AS subject, 1 AS experiment_id FROM events))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,3 +16,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="passages-")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder and read again: later stages don't work them out anew, and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark writes to; one that isn't there is none."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from passages.operators import scans
+from passages.operators.sizes import few
+from passages.sources.storage import kept
+
 LATE = "10 minutes"
 
 
@@ -76,20 +80,10 @@ def chat_sessions(events: DataFrame, idle: str = "15 minutes") -> DataFrame:
 
 
 def backlog_depth(changes: DataFrame) -> DataFrame:
-    """Enqueued minus finished after each change (key, ts, event_id, delta); a key's changes are sorted with spilling, and a task holds one number for it."""
-
-    def fold():
-        depth = 0
-
-        def step(at, event_id, delta):
-            nonlocal depth
-            depth += delta
-            return (depth,)
-
-        return step
-
-    rows = changes.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("delta").cast("long").alias("delta"))
-    return _folded(rows, {"depth": "bigint"}, fold)
+    """Rows (key, event_id, depth): enqueued minus finished after each change (key, ts, event_id, delta). A key with very many changes is summed in parallel ranges."""
+    order = ["at", "event_id"]
+    rows = changes.select("key", F.col("ts").cast("timestamp").alias("at"), "event_id", F.col("delta").cast("long").alias("delta"))
+    return scans.running_sum(scans.in_ranges(rows, "key", order), "key", order, "delta", "depth").select("key", "event_id", "depth")
 
 
 def backlog_depth_stream(changes: DataFrame) -> DataFrame:
@@ -107,21 +101,11 @@ def _allowances(usage: DataFrame) -> DataFrame:
 
 
 def running_allowance(usage: DataFrame, limit: int) -> DataFrame:
-    """Per organisation, the first event at which its running use of the shared key reaches the limit. An organisation's events are sorted with spilling, and a task holds one number for it."""
-
-    def fold():
-        used = 0
-
-        def step(at, event_id, tokens):
-            nonlocal used
-            before = used
-            used += tokens
-            return used, before < limit <= used
-
-        return step
-
-    rows = _allowances(usage).select("key", F.unix_micros("ts").alias("at"), "event_id", "tokens")
-    return _folded(rows, {"used": "bigint", "reached": "boolean"}, fold).where("reached").select(F.col("key").alias("org_id"), "event_id", "used")
+    """Per organisation, the first event at which its running use of the shared key reaches the limit. An organisation with very many events is summed in parallel ranges."""
+    order = ["ts", "event_id"]
+    rows = scans.running_sum(scans.in_ranges(_allowances(usage), "key", order), "key", order, "tokens", "used")
+    before = F.col("used") - F.coalesce("tokens", F.lit(0))
+    return rows.where((before < limit) & (F.col("used") >= limit)).select(F.col("key").alias("org_id"), "event_id", "used")
 
 
 def running_allowance_stream(usage: DataFrame, limit: int) -> DataFrame:
@@ -158,12 +142,14 @@ def _stateful(rows: DataFrame, fold: Callable, state: str, entry: str) -> DataFr
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("key").applyInPandasWithState(step, schema, state, "append", "NoTimeout")
 
 
-def _folded(rows: DataFrame, entry: dict[str, str], fold: Callable[[], Callable]) -> DataFrame:
-    """Rows (key, event_id, *entry) of rows (key, at, event_id, ...), each key's rows in the order of the columns after key.
+def _folded(rows: DataFrame, entry: dict[str, str], fold: Callable[[], Callable], keep: tuple[str, ...] = (), values: int | None = None) -> DataFrame:
+    """Rows (key, event_id, *keep, *entry) of rows (key, at, event_id, ...), each key's rows in the order of the columns after key.
 
-    fold() returns the step of a new key, which takes a row's columns after key and returns its entry. Rows stream by in sorted
-    partitions: besides an Arrow batch, a task holds the state of one key, however many rows the key has.
+    fold() returns the step of a new key, which takes a row's columns after key, or as many of them as `values` says, and returns its
+    entry. Rows stream by in sorted partitions: besides an Arrow batch, a task holds the state of one key, however many rows the key has.
     """
+    kept_at = [rows.columns.index(c) for c in keep]
+    last_value = len(rows.columns) if values is None else values + 1
 
     def run(batches):
         import pyarrow as pa
@@ -172,23 +158,28 @@ def _folded(rows: DataFrame, entry: dict[str, str], fold: Callable[[], Callable]
         last = step = None
         for batch in batches:
             entries = []
-            for key, *values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, *values in zip(*[c.to_pylist() for c in batch.columns[:last_value]], strict=True):
                 if step is None or key != last:
                     last, step = key, fold()
                 entries.append(step(*values))
             if entries:
                 found = [pa.array(x, types[t]) for x, t in zip(zip(*entries, strict=True), entry.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=["key", "event_id", *entry])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[batch.column(i) for i in kept_at], *found], names=["key", "event_id", *keep, *entry])
 
-    schema = StructType([rows.schema["key"], rows.schema["event_id"], *StructType.fromDDL(", ".join(f"{c} {t}" for c, t in entry.items())).fields])
+    schema = StructType([rows.schema["key"], rows.schema["event_id"], *[rows.schema[c] for c in keep], *StructType.fromDDL(", ".join(f"{c} {t}" for c, t in entry.items())).fields])
     return rows.repartition("key").sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
 
 
-def rate_limit_flags(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
+#: Hits of a key that one task follows at most.
+HOT_ROWS = 5_000_000
+
+
+def rate_limit_flags(hits: DataFrame, limit: int, window_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (key, event_id, n, rejected, retry_after) of hits (key, ts, event_id): windows start at a key's first hit; rejected hits count too.
 
-    The fold needs a key's hits in order, so they go to one task, which sorts them with spilling and holds two numbers for the key.
-    For a batch; `rate_limit_stream` takes streams.
+    A key's hits are followed in one task, which sorts them with spilling and holds two numbers for the key. Keys with more than hot_rows hits
+    are dealt out instead: their windows are found by scans.chain() and hits are numbered from their window's first. Hits without a time
+    come first, each a window of its own. For a batch; `rate_limit_stream` takes streams.
     """
     width = window_s * 1_000_000
 
@@ -200,13 +191,38 @@ def rate_limit_flags(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
             if start is None or at >= start + width:  # hits without a time come first
                 start, n = at, 0
             n += 1
-            left = 1 if start is None else max(1, -((at - start - width) // 1_000_000))
-            return n, n > limit, left if n > limit else None
+            return n, start
 
         return step
 
     rows = hits.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
-    return _folded(rows, {"n": "int", "rejected": "boolean", "retry_after": "bigint"}, fold)
+    hot = kept(rows.groupBy("key").count().where(F.col("count") > hot_rows).select("key"), "hot")
+    others, hot_side = rows, few(hot.withColumnRenamed("key", "_key"))
+    some = hot.limit(1).count() > 0
+    if some:
+        others = rows.join(hot_side, rows["key"].eqNullSafe(hot_side["_key"]), "left_anti")
+    found = _folded(others, {"n": "int", "start": "bigint"}, fold, keep=("at",))
+    if some:
+        found = found.unionByName(_numbered(rows.join(hot_side, rows["key"].eqNullSafe(hot_side["_key"]), "left_semi"), width))
+    left = F.coalesce(F.greatest(F.lit(1).cast("long"), F.ceil((F.col("start") + width - F.col("at")) / 1_000_000)), F.lit(1).cast("long"))
+    rejected = F.col("n") > limit
+    return found.select("key", "event_id", "n", rejected.alias("rejected"), F.when(rejected, left).alias("retry_after"))
+
+
+def _numbered(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (key, event_id, at, n, start) of hits (key, at, event_id), a key's hits in parallel ranges: start of the window and number within it."""
+    order = ["at", "event_id"]
+    starts = scans.chain(rows.where("at IS NOT NULL").select("key", "at").distinct(), width).select(F.col("key").alias("_key"), F.col("at").alias("_start"))
+    ranged = scans.running_sum(scans.in_ranges(rows.where("at IS NOT NULL").withColumn("one", F.lit(1)), "key", order), "key", order, "one", "seq")
+    ranged = kept(ranged, "numbered")
+    on = ranged["key"].eqNullSafe(starts["_key"]) & (ranged["at"] == starts["_start"])
+    firsts = ranged.join(starts, on).groupBy(F.col("key").alias("_key"), "_start").agg(F.min("seq").alias("_seq"))
+    first = F.when(F.col("_seq").isNotNull(), F.struct(F.col("_seq").alias("seq"), F.col("_start").alias("start")))
+    marked = ranged.join(firsts, ranged["key"].eqNullSafe(firsts["_key"]) & (ranged["seq"] == firsts["_seq"]), "left").withColumn("first", first).drop("_key", "_seq", "_start")
+    found = scans.last_seen(marked, "key", [*order, "seq"], "first", "window")
+    found = found.select("key", "event_id", "at", (F.col("seq") - F.col("window.seq") + 1).cast("int").alias("n"), F.col("window.start").alias("start"))
+    untimed = rows.where("at IS NULL").select("key", "event_id", "at", F.lit(1).alias("n"), F.lit(None).cast("long").alias("start"))
+    return found.unionByName(untimed)
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
@@ -241,6 +257,10 @@ class Lockout:
     def locked(self, at: int) -> bool:
         return at < self.until
 
+    def open(self, at: int) -> int:
+        """Failures that still count."""
+        return self.n if at < self.start + self.width else 0
+
     def fail(self, at: int) -> int:
         if self.n == 0 or at >= self.start + self.width:
             self.start, self.n = at, 0
@@ -257,8 +277,8 @@ class Lockout:
 def lockout_flags(logins: DataFrame, key: str, threshold: int = 10, minutes: int = 15) -> DataFrame:
     """Rows (key, event_id, failures, locked) of logins (ts, event_id, success) by one key: attempts while locked are refused and don't count; success clears.
 
-    A key's attempts go to one task, which sorts them with spilling and holds three numbers for the key; attempts without a time come first. `lockout_both` has an account's
-    success clear the address as well.
+    A key's attempts go to one task, which sorts them with spilling and holds three numbers for the key; attempts without a time come first. `lockouts.lockout_both` follows accounts
+    and addresses together.
     """
     width = minutes * 60 * 1_000_000
 
@@ -280,41 +300,6 @@ def lockout_flags(logins: DataFrame, key: str, threshold: int = 10, minutes: int
     return _folded(rows, {"failures": "int", "locked": "boolean"}, fold)
 
 
-def lockout_both(logins: DataFrame, threshold: int = 10, minutes: int = 15, scope: str = "org_id") -> DataFrame:
-    """Rows (key, event_id, account_failures, address_failures, locked): an attempt is refused while its account or its address is locked, and a success clears both.
-
-    Account and address act on each other, so attempts are followed in order within a scope that neither leaves, such as a tenant. A task
-    holds the numbers of that scope's accounts and addresses with open failures or locks; ended ones are dropped.
-    """
-    width = minutes * 60 * 1_000_000
-
-    def fold():
-        accounts: dict = {}
-        addresses: dict = {}
-        seen = 0
-
-        def step(at, event_id, account, address, success):
-            nonlocal seen
-            at, seen = at or 0, seen + 1
-            if seen % 10_000 == 0:
-                for held in (accounts, addresses):
-                    for k in [k for k, x in held.items() if at >= x.until and (x.n == 0 or at >= x.start + width)]:
-                        del held[k]
-            mine = accounts.setdefault(account, Lockout(threshold, width)), addresses.setdefault(address, Lockout(threshold, width))
-            if any(x.locked(at) for x in mine):
-                return mine[0].n, mine[1].n, True
-            if success:
-                for x in mine:
-                    x.clear()
-                return 0, 0, False
-            return mine[0].fail(at), mine[1].fail(at), False
-
-        return step
-
-    rows = logins.select(F.col(scope).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "account", "address", "success")
-    return _folded(rows, {"account_failures": "int", "address_failures": "int", "locked": "boolean"}, fold)
-
-
 def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, size: int = 400, overlap: int = 40, strategy: str = "semantic", buckets: int = 64) -> None:
     """Brings documents (doc, name, text) into the index as files of them land in a folder; returns when it has caught up.
 
@@ -359,7 +344,6 @@ def stream_assign(turns: DataFrame, variants: DataFrame, experiment_id: int, ass
     The hash sticks as long as the variants do; `sticky_assign_stream` keeps subjects where they are even when traffic is dealt anew.
     """
     from passages.operators.experiments import bucket, variant_ranges
-    from passages.operators.sizes import few
 
     ranges = variant_ranges(variants).where(F.col("experiment_id") == experiment_id).select("variant_id", "low", "high")
     rows = turns.withColumn("bucket", bucket(F.lit(experiment_id), F.col("subject")))

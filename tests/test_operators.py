@@ -12,7 +12,7 @@ from passages.adapters import view
 from passages.functions import text
 from passages.operators import chunking, dense, evals, experiments, fusion, lexical, reports, segments, tree, usage
 from passages.sources import corpus
-from passages.streaming import windows
+from passages.streaming import lockouts, windows
 
 
 def test_clean(spark):
@@ -312,7 +312,7 @@ def test_lockout_of_both_keys(spark):
     """Failures on one account from several addresses lock the account; a success clears account and address."""
     t = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
     rows = [(1, 1, t(0), "a", "x", False), (1, 2, t(1), "a", "y", False), (1, 3, t(2), "b", "x", True), (1, 4, t(3), "a", "x", False), (1, 5, t(4), "a", "z", True), (1, 6, t(5), "c", "x", False), (1, 7, t(40), "a", "x", True)]
-    found = windows.lockout_both(spark.createDataFrame(rows, "org_id int, event_id int, ts timestamp_ntz, account string, address string, success boolean"), 3, 15).orderBy("event_id").collect()
+    found = lockouts.lockout_both(spark.createDataFrame(rows, "org_id int, event_id int, ts timestamp_ntz, account string, address string, success boolean"), 3, 15).orderBy("event_id").collect()
     assert [(r.account_failures, r.address_failures, r.locked) for r in found] == [(1, 1, False), (2, 1, False), (0, 0, False), (3, 1, False), (0, 0, True), (1, 2, False), (0, 0, False)]
 
 
