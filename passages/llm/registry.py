@@ -28,7 +28,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score and a verdict for every document, learnt from the labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_model.fit(docs, labels.where(fold(5) != 0))
-    return quality_model.classify(docs, model).withColumn("held_out", fold(5) == 0)
+    return quality_model.classify(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +38,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return source_mix.mix_sources(table(spark, sf_dir, "documents"))
+    return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, counted, digested and joined as text."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("spans", secret_scan.is_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    count = {k: F.size(F.filter("spans", secret_scan.is_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS}
     base = secret_scan.joined(F.filter("spans", lambda s: s["kind"] != "random"))
-    return found.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", count["assign"], count["access"], count["hex"], F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), count["random"])
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cleaned line by line, with the counts behind the verdict."""
-    return line_cleaning.clean_lines(table(spark, sf_dir, "documents"))
+    found = line_cleaning.clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned", "n_removed_lines", "n_removed_words")
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
