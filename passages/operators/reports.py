@@ -120,18 +120,26 @@ def audit_report(audit: DataFrame, by: list[str]) -> DataFrame:
 
 
 def access_funnel(requests: DataFrame, invites: DataFrame, as_of: str) -> DataFrame:
-    """One row: requested, approved, rejected, invited, accepted, and what is pending or expired at as_of."""
-    rows = requests.join(invites, "request_id", "left")
+    """One row, as things stood at as_of: requested, approved, rejected, invited, accepted, and what is pending or expired.
+
+    requests: request_id, requested_at, decision, decided_at; invites: request_id, invited_at, accepted_at, expires_at. What happens later hasn't happened:
+    an invite accepted after as_of is still pending, or expired. A decision or request without a time counts as made before.
+    """
     at = F.lit(as_of).cast("timestamp_ntz")
-    open_invite = F.col("invited_at").isNotNull() & F.col("accepted_at").isNull()
+    by_then = lambda c: F.coalesce(F.col(c) <= at, F.lit(True))
+    rows = requests.where(by_then("requested_at")).join(invites.where(F.col("invited_at") <= at), "request_id", "left")
+    decided = lambda d: (F.col("decision") == d) & by_then("decided_at")
+    invited, accepted = F.col("invited_at").isNotNull(), F.coalesce(F.col("accepted_at") <= at, F.lit(False))
+    waiting = invited & ~accepted
     return rows.agg(
-        F.count("*").alias("requested"), F.count_if(F.col("decision") == "approved").alias("approved"), F.count_if(F.col("decision") == "rejected").alias("rejected"),
-        F.count("invited_at").alias("invited"), F.count("accepted_at").alias("accepted"), F.count_if(open_invite & (F.col("expires_at") > at)).alias("pending"), F.count_if(open_invite & (F.col("expires_at") <= at)).alias("expired"))
+        F.countDistinct("request_id").alias("requested"), F.countDistinct(F.when(decided("approved"), F.col("request_id"))).alias("approved"), F.countDistinct(F.when(decided("rejected"), F.col("request_id"))).alias("rejected"),
+        F.count_if(invited).alias("invited"), F.count_if(invited & accepted).alias("accepted"), F.count_if(waiting & (F.col("expires_at") > at)).alias("pending"), F.count_if(waiting & (F.col("expires_at") <= at)).alias("expired"))
 
 
 def active_sessions(sessions: DataFrame, as_of: str) -> DataFrame:
-    """Sessions per user that at as_of are neither revoked, by a successor or otherwise, nor expired."""
+    """Sessions per user that at as_of exist and are neither revoked, by a successor or otherwise, nor expired. What is revoked or rotated later is still active then."""
     at = F.lit(as_of).cast("timestamp_ntz")
-    rotated = sessions.where("rotated_from IS NOT NULL").select(F.col("rotated_from").alias("session_id")).distinct()
-    alive = sessions.where((F.col("created_at") <= at) & (F.col("expires_at") > at) & F.col("revoked_at").isNull()).join(rotated, "session_id", "left_anti")
+    there = sessions.where(F.col("created_at") <= at)
+    rotated = there.where("rotated_from IS NOT NULL").select(F.col("rotated_from").alias("session_id")).distinct()
+    alive = there.where((F.col("expires_at") > at) & F.coalesce(F.col("revoked_at") > at, F.lit(True))).join(rotated, "session_id", "left_anti")
     return alive.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("expires_at").alias("last_expiry"))

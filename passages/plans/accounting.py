@@ -328,23 +328,24 @@ def audit_report(spark, sf_dir):
     return reports.audit_report(spark.sql(_AUDIT, t=view(spark, sf_dir, "events")), ["action", "org_id", "actor_user_id"])
 
 
-_REQUESTS = "SELECT event_id AS request_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'rejected' ELSE 'approved' END AS decision FROM {t} WHERE event_type = 'signup'"
+_REQUESTS = "SELECT event_id AS request_id, ts AS requested_at, ts + INTERVAL 12 HOUR AS decided_at, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'rejected' ELSE 'approved' END AS decision FROM {t} WHERE event_type = 'signup'"
 _INVITES = """SELECT event_id AS request_id, ts AS invited_at, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS accepted_at, ts + INTERVAL 7 DAY AS expires_at FROM {t} WHERE event_type = 'signup' AND event_id % 5 > 1 AND event_id % 4 <> 0"""
 
 
-@query(f"""SELECT count(*) AS requested, count(*) FILTER (WHERE decision = 'approved') AS approved, count(*) FILTER (WHERE decision = 'rejected') AS rejected, count(invited_at) AS invited, count(accepted_at) AS accepted,
-  count(*) FILTER (WHERE invited_at IS NOT NULL AND accepted_at IS NULL AND expires_at > TIMESTAMP '2024-01-20') AS pending, count(*) FILTER (WHERE invited_at IS NOT NULL AND accepted_at IS NULL AND expires_at <= TIMESTAMP '2024-01-20') AS expired
-FROM ({_REQUESTS.format(t='events')}) LEFT JOIN ({_INVITES.format(t='events')}) USING (request_id)""")
+@query(f"""WITH moment AS (SELECT TIMESTAMP '2024-01-20' AS t), r AS (SELECT *, decided_at <= t AS decided FROM ({_REQUESTS.format(t='events')}), moment WHERE requested_at <= t),
+i AS (SELECT *, accepted_at IS NOT NULL AND accepted_at <= t AS accepted, expires_at <= t AS ended FROM ({_INVITES.format(t='events')}), moment WHERE invited_at <= t)
+SELECT (SELECT count(*) FROM r) AS requested, (SELECT count(*) FROM r WHERE decided AND decision = 'approved') AS approved, (SELECT count(*) FROM r WHERE decided AND decision = 'rejected') AS rejected, count(*) AS invited,
+  count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted AND NOT ended) AS pending, count(*) FILTER (WHERE NOT accepted AND ended) AS expired FROM i WHERE request_id IN (SELECT request_id FROM r)""")
 def access_funnel(spark, sf_dir):
     events = view(spark, sf_dir, "events")
     return reports.access_funnel(spark.sql(_REQUESTS, t=events), spark.sql(_INVITES, t=events), "2024-01-20 00:00:00")
 
 
-_SESSIONS = """SELECT event_id AS session_id, user_id, ts AS created_at, ts + INTERVAL 3 DAY AS expires_at, CASE WHEN event_id % 7 = 0 THEN ts END AS revoked_at, CASE WHEN event_id % 4 = 0 THEN event_id - 1 END AS rotated_from FROM {t}"""
+_SESSIONS = """SELECT event_id AS session_id, user_id, ts AS created_at, ts + INTERVAL 3 DAY AS expires_at, CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 2 DAY END AS revoked_at, CASE WHEN event_id % 4 = 0 THEN event_id - 1 END AS rotated_from FROM {t}"""
 
 
 @query(f"""WITH s AS ({_SESSIONS.format(t='events')})
-SELECT user_id, count(*) AS sessions, max(expires_at) AS last_expiry FROM s WHERE created_at <= TIMESTAMP '2024-01-15' AND expires_at > TIMESTAMP '2024-01-15' AND revoked_at IS NULL
-  AND session_id NOT IN (SELECT rotated_from FROM s WHERE rotated_from IS NOT NULL) GROUP BY 1""")
+SELECT user_id, count(*) AS sessions, max(expires_at) AS last_expiry FROM s WHERE created_at <= TIMESTAMP '2024-01-15' AND expires_at > TIMESTAMP '2024-01-15' AND (revoked_at IS NULL OR revoked_at > TIMESTAMP '2024-01-15')
+  AND session_id NOT IN (SELECT rotated_from FROM s WHERE rotated_from IS NOT NULL AND created_at <= TIMESTAMP '2024-01-15') GROUP BY 1""")
 def active_sessions(spark, sf_dir):
     return reports.active_sessions(spark.sql(_SESSIONS, t=view(spark, sf_dir, "events")), "2024-01-15 00:00:00")

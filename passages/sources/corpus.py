@@ -1,18 +1,23 @@
-"""Sources and sinks: scanning, admission, imports, replacing, index tables, guarded SQL."""
+"""Sources and sinks: scanning, admission, imports, replacing, index tables."""
 
 from __future__ import annotations
 
-import re
+import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-# File types that are taken in, and verbs that a read-only statement may not hold.
+from passages.functions import addresses
+from passages.operators.sizes import few
+from passages.sources.guard import guarded_sql
+
+__all__ = ["admit_documents", "admit_urls", "check_golden_set", "guarded_sql", "import_golden_set", "read_index", "replace_by_source", "route", "scan_corpus", "sitemap_select", "write_index"]
+
+# File types that are taken in.
 SUPPORTED = ("pdf", "txt", "md", "json", "docx", "xlsx", "html", "htm")
-FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "grant", "revoke", "truncate", "copy", "call", "do")
-#: Further verbs of Spark's own that change something.
-FORBIDDEN_HERE = ("merge", "set", "refresh", "cache", "uncache", "load", "msck", "analyze")
 MAX_BYTES = 25 * 1024 * 1024
 
 
@@ -40,26 +45,17 @@ def admit_documents(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return rows.withColumn("reject_reason", reason)
 
 
-def _ipv4(host: Column) -> Column:
-    parts = F.split(host, r"\.")
-    number = parts[0].cast("long") * 16777216 + parts[1].cast("long") * 65536 + parts[2].cast("long") * 256 + parts[3].cast("long")
-    return F.when(host.rlike(r"^(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"), number)
-
-
-# First and last addresses of ranges that are not public.
-PRIVATE = ((0, 16777215), (167772160, 184549375), (1681915904, 1686110207), (2130706432, 2147483647), (2851995648, 2852061183), (2886729728, 2887778303), (3232235520, 3232301055), (3758096384, 4294967295))
-
-
 def admit_urls(urls: DataFrame) -> DataFrame:
-    """Adds reject_reason to rows with url: scheme, host, and literal addresses that are not public. Names are not resolved."""
+    """Adds reject_reason to rows with url: scheme, host, and literal addresses that are not public, in whatever spelling. Names are not resolved, but localhost is known.
+
+    A bracketed host that is no address is refused as well.
+    """
     scheme = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    v4 = _ipv4(F.regexp_replace(host, r"^\[::ffff:([0-9.]+)\]$", "$1"))
-    private = F.lit(False)
-    for low, high in PRIVATE:
-        private = private | v4.between(low, high)
-    private = F.coalesce(private, F.lit(False)) | host.rlike(r"^\[(::1?|f[cdef].*|fe[89ab].*)\]$") | (host == "localhost")
-    reason = F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "no host").when(private, "private address")
+    host = F.regexp_replace(host, r"\.$", "")
+    local = (host == "localhost") | host.endswith(".localhost")
+    malformed = host.startswith("[") & addresses.ipv6(F.regexp_extract(host, r"^\[(.*)\]$", 1)).isNull()
+    reason = F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "no host").when(malformed, "malformed address").when(local | addresses.not_public(host), "private address")
     return urls.withColumn("reject_reason", reason)
 
 
@@ -106,47 +102,40 @@ def replace_by_source(existing: DataFrame, new: DataFrame, key: str = "source_id
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+#: Postings of a folder that an index is laid out for, and of one file at most.
+BUCKET_ROWS, FILE_ROWS = 4_000_000, 1_000_000
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 64, partition: str | None = None) -> None:
-    """Writes postings, those of a term in one of `buckets` folders, within the folders of partition (such as org_id) if given."""
+def write_index(postings: DataFrame, path: str, buckets: int | None = None, partition: str | None = None, file_rows: int = FILE_ROWS) -> None:
+    """Writes postings (term, chunk_id, ...), those of a term in one of the index's folders, within the folders of partition (such as org_id) if given.
+
+    The number of folders follows from that of the postings, if not given, and is stored with the index. A folder that holds more than
+    file_rows, such as one with a very frequent term, is dealt out to several tasks and files by chunk; no file holds more.
+    """
+    spark = postings.sparkSession
+    if buckets is None:
+        buckets = max(1, -(-postings.count() // BUCKET_ROWS))
+    keys = [*([partition] if partition else []), "bucket"]
     rows = postings.withColumn("bucket", _bucket(buckets))
-    rows.repartition("bucket").write.mode("overwrite").partitionBy(*([partition] if partition else []), "bucket").parquet(path)
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_parts")).where("_parts > 1")
+    large = few(parts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_parts"))
+    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(large[f"_{k}"]) for k in keys])
+    dealt = rows.join(large, on, "left").withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts", *[f"_{k}" for k in keys])
+    dealt.repartition(*keys, "_part").drop("_part").write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy(*keys).parquet(path)
+    # folders whose name starts with an underscore are no data to Spark's readers
+    schema = dealt.drop("_part").schema.json()
+    spark.createDataFrame([(buckets, schema)], "buckets int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")
 
 
-def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
     """The postings of an index; of the folders of some terms' (term) alone, if given: Spark leaves the others unread."""
-    rows = spark.read.parquet(path)
+    layout = spark.read.parquet(f"{path}/_index").first()
+    rows = spark.read.schema(StructType.fromJson(json.loads(layout["schema"]))).parquet(path)
     if terms is not None:
-        rows = rows.where(F.col("bucket").isin([r["b"] for r in terms.select(_bucket(buckets).alias("b")).distinct().collect()]))  # at most as many as buckets
+        rows = rows.where(F.col("bucket").isin([r["b"] for r in terms.select(_bucket(layout["buckets"]).alias("b")).distinct().collect()]))  # at most as many as buckets
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.drop("bucket")
-
-
-def guarded_sql(spark: SparkSession, views: dict[str, DataFrame], statement: str, limit: int = 50) -> tuple[DataFrame, bool]:
-    """Runs one SELECT over the given views; at most `limit` rows come back, with whether some were left out.
-
-    The statement reads nothing but the views: files can't be named in it, and a relation of the session's catalog is refused. It
-    runs once, and the views are gone from the session afterwards.
-    """
-    text = statement.strip().rstrip(";").strip()
-    bare = re.sub(r"'[^']*'", "''", text)
-    if ";" in bare or not re.match(r"(?i)(select|with)\b", bare) or re.search(r"(?i)\b(" + "|".join(FORBIDDEN + FORBIDDEN_HERE) + r")\b", bare):
-        raise ValueError("only a single SELECT is allowed")
-    others = {t.name.lower() for t in spark.catalog.listTables()} - {name.lower() for name in views}
-    if others & set(re.findall(r"\w+", bare.lower())) or re.search(r"(?i)\b(from|join)\s+[`\w]+\s*\.", bare):
-        raise ValueError("only the given views can be read")
-    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        rows = spark.sql(text).limit(limit + 1)
-        found = rows.collect()  # limit + 1 rows at most
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
-        for name in views:
-            spark.catalog.dropTempView(name)
-    return spark.createDataFrame(found[:limit], rows.schema), len(found) > limit

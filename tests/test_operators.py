@@ -265,7 +265,7 @@ def test_index_by_term(spark, tmp_path):
     postings = spark.createDataFrame([("a", 1, 2), ("b", 1, 1), ("c", 2, 5)], "term string, chunk_id int, tf int")
     corpus.write_index(postings, str(tmp_path / "i"), 8)
     asked = spark.createDataFrame([("a",), ("zz",)], "term string")
-    found = corpus.read_index(spark, str(tmp_path / "i"), asked, 8)
+    found = corpus.read_index(spark, str(tmp_path / "i"), asked)
     assert [tuple(r) for r in found.collect()] == [("a", 1, 2)] and "PartitionFilters: [bucket" in found._jdf.queryExecution().toString().replace("isnotnull(bucket", "bucket")
 
 
