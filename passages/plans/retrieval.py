@@ -97,6 +97,27 @@ def lexical_search(spark, sf_dir):
     return _lexical(spark, sf_dir)
 
 
+_SQL_POSITIONS = f"""SELECT term, chunk_id, place FROM (SELECT doc_id AS chunk_id, lang, unnest(ws) AS term, generate_subscripts(ws, 1) AS place FROM (SELECT doc_id, lang, {_WORDS} AS ws FROM documents)) WHERE NOT list_contains(coalesce(CASE lang {_STOP} END, []), term)"""
+
+
+@query(f"SELECT term, chunk_id, tf, array_to_string(positions, ',') AS positions FROM (SELECT term, chunk_id, count(*) AS tf, list(place ORDER BY place) AS positions FROM ({_SQL_POSITIONS}) WHERE term IN (SELECT term FROM ({SQL_TERMS})) GROUP BY 1, 2)")
+def positional_postings(spark, sf_dir):
+    found = lexical.positional_postings(chunks(spark, sf_dir), terms(spark, sf_dir))
+    return found.select("term", "chunk_id", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query(_ranked(f"""WITH o AS (SELECT query_id, chunk_id, term, place, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY place) AS i FROM ({_SQL_POSITIONS}) JOIN ({SQL_TERMS}) USING (term)),
+  m AS (SELECT DISTINCT query_id, chunk_id, term AS u FROM o),
+  l AS (SELECT o.query_id, o.chunk_id, o.i, o.place, u, max(CASE WHEN o.term = u THEN o.place END) OVER w AS latest, max(CASE WHEN o.term = u THEN o.i END) OVER w AS last_i FROM o JOIN m USING (query_id, chunk_id) WINDOW w AS (PARTITION BY query_id, chunk_id, u ORDER BY o.i)),
+  c AS (SELECT query_id, chunk_id, i, place, count(*) AS n, min(latest) AS p, min(last_i) AS pi FROM l GROUP BY 1, 2, 3, 4 HAVING count(latest) = count(*)),
+  d AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY query_id, chunk_id ORDER BY i), 0) AS before FROM c)
+  SELECT query_id, chunk_id, round(max(n) * sum(0.1::DOUBLE / (1 + (place - p) - (i - pi))), 6) AS score FROM d WHERE p > before GROUP BY 1, 2""", 20))
+def cover_density_search(spark, sf_dir):
+    """Lexical search ranked by how close the question's words stand together."""
+    asked = terms(spark, sf_dir)
+    return lexical.cover_density_search(asked, lexical.positional_postings(chunks(spark, sf_dir), asked), 20)
+
+
 @query(_ranked(f"""WITH p AS ({SQL_POSTINGS}), t AS ({SQL_TERMS}), n AS (SELECT count(*) AS n_docs, avg(l) AS avg_len FROM (SELECT chunk_id, max(doc_len) AS l FROM p GROUP BY 1) WHERE l > 0),
   d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
   SELECT query_id, chunk_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score
