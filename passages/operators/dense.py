@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.operators.lexical import analyse, in_scope, top_k
+from passages.operators.sizes import few
+from passages.sources.storage import kept
 
-#: Query vectors that are broadcast at once against all stored vectors.
-MAX_QUERIES = 10_000
+#: Bytes of query vectors that are broadcast at once against all stored vectors, and what a row takes besides its numbers.
+QUERY_BYTES, ROW_BYTES = 24 << 20, 100
 
 
 def _double(v: Column) -> Column:
@@ -44,18 +46,44 @@ def truncate_embeddings(vectors: DataFrame, dims: int, supports: dict[str, bool]
     return rows.withColumn("embedding", cut)
 
 
+def _blocks(queries: DataFrame, rows_each: int = 1) -> int:
+    """Into how many blocks queries are dealt, so that one fits QUERY_BYTES: by their number and width. rows_each: narrow rows that go along with each."""
+    found = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    return max(1, -(-found["n"] * (8 * (found["width"] or 0) + ROW_BYTES * rows_each) // QUERY_BYTES))
+
+
+def source_groups(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries that see the same sources are one group: rows (query_id, grp), and rows (source_id, grps) of the groups that see a source. asks: (query_id, source_id).
+
+    Sets are told apart by their size and two sums of hashes, so that no query's sources are ever gathered in one place.
+    """
+    asks = asks.select("query_id", "source_id").where("query_id IS NOT NULL AND source_id IS NOT NULL").distinct()
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("source_id")), F.sum(F.xxhash64(F.lit("sum"), "source_id").cast("decimal(38,0)")))
+    marks = asks.groupBy("query_id").agg(mark.alias("mark"))
+    members = kept(marks.join(marks.groupBy("mark").agg(F.min("query_id").alias("grp")), "mark").select("query_id", "grp"), "groups")
+    reach = asks.join(members.where("query_id = grp").select("query_id", "grp"), "query_id").groupBy("source_id").agg(F.collect_list("grp").alias("grps"))
+    return members, reach
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
-    """Top k by cosine for queries (query_id, model, embedding) among vectors of the query's model, within the scope of each query.
+    """Top k by cosine for queries (query_id, model, embedding) among vectors (chunk_id, model, embedding) of the query's model, within the scope of each query.
 
-    Queries are broadcast in blocks of about MAX_QUERIES, and each task keeps its best k before anything is shuffled.
+    scope: rows (query_id, source_id); vectors must then have source_id. A vector meets only queries that may see its source: it's given the
+    groups of such queries before the product, and vectors of sources that nobody asks for go. A query without a source finds nothing.
+    A scope by chunk (query_id, chunk_id) is applied to scored pairs instead. Queries are broadcast in blocks of QUERY_BYTES, and each task keeps its best k.
     """
-    blocks = -(-queries.count() // MAX_QUERIES)
+    blocks = _blocks(queries)
+    by_source = scope is not None and "source_id" in scope.columns and "chunk_id" not in scope.columns
     q = queries.select("query_id", "model", unit(_double(F.col("embedding"))).alias("q"))
-    v = vectors.select("chunk_id", "model", unit(_double(F.col("embedding"))).alias("v"))
+    v = vectors.select("chunk_id", "model", *(["source_id"] if by_source else []), unit(_double(F.col("embedding"))).alias("v"))
+    if by_source:
+        members, reach = source_groups(scope)
+        q = q.join(members, "query_id")
+        v = v.join(few(reach), "source_id").select("chunk_id", "model", "v", F.explode("grps").alias("grp"))
 
     def search(part: DataFrame) -> DataFrame:
-        hits = v.join(F.broadcast(part), "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-        return top_k(in_scope(hits, scope), k)
+        hits = v.join(F.broadcast(part), ["model", "grp"] if by_source else "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+        return top_k(hits if by_source else in_scope(hits, scope), k)
 
     if blocks <= 1:
         return search(q)
@@ -102,13 +130,13 @@ def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: Cell
 
     Half of the cells give a recall of 0.9 even where vectors have no structure at all; where they form clusters, far fewer do.
     Cells decide what is compared, not where: vectors stay in their tasks, and the queries are broadcast to them in blocks of
-    MAX_QUERIES, so that a full cell is no hot key.
+    QUERY_BYTES, so that a full cell is no hot key.
     """
     cells = cells or fit_cells(vectors)
     n = max(1, math.ceil(probes * len(cells.centres)))
     q = queries.select("query_id", "model", unit(_double(F.col("embedding"))).alias("q"))
     v = index_cells(vectors, cells)
-    blocks = max(1, -(-queries.count() * max(1, n // 8) // MAX_QUERIES))
+    blocks = _blocks(queries, 1 + n)
 
     def search(part: DataFrame) -> DataFrame:
         probed = part.select("query_id", "model", F.explode(cells.nearest(n)("q")).alias("cell"))

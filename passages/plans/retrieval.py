@@ -167,8 +167,12 @@ def _hashed(spark, sf_dir):
 
 def _fused(spark, sf_dir, scope=None):
     tagged = lambda df, name, n: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("retriever"), F.lit(n).alias("retriever_order"))
-    found, asked = dense.dense_search(*_hashed(spark, sf_dir), 20, scope), terms(spark, sf_dir)
-    words = lexical.lexical_search(asked, lexical.matching_postings(chunks(spark, sf_dir), asked), 20, scope)
+    rows, asked = chunks(spark, sf_dir), terms(spark, sf_dir)
+    questioned, vectors = _hashed(spark, sf_dir)
+    if scope is not None:
+        vectors = vectors.join(rows.select("chunk_id", "source_id"), "chunk_id")
+    found = dense.dense_search(questioned, vectors, 20, scope)
+    words = lexical.lexical_search(asked, lexical.matching_postings(rows, asked), 20, scope if scope is None else scope.join(rows.select("chunk_id", "source_id"), "source_id"))
     return fusion.rrf_fuse(tagged(words, "bm25", 0).unionByName(tagged(found, "dense", 1)), 30)
 
 
@@ -282,6 +286,13 @@ def _scope(spark, sf_dir):
     return tree.search_scope(asked, sources, chunks(spark, sf_dir)).join(sources.select(F.col("id").alias("source_id"), "lang"), "source_id").where("query_id % 2 = 0 OR lang = 'en'").select("query_id", "chunk_id")
 
 
+def _source_scope(spark, sf_dir):
+    """The same by source: rows (query_id, source_id)."""
+    asked = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 4).alias("org_id"))
+    owned = view(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), "org_id", "lang")
+    return asked.join(owned, "org_id").where("query_id % 2 = 0 OR lang = 'en'").select("query_id", "source_id")
+
+
 _SQL_SCOPED = "SELECT item_id AS query_id, id AS chunk_id FROM benchmark JOIN sources ON org_id = item_id % 4 WHERE item_id % 2 = 0 OR lang = 'en'"
 
 
@@ -295,7 +306,18 @@ def scoped_lexical_search(spark, sf_dir):
 @query(_ranked(f"SELECT d.query_id, d.chunk_id, d.score FROM ({SQL_HYBRID_DENSE.replace('rank <= 20', 'rank <= 1000000')}) d JOIN ({_SQL_SCOPED}) s USING (query_id, chunk_id)", 20), "sources")
 def scoped_dense_search(spark, sf_dir):
     """Dense search in which each question sees its organisation's sources only."""
-    return dense.dense_search(*_hashed(spark, sf_dir), 20, _scope(spark, sf_dir))
+    asked, vectors = _hashed(spark, sf_dir)
+    return dense.dense_search(asked, vectors.join(chunks(spark, sf_dir).select("chunk_id", "source_id"), "chunk_id"), 20, _source_scope(spark, sf_dir))
+
+
+_SQL_SCOPED_HITS = {name: _ranked(f"SELECT h.query_id, h.chunk_id, h.score FROM ({sql.replace('rank <= 20', 'rank <= 1000000')}) h JOIN ({_SQL_SCOPED}) s USING (query_id, chunk_id)", 20) for name, sql in (("bm25", SQL_LEXICAL), ("dense", SQL_HYBRID_DENSE))}
+
+
+@query(f"""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT query_id, chunk_id, rank FROM ({_SQL_SCOPED_HITS['bm25']}) UNION ALL SELECT query_id, chunk_id, rank FROM ({_SQL_SCOPED_HITS['dense']})) GROUP BY 1, 2)) WHERE rank <= 30""", "sources")
+def scoped_hybrid_search(spark, sf_dir):
+    """Both retrievers within each question's sources, fused."""
+    return _fused(spark, sf_dir, _source_scope(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _ONE_SPACE = r"concat(' ', array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), ' '), ' ')"

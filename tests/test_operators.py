@@ -212,7 +212,7 @@ def test_dense_blocks(spark, monkeypatch):
     vectors = view(spark, SF, "vectors")
     queries = view(spark, SF, "embeddings").where("vec_id < 20 OR vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.expr("concat('m', vec_id % 2)").alias("model"), "embedding")
     expected = rows_of(dense.dense_search(queries, vectors, 5))
-    monkeypatch.setattr(dense, "MAX_QUERIES", 6)
+    monkeypatch.setattr(dense, "QUERY_BYTES", 2_000)  # a few queries a block
     assert rows_of(dense.dense_search(queries, vectors, 5)) == expected
 
 
