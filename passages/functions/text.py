@@ -48,3 +48,9 @@ def token_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = count_tokens(head)
     ratio = F.when(n > 0, F.greatest(F.lit(1.2), F.least(F.lit(12.0), F.length(head) / n))).otherwise(3.5)
     return docs.withColumn("tokens", count_tokens(clean(F.col(text_col))).cast("long")).withColumn("chars_per_token", F.round(ratio, 6))
+
+
+def words(text: Column) -> Column:
+    """The runs of a text between ASCII white space, as an array."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))

@@ -1,4 +1,4 @@
-"""Chunks: budgeted pieces of documents. Tokens are words here. Even pieces are native arithmetic; greedy packing depends on what came before, so it folds over sorted segments in linear time."""
+"""Chunks: budgeted pieces of documents, all of them slices of the text. A token is a word, sixteen characters of a longer one, or a character of a script without blanks. Even pieces are native arithmetic; greedy packing depends on what came before, so it folds over sorted segments in linear time."""
 
 from __future__ import annotations
 
@@ -19,49 +19,68 @@ def _checked(size: int, overlap: int) -> None:
         raise ValueError("the size must be positive and larger than the overlap")
 
 
-def words(text: Column) -> Column:
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+#: Scripts that are written without blanks between words: kana, Han, Hangul.
+_UNSPACED = "\u1100-\u11ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0002fa1f"
+
+#: What counts as a token of a budget, in a pattern that Spark, Python and SQL read alike; another tokenizer's unit may be put in its place.
+TOKEN = f"[{_UNSPACED}]|[^\\x20\\x09-\\x0D{_UNSPACED}]{{1,16}}"
+
+#: A token with the white space before it: joined, these are the text up to its last token.
+SPACED_TOKEN = f"[\\x20\\x09-\\x0D]*(?:{TOKEN})"
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def spaced_tokens(text: Column) -> Column:
+    """The tokens of a text, each with the white space before it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPACED_TOKEN), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
 
 
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks (doc, ordinal, text, tokens) of documents (doc, text), cut at token positions into even pieces."""
+    """Chunks (doc, ordinal, text, tokens) of documents (doc, text), cut at token positions into even pieces; lines and indentation stay as they are."""
     _checked(size, overlap)
-    rows = docs.select("doc", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    rows = docs.select("doc", spaced_tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     rows = rows.where("n > 0").withColumn("pieces", F.ceil(F.col("n") / (size - overlap)))
     rows = rows.withColumn("stride", F.ceil(F.col("n") / F.col("pieces")).cast("int")).withColumn("width", F.least(F.lit(size), F.col("stride") + overlap))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("width")) / F.col("stride"))).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("w", k * F.col("stride") + 1, F.col("width")))
     rows = rows.select("doc", F.posexplode(pieces).alias("ordinal", "p"))
-    return rows.select("doc", "ordinal", F.array_join("p", " ").alias("text"), F.size("p").alias("tokens"))
+    return rows.select("doc", "ordinal", F.btrim(F.array_join("p", ""), F.lit(BLANK)).alias("text"), F.size("p").alias("tokens"))
 
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
-def n_words(text: str) -> int:
-    """Words of a text, as words() counts them."""
-    return len(_WORD.findall(text))
+def n_tokens(text: str) -> int:
+    """Tokens of a text, as token_count() counts them."""
+    return len(_TOKEN.findall(text))
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_TOKEN = re.compile(TOKEN)
 
 
 def even_slices(text: str, size: int, overlap: int) -> list[str]:
-    """The text's words in as few pieces as chunk_fixed() makes of them, all about equally long."""
-    found = _WORD.findall(text)
-    pieces = max(1, math.ceil(len(found) / max(1, size - overlap)))
-    stride = max(1, math.ceil(len(found) / pieces))
+    """The text in as few pieces as chunk_fixed() makes of it, all about equally long."""
+    at = [m.span() for m in _TOKEN.finditer(text)]
+    pieces = max(1, math.ceil(len(at) / max(1, size - overlap)))
+    stride = max(1, math.ceil(len(at) / pieces))
     width = min(size, stride + overlap)
-    starts = [0, *(at for at in range(stride, len(found), stride) if at - stride + width < len(found))]
-    return [" ".join(found[at : at + width]) for at in starts]
+    starts = [0, *(k for k in range(stride, len(at), stride) if k - stride + width < len(at))]
+    return [text[at[k][0] : at[min(k + width, len(at)) - 1][1]] for k in starts]
 
 
-def _units(text: str, budget: int, level: int = 0) -> Iterator[tuple[str, int]]:
-    """The text in order, as (unit, words) of at most the budget, cut as coarsely as fits: behind paragraphs, else lines, sentences, words."""
-    n = n_words(text)
-    if n <= budget or level == len(SEPARATORS):
-        yield text, n
+def _units(text: str, budget: int, level: int = 0) -> Iterator[int]:
+    """The tokens of each unit of the text in order, of at most the budget, cut as coarsely as fits: behind paragraphs, else lines, sentences, words, and last between tokens."""
+    n = n_tokens(text)
+    if n <= budget:
+        yield n
+        return
+    if level == len(SEPARATORS):
+        yield from (min(budget, n - k) for k in range(0, n, budget))
         return
     if SEPARATORS[level] not in text:
         yield from _units(text, budget, level + 1)
@@ -75,28 +94,27 @@ def _units(text: str, budget: int, level: int = 0) -> Iterator[tuple[str, int]]:
 
 
 def split_text(text: str, budget: int, overlap: int) -> list[str]:
-    """Pieces of a text within the budget, in words.
+    """Pieces of a text within the budget, in tokens; each is a slice of the text.
 
-    Units fill a piece up to the budget. The next piece starts with the last words of the one before it: as many as the overlap
+    Units fill a piece up to the budget. The next piece starts with the last tokens of the one before it: as many as the overlap
     says, or as its first unit leaves room for. A last piece of less than a quarter of the budget is sliced evenly together with the one before.
     """
-    spans: list[tuple[int, int]] = []  # of words
+    spans: list[tuple[int, int]] = []  # of tokens
     start = end = 0
-    for n in (n for _, n in _units(text, budget)):
+    for n in _units(text, budget):
         if end > start and end - start + n > budget:
             spans.append((start, end))
             start = max(start, end - max(0, min(overlap, budget - n)))
         end += n
     if end > start and (not spans or end > spans[-1][1]):
         spans.append((start, end))
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _TOKEN.finditer(text)]
     pieces = [text[at[a][0] : at[b - 1][1]] for a, b in spans]
     if len(spans) > 1 and spans[-1][1] - spans[-1][0] < budget // 4:
         pieces[-2:] = even_slices(text[at[spans[-2][0]][0] :], budget, overlap)
     return pieces
 
 
-BLANK = " \t\n\x0b\x0c\r"
 BETWEEN = " > "
 
 
@@ -106,7 +124,7 @@ def breadcrumb(title: str | None, section: list[str] | None) -> str:
 
 def body_budget(size: int, crumb: str) -> int:
     """What a chunk's size leaves for its body beside the breadcrumb: at least half."""
-    return max(size - (n_words(crumb) + 1 if crumb else 0), size // 2)
+    return max(size - (n_tokens(crumb) + 1 if crumb else 0), size // 2)
 
 
 def _streamed(segments: DataFrame, each: Callable, types: str) -> DataFrame:
@@ -149,9 +167,9 @@ def _emit(body: str, title: str | None, section: list[str], size: int, overlap:
     body = body.strip(BLANK)
     if not body:
         return []
-    if n_words(whole(body)) <= size:
-        return [(whole(body), n_words(whole(body)))]
-    return [(whole(x), n_words(whole(x))) for x in split_text(body, body_budget(size, crumb), overlap)]
+    if n_tokens(whole(body)) <= size:
+        return [(whole(body), n_tokens(whole(body)))]
+    return [(whole(x), n_tokens(whole(x))) for x in split_text(body, body_budget(size, crumb), overlap)]
 
 
 def split_oversized(segments: DataFrame, budget: int, overlap: int = 0) -> DataFrame:
@@ -162,12 +180,12 @@ def split_oversized(segments: DataFrame, budget: int, overlap: int = 0) -> DataF
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, budget, overlap))
 
-    fits = F.size(words(F.col("text"))) <= budget
+    fits = token_count(F.col("text")) <= budget
     rows = segments.where(F.col("text").isNotNull())
     small, large = rows.where(fits), rows.where(~fits)
     one = small.select("doc", "seg_no", F.lit(0).alias("piece_no"), "section", F.btrim("text", F.lit(BLANK)).alias("text")).where("text <> ''")
     many = large.select("doc", "seg_no", F.posexplode(pieces("text")).alias("piece_no", "text"), "section").select("doc", "seg_no", "piece_no", "section", "text")
-    return one.unionByName(many).withColumn("tokens", F.size(words(F.col("text"))))
+    return one.unionByName(many).withColumn("tokens", token_count(F.col("text")))
 
 
 def chunk_per_unit(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -221,8 +239,8 @@ def chunk_semantic(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP
             section = section or []
             budget = body_budget(size, breadcrumb(title, section))
             text = text or ""
-            for piece in [text.strip(BLANK)] if n_words(text) <= budget else split_text(text, budget, overlap):
-                n = n_words(piece)
+            for piece in [text.strip(BLANK)] if n_tokens(text) <= budget else split_text(text, budget, overlap):
+                n = n_tokens(piece)
                 if not n:
                     continue
                 common = _shared(path, section)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passages.operators.chunking import words
+from passages.functions.text import words
 
 # Phrases by which an answer refuses, in lower case.
 REFUSALS = ("i don't know", "i do not know", "no information", "не знаю", "cannot answer")

@@ -277,8 +277,10 @@ def drop_contents_sections(spark, sf_dir):
 
 # chunks
 
-_W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-SQL_FIXED = f"""SELECT doc, (start // stride)::INT AS ordinal, array_to_string(w[start + 1:start + width], ' ') AS text, len(w[start + 1:start + width])::INT AS tokens FROM (
+# arrays of tokens, each with the white space before it: joined and trimmed, they are a slice of the text
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_W = f"regexp_extract_all(coalesce(text, ''), '{chunking.SPACED_TOKEN}')"
+SQL_FIXED = f"""SELECT doc, (start // stride)::INT AS ordinal, {_TRIM.format("array_to_string(w[start + 1:start + width], '')")} AS text, len(w[start + 1:start + width])::INT AS tokens FROM (
   SELECT *, unnest(range(0, n, stride)) AS start FROM (SELECT *, least(400, stride + 40) AS width FROM (SELECT *, (n + pieces - 1) // pieces AS stride FROM (
     SELECT doc, w, n, (n + 359) // 360 AS pieces FROM (SELECT doc_id AS doc, {_W} AS w, len({_W}) AS n FROM documents) WHERE n > 0)))) WHERE start = 0 OR start - stride + width < n"""
 
@@ -297,7 +299,7 @@ def _segments(spark, sf_dir):
     return segments.markdown_segments(spark.sql(_MARKDOWN, t=view(spark, sf_dir, "documents")))
 
 
-_NW = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+_NW = f"len(regexp_extract_all({{}}, '{chunking.SPACED_TOKEN}'))"
 
 
 def _nw(column: str) -> str:
@@ -316,7 +318,7 @@ def _sql_pieces(source: str, overlap: int) -> str:
     SELECT *, least(budget, stride + {overlap}) AS width FROM (SELECT *, (m + ((m + budget - {overlap} - 1) // (budget - {overlap})) - 1) // ((m + budget - {overlap} - 1) // (budget - {overlap})) AS stride FROM (
       SELECT *, w[spans[len(spans) - 1].a + 1:] AS tail, len(w[spans[len(spans) - 1].a + 1:]) AS m FROM (
         SELECT k, budget, w, CASE WHEN e > a AND (len(spans) = 0 OR e > spans[-1].e) THEN spans || [{{'a': a, 'e': e}}] ELSE spans END AS spans FROM (
-          WITH RECURSIVE u AS (SELECT k, budget, {_nw('text').replace('len(', '(', 1)} AS w, list_transform({units}, lambda p: {_nw('p')}) AS sizes FROM ({source}) WHERE {_nw('text')} > budget),
+          WITH RECURSIVE u AS (SELECT k, budget, {_nw('text').replace('len(', '(', 1)} AS w, flatten(list_transform({units}, lambda p: CASE WHEN {_nw('p')} <= budget THEN [{_nw('p')}] ELSE list_transform(range(0, {_nw('p')}, budget), lambda k: least(budget, {_nw('p')} - k)) END)) AS sizes FROM ({source}) WHERE {_nw('text')} > budget),
           f AS (SELECT k, 0 AS i, 0 AS a, 0 AS e, CAST([] AS STRUCT(a INT, e INT)[]) AS spans FROM u
             UNION ALL SELECT f.k, i + 1, CASE WHEN e > a AND e - a + n > budget THEN greatest(a, e - greatest(0, least({overlap}, budget - n))) ELSE a END, (e + n)::INT,
               CASE WHEN e > a AND e - a + n > budget THEN spans || [{{'a': a, 'e': e}}] ELSE spans END FROM (SELECT f.*, u.budget, u.sizes[f.i + 1]::INT AS n FROM f JOIN u USING (k) WHERE f.i < len(u.sizes)) f)
@@ -327,11 +329,11 @@ _SQL_SEGMENTS = f"SELECT *, doc || '/' || seg_no AS k FROM ({_sql_sections(_SQL_
 
 
 @query(f"""WITH s AS (SELECT *, 50 AS budget FROM ({_SQL_SEGMENTS})), p AS ({_sql_pieces('SELECT * FROM s', 10)})
-SELECT doc, seg_no, 0 AS piece_no, section, md5(array_to_string({_W}, ' ')) AS digest, len({_W})::INT AS tokens FROM s WHERE len({_W}) BETWEEN 1 AND 50
-UNION ALL SELECT doc, seg_no, piece_no, section, md5(array_to_string(words, ' ')), len(words)::INT FROM s JOIN p USING (k)""")
+SELECT doc, seg_no, 0 AS piece_no, section, md5({_TRIM.format('text')}) AS digest, len({_W})::INT AS tokens FROM s WHERE len({_W}) BETWEEN 1 AND 50
+UNION ALL SELECT doc, seg_no, piece_no, section, md5({_TRIM.format("array_to_string(words, '')")}), len(words)::INT FROM s JOIN p USING (k)""")
 def split_oversized(spark, sf_dir):
     pieces = chunking.split_oversized(_segments(spark, sf_dir), 50, 10)
-    return pieces.select("doc", "seg_no", "piece_no", F.array_join("section", " > ").alias("section"), F.md5(F.array_join(chunking.words(F.col("text")), " ")).alias("digest"), "tokens")
+    return pieces.select("doc", "seg_no", "piece_no", F.array_join("section", " > ").alias("section"), F.md5("text").alias("digest"), "tokens")
 
 
 def _sql_crumb(parts: str) -> str:
@@ -347,12 +349,12 @@ def _sql_crumbs(segments_sql: str, size: int) -> str:
 
 
 def _chunks_flat(df):
-    return df.select("doc", "ordinal", F.array_join("section", " > ").alias("section"), F.md5(F.array_join(chunking.words(F.col("text")), " ")).alias("digest"), "tokens")
+    return df.select("doc", "ordinal", F.array_join("section", " > ").alias("section"), F.md5("text").alias("digest"), "tokens")
 
 
 @query(f"""WITH s AS ({_sql_crumbs(_SQL_TITLED, 60)}), c AS (SELECT *, {_nw('text')} + {_nw('crumb')} AS whole FROM s), p AS ({_sql_pieces("SELECT * FROM c WHERE whole > 60", 10)}),
 e AS (SELECT doc, seg_no, 0 AS piece_no, section, crumb, {_W} AS words FROM c WHERE whole <= 60 UNION ALL SELECT doc, seg_no, 0, section, crumb, {_W} FROM c WHERE whole > 60 AND {_nw('text')} <= budget UNION ALL SELECT doc, seg_no, piece_no, section, crumb, words FROM c JOIN p USING (k))
-SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY seg_no, piece_no) - 1)::INT AS ordinal, section, md5(array_to_string(regexp_extract_all(crumb, '[^\\x20\\x09-\\x0D]+') || words, ' ')) AS digest, (len(words) + {_nw('crumb')})::INT AS tokens FROM e""")
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY seg_no, piece_no) - 1)::INT AS ordinal, section, md5(CASE WHEN crumb = '' THEN '' ELSE crumb || chr(10) END || {_TRIM.format("array_to_string(words, '')")}) AS digest, (len(words) + {_nw('crumb')})::INT AS tokens FROM e WHERE len(words) > 0""")
 def chunk_per_unit(spark, sf_dir):
     return _chunks_flat(chunking.chunk_per_unit(_segments(spark, sf_dir), 60, 10))
 
@@ -366,11 +368,11 @@ f AS (SELECT doc, i, 0 AS pack, path, budget, n AS used FROM o WHERE i = 1
     SELECT *, used + n + 2 > budget OR len(path) > 0 AND common <> path AND used >= 200 AS fresh FROM (
       SELECT f.doc, o.i, f.pack, f.path, f.budget, f.used, o.n, o.path AS npath, o.budget AS nbudget,
         f.path[1:coalesce(list_position(list_transform(range(1, greatest(len(f.path), len(o.path)) + 1), lambda j: coalesce(f.path[j] = o.path[j], false)), false), len(f.path) + 1) - 1] AS common FROM f JOIN o ON o.doc = f.doc AND o.i = f.i + 1))),
-c AS (SELECT doc, pack AS ordinal, arg_max(f.path, i) AS path, any_value(title) AS title, flatten(list(words ORDER BY i)) AS words FROM f JOIN o USING (doc, i) GROUP BY 1, 2)
-SELECT doc, ordinal, array_to_string(path, ' > ') AS section, regexp_extract_all({_sql_crumb("[title] || path")}, '[^\\x20\\x09-\\x0D]+') || words AS words FROM c"""
+c AS (SELECT doc, pack AS ordinal, arg_max(f.path, i) AS path, any_value(title) AS title, string_agg({_TRIM.format("array_to_string(words, '')")}, chr(10) || chr(10) ORDER BY i) AS body, sum(n) AS n FROM f JOIN o USING (doc, i) GROUP BY 1, 2)
+SELECT doc, ordinal, array_to_string(path, ' > ') AS section, CASE WHEN crumb = '' THEN body ELSE crumb || chr(10) || body END AS text, (n + {_nw('crumb')})::INT AS tokens FROM (SELECT *, {_sql_crumb("[title] || path")} AS crumb FROM c)"""
 
 
-@query(f"SELECT doc, ordinal, section, md5(array_to_string(words, ' ')) AS digest, len(words)::INT AS tokens FROM ({_sql_semantic(_SQL_TITLED)})")
+@query(f"SELECT doc, ordinal, section, md5(text) AS digest, tokens FROM ({_sql_semantic(_SQL_TITLED)})")
 def chunk_semantic(spark, sf_dir):
     return _chunks_flat(chunking.chunk_semantic(_segments(spark, sf_dir)))
 
@@ -381,14 +383,14 @@ FROM (SELECT doc_id, {_sql_clean("coalesce(text, '')")} AS c FROM documents) WHE
 _SQL_EN = ", ".join(repr(w) for w in lexical.STOPWORDS["en"])
 
 
-@query(rf"""WITH c AS ({_sql_semantic(_SQL_CLEANED)}), s AS (SELECT doc, count(*) AS chunks, sum(len(words))::BIGINT AS tokens, string_agg(md5(array_to_string(words, ' ')), ',' ORDER BY ordinal) AS digests,
-  sum(len(list_filter(regexp_split_to_array(lower(array_to_string(words, ' ')), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '' AND w NOT IN ({_SQL_EN}))))::BIGINT AS occurrences FROM c WHERE len(words) > 0 GROUP BY 1)
+@query(rf"""WITH c AS ({_sql_semantic(_SQL_CLEANED)}), s AS (SELECT doc, count(*) AS chunks, sum(tokens)::BIGINT AS tokens, string_agg(md5(text), ',' ORDER BY ordinal) AS digests,
+  sum(len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '' AND w NOT IN ({_SQL_EN}))))::BIGINT AS occurrences FROM c GROUP BY 1)
 SELECT doc_id AS doc, CASE WHEN doc_id % 4 = 2 OR chunks IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 4 = 2 THEN 'unsupported type: exe' WHEN chunks IS NULL THEN 'no text' END AS error, 'en' AS lang,
   coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS tokens, 400 AS chunk_size, 40 AS chunk_overlap, 'semantic' AS chunk_strategy, digests, coalesce(occurrences, 0) AS occurrences, chunks AS vectors FROM documents LEFT JOIN s ON doc = doc_id""")
 def ingest_corpus(spark, sf_dir):
     """Every document into the index: its row in sources, the digests of its chunks, the words in its postings, and its vectors."""
     found = chunking.ingest_corpus(spark.sql(_NAMED, t=view(spark, sf_dir, "documents")))
-    digest = F.md5(F.array_join(chunking.words(F.col("text")), " "))
+    digest = F.md5("text")
     digests = found["chunks"].groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", digest.alias("d")))), lambda x: x["d"]), ",").alias("digests"))
     doc = F.substring_index("chunk_id", "#", 1).cast("long").alias("doc")
     postings = found["postings"].groupBy(doc).agg(F.sum("tf").alias("occurrences"))

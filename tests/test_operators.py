@@ -235,9 +235,9 @@ def test_stream_ingest(spark, tmp_path):
 def test_chunking_rules(spark):
     words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     pieces = chunking.split_text(". ".join(words(10 * k, 10 * k + 10) for k in range(40)), 100, 20)
-    assert all(chunking.n_words(p) <= 100 for p in pieces) and all(a.split()[-20:] == b.split()[:20] for a, b in zip(pieces, pieces[1:-1]))
-    assert chunking.n_words(pieces[-1]) >= 25
-    assert [chunking.n_words(p) for p in chunking.split_text(words(0, 214), 200, 0)] == [107, 107]
+    assert all(chunking.n_tokens(p) <= 100 for p in pieces) and all(a.split()[-20:] == b.split()[:20] for a, b in zip(pieces, pieces[1:-1]))
+    assert chunking.n_tokens(pieces[-1]) >= 25
+    assert [chunking.n_tokens(p) for p in chunking.split_text(words(0, 214), 200, 0)] == [107, 107]
     kept = " ".join(chunking.split_text(words(0, 137) + ".\n" + words(137, 400), 50, 0)).split()
     assert kept == (words(0, 137) + ". " + words(137, 400)).split()
     rows = [(1, i, f"some words here {i}", ["P", x], page, "Title") for i, (x, page) in enumerate([("a", 3), ("b", 3), ("c", 4)])] + [(2, 0, "alone on its page", [], 7, None)]
