@@ -51,53 +51,84 @@ def markdown_segments(docs: DataFrame) -> DataFrame:
     return heading_sections(lines).join(titles, "doc", "left")
 
 
-NOISE = "script|style|noscript|iframe|svg|form|nav|header|footer|aside"
-# Named character references of HTML that pages commonly hold.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "sect": "§", "deg": "°", "euro": "€", "pound": "£", "times": "×",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "agrave": "à", "acirc": "â", "ccedil": "ç", "egrave": "è", "eacute": "é",
-    "ecirc": "ê", "iacute": "í", "ocirc": "ô", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "amp": "&",
-}
+# Elements that are noise with all they hold, elements that end a line, and those that may be a page's root, the first one being taken.
+NOISE = ("noscript", "iframe", "svg", "form", "nav", "header", "footer", "aside")
+BLOCKS = "p div section article main body ul ol li table tbody thead tr br blockquote pre dl dt dd figure figcaption h1 h2 h3 h4 h5 h6".split()
+ROOTS = ("main", "article", "body")
+
+#: Comments, scripts and styles as a whole; tags, whose quoted attributes may hold anything; text. Joined, the tokens are the page.
+HTML_TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|</?[a-z][^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+)*+>|<[!?/][^>]*>|<|[^<]+"""
+
+
+def _named_references() -> str:
+    """The names of HTML's character references that end with a semicolon, and their characters, as JSON."""
+    import html.entities
+    import json
+
+    return json.dumps({name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")})
 
 
 def decode_references(text: Column) -> Column:
-    """Character references as characters: the named ones above, and all numeric ones."""
-    parts = F.split(text, "&#")
+    """Character references as characters: all named ones of HTML, and numeric ones. What is no reference stays."""
+    named = F.from_json(F.lit(_named_references()), "map<string,string>")
 
-    def numeric(part: Column, i: Column) -> Column:
-        digits, hexed = F.regexp_extract(part, "^([0-9]{1,7});", 1), F.regexp_extract(part, "^[xX]([0-9a-fA-F]{1,6});", 1)
+    def decoded(part: Column, i: Column) -> Column:
+        digits, hexed, name = (F.regexp_extract(part, p, 1) for p in ("^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});", "^([A-Za-z][A-Za-z0-9]{1,31});"))
         code = F.when(digits != "", digits.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long"))
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(i == 0, part).when(valid, F.concat(char, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(name != "", F.try_element_at(named, name))
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char, F.regexp_replace(part, "^[^;]*;", "")), F.concat(F.lit("&"), part)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), decoded), "")).otherwise(text)
 
-    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, numeric), "")).otherwise(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+def _depth(rows: DataFrame, names: tuple[str, ...], upto) -> DataFrame:
+    """Adds, for each element's name, how many of its kind are open behind each tag; ends without a start count as nothing."""
+    change = {n: F.when(F.col("tag") == n, F.when(F.col("closes"), -1).when(F.col("token").endswith("/>") & F.lit(n == "svg"), 0).otherwise(1)).otherwise(0) for n in names}
+    rows = rows.withColumns({f"s_{n}": F.sum(c).over(upto) for n, c in change.items()})
+    # the sum above its own lowest point: what an end without a start took away is given back
+    return rows.withColumns({f"d_{n}": F.col(f"s_{n}") - F.least(F.lit(0), F.min(f"s_{n}").over(upto)) for n in names}).drop(*[f"s_{n}" for n in names])
 
 
 def html_lines(pages: DataFrame) -> DataFrame:
-    """Lines (doc, seq, level, text) of pages (doc, html): noise removed, root taken, headings levelled, table rows joined by bars."""
-    text = F.regexp_replace(F.coalesce("html", F.lit("")), rf"(?is)<!--.*?-->|<({NOISE})\b[^>]*>.*?</\1\s*>", "")
-    root = lambda tag: F.regexp_extract("clean", rf"(?is)<{tag}\b[^>]*>(.*?)(</{tag}\s*>|\z)", 1)
-    rows = pages.select("doc", text.alias("clean"))
-    rows = rows.select("doc", F.coalesce(*[F.nullif(root(t), F.lit("")) for t in ("main", "article", "body")], "clean").alias("root"))
-    marked = F.regexp_replace("root", r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ")
-    marked = F.regexp_replace(marked, r"(?i)<h([1-6])\b[^>]*>", "\u0001$1")
-    marked = F.regexp_replace(F.regexp_replace(marked, r"[\r\n]+", " "), r"(?i)</?(p|div|section|article|main|body|ul|ol|li|table|tbody|thead|tr|td|th|br|h[1-6]|blockquote|pre)\b[^>]*>", "\n")
-    marked = F.regexp_replace(F.regexp_replace(marked, "\u0001", "\n\u0001"), r"<[^>]*>", "")
-    rows = rows.select("doc", F.posexplode(F.split(marked, "\n")).alias("seq", "line"))
-    level = F.regexp_extract("line", "^\u0001([1-6])", 1)
-    out = decode_references(F.regexp_replace("line", "^\u0001[1-6]", ""))
-    return rows.select("doc", "seq", F.when(level != "", level.cast("int")).alias("level"), F.trim(F.regexp_replace(out, r"[ \t]+", " ")).alias("text"))
+    """Lines (doc, seq, level, text) of pages (doc, html): noise removed, root taken, headings levelled, table cells joined by bars.
+
+    Tags are followed in order with the number of elements open, so that nested elements end where they do: noise is what stands inside any
+    element of NOISE, and the root is the first of ROOTS that a page has outside of noise, with all it holds. Elements that are never
+    closed reach to the end. Repeated documents' pages are taken as one page after the other.
+    """
+    upto = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = pages.select("doc", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HTML_TOKEN), F.lit(0))).alias("seq", "token"))
+    rows = rows.withColumn("tag", F.when(F.col("token").rlike("(?s)^</?[A-Za-z].*>$"), F.lower(F.regexp_extract("token", "^</?([A-Za-z][A-Za-z0-9]*)", 1))).otherwise(F.lit("")))
+    rows = rows.where(~F.col("tag").isin("script", "style") & ~F.col("token").rlike("^<[!?]|^</[^A-Za-z]")).withColumn("closes", F.col("token").startswith("</"))
+    rows = _depth(rows, NOISE, upto)
+    inside = reduce(lambda a, b: a | b, [F.col(f"d_{n}") > 0 for n in NOISE])
+    rows = rows.where(~inside & ~F.col("tag").isin(*NOISE)).drop(*[f"d_{n}" for n in NOISE])
+    rows = _depth(rows, ROOTS, upto)
+    starts = {n: F.when((F.col("tag") == n) & ~F.col("closes") & (F.col(f"d_{n}") == 1), 1).otherwise(0) for n in ROOTS}
+    rows = rows.withColumns({f"n_{n}": F.sum(c).over(upto) for n, c in starts.items()})
+    whole = Window.partitionBy("doc")
+    root = F.coalesce(*[F.when(F.max(f"n_{n}").over(whole) > 0, F.lit(n)) for n in ROOTS], F.lit(""))
+    rows = rows.withColumn("root", root)
+    within = F.when(F.col("root") == "", True)
+    for n in ROOTS:
+        within = within.when(F.col("root") == n, (F.col(f"d_{n}") > 0) & (F.col(f"n_{n}") == 1))
+    rows = rows.where(within)
+    cell = F.col("tag").isin("td", "th") & ~F.col("closes")
+    cells = F.sum(F.when(cell, 1).otherwise(0)).over(upto)
+    rows = rows.withColumn("cells", cells)
+    before = F.last(F.when((F.col("tag") == "tr") & ~F.col("closes"), F.col("cells")), ignorenulls=True).over(upto)
+    piece = F.when(cell & (F.col("cells") - F.coalesce(before, F.lit(0)) > 1), F.lit(" | ")).when(F.col("tag") != "", F.lit("")).otherwise(F.regexp_replace("token", r"[\r\n]+", " "))
+    rows = rows.withColumn("piece", piece).withColumn("line", F.sum(F.when(F.col("tag").isin(*BLOCKS), 1).otherwise(0)).over(upto))
+    level = F.when(F.col("tag").rlike("^h[1-6]$") & ~F.col("closes"), F.substring("tag", 2, 1).cast("int"))
+    lines = rows.groupBy("doc", "line").agg(F.min_by(level, "seq").alias("level"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return lines.select("doc", F.col("line").alias("seq"), "level", F.trim(F.regexp_replace(decode_references(F.col("text")), r"[ \t]+", " ")).alias("text"))
 
 
 def html_segments(pages: DataFrame) -> DataFrame:
-    """Segments (doc, seg_no, section, text, title) of pages (doc, html)."""
+    """Segments (doc, seg_no, section, text, title) of pages (doc, html); of several titles of one document, the first by name."""
     title = F.trim(decode_references(F.regexp_replace(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"[ \t\r\n]+", " ")))
-    titles = pages.select("doc", F.nullif(title, F.lit("")).alias("title")).where("title IS NOT NULL").dropDuplicates(["doc"])
+    titles = pages.groupBy("doc").agg(F.min(F.nullif(title, F.lit(""))).alias("title")).where("title IS NOT NULL")
     return heading_sections(html_lines(pages)).join(titles, "doc", "left")
 
 

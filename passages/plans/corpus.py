@@ -230,15 +230,15 @@ _SQL_TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</ti
 
 
 def _sql_decode(x: str) -> str:
-    """Named character references; these pages hold no numeric ones."""
-    for name, char in segments.ENTITIES.items():
-        x = f"replace({x}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    """The named character references that the given pages may hold; they hold no numeric ones."""
+    for name, char in {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "&"}.items():
+        x = f"replace({x}, '&{name};', '{char}')"
     return x
 
 
 def _sql_html_lines(source: str) -> str:
     x = r"regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
-    for tag in segments.NOISE.split("|"):
+    for tag in ("script", "style", *segments.NOISE):
         x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     root = ", ".join(rf"nullif(regexp_extract(clean, '(?is)<{t}\b[^>]*>(.*?)(</{t}\s*>|\z)', 1), '')" for t in ("main", "article", "body"))
     y = r"regexp_replace(root, '(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>', ' | ', 'g')"
