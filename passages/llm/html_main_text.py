@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from passages.llm.common import ship
 
 # Element names of HTML by their role here.
-RAW = frozenset("script style noscript template iframe svg math object head select datalist audio video canvas textarea button dialog".split())
+RAW = frozenset("script style noscript template iframe svg head select datalist textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header "
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption br".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,14 +34,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT_TAGS = frozenset(("article", "main"))
 #: How strongly an element speaks for furniture (below 0) by its tag; `header` only outside an article.
-TAG_HINTS = {"nav": -5.0, "footer": -5.0, "aside": -5.0, "menu": -5.0, "search": -5.0, "form": -3.5, "header": -5.0}
+TAG_HINTS = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "menu": -4.0, "search": -4.0, "form": -3.5, "header": -4.0}
+#: What names say, strong, weak and soft ones; all stay below the 4.6 that length and punctuation of a block can say for it.
+STRONG, WEAK, SOFT = -4.0, -2.5, -0.8
 ARTICLE_HINT, NAME_HINT, LEAST_HINT, MOST_HINT = 1.5, 0.8, -6.0, 2.5
 #: Words of class names, ids and roles that name page furniture beyond doubt.
 STRONG_NAMES = frozenset(
     "nav navbar navigation menu menubar masthead topbar footer foot bottombar sidebar ad ads advert adverts advertisement advertising adsense adsbygoogle "
     "sponsor sponsored cookie cookies consent gdpr newsletter signup login breadcrumb breadcrumbs pagination pager contentinfo complementary "
-    "comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split()
+    "comment comments commentlist disqus".split()
 )
+#: Words for what readers say or may read next, which are also words for parts of an article, such as a paper's discussion: soft inside one.
+SOFT_NAMES = frozenset("reply replies respond response responses discussion related recommended recommendations".split())
 #: Words that often name furniture, but not always: length, punctuation and neighbours may outweigh them.
 WEAK_NAMES = frozenset(
     "side rail aside widget promo promotion banner notice notices alert warning disclaimer popup modal overlay subscribe subscription search searchbox "
@@ -108,21 +112,21 @@ def name_hint(name: str) -> tuple[float, str]:
     A weak word counts in a longer name only where the rest says whose it is, as in site-header; a strong word beside it makes it strong.
     """
     low = name.lower()
-    if low in STRONG_NAMES:
-        return -5.0, low
+    if low in STRONG_NAMES or low in SOFT_NAMES:
+        return STRONG, low
     parts = [x.lower() for x in _PARTS.split(name) if x]
     if not parts or parts[0] in ASIDE_PARTS or any(x in LACK_PARTS for x in parts):
         return 0.0, ""
     while len(parts) > 1 and parts[-1] in BOX_PARTS:
         parts.pop()
-    if parts[-1] in STRONG_NAMES:
-        return -5.0, parts[-1]
+    if parts[-1] in STRONG_NAMES or parts[-1] in SOFT_NAMES:
+        return STRONG, parts[-1]
     if parts[-1] in WEAK_NAMES:
         strong = [x for x in parts if x in STRONG_NAMES]
         if strong:
-            return -5.0, strong[-1]
+            return STRONG, strong[-1]
         if all(x in OWNER_PARTS or x in WEAK_NAMES for x in parts[:-1]):
-            return -2.5, parts[-1]
+            return WEAK, parts[-1]
     return 0.0, ""
 
 
@@ -146,10 +150,11 @@ def element_hint(tag: str, attributes: str, hint: float, in_article: bool, lasti
             score, word = name_hint(x)
             if not score or content and x.lower() != word or word == "header" and in_article:
                 continue
-            own = min(own, score)
-            last = last or word in LASTING_NAMES
-    if found and _hidden(found):
-        own = -5.0
+            soft = word in SOFT_NAMES and in_article
+            own = min(own, SOFT if soft else score)
+            last = last or word in LASTING_NAMES and not soft
+    if found and _hidden(found) or tag == "dialog" and "open" not in found:
+        own = STRONG
     if own < 0:
         return max(LEAST_HINT, min(hint, 0.0) + own), last
     if tag == "main" or tag == "article" and not lasting:
@@ -169,6 +174,16 @@ def blocks_of(page: str) -> tuple[list[Block], Elements]:
     # tag, number, hint, in article, in lasting furniture, in inline furniture
     stack: list[tuple[str, int, float, bool, bool, bool]] = [("", 0, 0.0, False, False, False)]
     parts, linked, in_link = [], 0, 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that an end that fits none costs nothing
+    unclosed: set[str] = set()  # raw tags that no end follows any more
+
+    def push(tag: str, *rest) -> None:
+        stack.append((tag, *rest))
+        opened[tag] += 1
+
+    def pop(depth: int = -1) -> None:
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
 
     def flush() -> None:
         nonlocal parts, linked
@@ -195,11 +210,10 @@ def blocks_of(page: str) -> tuple[list[Block], Elements]:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
+            if opened[tag] > 0:  # what is passed over on the way down the stack is closed as well
                 if tag not in BLOCK:
                     flush()
-                del stack[depth:]
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag == "a":
             in_link = 1
@@ -207,7 +221,9 @@ def blocks_of(page: str) -> tuple[list[Block], Elements]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                close = _closing(tag).search(page, at)
+                close = None if tag in unclosed else _closing(tag).search(page, at)
+                if not close:
+                    unclosed.add(tag)
                 if tag == "head":  # one that is never closed ends where the body starts
                     close = close or re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
                     at = close.end() if close else at
@@ -219,24 +235,24 @@ def blocks_of(page: str) -> tuple[list[Block], Elements]:
             continue
         if tag not in BLOCK:
             # inline furniture, such as an advert in a span, is a block of its own; so are like elements inside it
-            nested = stack[-1][5] and any(x[0] == tag for x in stack)
+            nested = stack[-1][5] and opened[tag] > 0
             if nested or m[3] and _inline_furniture(m[3]):
                 flush()
                 _, number, hint, in_article, _, _ = stack[-1]
-                stack.append((tag, elements.add(number), hint if nested else max(LEAST_HINT, min(hint, 0.0) - 5.0), in_article, True, True))
+                push(tag, elements.add(number), hint if nested else max(LEAST_HINT, min(hint, 0.0) + STRONG), in_article, True, True)
             continue
         while stack[-1][0] and stack[-1][0] not in BLOCK and stack[-2][0] == "p":  # left open in a paragraph that ends here
-            stack.pop()
+            pop()
         if stack[-1][0] == "p":
-            stack.pop()
+            pop()
         while stack[-1][0] in CLOSED_BY.get(tag, ()):
-            stack.pop()
+            pop()
         _, number, hint, in_article, lasting, inline = stack[-1]
         if tag == "form":
             form_end = page.find("</form", at) if 0 <= form_end < at else form_end
             tag = "div" if form_end - at > len(page) // 2 else tag  # a form around most of the page is its frame
         own, last = element_hint(tag, m[3], hint, in_article, lasting)
-        stack.append((tag, elements.add(number), own, in_article or own > 0, last, inline))
+        push(tag, elements.add(number), own, in_article or own > 0, last, inline)
     flush()
     return found, elements
 
