@@ -34,9 +34,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT_TAGS = frozenset(("article", "main"))
 #: How strongly an element speaks for furniture (below 0) by its tag; `header` only outside an article.
-TAG_HINTS = {"nav": -4.0, "footer": -4.0, "aside": -4.0, "menu": -4.0, "search": -4.0, "form": -3.5, "header": -4.0}
-#: What names say, strong, weak and soft ones; all stay below the 4.6 that length and punctuation of a block can say for it.
-STRONG, WEAK, SOFT = -4.0, -2.5, -0.8
+TAG_HINTS = {"nav": -5.0, "footer": -5.0, "aside": -5.0, "menu": -5.0, "search": -5.0, "form": -3.5, "header": -5.0}
+#: What names say, strong, weak and soft ones. Strong ones exceed the 4.6 that length and punctuation of a block can say for it: a reader's comment is
+#: left out however well written; weak and soft ones don't.
+STRONG, WEAK, SOFT = -5.0, -2.5, -0.8
 ARTICLE_HINT, NAME_HINT, LEAST_HINT, MOST_HINT = 1.5, 0.8, -6.0, 2.5
 #: Words of class names, ids and roles that name page furniture beyond doubt.
 STRONG_NAMES = frozenset(
