@@ -89,9 +89,9 @@ def backlog_depth(changes: DataFrame) -> DataFrame:
 def backlog_depth_stream(changes: DataFrame) -> DataFrame:
     """backlog_depth over a stream: the state is a key's depth. Within a micro-batch changes count in the order of ts and event_id."""
 
-    def fold(depth, at, event_id, delta):
-        depth = (depth or 0) + int(delta)
-        return depth, (depth,)
+    def fold(state, at, event_id, delta):
+        depth = (state[0] if state else 0) + int(delta)
+        return (depth,), (depth,)
 
     return _stateful(changes.select("key", "ts", "event_id", "delta"), fold, "depth bigint", "depth bigint")
 
@@ -111,18 +111,20 @@ def running_allowance(usage: DataFrame, limit: int) -> DataFrame:
 def running_allowance_stream(usage: DataFrame, limit: int) -> DataFrame:
     """running_allowance over a stream: the state is an organisation's use so far; a row comes out once it reaches the limit."""
 
-    def fold(used, at, event_id, tokens):
-        before, used = used or 0, (used or 0) + int(tokens)
-        return used, (used, before < limit <= used)
+    def fold(state, at, event_id, tokens):
+        before = state[0] if state else 0
+        used = before + int(tokens)
+        return (used,), (used, before < limit <= used)
 
     found = _stateful(_allowances(usage), fold, "used bigint", "used bigint, reached boolean")
     return found.where("reached").select(F.col("key").alias("org_id"), "event_id", "used")
 
 
-def _stateful(rows: DataFrame, fold: Callable, state: str, entry: str) -> DataFrame:
-    """Rows (key, event_id, *entry) of a stream (key, ts, event_id, ...). fold(state, at, event_id, ...) returns the new state, one value here, and the entry.
+def _stateful(rows: DataFrame, fold: Callable, state: str, entry: str, until: Callable | None = None) -> DataFrame:
+    """Rows (key, event_id, *entry) of a stream (key, ts, event_id, ...). fold(state, at, event_id, ...) returns the new state, a tuple, and the entry.
 
-    A micro-batch's rows of a key are sorted by ts and event_id; between micro-batches only the state is kept.
+    A micro-batch's rows of a key are sorted by ts and event_id; between micro-batches only the state is kept. until(state) gives the
+    microsecond from which a state says nothing any more: once the watermark has passed it, a timer drops the state. Without it states stay.
     """
     import pandas as pd
 
@@ -130,16 +132,24 @@ def _stateful(rows: DataFrame, fold: Callable, state: str, entry: str) -> DataFr
     schema = StructType([rows.schema["key"], rows.schema["event_id"], *StructType.fromDDL(entry).fields])
 
     def step(key, batches, held):
-        value = held.get[0] if held.exists else None
+        if held.hasTimedOut:
+            held.remove()
+            return
+        value = held.get if held.exists else None
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
         out = []
         for at, event_id, *values in zip(pdf["ts"], pdf["event_id"], *[pdf[n] for n in names], strict=True):
             value, found = fold(value, at, event_id, *values)
             out.append((key[0], event_id, *found))
-        held.update((value,))
+        held.update(value)
+        if until is not None:  # a timer must lie ahead of the watermark
+            held.setTimeoutTimestamp(max(-(-until(value) // 1000), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=schema.names)
 
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("key").applyInPandasWithState(step, schema, state, "append", "NoTimeout")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    if until is not None:
+        rows = rows.withWatermark("ts", LATE)
+    return rows.groupBy("key").applyInPandasWithState(step, schema, state, "append", "NoTimeout" if until is None else "EventTimeTimeout")
 
 
 def _folded(rows: DataFrame, entry: dict[str, str], fold: Callable[[], Callable], keep: tuple[str, ...] = (), values: int | None = None) -> DataFrame:
@@ -226,26 +236,20 @@ def _numbered(rows: DataFrame, width: int) -> DataFrame:
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """rate_limit_flags over a stream: state is a window's start and count for each key."""
-    import pandas as pd
+    """rate_limit_flags over a stream: state is a window's start and count for each key, dropped when the watermark has passed the window's end. Hits later than the watermark are dropped."""
+    width = window_s * 1_000_000
 
-    def step(key, batches, state):
-        start, n = state.get if state.exists else (None, 0)
-        out = []
-        for pdf in batches:
-            for at, event in zip(pdf["ts"].astype("int64") // 1000, pdf["event_id"], strict=True):
-                out.append((int(at), int(event)))
-        rows = []
-        for at, event in sorted(out):
-            if start is None or at >= start + window_s * 1_000_000:
-                start, n = at, 0
-            n += 1
-            rows.append((key[0], event, n, n > limit))
-        state.update((start, n))
-        yield pd.DataFrame(rows, columns=["key", "event_id", "n", "rejected"])
+    def fold(state, at, event_id):
+        at = at.value // 1000
+        start, n = state or (None, 0)
+        if start is None or at >= start + width:
+            start, n = at, 0
+        n += 1
+        left = max(1, -((at - start - width) // 1_000_000))
+        return (start, n), (n, n > limit, left if n > limit else None)
 
-    rows = hits.select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return rows.groupBy("key").applyInPandasWithState(step, "key bigint, event_id bigint, n int, rejected boolean", "start bigint, n int", "append", "NoTimeout")
+    rows = hits.where("ts IS NOT NULL").select("key", "ts", "event_id")
+    return _stateful(rows, fold, "start bigint, n int", "n int, rejected boolean, retry_after bigint", lambda state: state[0] + width)
 
 
 class Lockout:
@@ -355,12 +359,24 @@ def stream_assign(turns: DataFrame, variants: DataFrame, experiment_id: int, ass
     return rows.join(held, "subject", "left").withColumn("variant_id", F.coalesce("held", "variant_id")).drop("held")
 
 
-def sticky_assign_stream(turns: DataFrame) -> DataFrame:
-    """Rows (key, event_id, variant_id) of tagged live turns (subject, ts, event_id, variant_id): a subject keeps the first variant it was seen with. The state is that variant."""
-
-    def fold(held, at, event_id, variant_id):
-        held = int(variant_id) if held is None else held
-        return held, (held,)
+def sticky_assign_stream(turns: DataFrame, variants: DataFrame | None = None, experiment_id: int | None = None, assignments: DataFrame | None = None, idle_days: int | None = None) -> DataFrame:
+    """Rows (key, event_id, variant_id) of tagged live turns (subject, ts, event_id, variant_id): a subject keeps the first variant it was seen with. The state is that variant.
 
+    assignments (experiment_id, subject, variant_id): a subject that is new here starts with the one stored for it. variants: a kept or stored one that the
+    experiment has no longer is dealt anew, by the turn's own variant. idle_days: a subject without a turn for so long is forgotten; what was assigned must then be stored.
+    """
     rows = turns.select(F.col("subject").alias("key"), "ts", "event_id", F.col("variant_id").cast("long").alias("variant_id"))
-    return _stateful(rows, fold, "variant bigint", "variant_id bigint")
+    alive = None if variants is None else {r["id"] for r in variants.where(F.col("experiment_id") == experiment_id).select("id").collect()}  # the arms of one experiment
+    stored = F.lit(None).cast("long").alias("stored")
+    if assignments is not None:
+        held = assignments.where(F.col("experiment_id") == experiment_id).groupBy(F.col("subject").alias("key")).agg(F.min("variant_id").cast("long").alias("stored"))
+        rows, stored = rows.join(held, "key", "left"), F.col("stored")
+    span = (idle_days or 0) * 86_400_000_000
+
+    def fold(state, at, event_id, variant_id, stored):
+        held = state[0] if state else None if stored is None or stored != stored else int(stored)
+        if held is None or alive is not None and held not in alive:
+            held = int(variant_id)
+        return (held, at.value // 1000), (held,)
+
+    return _stateful(rows.select("key", "ts", "event_id", "variant_id", stored), fold, "variant bigint, seen bigint", "variant_id bigint", (lambda state: state[1] + span) if idle_days else None)
