@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.sources.storage import kept
+
 SIZE, OVERLAP = 400, 40
 
 
@@ -285,6 +287,8 @@ def ingest_corpus(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, str
         raise ValueError(f"unknown strategy: {strategy}")
     rows = tag_language(route(docs.withColumn("text", clean(F.col("text")))))
     segments = load_segments(rows.where("reject_reason IS NULL"), loaders)
+    if "title" in docs.columns:  # what a document is called counts where its text says nothing
+        segments = segments.join(docs.select("doc", F.col("title").alias("_given")), "doc", "left").withColumn("title", F.coalesce("title", "_given")).drop("_given")
     make = {"semantic": chunk_semantic, "per_unit": chunk_per_unit}.get(strategy)
     if make:
         chunks = make(segments, size, overlap)
@@ -292,7 +296,8 @@ def ingest_corpus(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, str
         whole = segments.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
         nothing = [F.array().cast("array<string>").alias("section"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("page_end")]
         chunks = chunk_fixed(whole, size, overlap).select("doc", "ordinal", *nothing, "text", "tokens")
-    chunks = chunks.join(rows.select("doc", "lang"), "doc").withColumn("chunk_id", F.concat_ws("#", "doc", "ordinal"))
+    # written once: four tables follow from it
+    chunks = kept(chunks.join(rows.select("doc", "lang"), "doc").withColumn("chunk_id", F.concat_ws("#", "doc", "ordinal")), "chunks")
     stats = chunks.groupBy("doc").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.count_distinct("page").alias("pages"))
     error = F.coalesce("reject_reason", F.when(F.col("chunks").isNull(), "no text"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

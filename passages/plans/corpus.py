@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from passages.adapters import view, with_views
 from passages.functions import text
 from passages.operators import chunking, lexical, segments
-from passages.plans.retrieval import SQL_LEXICAL, SQL_POSTINGS, build_lexical_index, terms
+from passages.plans.retrieval import SQL_LEXICAL, SQL_POSTINGS, build_lexical_index, chunks, terms
 from passages.sources import corpus as sources
+from passages.sources import index
 from passages.sources.storage import shared_dir
 
 QUERIES: dict = {}
@@ -113,6 +114,22 @@ def indexed_search(spark, sf_dir):
     return lexical.lexical_search(asked, sources.read_index(spark, path, asked), 20)
 
 
+_LATEST = "(SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' ', text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5)"
+
+
+@query(SQL_LEXICAL.replace("FROM documents", f"FROM {_LATEST}"))
+def merged_index_search(spark, sf_dir):
+    """Lexical search over an index of three segments: all documents, then new texts of every seventh, then every eleventh gone."""
+    held, rows = index.StoredIndex(spark, _folder(spark, "index"), key="doc_id"), chunks(spark, sf_dir).withColumn("doc_id", F.col("chunk_id"))
+    with_postings = lambda part: {"chunks": part, "postings": lexical.build_lexical_index(part)}
+    changed = rows.where("doc_id % 7 = 0").withColumn("text", F.concat_ws(" ", "text", "text"))
+    held.append(with_postings(rows), rows, "all")
+    held.append(with_postings(changed), changed, "changed")
+    held.delete(rows.where("doc_id % 11 = 5"), "gone")
+    asked = terms(spark, sf_dir)
+    return lexical.lexical_search(asked, held.read("postings", asked), 20)
+
+
 _STATEMENT = "SELECT o_orderpriority, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_orderpriority"
 
 

@@ -304,44 +304,25 @@ def lockout_flags(logins: DataFrame, key: str, threshold: int = 10, minutes: int
     return _folded(rows, {"failures": "int", "locked": "boolean"}, fold)
 
 
-def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, size: int = 400, overlap: int = 40, strategy: str = "semantic", buckets: int = 64) -> None:
-    """Brings documents (doc, name, text) into the index as files of them land in a folder; returns when it has caught up.
+def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, size: int = 400, overlap: int = 40, strategy: str = "semantic") -> None:
+    """Brings documents (doc, name, text) into the stored index at target as files of them land in a folder; returns when it has caught up.
 
-    Chunks stand in `buckets` folders by their document. A micro-batch rewrites only the folders of its own documents, in which it replaces their chunks;
-    a batch that is repeated writes the same again. Documents that fail have no chunks, and stop nothing.
+    A micro-batch is one segment of the index: it writes the chunks, postings, vectors and sources of its own documents and nothing else, and replaces what
+    the index had of them. A batch that is repeated changes nothing. Documents that fail have a row in sources and no chunks, and stop nothing. Of a
+    document that stands in a batch several times, the longest text counts.
     """
     from passages.operators.chunking import ingest_corpus
-    from passages.sources.corpus import replace_by_source
+    from passages.sources.index import StoredIndex
 
     def batch(docs: DataFrame, n: int) -> None:
-        session = docs.sparkSession
-        rows = docs.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
-        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
-        if not touched:
-            return
-        chunks = ingest_corpus(docs, size, overlap, strategy)["chunks"].withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
-        if _exists(session, target):
-            held = session.read.schema(chunks.schema).parquet(target).where(F.col("bucket").isin(touched)).join(docs.select("doc").distinct(), "doc", "left_anti").select(chunks.columns)
-            chunks = replace_by_source(held, chunks, "doc")
-        staged = f"{target}-staged/{n}"  # what is overwritten can't be read at the same time
-        chunks.write.mode("overwrite").parquet(staged)
-        staged_rows = session.read.schema(chunks.schema).parquet(staged)
-        staged_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        if docs.limit(1).count():
+            one = docs.groupBy("doc").agg(F.max_by(F.struct("name", "text"), F.struct(F.length("text"), "text", "name")).alias("d")).select("doc", "d.*")
+            StoredIndex(docs.sparkSession, target).append(ingest_corpus(one, size, overlap, strategy), one.select("doc"), f"stream-{n}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
 def stream_assign(turns: DataFrame, variants: DataFrame, experiment_id: int, assignments: DataFrame | None = None) -> DataFrame:
     """Tags turns, live or not, with the variant of their subject: an earlier assignment (experiment_id, subject, variant_id) if its variant still exists, else the one that its hash falls on.
 

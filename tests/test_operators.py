@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passages.adapters import view
 from passages.functions import text
 from passages.operators import chunking, dense, evals, experiments, fusion, lexical, reports, segments, tree, usage
-from passages.sources import corpus
+from passages.sources import corpus, index
 from passages.streaming import lockouts, windows
 
 
@@ -217,19 +217,27 @@ def test_dense_blocks(spark, monkeypatch):
 
 
 def test_stream_ingest(spark, tmp_path):
-    """Two batches, the second with changed, new and failing documents: the index holds what one batch over the latest documents gives."""
+    """Two batches, the second with changed, new and failing documents: the index holds what one batch over the latest documents gives, in all four tables."""
     docs = view(spark, SF, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("d."), F.when(F.col("doc_id") % 5 == 4, "exe").otherwise("txt")).alias("name"), "text").where("doc < 30")
     changed = docs.where("doc BETWEEN 20 AND 25").withColumn("text", F.lit("new text of this document")).unionByName(spark.createDataFrame([(90, "n.md", "# T\nbody of it"), (91, "n.txt", None)], docs.schema))
-    run = lambda: windows.stream_ingest(spark, str(tmp_path / "docs"), "doc long, name string, text string", str(tmp_path / "out"), str(tmp_path / "state"), buckets=4)
+    run = lambda: windows.stream_ingest(spark, str(tmp_path / "docs"), "doc long, name string, text string", str(tmp_path / "out"), str(tmp_path / "state"))
     docs.write.parquet(str(tmp_path / "docs"))
     run()
-    first = spark.read.parquet(str(tmp_path / "out")).count()
+    held = index.StoredIndex(spark, str(tmp_path / "out"))
+    first = held.read("chunks").count()
     changed.coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
     run()
+    assert held.batches() == ["stream-0", "stream-1"] and first > 0
     latest = docs.join(changed.select("doc"), "doc", "left_anti").unionByName(changed)
-    expected = chunking.ingest_corpus(latest)["chunks"]
-    assert rows_of(spark.read.schema(f"{expected._jdf.schema().toDDL()}").parquet(str(tmp_path / "out")).select(expected.columns)) == rows_of(expected)
-    assert first > 0 and expected.where("doc IN (4, 91)").count() == 0 and expected.where("doc = 90").first().section == ["T"]
+    expected = chunking.ingest_corpus(latest)
+    for table, rows in expected.items():
+        assert rows_of(held.read(table).select(rows.columns)) == rows_of(rows), table
+    assert expected["chunks"].where("doc IN (4, 91)").count() == 0 and expected["chunks"].where("doc = 90").first().section == ["T"]
+
+
+def test_ingest_keeps_a_given_title(spark):
+    docs = spark.createDataFrame([(1, "a.txt", "plain text", "Given"), (2, "b.md", "# Own\nbody", "Given"), (3, "c.txt", "no title", None)], "doc int, name string, text string, title string")
+    assert {r.doc: r.text for r in chunking.ingest_corpus(docs)["chunks"].collect()} == {1: "Given\nplain text", 2: "Own > Own\nbody", 3: "no title"}
 
 
 def test_chunking_rules(spark):
