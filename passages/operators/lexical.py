@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import re
+import zipfile
+
+import pyspark
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passages.operators.sizes import few
 
-# Stop words by language.
-STOPWORDS = {
-    "en": "a an and are as at be by for from in is it of on or that the this to was with".split(),
-    "de": "als auf das der die ein eine er es für im in ist mit nicht sich und von zu".split(),
-    "fr": "au avec dans de des du elle en est et il la le les par pas pour que qui sur un une".split(),
-    "es": "al con de del el en es la las los no para por que se su un una y".split(),
-    "ru": "а без в во все вы да для до его ее если за и из или их к как ко мы на не нет но о об он она они от по при с со так то у что это я".split(),
-}
+#: The languages that have a list of stop words, by the names that Spark ML gives its lists.
+LISTS = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "it": "italian", "pt": "portuguese", "nl": "dutch", "ru": "russian"}
+
+
+def _listed(names: dict[str, str]) -> dict[str, list[str]]:
+    """Spark ML's own lists of stop words, read from its library, so that SQL can be written before a session is there; words that analyse() would cut are left out."""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    jars = glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar")) + glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if jars:
+        with zipfile.ZipFile(jars[0]) as jar:
+            found = {lang: jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().split() for lang, name in names.items()}
+    else:  # Spark isn't installed beside Python: ask the session
+        found = {lang: StopWordsRemover.loadDefaultStopWords(name) for lang, name in names.items()}
+    return {lang: sorted({w.lower() for w in words if re.fullmatch(r"\w+", w)}) for lang, words in found.items()}
+
+
+STOPWORDS = _listed(LISTS)
 
 
 def analyse(text: Column) -> Column:

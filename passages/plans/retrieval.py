@@ -5,11 +5,14 @@ Hybrid queries embed chunks and questions by hashed terms; dense queries alone t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passages.adapters import view, with_views
-from passages.operators import dense, fusion, lexical
+from passages.operators import dense, fusion, lexical, vector_index
+from passages.sources.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -137,6 +140,14 @@ def dense_search_ann(spark, sf_dir):
     return dense.dense_search_ann(query_vectors(spark, sf_dir), view(spark, sf_dir, "vectors"), 20)
 
 
+@query()
+def stored_vector_search(spark, sf_dir):
+    """Approximate search over a vector index that is written first: cells as folders, codes of 16 bytes, the head scored exactly."""
+    path, vectors = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}/vectors", view(spark, sf_dir, "vectors")
+    vector_index.write_vectors(vectors, vector_index.fit_codes(vectors), path)
+    return vector_index.search_vectors(query_vectors(spark, sf_dir), path, 20)
+
+
 @query("""SELECT chunk_id, model, CASE WHEN model = 'm1' THEN 'fixed width' END AS reject_reason, CASE WHEN model = 'm0' THEN 32 END AS width,
   CASE WHEN model = 'm0' THEN round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[])), 6) END AS first FROM vectors""", "vectors")
 def truncate_embeddings(spark, sf_dir):
