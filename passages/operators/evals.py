@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passages.functions.text import words
+from passages.operators.sizes import few
 
 # Phrases by which an answer refuses, in lower case.
 REFUSALS = ("i don't know", "i do not know", "no information", "не знаю", "cannot answer")
@@ -53,7 +54,8 @@ def unknown_metrics(wanted: list[str]) -> list[str]:
 def documents_that_hold(items: DataFrame, documents: DataFrame, width: int = 8) -> DataFrame:
     """Rows (item_id, chunk_id): the documents (chunk_id, text) in which an item's words (item_id, text) stand as they are, whatever the white space.
 
-    An item's first words, `width` or fewer, are looked for by an equi-join of hashes; what they meet is then compared in full.
+    An item's first words, `width` or fewer, are looked for by an equi-join of hashes, which drops other windows within the task while items
+    are few; what they meet is then compared in full.
     """
     spaced = lambda c: F.array_join(F.concat(F.array(F.lit("")), c, F.array(F.lit(""))), " ")
     asked = items.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).withColumn("n", F.least(F.size("item"), F.lit(width)))
@@ -63,7 +65,7 @@ def documents_that_hold(items: DataFrame, documents: DataFrame, width: int = 8)
     starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
     hash_of = lambda n: lambda i: F.xxhash64(F.slice("w", i, n))
     hashes = [F.transform(starts(n), hash_of(n)) for n in lengths] or [F.array().cast("array<bigint>")]
-    met = rows.select("chunk_id", F.explode(F.array_distinct(F.flatten(F.array(*hashes)))).alias("h")).join(asked.select("item_id", "h", "item"), "h").select("item_id", "chunk_id", "item").distinct()
+    met = rows.select("chunk_id", F.explode(F.array_distinct(F.flatten(F.array(*hashes)))).alias("h")).join(few(asked.select("h").distinct()), "h", "left_semi").join(asked.select("item_id", "h", "item"), "h").select("item_id", "chunk_id", "item").distinct()
     return met.join(rows.select("chunk_id", spaced(F.col("w")).alias("text")), "chunk_id").where(F.contains("text", "item")).select("item_id", "chunk_id")
 
 

@@ -171,11 +171,13 @@ def json_segments(docs: DataFrame, limit: int = 10_000) -> DataFrame:
     return rows.select("doc", "seg_no", F.col("p.section").alias("section"), F.col("p.text").alias("text"))
 
 
-def tabular_segments(rows: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """One segment a group: its rows as 'a | b | c', nulls as '', empty rows dropped."""
+def tabular_segments(rows: DataFrame, group: str, order: str, columns: list[str], rows_each: int = 1000) -> DataFrame:
+    """Segments (doc, seg_no, text) of a group, rows_each rows each: rows as 'a | b | c', nulls as '', empty rows dropped. No sheet is gathered in one row."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     lines = rows.select(F.col(group).alias("doc"), F.col(order).alias("o"), F.concat_ws(" | ", *cells).alias("line"), F.concat(*cells).alias("all")).where("all <> ''")
-    return lines.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("o", "line"))
+    lines = lines.select("doc", F.floor((number - 1) / rows_each).cast("long").alias("seg_no"), "o", "line")
+    return lines.groupBy("doc", "seg_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def drop_contents_sections(segments: DataFrame) -> DataFrame:

@@ -281,9 +281,9 @@ def json_segments(spark, sf_dir):
     return segments.json_segments(rows)
 
 
-@query("SELECT p_brand AS doc, string_agg(concat(p_name, ' | ', p_size, ' | ', p_type), chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1")
+@query("SELECT doc, seg_no, string_agg(line, chr(10) ORDER BY p_partkey) AS text FROM (SELECT p_brand AS doc, p_partkey, concat(p_name, ' | ', p_size, ' | ', p_type) AS line, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 1000 AS seg_no FROM part) GROUP BY 1, 2")
 def tabular_segments(spark, sf_dir):
-    return segments.tabular_segments(view(spark, sf_dir, "part"), "p_brand", "p_partkey", ["p_name", "p_size", "p_type"])
+    return segments.tabular_segments(view(spark, sf_dir, "part"), "p_brand", "p_partkey", ["p_name", "p_size", "p_type"]).select("doc", "seg_no", "text")
 
 
 @query("SELECT c_custkey AS doc FROM customer WHERE c_mktsegment <> 'BUILDING'")
