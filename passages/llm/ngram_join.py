@@ -32,7 +32,7 @@ from passages.llm.components import components
 MIN_BITS, MAX_BITS = 16, 24
 _CHUNK = 1 << 16
 #: Documents and n-grams in a block of the product, and documents of its whole cluster beside each.
-BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 128, 1 << 21, 8
+BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 128, 1 << 20, 8
 #: Scaled count from which an n-gram's list is not ordered (about 500 documents).
 HOT = 81
 
@@ -187,19 +187,24 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent:
 
     The sparse product of the block: columns are the n-grams that occur twice or more, taken in chunks.
     """
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    grams, columns, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = times[columns] > 1
-    place = np.cumsum(times > 1) - 1
-    rows, columns = rows[keep], place[columns[keep]]
+    grams = np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.ones(len(grams), bool)
+    first[1:] = grams[1:] != grams[:-1]
+    del grams
+    group = np.cumsum(first, dtype=np.int32) - 1
+    times = np.bincount(group)
+    keep = times[group] > 1
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order[keep]]
+    columns = (np.cumsum(times > 1, dtype=np.int32) - 1)[group[keep]]  # in order
     width = int((times > 1).sum())
+    del order, first, group, keep, times
     right = ~left if not left.all() else left
     a, b = np.flatnonzero(left), np.flatnonzero(right)
     position = np.empty(len(sets), np.int64)
     position[a] = np.arange(len(a))
     overlap = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
     for start in range(0, width, 4096):
         lo, hi = np.searchsorted(columns, [start, start + 4096])
         dense = np.zeros((len(sets), min(4096, width - start)), np.float32)
@@ -243,8 +248,8 @@ def _products(docs: DataFrame, places: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
-        grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
+        pdf = pdf[["id", "left", "grams"]].drop_duplicates("id").sort_values("id", ignore_index=True)
+        grams = [np.frombuffer(x, np.uint64) for x in pdf.pop("grams")]
         left = pdf["left"].to_numpy().astype(bool)
         links = linked(np.array([len(x) for x in grams]), grams, left, percent) if left.any() else np.zeros((0, len(grams)), bool)
         return pd.DataFrame(_forest(links, left, pdf["id"].to_numpy()), columns=["a", "b"], dtype="int64")
