@@ -5,6 +5,8 @@ formed where it can hold a link: size-derived bounds say that two linked documen
 so the lists of those n-grams tie documents into clusters. A cluster that fits into one block is multiplied as a whole. A larger
 one is multiplied along its diagonal first, each block beside a few documents of the whole cluster; what these links leave outside the
 cluster's largest component is then put into blocks of its own, and these are multiplied with the blocks they share a rare n-gram with, as all else is connected already.
+A block holds documents of one kind, and a product only gets those of its documents that may link with one of the other block, so that copies of
+different texts which a chance n-gram ties into one cluster are not multiplied with each other.
 Overlap counts are accumulated column chunk by column chunk, and pairs below the size-derived bound are discarded; each
 product returns a spanning forest of its links, never its pairs.
 
@@ -31,8 +33,9 @@ from passages.llm.components import components
 #: Counters for n-gram frequencies: one for about 64 n-grams, 2 ** 24 (16 MB as bytes) at most.
 MIN_BITS, MAX_BITS = 16, 24
 _CHUNK = 1 << 16
-#: Documents and n-grams in a block of the product, and documents of its whole cluster beside each.
-BLOCK_DOCS, BLOCK_NGRAMS, HUBS = 128, 1 << 20, 8
+#: Documents and n-grams in a block of the product, and documents of its whole cluster beside each; blocks that are multiplied with
+#: others, of which fewer documents take part, hold so many times the documents.
+BLOCK_DOCS, BLOCK_NGRAMS, HUBS, WIDER = 128, 1 << 20, 8, 4
 #: Scaled count from which an n-gram's list is not ordered (about 500 documents).
 HOT = 81
 
@@ -84,7 +87,7 @@ def _profile(docs: DataFrame, width: int, bits: int) -> DataFrame:
         def add() -> None:
             nonlocal waiting, size
             if waiting:
-                np.add(counts, np.bincount((np.concatenate(waiting) >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32), out=counts)
+                np.add.at(counts, (np.concatenate(waiting) >> shift).astype(np.int64), np.uint32(1))
             waiting, size = [], 0
 
         for batch in batches:
@@ -259,25 +262,55 @@ def _products(docs: DataFrame, places: DataFrame, width: int, percent: int) -> D
     return rows.join(small(places), "id").groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
 
 
-def _blocks(members: DataFrame, grams: DataFrame, name: str) -> DataFrame:
-    """Rows (id, cluster, block) of members (id, cluster, n): documents with one rarest n-gram stand together, as far as a block holds them."""
-    first = grams.where(F.col("at") < 2).select("id", F.col("gram").alias("first"))  # one a document
-    shape = members.groupBy("cluster").agg(F.ceil(1.25 * F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_NGRAMS)).cast("long").alias("buckets"))
-    rows = members.join(small(written(shape, "bucket-counts")), "cluster").join(first, "id")
-    rows = written(rows.select("id", "cluster", "n", F.pmod(F.xxhash64("first"), F.col("buckets")).alias("bucket")).dropDuplicates(["id"]), "buckets")
-    parts = rows.groupBy("cluster", "bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_NGRAMS)).cast("long").alias("parts"))
+def _blocks(members: DataFrame, grams: DataFrame, name: str, docs: int) -> DataFrame:
+    """Rows (id, cluster, block) of members (id, cluster, n, held): documents of one kind stand together, as far as a block of so many docs holds them.
+
+    Of one kind are those of the component `held`, if it isn't null, and else those whose n-gram that most of the cluster show is the same one. Kinds
+    that fill half a block have blocks of their own, the others share some.
+    """
+    rows = grams.join(small(members.select("id", "cluster")), "id").select("id", "cluster", "gram")
+    times = rows.groupBy("cluster", "gram").agg(F.count("*").alias("times"))
+    most = written(rows.join(times, ["cluster", "gram"]).groupBy("id").agg(F.max_by("gram", F.struct("times", "gram")).alias("most")), "most-shown")
+    kind = F.coalesce(F.xxhash64(F.lit("held"), "held"), "most") if "held" in members.columns else F.col("most")
+    rows = written(members.join(small(most), "id").select("id", "cluster", "n", kind.alias("kind")).dropDuplicates(["id"]), "kinds")
+    fill = F.greatest(F.count("*") / docs, F.sum("n") / BLOCK_NGRAMS)
+    kinds = written(rows.groupBy("cluster", "kind").agg(fill.alias("fill")), "kind-sizes")
+    shape = kinds.where("fill < 0.5").groupBy("cluster").agg(F.ceil(1.25 * F.sum("fill")).cast("long").alias("buckets"))
+    shared = F.when(F.col("fill") < 0.5, F.pmod(F.xxhash64("kind"), F.col("buckets"))).otherwise(F.xxhash64("kind"))
+    kinds = kinds.join(small(written(shape, "bucket-counts")), "cluster", "left").select("cluster", "kind", shared.alias("bucket"))
+    rows = written(rows.join(small(written(kinds, "kind-buckets")), ["cluster", "kind"]).select("id", "cluster", "n", "bucket"), "buckets")
+    parts = rows.groupBy("cluster", "bucket").agg(F.ceil(fill).cast("long").alias("parts"))
     rows = rows.join(small(written(parts, "bucket-parts")), ["cluster", "bucket"])
     return written(rows.select("id", "cluster", F.xxhash64(F.lit(name), "bucket", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
 
 
+def _beyond(stands: DataFrame, percent: int) -> DataFrame:
+    """Places of the products that find the links between documents of different components (`to`), one of which is not `inside`.
+
+    stands: rows (id, cluster, block, to, inside, n, gram, small) of documents and the n-grams they show, small if also as the smaller one of a pair. A
+    document takes part in a product with a block only if one of its n-grams is shown there by a document of another component within the size bounds.
+    """
+    least = F.min(F.when(F.col("small"), F.col("n"))).alias("small_low")
+    shown = stands.groupBy("cluster", "gram", F.col("block").alias("other"), F.col("inside").alias("other_inside")).agg(F.min("n").alias("low"), F.max("n").alias("high"), least, F.min("to").alias("to_low"), F.max("to").alias("to_high"))
+    met = stands.join(written(shown, "shown"), ["cluster", "gram"])
+    met = met.where((F.col("to") != F.col("to_low")) | (F.col("to") != F.col("to_high")))
+    met = met.where((percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n")))
+    met = met.where((F.col("small") & (F.col("high") >= F.col("n"))) | (F.col("small_low") <= F.col("n")))
+    left = met.where("NOT inside AND (other_inside OR block <= other)").select("id", "cluster", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"))
+    right = met.where("NOT other_inside AND (inside OR other < block)").select("id", "cluster", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"))
+    places = written(left.union(right).distinct(), "met")
+    both = places.groupBy("cluster", "i", "j").agg(F.count_distinct("left").alias("sides")).where("sides = 2 OR i = j").drop("sides")
+    return places.join(small(written(both, "block-pairs")), ["cluster", "i", "j"]).select("id", "cluster", "i", "j", "left")
+
+
 def _links(docs: DataFrame, members: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect what the links inside the clusters connect. members: (id, cluster, n, blocks)."""
     whole = members.where("blocks = 1").select("id", "cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(True).alias("left"))
     large = written(members.where("blocks > 1").select("id", "cluster", "n"), "large-clusters")
     if large.isEmpty():
         return _products(docs, written(whole, "places"), width, percent)
-    grams = written(prefixes.join(small(large.select("id")), "id", "left_semi").select("id", "gram", "at"), "large-prefixes")
-    blocks = _blocks(large, grams, "first")
+    grams = written(prefixes.join(small(large.select("id")), "id", "left_semi").select("id", "n", "gram", (F.col("at") % 2 == 1).alias("small")), "large-prefixes")
+    blocks = _blocks(large, grams, "first", BLOCK_DOCS)
     # the diagonal, each block with some documents of its whole cluster
     order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
     hubs = written(blocks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HUBS).select("cluster", "id"), "hubs")
@@ -285,27 +318,22 @@ def _links(docs: DataFrame, members: DataFrame, prefixes: DataFrame, width: int,
     diagonal = blocks.select("id", "cluster", "block").union(beside.select("id", "cluster", "block")).distinct()
     diagonal = diagonal.select("id", "cluster", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("left"))
     links = written(_products(docs, written(whole.union(diagonal), "places"), width, percent), "first-links")
-    # what the largest component of a cluster leaves outside forms blocks of its own: these go against each other and
-    # against those of the component, wherever two blocks show the same n-gram
+    # what the largest component of a cluster leaves outside forms blocks of its own, those of a component together: these
+    # go against each other and against those of the largest one, wherever a document and a block show the same n-gram
     found = components(links)
-    grouped = blocks.join(small(found.withColumnRenamed("component", "to")), "id", "left").select("id", "cluster", "block", F.coalesce("to", "id").alias("to"))
-    grouped = written(grouped, "grouped")
-    largest = grouped.groupBy("cluster", "to").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("to", F.struct("n", "to")).alias("largest"))
-    grouped = written(grouped.join(small(written(largest, "largest")), "cluster").select("id", "cluster", "block", (F.col("to") == F.col("largest")).alias("inside")), "inside")
-    rest = grouped.where("NOT inside").join(small(large.select("id", "n")), "id").select("id", "cluster", "n")
-    if rest.isEmpty():
+    grouped = written(blocks.join(small(found.withColumnRenamed("component", "to")), "id", "left").select("id", "cluster", F.coalesce("to", "id").alias("to")), "grouped")
+    counts = written(grouped.groupBy("cluster", "to").agg(F.count("*").alias("size")), "component-sizes")
+    largest = counts.groupBy("cluster").agg(F.max_by("to", F.struct("size", "to")).alias("largest"))
+    held = counts.join(small(written(largest, "largest")), "cluster").select("cluster", "to", (F.col("to") == F.col("largest")).alias("inside"), F.when(F.col("size") * 2 >= BLOCK_DOCS, F.col("to")).alias("held"))
+    grouped = grouped.join(small(written(held, "held")), ["cluster", "to"]).join(small(large.select("id", "n")), "id")
+    grouped = written(grouped.select("id", "cluster", "n", "to", "inside", "held"), "inside")
+    if grouped.where("NOT inside").isEmpty():
         return links
-    rest = _blocks(rest, grams, "rest")
-    inside = grouped.where("inside").select("id", "cluster", "block")
-    shows = lambda rows: written(grams.join(small(rows), "id").select("cluster", "gram", "block").distinct(), "shown")
-    asked, held = shows(rest), shows(inside)
-    i, j = asked.withColumnRenamed("block", "i"), asked.withColumnRenamed("block", "j")
-    pairs = i.join(j, ["cluster", "gram"]).where("i <= j").select("cluster", "i", "j").distinct()
-    pairs = pairs.union(i.join(held.withColumnRenamed("block", "j"), ["cluster", "gram"]).select("cluster", "i", "j").distinct())
-    pairs = small(written(pairs, "block-pairs"))
-    left = rest.withColumnRenamed("block", "i").join(pairs, ["cluster", "i"]).select("id", "cluster", "i", "j", F.lit(True).alias("left"))
-    right = rest.union(inside).withColumnRenamed("block", "j").join(pairs, ["cluster", "j"]).where("i <> j").select("id", "cluster", "i", "j", F.lit(False).alias("left"))
-    return links.union(_products(docs, written(left.union(right), "places"), width, percent))
+    rows = grouped.select("id", "cluster", "n", "held", "inside")
+    blocks = _blocks(rows.where("inside"), grams, "inside", WIDER * BLOCK_DOCS).union(_blocks(rows.where("NOT inside"), grams, "rest", WIDER * BLOCK_DOCS))
+    stands = written(grouped.join(small(blocks.select("id", "block")), "id").select("id", "cluster", "block", "to", "inside"), "stands")
+    stands = written(grams.join(small(stands), "id").select("id", "cluster", "block", "to", "inside", "n", "gram", "small"), "stands-by-gram")
+    return links.union(_products(docs, written(_beyond(stands, percent), "places"), width, percent))
 
 
 def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
