@@ -9,10 +9,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from passages.operators.lexical import analyse, in_scope, top_k
 from passages.operators.sizes import few
@@ -31,8 +33,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    # the length once a vector: inside the inner function it would be worked out for each entry
+    scaled = F.transform(F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm"))), lambda a: F.transform(a["v"], lambda x: F.when(a["norm"] > 0, x / a["norm"]).otherwise(0.0)))
+    return F.get(scaled, F.lit(0))
 
 
 def truncate_embeddings(vectors: DataFrame, dims: int, supports: dict[str, bool]) -> DataFrame:
@@ -65,25 +68,135 @@ def source_groups(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, reach
 
 
+def _regular(v: str, width: int) -> Column:
+    """Whether a vector has the width and finite numbers only: those can be multiplied as matrices."""
+    return F.coalesce((F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def _best(vectors: DataFrame, asked: list, k: int, id_type, keys: list[str], scaled: bool, probes: np.ndarray | None = None) -> DataFrame:
+    """Rows (query_id, chunk_id, score) that hold the top k of each query of a block, asked (query_id, *keys, q), among vectors (chunk_id, *keys, v, and cell if there are probes); v is scaled to length 1 if it isn't yet, as unit() does.
+
+    A task multiplies its vectors with the block tile by tile and keeps what may be among a query's best k. Scores of these are then added up entry by entry,
+    as dot() does, so that they hang on no order of the matrix product; equal ones beyond the k least ids go. probes: by query and cell, whether the query looks at the cell.
+    """
+    names, by_key = [r["query_id"] for r in asked], {}
+    matrix = np.array([r["q"] for r in asked], float)
+    for i, r in enumerate(asked):
+        by_key.setdefault(tuple(r[x] for x in keys), []).append(i)
+    block = vectors.sparkSession.sparkContext.broadcast((names, matrix, {key: np.array(at) for key, at in by_key.items()}, probes))
+    arrow_id, tile, margin, slack = to_arrow_type(id_type), 1 << 21, 1.0000001e-6, 1e-9
+
+    def run(batches):
+        names, matrix, by_key, probes = block.value
+        least = np.full(len(names), -np.inf)  # the k-th score so far
+        held, n_held, most = [], 0, 1 << 20
+
+        def compact():
+            """Drops what can't be among the best k after rounding to six places."""
+            nonlocal held, n_held
+            q, score = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            ids = pa.concat_arrays([x[2] for x in held])
+            rank = pd.factorize(ids.to_pandas(), sort=True)[0]
+            order = np.lexsort((rank, -score, q))
+            q, score = q[order], score[order]
+            new = np.r_[True, q[1:] != q[:-1]]
+            run_start = np.flatnonzero(new | np.r_[True, score[1:] != score[:-1]])
+            at = np.arange(len(q))
+            in_run = at - np.repeat(run_start, np.diff(np.r_[run_start, len(q)]))
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.r_[starts, len(q)])
+            last = np.where(sizes >= k, score[np.minimum(starts + k - 1, len(q) - 1)], -np.inf)
+            least[q[starts]] = last
+            keep = (in_run < k) & (score >= np.repeat(last, sizes) - margin)
+            held, n_held = [(q[keep], score[keep], ids.take(pa.array(order[keep])))], int(keep.sum())
+
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            flat = np.asarray(columns["v"].flatten()).reshape(len(batch), -1)
+            if not scaled:
+                square = np.zeros(len(flat))
+                with np.errstate(over="ignore"):
+                    for d in range(flat.shape[1]):
+                        square += flat[:, d] * flat[:, d]
+                norm = np.sqrt(square)[:, None]
+                flat = np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
+            frame = pd.DataFrame({x: columns[x].to_pandas() for x in keys})
+            for key, rows in frame.groupby(keys, sort=False).indices.items():
+                found = by_key.get(key if isinstance(key, tuple) else (key,))
+                if found is None:
+                    continue
+                v = flat[rows]
+                cell = np.asarray(columns["cell"])[rows] if probes is not None else None
+                step = max(1, tile // len(rows))
+                for start in range(0, len(found), step):
+                    q = found[start : start + step]
+                    scores = matrix[q] @ v.T
+                    unknown = np.isinf(least[q])
+                    if unknown.any() and len(rows) > k:
+                        open_ = scores[unknown] if probes is None else np.where(probes[q[unknown]][:, cell], scores[unknown], -np.inf)
+                        bound = least[q]
+                        bound[unknown] = np.partition(open_, len(rows) - k, axis=1)[:, len(rows) - k]
+                    else:
+                        bound = least[q]
+                    i, j = np.nonzero(scores >= (bound - margin - slack)[:, None])
+                    if probes is not None:
+                        seen = probes[q[i], cell[j]]
+                        i, j = i[seen], j[seen]
+                    some = max(1, (1 << 19) // v.shape[1])
+                    for a in range(0, len(i), some):
+                        b, c = i[a : a + some], j[a : a + some]
+                        exact, left, right = np.zeros(len(b)), matrix[q[b]], v[c]
+                        for d in range(v.shape[1]):
+                            exact += left[:, d] * right[:, d]
+                        held.append((q[b], exact, columns["chunk_id"].take(pa.array(rows[c]))))
+                        n_held += len(b)
+                    if n_held > most:
+                        compact()
+                        most = max(1 << 20, 2 * n_held)  # where near-ties leave more
+            if n_held:
+                compact()
+        if n_held:
+            q, score, ids = held[0]
+            for a in range(0, len(q), 1 << 16):
+                part = q[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part], arrow_id), ids.slice(a, len(part)), pa.array(score[a : a + len(part)])], names=["query_id", "chunk_id", "score"])
+
+    found = vectors.mapInArrow(run, f"query_id {id_type.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double")
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
     """Top k by cosine for queries (query_id, model, embedding) among vectors (chunk_id, model, embedding) of the query's model, within the scope of each query.
 
     scope: rows (query_id, source_id); vectors must then have source_id. A vector meets only queries that may see its source: it's given the
     groups of such queries before the product, and vectors of sources that nobody asks for go. A query without a source finds nothing.
-    A scope by chunk (query_id, chunk_id) is applied to scored pairs instead. Queries are broadcast in blocks of QUERY_BYTES, and each task keeps its best k.
+    A scope by chunk (query_id, chunk_id) is applied to scored pairs instead. Queries are broadcast in blocks of QUERY_BYTES, and each task keeps its best k
+    of a matrix product; vectors of another width than the queries, or with entries that are no finite numbers, are scored one by one.
     """
     blocks = _blocks(queries)
     by_source = scope is not None and "source_id" in scope.columns and "chunk_id" not in scope.columns
     q = queries.select("query_id", "model", unit(_double(F.col("embedding"))).alias("q"))
-    v = vectors.select("chunk_id", "model", *(["source_id"] if by_source else []), unit(_double(F.col("embedding"))).alias("v"))
+    v = vectors.select("chunk_id", "model", *(["source_id"] if by_source else []), _double(F.col("embedding")).alias("v"))
     if by_source:
         members, reach = source_groups(scope)
         q = q.join(members, "query_id")
         v = v.join(few(reach), "source_id").select("chunk_id", "model", "v", F.explode("grps").alias("grp"))
 
+    keys = ["model", "grp"] if by_source else ["model"]
+    by_one = lambda v, q: v.join(F.broadcast(q), keys).select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("unit")), 6).alias("score"))
+    with_unit = lambda rows: rows.withColumn("unit", unit(F.col("v")))
+
     def search(part: DataFrame) -> DataFrame:
-        hits = v.join(F.broadcast(part), ["model", "grp"] if by_source else "model").select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-        return top_k(hits if by_source else in_scope(hits, scope), k)
+        if scope is not None and not by_source:
+            return top_k(in_scope(by_one(with_unit(v), part), scope), k)
+        width = part.agg(F.max(F.size("q"))).first()[0] or 0
+        usual_q, usual_v = _regular("q", width), _regular("v", width)
+        asked = part.where(usual_q).where(" AND ".join(f"{x} IS NOT NULL" for x in keys)).collect()  # a block of queries
+        hits = by_one(with_unit(v.where(~usual_v)), part)
+        if asked:
+            hits = hits.union(_best(v.where(usual_v), asked, k, part.schema["query_id"].dataType, keys, scaled=False))
+        unusual = part.where(~usual_q)
+        return top_k(hits if unusual.isEmpty() else hits.union(by_one(with_unit(v.where(usual_v)), unusual)), k)
 
     if blocks <= 1:
         return search(q)
@@ -120,8 +233,8 @@ def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = 20_000
 
 
 def index_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
-    """Every vector with its cell: (chunk_id, model, v, cell)."""
-    rows = vectors.select("chunk_id", "model", unit(_double(F.col("embedding"))).alias("v"))
+    """Every vector with its cell: (chunk_id, model, embedding, v, cell); v is of unit length."""
+    rows = vectors.select("chunk_id", "model", "embedding", unit(_double(F.col("embedding"))).alias("v"))
     return rows.withColumn("cell", F.get(cells.nearest(1)("v"), F.lit(0)))
 
 
@@ -130,18 +243,31 @@ def dense_search_ann(queries: DataFrame, vectors: DataFrame, k: int, cells: Cell
 
     Half of the cells give a recall of 0.9 even where vectors have no structure at all; where they form clusters, far fewer do.
     Cells decide what is compared, not where: vectors stay in their tasks, and the queries are broadcast to them in blocks of
-    QUERY_BYTES, so that a full cell is no hot key.
+    QUERY_BYTES, each with a byte a cell, so that a full cell is no hot key.
     """
     cells = cells or fit_cells(vectors)
     n = max(1, math.ceil(probes * len(cells.centres)))
+    width = len(cells.centres[0])
     q = queries.select("query_id", "model", unit(_double(F.col("embedding"))).alias("q"))
     v = index_cells(vectors, cells)
-    blocks = _blocks(queries, 1 + n)
+    blocks = _blocks(queries, 1 + len(cells.centres) // ROW_BYTES)
+
+    def by_one(v: DataFrame, q: DataFrame) -> DataFrame:
+        probed = q.select("query_id", "model", F.explode(cells.nearest(n)("q")).alias("cell"))
+        near = v.join(F.broadcast(probed), ["model", "cell"]).join(F.broadcast(q.select("query_id", "q")), "query_id")
+        return near.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
 
     def search(part: DataFrame) -> DataFrame:
-        probed = part.select("query_id", "model", F.explode(cells.nearest(n)("q")).alias("cell"))
-        near = v.join(F.broadcast(probed), ["model", "cell"]).join(F.broadcast(part.select("query_id", "q")), "query_id")
-        return top_k(near.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+        usual_q, usual_v = _regular("q", width), _regular("embedding", width)
+        asked = part.where(usual_q).where("model IS NOT NULL").withColumn("cells", cells.nearest(n)("q")).collect()  # a block of queries
+        hits = by_one(v.where(~usual_v), part)
+        if asked:
+            looks = np.zeros((len(asked), len(cells.centres)), bool)
+            for i, r in enumerate(asked):
+                looks[i, r["cells"]] = True
+            hits = hits.union(_best(v.where(usual_v).select("chunk_id", "model", "v", "cell"), asked, k, part.schema["query_id"].dataType, ["model"], scaled=True, probes=looks))
+        unusual = part.where(~usual_q)
+        return top_k(hits if unusual.isEmpty() else hits.union(by_one(v.where(usual_v), unusual)), k)
 
     return reduce(DataFrame.union, [search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q) for i in range(blocks)])
 
