@@ -47,14 +47,12 @@ def drop_stopwords(words: DataFrame, langs: list[str]) -> DataFrame:
 
 def analysed(chunks: DataFrame) -> DataFrame:
     """Adds words: those of the text without the stop words of its own language."""
-    def is_stop(w: Column) -> Column:
-        out = F.lit(False)
-        for lang, words in STOPWORDS.items():
-            out = F.when(F.col("lang") == lang, w.isin(words)).otherwise(out)
-        return out
-
     rows = chunks.select("chunk_id", "lang", analyse(F.col("text")).alias("words"))
-    return rows.select("chunk_id", F.filter("words", lambda w: ~is_stop(w)).alias("words"))
+    without = lambda listed: F.filter("words", lambda w: ~w.isin(listed))
+    left = F.col("words")
+    for lang, listed in STOPWORDS.items():  # a chunk's language is looked at once, not for each word
+        left = F.when(F.col("lang") == lang, without(listed)).otherwise(left)
+    return rows.select("chunk_id", left.alias("words"))
 
 
 def build_lexical_index(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from passages.functions import addresses
 from passages.operators.sizes import few
 from passages.sources.guard import guarded_sql
+from passages.sources.storage import remove, shared_dir
 
 __all__ = ["admit_documents", "admit_urls", "check_golden_set", "guarded_sql", "import_golden_set", "read_index", "replace_by_source", "route", "scan_corpus", "sitemap_select", "write_index"]
 
@@ -117,6 +119,10 @@ def write_index(postings: DataFrame, path: str, buckets: int | None = None, part
     file_rows, such as one with a very frequent term, is dealt out to several tasks and files by chunk; no file holds more.
     """
     spark = postings.sparkSession
+    # worked out once: the counts and the files below read them three times
+    once = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
+    postings.write.parquet(once)
+    postings = spark.read.schema(postings.schema).parquet(once)
     if buckets is None:
         buckets = max(1, -(-postings.count() // BUCKET_ROWS))
     keys = [*([partition] if partition else []), "bucket"]
@@ -129,6 +135,7 @@ def write_index(postings: DataFrame, path: str, buckets: int | None = None, part
     # folders whose name starts with an underscore are no data to Spark's readers
     schema = dealt.drop("_part").schema.json()
     spark.createDataFrame([(buckets, schema)], "buckets int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")
+    remove(spark, once)
 
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
